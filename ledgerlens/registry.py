@@ -145,3 +145,89 @@ def a10_records_page(spark, sf_dir):
     # ORDER BY every column: the page order is total, so pages are stable
     return dash.page(dash.search_records(flat, SEARCH_TERM), SEARCH_COLS,
                      limit=rules.PAGE_SIZE, offset=100)
+
+
+# ---------------------------------------------------------------- profile
+from .operators import profile as prof_ops  # noqa: E402
+from .plans import twins  # noqa: E402
+from .plans.star import FLAT_COLUMNS  # noqa: E402
+
+FLAT_KINDS = {
+    "order_number": "Integer", "line_number": "Integer", "order_date": "DateTime",
+    "customer_id": "Integer", "quantity": "Float", "net_amount": "Float", "unit_price": "Float",
+    "discount": "Float", "ship_date": "DateTime",
+}
+ORDERS_KINDS = [("o_orderkey", "Integer"), ("o_custkey", "Integer"), ("o_orderstatus", "Text"),
+                ("o_totalprice", "Float"), ("o_orderdate", "DateTime"), ("o_orderpriority", "Text")]
+STAT_COLS = ["mean_value", "median_value", "std_dev_value"]
+
+
+def _round_stats(df):
+    return df.select(*[r6(c).alias(c) if c in STAT_COLS else F.col(c) for c in df.columns])
+
+
+def _round_stats_sql(inner: str) -> str:
+    return ("SELECT ordinal, column_name, data_type, semantic_type, null_percentage, distinct_count, "
+            "cardinality, min_value, max_value, round(mean_value, 6) AS mean_value, "
+            "round(median_value, 6) AS median_value, round(std_dev_value, 6) AS std_dev_value "
+            f"FROM ({inner})")
+
+
+def _flat_profile_sql() -> str:
+    cols = [(c, FLAT_KINDS.get(c, "Text")) for c in FLAT_COLUMNS]
+    return twins.profile_sql(f"{sales_lines_sql(FLAT_COLUMNS)} f", cols)
+
+
+def _flat_profile(spark, sf_dir):
+    return prof_ops.profile(sales_lines(Tables(spark, sf_dir)))
+
+
+@register("p1_p7_profile_orders",
+          _round_stats_sql(twins.profile_sql("orders", ORDERS_KINDS)))
+def p1_p7_profile_orders(spark, sf_dir):
+    return _round_stats(prof_ops.profile(Tables(spark, sf_dir).orders))
+
+
+@register("p1_p7_profile_sales", _round_stats_sql(_flat_profile_sql()))
+def p1_p7_profile_sales(spark, sf_dir):
+    return _round_stats(_flat_profile(spark, sf_dir))
+
+
+@register("p8_domain", f"WITH prof AS ({_flat_profile_sql()}) {twins.domain_sql('prof')}")
+def p8_domain(spark, sf_dir):
+    return prof_ops.classify_domain(_flat_profile(spark, sf_dir))
+
+
+@register("p9_kpi_suggestions", f"WITH prof AS ({_flat_profile_sql()}) {twins.kpis_sql('prof')}")
+def p9_kpi_suggestions(spark, sf_dir):
+    return prof_ops.suggest_kpis(_flat_profile(spark, sf_dir))
+
+
+@register("p10_chart_suggestions", f"WITH prof AS ({_flat_profile_sql()}) {twins.charts_sql('prof')}")
+def p10_chart_suggestions(spark, sf_dir):
+    return prof_ops.suggest_charts(_flat_profile(spark, sf_dir))
+
+
+@register("p11_column_picks", f"WITH prof AS ({_flat_profile_sql()}) {twins.picks_sql('prof')}")
+def p11_column_picks(spark, sf_dir):
+    return prof_ops.pick_columns(_flat_profile(spark, sf_dir))
+
+
+@register("p12_p13_ingest_insights", f"""
+WITH prof AS ({_flat_profile_sql()}), d AS ({twins.domain_sql('prof')}),
+n AS (SELECT count(*) AS n FROM {sales_lines_sql(FLAT_COLUMNS)} f),
+info AS (SELECT count(*) AS ncols,
+         list(column_name ORDER BY ordinal) FILTER (WHERE null_percentage > {rules.NULL_WARN_PCT}) AS nulls FROM prof)
+SELECT 0 AS insight_order, 'Successfully identified dataset domain as **' || domain || '** with **'
+       || CAST(confidence_score AS VARCHAR) || '%** confidence.' AS text FROM d
+UNION ALL SELECT 1, 'Ingested **' || format('{{:,}}', n) || '** records across **' || CAST(ncols AS VARCHAR)
+       || '** distinct column fields.' FROM n, info
+UNION ALL SELECT 2, '**WARNING**: Columns (' || array_to_string(nulls[1:{rules.NULL_WARN_NAMES}], ', ')
+       || ') contain high missing value percentages. Mode/median substitution applied.'
+  FROM info WHERE len(coalesce(nulls, [])) > 0
+""")
+def p12_p13_ingest_insights(spark, sf_dir):
+    flat = sales_lines(Tables(spark, sf_dir))
+    prof = prof_ops.profile(flat)
+    return prof_ops.ingest_insights(prof, prof_ops.classify_domain(prof),
+                                    flat.agg(F.count(F.lit(1)).alias("n")))

@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Local mode runs everything in the driver JVM: give it the memory.
+LOCAL_CONF = {"spark.driver.memory": "16g"}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
@@ -29,6 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
