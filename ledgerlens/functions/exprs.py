@@ -44,6 +44,21 @@ def logical_type(dt: T.DataType) -> str | None:
     return None
 
 
+def np_round(c, decimals: int) -> Column:
+    """Round half-even the numpy way: scale, round to integer, unscale.
+
+    Spark's round/bround round the shortest decimal text of the double;
+    numpy (and so the reference) rounds the scaled binary value.
+    """
+    f = float(10 ** decimals)
+    return F.rint(col(c) * F.lit(f)) / F.lit(f)
+
+
+def np_round_sql(e: str, decimals: int) -> str:
+    f = float(10 ** decimals)
+    return f"(round_even(({e}) * {f}, 0) / {f})"
+
+
 def title_words(c) -> Column:
     """'net_amount' -> 'Net Amount'."""
     return F.initcap(F.regexp_replace(col(c), "_", " "))

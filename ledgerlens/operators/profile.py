@@ -73,8 +73,9 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         kind = exprs.logical_type(f.dataType)
         dc = F.col(f"_d{i}").cast("long")
         has = dc > 0
-        nul = F.when(F.col("_n") > 0, F.round(F.col(f"_z{i}") * 100.0 / nd, 2)).otherwise(F.lit(float("nan")))
-        card = F.when(F.col("_n") > 0, F.round(dc / nd, 4)).otherwise(F.lit(0.0))
+        nul = F.when(F.col("_n") > 0, exprs.np_round(F.col(f"_z{i}") / nd * 100.0, 2)
+                     ).otherwise(F.lit(float("nan")))
+        card = F.when(F.col("_n") > 0, exprs.np_round(dc / nd, 4)).otherwise(F.lit(0.0))
         cut = lambda s: F.substring(s, 1, rules.PROFILE_TEXT_CHARS)
         none_d = F.lit(None).cast("double")
         if kind in ("Integer", "Float"):
@@ -149,7 +150,8 @@ def classify_domain(prof: DataFrame) -> DataFrame:
     low_score = F.col("b.score") < rules.DOMAIN_MIN_SCORE
     return best.select(
         F.when(low_score, F.lit(rules.GENERIC_DOMAIN)).otherwise(F.col("b.domain")).alias("domain"),
-        F.when(low_score, F.lit(100.0)).otherwise(F.round(F.col("b.score"), 2)).alias("confidence_score"))
+        F.when(low_score, F.lit(100.0)).otherwise(exprs.np_round(F.col("b.score"), 2))
+        .alias("confidence_score"))
 
 
 def _ranked(prof: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def _col_profile(i: int, name: str, kind: str, rel: str) -> str:
     n = "count(*)"
     dc = f"count(DISTINCT {c})"
     head = (f"SELECT {i} AS ordinal, {q(name)} AS column_name, {{dtype}} AS data_type, "
-            f"round(100.0 * count_if({c} IS NULL) / {n}, 2) AS null_percentage, "
-            f"{dc} AS distinct_count, round({dc} / {n}, 4) AS cardinality, ")
+            f"{exprs.np_round_sql(f'count_if({c} IS NULL) / {n} * 100.0', 2)} AS null_percentage, "
+            f"{dc} AS distinct_count, {exprs.np_round_sql(f'{dc} / {n}', 4)} AS cardinality, ")
     if kind in ("Integer", "Float"):
         body = (f"CASE WHEN {dc} > 0 THEN CAST(min({c}) AS VARCHAR) END AS min_value, "
                 f"CASE WHEN {dc} > 0 THEN CAST(max({c}) AS VARCHAR) END AS max_value, "
@@ -96,7 +96,7 @@ def domain_sql(prof: str) -> str:
     best = f"(SELECT * FROM ({' UNION ALL '.join(scores)}) ORDER BY score DESC, rk LIMIT 1)"
     return (f"SELECT CASE WHEN score < {rules.DOMAIN_MIN_SCORE} THEN {q(rules.GENERIC_DOMAIN)} "
             f"ELSE domain END AS domain, CASE WHEN score < {rules.DOMAIN_MIN_SCORE} THEN 100.0 "
-            f"ELSE round(score, 2) END AS confidence_score FROM {best}")
+            f"ELSE {exprs.np_round_sql('score', 2)} END AS confidence_score FROM {best}")
 
 
 def ranked_sql(prof: str) -> str:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import rules
+from .functions import exprs, rules
 from .operators import dashboard as dash
 from .plans.star import sales_lines, sales_lines_sql
 from .sources.tables import Tables
@@ -231,3 +231,133 @@ def p12_p13_ingest_insights(spark, sf_dir):
     prof = prof_ops.profile(flat)
     return prof_ops.ingest_insights(prof, prof_ops.classify_domain(prof),
                                     flat.agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- cleaning
+from .operators import clean as clean_ops  # noqa: E402
+from .plans import dirty  # noqa: E402
+
+_BOOL_TOKENS_SQL = ", ".join(twins.q(t) for t in rules.BOOL_INFER_TOKENS)
+_TRUE_SQL = ", ".join(twins.q(t) for t in rules.BOOL_TRUE_TOKENS)
+_FALSE_SQL = ", ".join(twins.q(t) for t in rules.BOOL_FALSE_TOKENS)
+_NULLTOK_SQL = ", ".join(twins.q(t) for t in rules.TEXT_NULL_TOKENS)
+_SQL_DATE_FORMATS = ["%m/%d/%Y", "%m/%d/%Y %H:%M:%S", "%Y/%m/%d", "%d-%b-%Y", "%b %-d, %Y", "%-d %b %Y"]
+
+
+def _pdate(c):
+    s = f"trim(CAST({c} AS VARCHAR))"
+    tries = [f"TRY_CAST({s} AS TIMESTAMP)"] + [f"try_strptime({s}, '{f}')" for f in _SQL_DATE_FORMATS]
+    return f"coalesce({', '.join(tries)})"
+
+
+def _pbool(c):
+    t = f"lower(trim(CAST({c} AS VARCHAR)))"
+    return f"(CASE WHEN {t} IN ({_TRUE_SQL}) THEN true WHEN {t} IN ({_FALSE_SQL}) THEN false END)"
+
+
+def _ptext(c):
+    t = f"trim(CAST({c} AS VARCHAR))"
+    return f"(CASE WHEN {t} NOT IN ({_NULLTOK_SQL}) THEN {t} END)"
+
+
+_DIRTY_CTE = f"raw AS {dirty.upload_lines_sql()}, dd AS (SELECT DISTINCT * FROM raw)"
+_INTEGER_COLS = ["order_number", "line_number", "product_code", "supplier_code", "quantity"]
+_FLOAT_COLS = ["unit_price", "discount"]
+_KEY_SQL = ", ".join(f"CAST({c} AS BIGINT)" for c in dirty.ORDER_KEY)
+
+
+def _cleaned_sql() -> str:
+    num = _INTEGER_COLS + _FLOAT_COLS
+    meds = ", ".join(f"quantile_cont({twins.parse_sql(c)}, 0.5) AS m_{c}" for c in num)
+    mode_cat = (f"(SELECT v FROM (SELECT {_ptext('category_name')} AS v, count(*) AS n FROM dd "
+                f"WHERE {_ptext('category_name')} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+    mode_line = (f"(SELECT v FROM (SELECT {_ptext('line_status')} AS v, count(*) AS n FROM dd "
+                 f"WHERE {_ptext('line_status')} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+    mode_ret = (f"(SELECT v FROM (SELECT {_pbool('is_returned')} AS v, count(*) AS n FROM dd "
+                f"WHERE {_pbool('is_returned')} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+    sel = []
+    for c in _INTEGER_COLS:
+        sel.append(f"CAST(coalesce({twins.parse_sql(c)}, m_{c}, 0.0) AS DOUBLE) AS {c}")
+    for c in _FLOAT_COLS:
+        sel.append(f"{exprs.np_round_sql(f'CAST(coalesce({twins.parse_sql(c)}, m_{c}, 0.0) AS DOUBLE)', 4)} AS {c}")
+    sel.append(f"{_pdate('ship_date')} AS ship_raw")
+    sel.append(f"coalesce({_ptext('category_name')}, {mode_cat}, 'Unknown') AS category_name")
+    sel.append(f"coalesce({_pbool('is_returned')}, {mode_ret}, true) AS is_returned")
+    sel.append(f"coalesce({_ptext('line_status')}, {mode_line}, 'Unknown') AS line_status")
+    sel.append(f"{_KEY_SQL.replace('CAST(', 'CAST(dd.')} ")
+    keys = ", ".join(f"k{i}" for i in range(len(dirty.ORDER_KEY)))
+    key_sel = ", ".join(f"CAST(dd.{c} AS BIGINT) AS k{i}" for i, c in enumerate(dirty.ORDER_KEY))
+    sel[-1] = key_sel
+    return f"""WITH {_DIRTY_CTE}, med AS (SELECT {meds} FROM dd),
+typed AS (SELECT {', '.join(sel)} FROM dd, med)
+SELECT order_number, line_number, product_code, supplier_code,
+  coalesce(ship_raw,
+           last_value(ship_raw IGNORE NULLS) OVER (ORDER BY {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           first_value(ship_raw IGNORE NULLS) OVER (ORDER BY {keys} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    AS ship_date,
+  category_name, quantity, unit_price, discount, is_returned, line_status,
+  quantity * unit_price AS net_amount
+FROM typed"""
+
+
+def _clean(spark, sf_dir):
+    up = dirty.upload_lines(Tables(spark, sf_dir))
+    return clean_ops.clean(up, order_by=dirty.order_key_exprs())
+
+
+@register("c1_dedupe", f"WITH {_DIRTY_CTE} SELECT * FROM dd")
+def c1_dedupe(spark, sf_dir):
+    up = dirty.upload_lines(Tables(spark, sf_dir))
+    return clean_ops.dedupe(up).drop("_ord", "_copies")
+
+
+@register("c2_null_report", f"WITH {_DIRTY_CTE} " + " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS column_name, "
+    f"{exprs.np_round_sql(f'count_if({c} IS NULL) / count(*) * 100.0', 2)} AS null_percentage FROM dd"
+    for i, c in enumerate(dirty.UPLOAD_COLUMNS)))
+def c2_null_report(spark, sf_dir):
+    return _clean(spark, sf_dir).null_report
+
+
+def _infer_sql(i, c):
+    p = twins.parse_sql(c)
+    return (f"SELECT {i} AS ordinal, '{c}' AS column_name, CASE WHEN count({c}) = 0 THEN 'Text' "
+            f"WHEN count({p}) > count({c}) * {rules.PARSE_SHARE} THEN "
+            f"(CASE WHEN count_if({p} % 1 <> 0) = 0 THEN 'Integer' ELSE 'Float' END) "
+            f"WHEN count({_pdate(c)}) > count({c}) * {rules.PARSE_SHARE} THEN 'DateTime' "
+            f"WHEN count_if({c} IS NOT NULL AND lower(trim({c})) NOT IN ({_BOOL_TOKENS_SQL})) = 0 THEN 'Boolean' "
+            f"ELSE 'Text' END AS inferred_type FROM dd")
+
+
+@register("c3_inferred_types", f"WITH {_DIRTY_CTE} " + " UNION ALL ".join(
+    _infer_sql(i, c) for i, c in enumerate(dirty.UPLOAD_COLUMNS)))
+def c3_inferred_types(spark, sf_dir):
+    return _clean(spark, sf_dir).types
+
+
+@register("c4_c14_cleaned_dataset", _cleaned_sql())
+def c4_c14_cleaned_dataset(spark, sf_dir):
+    return _clean(spark, sf_dir).data
+
+
+def _outlier_sql() -> str:
+    num = _INTEGER_COLS + _FLOAT_COLS
+    parts = []
+    for c in num:
+        parts.append(f"""SELECT '{c}' AS column_name, q[1] AS q1, q[2] AS q3,
+  (SELECT count_if({c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) FROM cl) AS outliers
+  FROM (SELECT quantile_cont({c}, [0.25, 0.75]) AS q FROM cl)""")
+    return f"WITH cl AS ({_cleaned_sql()}) " + " UNION ALL ".join(parts)
+
+
+@register("c7_outliers", _outlier_sql())
+def c7_outliers(spark, sf_dir):
+    return _clean(spark, sf_dir).outliers
+
+
+@register("c15_cleaning_report", f"""WITH o AS ({_outlier_sql()}), {_DIRTY_CTE}
+SELECT (SELECT count(*) FROM raw) AS total_records, (SELECT count(*) FROM dd) AS processed_records,
+       (SELECT count(*) FROM raw) - (SELECT count(*) FROM dd) AS duplicates_removed,
+       (SELECT CAST(sum(outliers) AS BIGINT) FROM o) AS outliers_detected""")
+def c15_cleaning_report(spark, sf_dir):
+    return _clean(spark, sf_dir).report
