@@ -361,3 +361,207 @@ SELECT (SELECT count(*) FROM raw) AS total_records, (SELECT count(*) FROM dd) AS
        (SELECT CAST(sum(outliers) AS BIGINT) FROM o) AS outliers_detected""")
 def c15_cleaning_report(spark, sf_dir):
     return _clean(spark, sf_dir).report
+
+
+# ---------------------------------------------------------------- segmentation
+from .operators import forecast as fc  # noqa: E402
+from .operators import segment as seg_ops  # noqa: E402
+
+_RFM_SQL = """per AS (SELECT o_custkey AS customer_code, max(o_orderdate) AS last_date, count(*) AS frequency,
+                    sum(o_totalprice) AS monetary FROM orders GROUP BY o_custkey),
+rfm AS (SELECT customer_code, last_date, frequency, monetary,
+   CAST(floor((epoch_us((SELECT max(last_date) FROM per)) - epoch_us(last_date)) / 86400000000) AS BIGINT) AS recency
+   FROM per)"""
+_RULE_SQL = f"""rs AS (SELECT *, CASE WHEN frequency >= {rules.RULE_CHAMPION_FREQ} THEN 'Champions'
+   WHEN recency > {rules.RULE_AT_RISK_DAYS} THEN 'At-Risk' ELSE 'Loyal Customers' END AS segment FROM rfm)"""
+
+
+def _rfm(spark, sf_dir):
+    return seg_ops.rfm(Tables(spark, sf_dir).orders, "o_custkey", "o_totalprice", "o_orderdate")
+
+
+@register("m2_m3_rfm", f"""WITH {_RFM_SQL}
+SELECT customer_code, strftime(last_date, '%Y-%m-%d %H:%M:%S') AS last_date, frequency,
+       round(monetary, 2) AS monetary, recency FROM rfm""")
+def m2_m3_rfm(spark, sf_dir):
+    r = _rfm(spark, sf_dir)
+    return r.select("customer_code", F.date_format("last_date", "yyyy-MM-dd HH:mm:ss").alias("last_date"),
+                    "frequency", r2("monetary").alias("monetary"), "recency")
+
+
+@register("m7_rule_segments", f"""WITH {_RFM_SQL}, {_RULE_SQL}
+SELECT customer_code, recency, frequency, round(monetary, 2) AS monetary, segment FROM rs""")
+def m7_rule_segments(spark, sf_dir):
+    s = seg_ops.rule_segments(_rfm(spark, sf_dir))
+    return s.select("customer_code", "recency", "frequency", r2("monetary").alias("monetary"), "segment")
+
+
+@register("m9_rule_segment_summary", f"""WITH {_RFM_SQL}, {_RULE_SQL}
+SELECT segment AS segment_name, count(*) AS customer_count,
+       {exprs.np_round_sql('avg(monetary)', 2)} AS avg_monetary,
+       {exprs.np_round_sql('count(*) / sum(count(*)) OVER () * 100.0', 2)} AS percentage
+FROM rs GROUP BY segment""")
+def m9_rule_segment_summary(spark, sf_dir):
+    return seg_ops.segment_summary(seg_ops.rule_segments(_rfm(spark, sf_dir)))
+
+
+@register("a11_scatter_points", f"""WITH {_RFM_SQL}, {_RULE_SQL}
+SELECT customer_code, frequency AS x, round(monetary, 2) AS y, segment FROM rs""")
+def a11_scatter_points(spark, sf_dir):
+    s = seg_ops.scatter_points(seg_ops.rule_segments(_rfm(spark, sf_dir)))
+    return s.withColumn("y", r2("y"))
+
+
+@register("m4_m8_kmeans_segments")
+def m4_m8_kmeans_segments(spark, sf_dir):
+    s = seg_ops.segment_customers(Tables(spark, sf_dir).orders, "o_custkey", "o_totalprice", "o_orderdate")
+    return s.withColumn("monetary", r2("monetary"))
+
+
+@register("m9_kmeans_segment_summary")
+def m9_kmeans_segment_summary(spark, sf_dir):
+    return seg_ops.segment_summary(
+        seg_ops.segment_customers(Tables(spark, sf_dir).orders, "o_custkey", "o_totalprice", "o_orderdate"))
+
+
+def _resolve_sql(kind: str) -> str:
+    if kind == "m1":
+        return f"""WITH prof AS ({_flat_profile_sql()})
+SELECT coalesce(min_by(column_name, CASE WHEN semantic_type IN ('Customer_ID', 'Email') THEN ordinal END),
+                min_by(column_name, ordinal)) AS customer_col,
+       min_by(column_name, CASE WHEN semantic_type = 'Date' THEN ordinal END) AS date_col,
+       coalesce(min_by(column_name, CASE WHEN semantic_type IN ('Monetary', 'Quantity', 'Number') THEN ordinal END),
+                max_by(column_name, ordinal)) AS amount_col FROM prof"""
+    return f"""WITH prof AS ({_flat_profile_sql()})
+SELECT min_by(column_name, CASE WHEN semantic_type = 'Date' THEN ordinal END) AS date_col,
+       min_by(column_name, CASE WHEN semantic_type IN ('Monetary', 'Quantity', 'Number') THEN ordinal END) AS value_col
+FROM prof"""
+
+
+@register("m1_column_resolution", _resolve_sql("m1"))
+def m1_column_resolution(spark, sf_dir):
+    return seg_ops.resolve_columns(_flat_profile(spark, sf_dir))
+
+
+@register("f1_column_resolution", _resolve_sql("f1"))
+def f1_column_resolution(spark, sf_dir):
+    return fc.resolve_columns(_flat_profile(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- forecasting
+def _filled_sql(table: str, date_col: str, value_col: str, series_col: str | None) -> str:
+    sid = f"CAST({series_col} AS VARCHAR)" if series_col else "'all'"
+    return f"""daily AS (SELECT {sid} AS sid, CAST({date_col} AS DATE) AS d, CAST(sum({value_col}) AS DOUBLE) AS y
+  FROM {table} WHERE {date_col} IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT sid, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM daily GROUP BY sid),
+filled AS (SELECT cal.sid, cal.d, coalesce(daily.y, 0.0) AS y FROM cal LEFT JOIN daily USING (sid, d))"""
+
+
+def _holt_sql(table, date_col, value_col, series_col, horizon) -> str:
+    steps = fc.GRID_STEPS
+    return f"""WITH RECURSIVE {_filled_sql(table, date_col, value_col, series_col)},
+s AS (SELECT sid, d, y, row_number() OVER (PARTITION BY sid ORDER BY d) - 1 AS t FROM filled),
+ini AS (SELECT sid, max(CASE WHEN t = 0 THEN y END) AS y0,
+          coalesce(max(CASE WHEN t = 1 THEN y END), max(CASE WHEN t = 0 THEN y END)) AS y1,
+          count(*) AS n, max(d) AS last_date FROM s GROUP BY sid HAVING count(*) >= {rules.HOLT_MIN_DAYS}),
+g AS (SELECT ia / {float(steps)} AS alpha, ig / {float(steps)} AS beta FROM range(1, {steps}) r1(ia), range(1, {steps}) r2(ig)),
+rec AS (
+  SELECT ini.sid, g.alpha, g.beta, 0 AS t, ini.y0 AS l, ini.y1 - ini.y0 AS b, 0.0::DOUBLE AS sse,
+         0.0::DOUBLE AS sr, 0.0::DOUBLE AS ape, 0 AS apn FROM ini, g
+  UNION ALL
+  SELECT r.sid, r.alpha, r.beta, r.t + 1,
+    r.alpha * s.y + (1.0 - r.alpha) * (r.l + r.b),
+    r.beta * ((r.alpha * s.y + (1.0 - r.alpha) * (r.l + r.b)) - r.l) + (1.0 - r.beta) * r.b,
+    r.sse + (s.y - (r.l + r.b)) * (s.y - (r.l + r.b)),
+    r.sr + (s.y - (r.l + r.b)),
+    CASE WHEN r.t >= 1 AND s.y > 0 THEN r.ape + abs(s.y - (r.l + r.b)) / s.y ELSE r.ape END,
+    CASE WHEN r.t >= 1 AND s.y > 0 THEN r.apn + 1 ELSE r.apn END
+  FROM rec r JOIN s ON s.sid = r.sid AND s.t = r.t),
+fin AS (SELECT rec.*, ini.n, ini.last_date,
+          row_number() OVER (PARTITION BY rec.sid ORDER BY sse, alpha, beta) AS rk
+        FROM rec JOIN ini ON rec.sid = ini.sid AND rec.t = ini.n),
+best AS (SELECT sid, n, last_date, alpha, beta, l AS level, b AS trend,
+           sqrt(greatest(sse / n - (sr / n) * (sr / n), 0.0)) AS sigma,
+           CASE WHEN apn > 0 THEN ape / apn * 100.0 END AS mape_raw FROM fin WHERE rk = 1),
+fut AS (SELECT sid, last_date, h, greatest(0.0, level + h * trend) AS f, {rules.Z_95} * sigma * sqrt(h) AS w
+        FROM best, range(1, {horizon + 1}) hr(h))"""
+
+
+def _holt_rows_select() -> str:
+    return f"""SELECT sid, strftime(last_date + CAST(h AS INTEGER), '%Y-%m-%d') AS date,
+  {exprs.np_round_sql('f', 2)} AS forecast, {exprs.np_round_sql('greatest(0.0, f - w)', 2)} AS lower_bound,
+  {exprs.np_round_sql('f + w', 2)} AS upper_bound FROM fut"""
+
+
+def _orders_filled(spark, sf_dir):
+    return fc.fill_days(fc.daily_totals(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice"))
+
+
+@register("f2_f3_daily_filled", f"""WITH {_filled_sql('orders', 'o_orderdate', 'o_totalprice', None)}
+SELECT sid, strftime(d, '%Y-%m-%d') AS date, round(y, 2) AS y FROM filled""")
+def f2_f3_daily_filled(spark, sf_dir):
+    f = _orders_filled(spark, sf_dir)
+    return f.select("sid", F.date_format("d", "yyyy-MM-dd").alias("date"), r2("y").alias("y"))
+
+
+@register("f4_f6_holt_forecast", _holt_sql("orders", "o_orderdate", "o_totalprice", None, 90)
+          + " " + _holt_rows_select())
+def f4_f6_holt_forecast(spark, sf_dir):
+    return fc.holt_forecast(fc.holt_fit(_orders_filled(spark, sf_dir)), 90)
+
+
+@register("f7_holt_accuracy", _holt_sql("orders", "o_orderdate", "o_totalprice", None, 90) + f"""
+SELECT sid, alpha, beta, round(mape_raw, 6) AS mape_raw,
+  {exprs.np_round_sql(f'least(coalesce(mape_raw, {rules.MAPE_DEFAULT}), {rules.MAPE_CAP})', 2)} AS mape FROM best""")
+def f7_holt_accuracy(spark, sf_dir):
+    fit = fc.holt_fit(_orders_filled(spark, sf_dir))
+    return fit.select("sid", "alpha", "beta", r6("mape_raw").alias("mape_raw"),
+                      exprs.np_round(F.least(F.coalesce("mape_raw", F.lit(rules.MAPE_DEFAULT)),
+                                             F.lit(rules.MAPE_CAP)), 2).alias("mape"))
+
+
+@register("f_events_multi_series", _holt_sql("events", "ts", "value", "event_type", 30)
+          + " " + _holt_rows_select())
+def f_events_multi_series(spark, sf_dir):
+    filled = fc.fill_days(fc.daily_totals(Tables(spark, sf_dir).events, "ts", "value", "event_type"))
+    return fc.holt_forecast(fc.holt_fit(filled), 30)
+
+
+def _linear_sql(horizon: int) -> str:
+    return f"""WITH {_filled_sql('orders', 'o_orderdate', 'o_totalprice', None)},
+idx AS (SELECT sid, d, y, CAST(datediff('day', min(d) OVER (PARTITION BY sid), d) AS DOUBLE) AS t FROM filled),
+fit AS (SELECT sid, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, count(*) AS n,
+          max(d) AS last_date FROM idx GROUP BY sid),
+sig AS (SELECT i.sid, stddev_pop(i.y - (coalesce(f.intercept, i.y) + coalesce(f.slope, 0.0) * i.t)) AS sd
+        FROM idx i JOIN fit f USING (sid) GROUP BY i.sid),
+lf AS (SELECT fit.sid, n, last_date, coalesce(slope, 0.0) AS slope, coalesce(intercept, 0.0) AS intercept,
+         CASE WHEN n <= 1 THEN {rules.OLS_SIGMA_SINGLE} ELSE sd END AS sigma FROM fit JOIN sig USING (sid)),
+fut AS (SELECT sid, last_date, h, greatest(0.0, intercept + slope * CAST(n - 1 + h AS DOUBLE)) AS f,
+          {rules.Z_95} * sigma AS w FROM lf, range(1, {horizon + 1}) hr(h))
+{_holt_rows_select()}"""
+
+
+@register("f8_linear_forecast", _linear_sql(90))
+def f8_linear_forecast(spark, sf_dir):
+    return fc.linear_forecast(fc.linear_fit(_orders_filled(spark, sf_dir)), 90)
+
+
+@register("f9_history_and_forecast", _holt_sql("orders", "o_orderdate", "o_totalprice", None, 90) + f"""
+SELECT sid, strftime(d, '%Y-%m-%d') AS date, y AS historical, CAST(NULL AS DOUBLE) AS forecast,
+       CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM filled
+UNION ALL SELECT sid, date, NULL, forecast, lower_bound, upper_bound FROM ({_holt_rows_select()})""")
+def f9_history_and_forecast(spark, sf_dir):
+    rows, _ = fc.forecast(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice", 90)
+    return rows.withColumn("historical", F.col("historical"))
+
+
+@register("f10_forecast_digest", _holt_sql("orders", "o_orderdate", "o_totalprice", None, 90) + f""",
+rows AS (SELECT sid, y AS historical, CAST(NULL AS DOUBLE) AS forecast FROM filled
+         UNION ALL SELECT sid, NULL, forecast FROM ({_holt_rows_select()}))
+SELECT sid, count(historical) AS history_days, {exprs.np_round_sql('avg(historical)', 2)} AS history_mean,
+  count(forecast) AS forecast_days, {exprs.np_round_sql('sum(forecast)', 2)} AS forecast_sum,
+  {exprs.np_round_sql('avg(forecast)', 2)} AS forecast_mean, min(forecast) AS forecast_min,
+  max(forecast) AS forecast_max FROM rows GROUP BY sid""")
+def f10_forecast_digest(spark, sf_dir):
+    rows, _ = fc.forecast(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice", 90)
+    return fc.digest(rows)
