@@ -85,3 +85,16 @@ def as_text(c, dt: T.DataType | None = None) -> Column:
 
 def norm_token(c) -> Column:
     return F.lower(F.trim(col(c).cast("string")))
+
+
+def float_text(c) -> Column:
+    """Plain decimal text of a double, the way Python prints short floats
+    ('300000000.0', '1234.56'); Spark's own cast switches to E-notation
+    from 1e7 on.  Exact for values with at most 10 decimals."""
+    d = F.regexp_replace(col(c).cast("decimal(38,10)").cast("string"), "0+$", "")
+    return F.when(col(c).isNotNull(), F.when(d.endswith("."), F.concat(d, F.lit("0"))).otherwise(d))
+
+
+def float_text_sql(e: str) -> str:
+    # DuckDB prints the shortest round-trip form without E-notation here
+    return f"CAST({e} AS VARCHAR)"

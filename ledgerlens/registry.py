@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from .functions import exprs, rules
 from .operators import dashboard as dash
@@ -565,3 +566,173 @@ SELECT sid, count(historical) AS history_days, {exprs.np_round_sql('avg(historic
 def f10_forecast_digest(spark, sf_dir):
     rows, _ = fc.forecast(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice", 90)
     return fc.digest(rows)
+
+
+# ---------------------------------------------------------------- conversations
+from .operators import conversations as conv_ops  # noqa: E402
+from .operators import digest as digest_ops  # noqa: E402
+
+_NUM_SQL = ("list_sort(list_distinct(list_transform(regexp_extract_all(replace(text, ',', ''), "
+            "'\\b\\d+(?:\\.\\d+)?\\b'), lambda s: CAST(s AS DOUBLE))))")
+_GENERIC_SQL = ", ".join(f"{float(x)}" for x in rules.GENERIC_NUMBERS)
+_FALLBACK_SQL = twins.q(rules.FALLBACK_TEXT.lower())
+
+
+def _turns(spark, sf_dir):
+    return Tables(spark, sf_dir).conversations
+
+
+@register("t1_recent_history", f"""
+SELECT conv_id, turn, role, text, CAST(count(*) OVER (PARTITION BY conv_id) - rn + 1 AS INTEGER) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+WHERE rn <= {rules.HISTORY_TURNS}""")
+def t1_recent_history(spark, sf_dir):
+    return conv_ops.recent_history(_turns(spark, sf_dir))
+
+
+@register("t2_merged_turns", """
+WITH c AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL
+                            AND role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS chg
+           FROM conversations),
+b AS (SELECT *, sum(chg) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM c)
+SELECT conv_id, CAST(block AS BIGINT) AS block, min(turn) AS first_turn, max(turn) AS last_turn,
+       any_value(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS text
+FROM b GROUP BY conv_id, block""")
+def t2_merged_turns(spark, sf_dir):
+    return conv_ops.merge_turns(_turns(spark, sf_dir))
+
+
+@register("t3_session_activity", """
+SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id""")
+def t3_session_activity(spark, sf_dir):
+    return conv_ops.session_activity(_turns(spark, sf_dir))
+
+
+@register("t4_ordered_messages", "SELECT * FROM conversations ORDER BY conv_id, turn")
+def t4_ordered_messages(spark, sf_dir):
+    return conv_ops.ordered_messages(_turns(spark, sf_dir))
+
+
+@register("t5_numbers", f"""
+SELECT conv_id, turn, len({_NUM_SQL}) AS n_numbers,
+       array_to_string(list_transform({_NUM_SQL}, lambda v: {exprs.float_text_sql('v')}), ',') AS numbers
+FROM conversations""")
+def t5_numbers(spark, sf_dir):
+    nums = conv_ops.extract_numbers(F.col("text"))
+    return _turns(spark, sf_dir).select(
+        "conv_id", "turn", F.size(nums).alias("n_numbers"),
+        F.array_join(F.transform(nums, lambda v: exprs.float_text(v)), ",").alias("numbers"))
+
+
+@register("t6_grounding_check", f"""
+WITH nums AS (SELECT conv_id, turn, unnest({_NUM_SQL}) AS value FROM conversations WHERE role = 'assistant'),
+ctx AS (SELECT conv_id, value, min(turn) AS from_turn
+        FROM (SELECT conv_id, turn, unnest({_NUM_SQL}) AS value FROM conversations) GROUP BY conv_id, value),
+bad AS (SELECT DISTINCT n.conv_id, n.turn FROM nums n WHERE n.value NOT IN ({_GENERIC_SQL})
+        AND NOT EXISTS (SELECT 1 FROM ctx c WHERE c.conv_id = n.conv_id AND abs(n.value - c.value) < {rules.GROUNDING_TOLERANCE}
+                        AND c.from_turn < n.turn)),
+r AS (SELECT a.conv_id, a.turn, a.text, bad.turn IS NULL AND NOT contains(lower(a.text), {_FALLBACK_SQL}) AS grounded
+      FROM conversations a LEFT JOIN bad ON a.conv_id = bad.conv_id AND a.turn = bad.turn WHERE a.role = 'assistant')
+SELECT conv_id, turn, grounded, CASE WHEN grounded THEN text ELSE {twins.q(rules.FALLBACK_TEXT)} END AS text FROM r""")
+def t6_grounding_check(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return conv_ops.grounding_check(turns.where(F.col("role") == "assistant"),
+                                    conv_ops.conversation_context(turns))
+
+
+@register("t7_fallback_flags", f"""
+SELECT conv_id, turn, contains(lower(text), {_FALLBACK_SQL}) AS is_fallback FROM conversations""")
+def t7_fallback_flags(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", conv_ops.is_fallback(F.col("text")).alias("is_fallback"))
+
+
+def _intent_sql() -> str:
+    whens = []
+    for name, words in rules.INTENTS:
+        cond = " OR ".join(f"contains(lower(text), {twins.q(w)})" for w in words)
+        whens.append(f"WHEN {cond} THEN {twins.q(name)}")
+    return "CASE " + " ".join(whens) + f" ELSE {twins.q(rules.FALLBACK_INTENT)} END"
+
+
+@register("t8_intents", f"SELECT conv_id, turn, {_intent_sql()} AS intent FROM conversations WHERE role = 'user'")
+def t8_intents(spark, sf_dir):
+    t = _turns(spark, sf_dir).where(F.col("role") == "user")
+    return t.select("conv_id", "turn", conv_ops.intent(F.col("text")).alias("intent"))
+
+
+@register("t10_column_digest", f"""WITH prof AS ({_flat_profile_sql()})
+SELECT ordinal, '- Column ''' || column_name || ''': Type=' || data_type || ', Semantic=' || semantic_type ||
+  ' (' || concat_ws(', ', CASE WHEN mean_value IS NOT NULL THEN printf('Mean: %.2f', mean_value) END,
+     CASE WHEN median_value IS NOT NULL THEN printf('Median: %.2f', median_value) END,
+     'Distinct values: ' || CAST(distinct_count AS VARCHAR), printf('Nulls: %.1f%%', null_percentage)) || ')' AS line
+FROM prof""")
+def t10_column_digest(spark, sf_dir):
+    return digest_ops.column_digest(_flat_profile(spark, sf_dir))
+
+
+def _chart_points(spark, sf_dir):
+    line = a3_daily_series(spark, sf_dir).select(
+        F.lit(0).alias("chart_order"), F.lit("Line Chart").alias("chart_type"),
+        F.lit("Net Amount Over Time").alias("title"),
+        F.row_number().over(Window.orderBy("date")).alias("position"), F.col("date").alias("label"), "value")
+    pie = a4_category_share(spark, sf_dir).select(
+        F.lit(1).alias("chart_order"), F.lit("Pie Chart").alias("chart_type"),
+        F.lit("Net Amount Split by Category Name").alias("title"),
+        F.row_number().over(Window.orderBy(F.desc("value"), "name")).alias("position"),
+        F.col("name").alias("label"), "value")
+    bar = a5_country_ranking(spark, sf_dir).select(
+        F.lit(2).alias("chart_order"), F.lit("Bar Chart").alias("chart_type"),
+        F.lit("Top Rankings by Country").alias("title"),
+        F.row_number().over(Window.orderBy(F.desc("value"), "name")).alias("position"),
+        F.col("name").alias("label"), "value")
+    return line.unionByName(pie).unionByName(bar)
+
+
+def _chart_digest_sql() -> str:
+    a3, a4, a5 = (ORACLE["a3_daily_series"], ORACLE["a4_category_share"], ORACLE["a5_country_ranking"])
+    return f"""WITH pts AS (
+  SELECT 0 AS chart_order, 'Line Chart' AS chart_type, 'Net Amount Over Time' AS title,
+         row_number() OVER (ORDER BY date) AS position, date AS label, value FROM ({a3})
+  UNION ALL SELECT 1, 'Pie Chart', 'Net Amount Split by Category Name',
+         row_number() OVER (ORDER BY value DESC, name), name, value FROM ({a4})
+  UNION ALL SELECT 2, 'Bar Chart', 'Top Rankings by Country',
+         row_number() OVER (ORDER BY value DESC, name), name, value FROM ({a5}))
+SELECT chart_order, '- ' || chart_type || ' ''' || title || ''': Top values -> ' ||
+       string_agg(label || ': ' || {exprs.float_text_sql('value')}, ', ' ORDER BY position) AS line
+FROM pts WHERE position <= 5 GROUP BY chart_order, chart_type, title"""
+
+
+@register("t11_chart_digest", _chart_digest_sql())
+def t11_chart_digest(spark, sf_dir):
+    return digest_ops.chart_digest(_chart_points(spark, sf_dir))
+
+
+def _context_document(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    flat = sales_lines(t)
+    prof = prof_ops.profile(flat)
+    dom = prof_ops.classify_domain(prof)
+    records = flat.agg(F.count(F.lit(1)).alias("n"))
+    kpis = dash.evaluate_kpis(flat, prof_ops.suggest_kpis(prof))
+    skew_cols = [r["column_name"] for r in prof.where(F.col("data_type").isin("Integer", "Float")
+                                                      & F.col("mean_value").isNotNull())
+                 .orderBy("ordinal").select("column_name").collect()]  # one row per column
+    skew = dash.skewness_insights(flat, skew_cols).where(F.col("insight").isNotNull())
+    ins = prof_ops.ingest_insights(prof, dom, records).unionByName(
+        skew.select((F.lit(100) + F.monotonically_increasing_id()).cast("int").alias("insight_order"),
+                    F.col("insight").alias("text")))
+    rows, _ = fc.forecast(t.orders, "o_orderdate", "o_totalprice", 30)
+    fdig = fc.digest(rows)
+    segs = seg_ops.segment_summary(seg_ops.rule_segments(_rfm(spark, sf_dir)))
+    return digest_ops.context_document("sales_lines", dom, records, digest_ops.column_digest(prof), kpis,
+                                       digest_ops.chart_digest(_chart_points(spark, sf_dir)), ins, fdig, segs)
+
+
+@register("t12_context_document")
+def t12_context_document(spark, sf_dir):
+    return _context_document(spark, sf_dir)
+
+
+@register("t9_context_sections")
+def t9_context_sections(spark, sf_dir):
+    return conv_ops.sections(_context_document(spark, sf_dir).withColumn("doc_id", F.lit(0)))
