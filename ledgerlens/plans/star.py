@@ -39,6 +39,7 @@ def _line():
         "line_number": F.col("l_linenumber"),
         "quantity": F.col("l_quantity"),
         "net_amount": F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")),
+        "gross_amount": F.col("l_extendedprice"),
         "unit_price": F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")),
         "discount": F.col("l_discount"),
         "ship_date": F.col("l_shipdate"),
@@ -69,7 +70,7 @@ def _supplier():
 
 
 _GROUPS = {
-    "line": ["order_number", "line_number", "quantity", "net_amount", "unit_price", "discount",
+    "line": ["order_number", "line_number", "quantity", "net_amount", "gross_amount", "unit_price", "discount",
              "ship_date", "return_flag", "line_status"],
     "order": ["order_date", "customer_id"],
     "customer": ["customer_name", "market_segment"],
@@ -120,7 +121,7 @@ def sales_lines_sql(columns: list[str] | None = None) -> str:
     sql_expr = {
         "order_number": "l.l_orderkey", "line_number": "l.l_linenumber",
         "quantity": "l.l_quantity",
-        "net_amount": "l.l_extendedprice * (1.0 - l.l_discount)",
+        "net_amount": "l.l_extendedprice * (1.0 - l.l_discount)", "gross_amount": "l.l_extendedprice",
         "unit_price": "CASE WHEN l.l_quantity <> 0 THEN l.l_extendedprice / l.l_quantity END",
         "discount": "l.l_discount", "ship_date": "l.l_shipdate",
         "return_flag": "l.l_returnflag", "line_status": "l.l_linestatus",

@@ -736,3 +736,204 @@ def t12_context_document(spark, sf_dir):
 @register("t9_context_sections")
 def t9_context_sections(spark, sf_dir):
     return conv_ops.sections(_context_document(spark, sf_dir).withColumn("doc_id", F.lit(0)))
+
+
+# ---------------------------------------------------------------- data quality
+from .operators import quality as q_ops  # noqa: E402
+
+
+def _check_specs():
+    return [
+        ("lineitem", {"quantity > 0": F.col("l_quantity") > 0,
+                      "unit_price >= 0": F.col("l_extendedprice") >= 0,
+                      "net_amount >= 0": F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) >= 0,
+                      "discount between 0 and 1": F.col("l_discount").between(0, 1)}),
+        ("orders", {"total_amount >= 0": F.col("o_totalprice") >= 0}),
+        ("part", {"list_price >= 0": F.col("p_retailprice") >= 0}),
+    ]
+
+
+_CHECK_SQL = [
+    ("lineitem", [("quantity > 0", "l_quantity > 0"), ("unit_price >= 0", "l_extendedprice >= 0"),
+                  ("net_amount >= 0", "l_extendedprice * (1.0 - l_discount) >= 0"),
+                  ("discount between 0 and 1", "l_discount BETWEEN 0 AND 1")]),
+    ("orders", [("total_amount >= 0", "o_totalprice >= 0")]),
+    ("part", [("list_price >= 0", "p_retailprice >= 0")]),
+]
+
+
+@register("q1_check_rules", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{n}' AS rule, count(*) AS checked, count_if(NOT coalesce({c}, true)) AS violations FROM {t}"
+    for t, rs in _CHECK_SQL for n, c in rs))
+def q1_check_rules(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = None
+    for table, checks in _check_specs():
+        r = q_ops.check_rules(getattr(t, table), table, checks)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_UNIQUE = [("customer", ["c_custkey"]), ("customer", ["c_name"]), ("supplier", ["s_suppkey"]),
+           ("part", ["p_partkey"]), ("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
+
+
+@register("q2_uniqueness", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{','.join(k)}' AS key, count(*) AS duplicate_keys, "
+    f"CAST(coalesce(sum(c), 0) AS BIGINT) AS duplicate_rows "
+    f"FROM (SELECT count(*) AS c FROM {t} GROUP BY {', '.join(k)} HAVING count(*) > 1)" for t, k in _UNIQUE))
+def q2_uniqueness(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = None
+    for table, key in _UNIQUE:
+        r = q_ops.uniqueness_report(getattr(t, table), table, key)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_NOT_NULL = [("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]),
+             ("orders", ["o_orderkey", "o_custkey", "o_orderdate"]), ("customer", ["c_custkey", "c_name"])]
+
+
+@register("q3_not_null", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS checked, count_if({c} IS NULL) AS nulls FROM {t}"
+    for t, cs in _NOT_NULL for c in cs))
+def q3_not_null(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = None
+    for table, cols in _NOT_NULL:
+        r = q_ops.not_null_report(getattr(t, table), table, cols)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_FKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+        ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+        ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+        ("nation", "n_regionkey", "region", "r_regionkey")]
+
+
+@register("q4_orphans", " UNION ALL ".join(
+    f"SELECT '{ct}' AS child_table, '{fk}' AS fk, '{pt}' AS parent_table, '{pk}' AS pk, count(*) AS orphan_keys, "
+    f"CAST(coalesce(sum(c), 0) AS BIGINT) AS orphan_rows FROM (SELECT {fk} AS k, count(*) AS c FROM {ct} "
+    f"WHERE {fk} IS NOT NULL GROUP BY {fk}) x WHERE NOT EXISTS (SELECT 1 FROM {pt} WHERE {pt}.{pk} = x.k)"
+    for ct, fk, pt, pk in _FKS))
+def q4_orphans(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = None
+    for ct, fk, pt, pk in _FKS:
+        r = q_ops.orphan_report(getattr(t, ct), ct, fk, getattr(t, pt), pt, pk)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# ---------------------------------------------------------------- declared metrics
+from .operators import metrics as m_ops  # noqa: E402
+
+_D1_COLS = ["order_number", "customer_id", "net_amount", "gross_amount", "quantity"]
+
+
+@register("d1_sales_kpis", f"""
+SELECT round(sum(net_amount), 2) AS revenue, round(sum(gross_amount), 2) AS gross_sales,
+       round(sum(gross_amount) - sum(net_amount), 2) AS discounts, count(DISTINCT order_number) AS orders,
+       count(DISTINCT customer_id) AS customers, round(sum(quantity), 2) AS items,
+       round(sum(net_amount) / count(DISTINCT order_number), 2) AS aov
+FROM {sales_lines_sql(_D1_COLS)} f""")
+def d1_sales_kpis(spark, sf_dir):
+    flat = sales_lines(Tables(spark, sf_dir), _D1_COLS)
+    k = m_ops.sales_kpis(flat, "order_number", "customer_id", "net_amount", "gross_amount", "quantity")
+    return k.select(*[r2(c).alias(c) if c not in ("orders", "customers") else F.col(c) for c in k.columns])
+
+
+@register("d2_monthly_growth", f"""
+WITH m AS (SELECT date_trunc('month', order_date) AS mo, sum(net_amount) AS value
+           FROM {sales_lines_sql(["order_date", "net_amount"])} f GROUP BY 1)
+SELECT strftime(mo, '%Y-%m') AS month, round(value, 2) AS value,
+       round(CASE WHEN lag(value) OVER (ORDER BY mo) <> 0
+             THEN (value - lag(value) OVER (ORDER BY mo)) / lag(value) OVER (ORDER BY mo) * 100.0 END, 6) AS growth_pct
+FROM m""")
+def d2_monthly_growth(spark, sf_dir):
+    flat = sales_lines(Tables(spark, sf_dir), ["order_date", "net_amount"])
+    g = m_ops.monthly_growth(flat, "order_date", "net_amount")
+    return g.select("month", r2("value").alias("value"), r6("growth_pct").alias("growth_pct"))
+
+
+@register("d3_return_rate", """
+SELECT count(*) AS lines, count_if(l_returnflag = 'R') AS returned,
+       round(count_if(l_returnflag = 'R') * 100.0 / count(*), 6) AS return_rate_pct FROM lineitem""")
+def d3_return_rate(spark, sf_dir):
+    r = m_ops.return_rate(Tables(spark, sf_dir).lineitem, F.col("l_returnflag") == "R")
+    return r.withColumn("return_rate_pct", r6("return_rate_pct"))
+
+
+@register("d5_repeat_purchase_rate", """
+WITH per AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY o_custkey)
+SELECT count(*) AS customers, count_if(n > 1) AS repeat_customers,
+       round(count_if(n > 1) * 100.0 / count(*), 6) AS repeat_rate_pct FROM per""")
+def d5_repeat_purchase_rate(spark, sf_dir):
+    r = m_ops.repeat_purchase_rate(Tables(spark, sf_dir).orders, "o_custkey", "o_orderkey")
+    return r.withColumn("repeat_rate_pct", r6("repeat_rate_pct"))
+
+
+@register("d6_supplier_performance", f"""
+SELECT supplier_name AS name, round(sum(net_amount), 2) AS value
+FROM {sales_lines_sql(["supplier_name", "net_amount"])} f
+GROUP BY supplier_name ORDER BY sum(net_amount) DESC, name LIMIT 10""")
+def d6_supplier_performance(spark, sf_dir):
+    flat = sales_lines(Tables(spark, sf_dir), ["supplier_name", "net_amount"])
+    return dash.top_share(flat, "supplier_name", "net_amount", rules.BAR_TOP).withColumn("value", r2("value"))
+
+
+@register("d6_category_split", f"""
+SELECT category_name AS name, round(sum(net_amount), 2) AS value,
+       round(sum(net_amount) * 100.0 / sum(sum(net_amount)) OVER (), 6) AS share_pct
+FROM {sales_lines_sql(["category_name", "net_amount"])} f GROUP BY category_name""")
+def d6_category_split(spark, sf_dir):
+    flat = sales_lines(Tables(spark, sf_dir), ["category_name", "net_amount"])
+    g = flat.groupBy(F.col("category_name").alias("name")).agg(F.sum("net_amount").alias("v"))
+    tot = g.agg(F.sum("v").alias("t")).first()["t"]  # one scalar
+    return g.select("name", r2("v").alias("value"), r6(F.col("v") * 100.0 / F.lit(tot)).alias("share_pct"))
+
+
+_KEY_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+_KEY_COLUMNS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
+                "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
+                "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"],
+                "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}
+
+
+def _key_candidates():
+    """Column pairs with the same key name after the table prefix."""
+    out = []
+    for ct in _KEY_TABLES:
+        for cc in _KEY_COLUMNS[ct]:
+            for pt in _KEY_TABLES:
+                if pt == ct:
+                    continue
+                for pc in _KEY_COLUMNS[pt]:
+                    if cc.split("_", 1)[1] == pc.split("_", 1)[1]:
+                        out.append((ct, cc, pt, pc))
+    return out
+
+
+def _key_sql() -> str:
+    parts = []
+    for ct, cc, pt, pc in _key_candidates():
+        parts.append(f"""SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column,
+  (SELECT count(DISTINCT {cc}) FROM {ct}) AS child_values,
+  (SELECT count(*) FROM (SELECT DISTINCT {cc} AS v FROM {ct} WHERE {cc} IS NOT NULL) x
+     WHERE EXISTS (SELECT 1 FROM {pt} WHERE {pt}.{pc} = x.v)) AS matched_values,
+  (SELECT coalesce(max(c) <= 1, true) FROM (SELECT count(*) AS c FROM {pt} WHERE {pc} IS NOT NULL GROUP BY {pc})) AS parent_unique""")
+    return f"""SELECT child_table, child_column, parent_table, parent_column, child_values, matched_values,
+  round(CAST(matched_values AS DOUBLE) / child_values, 6) AS containment, parent_unique,
+  CASE WHEN parent_unique THEN 'many-to-one' ELSE 'many-to-many' END AS cardinality,
+  round(CAST(matched_values AS DOUBLE) / child_values * 100.0, 2) AS confidence
+FROM ({' UNION ALL '.join(parts)})"""
+
+
+@register("d7_key_relationships", _key_sql())
+def d7_key_relationships(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    cands = [(ct, getattr(t, ct), cc, pt, getattr(t, pt), pc) for ct, cc, pt, pc in _key_candidates()]
+    out = m_ops.key_relationships(cands)
+    return out.withColumn("containment", r6("containment"))
