@@ -937,3 +937,73 @@ def d7_key_relationships(spark, sf_dir):
     cands = [(ct, getattr(t, ct), cc, pt, getattr(t, pt), pc) for ct, cc, pt, pc in _key_candidates()]
     out = m_ops.key_relationships(cands)
     return out.withColumn("containment", r6("containment"))
+
+
+# ---------------------------------------------------------------- sources and reports
+import uuid as _uuid  # noqa: E402
+
+from .operators import reports as rep_ops  # noqa: E402
+from .session import shared_dir  # noqa: E402
+from .sources import upload as up_ops  # noqa: E402
+
+
+@register("s2_parquet_scan", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'""")
+def s2_parquet_scan(spark, sf_dir):
+    li = Tables(spark, sf_dir).lineitem
+    # the filter and the 4-column projection reach the Parquet scan
+    return li.where(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp")).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+
+
+def _customer_csv(spark, sf_dir) -> str:
+    """Render the customer table as a CSV upload in the shared folder."""
+    path = shared_dir(spark, f"uploads/customer-{_uuid.uuid4().hex}.csv")
+    Tables(spark, sf_dir).customer.write.option("header", True).csv(path)
+    return path
+
+
+@register("s1_csv_upload", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+       CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer""")
+def s1_csv_upload(spark, sf_dir):
+    return up_ops.read_upload_csv(spark, _customer_csv(spark, sf_dir))
+
+
+_CUST_CLEAN = ("(SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, "
+               f"{exprs.np_round_sql('c_acctbal', 4)} AS c_acctbal, c_mktsegment FROM customer) cc")
+
+
+@register("e1_csv_ingest_profile", _round_stats_sql(twins.profile_sql(
+    _CUST_CLEAN, [("c_custkey", "Float"), ("c_name", "Text"), ("c_nationkey", "Float"), ("c_acctbal", "Float"),
+                  ("c_mktsegment", "Text")])))
+def e1_csv_ingest_profile(spark, sf_dir):
+    """Upload end to end: CSV text -> clean -> profile."""
+    up = up_ops.check_upload(spark, "customer.csv", _customer_csv(spark, sf_dir))
+    return _round_stats(prof_ops.profile(clean_ops.clean(up).data))
+
+
+@register("s8_report_sample", f"""
+SELECT * FROM {sales_lines_sql(SEARCH_COLS)} f ORDER BY ALL LIMIT {rules.REPORT_SAMPLE_ROWS}""")
+def s8_report_sample(spark, sf_dir):
+    flat = sales_lines(Tables(spark, sf_dir), SEARCH_COLS)
+    return rep_ops.report_sample(flat, SEARCH_COLS)
+
+
+def _cut_sql(c: str) -> str:
+    k = rules.REPORT_CELL_CHARS
+    return (f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'N/A' WHEN length({c}) > {k} "
+            f"THEN substr({c}, 1, {k}) || '..' ELSE {c} END")
+
+
+def _na_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE CAST(round({c}, 6) AS VARCHAR) END"
+
+
+@register("s9_report_profile_section", f"""WITH prof AS ({_flat_profile_sql()})
+SELECT ordinal, column_name, data_type, semantic_type, null_percentage, distinct_count,
+  {_cut_sql('min_value')} AS min_value, {_cut_sql('max_value')} AS max_value,
+  {_na_sql('mean_value')} AS mean_value, {_na_sql('median_value')} AS median_value,
+  {_na_sql('std_dev_value')} AS std_dev_value FROM prof""")
+def s9_report_profile_section(spark, sf_dir):
+    return rep_ops.profile_section(_round_stats(_flat_profile(spark, sf_dir)))
