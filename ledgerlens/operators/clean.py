@@ -31,15 +31,25 @@ from ..functions import exprs, rules
 from ..session import shared_dir
 from .profile import one_row
 
-# Date text formats tried after the ISO forms Spark's cast understands.
-DATE_FORMATS = ["MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd", "dd-MMM-yyyy", "MMM d, yyyy",
-                "d MMM yyyy"]
+# Date text shapes and the format tried for each.  A format is only tried
+# when the text has its shape: a failed parse is an exception inside the
+# JVM, far more costly than the regex test.
+ISO_DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+DATE_FORMATS = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/MM/dd"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+]
 
 
 def parse_date(c) -> Column:
     """Mixed-format text -> timestamp; unparseable -> null."""
     s = F.trim(exprs.col(c).cast("string"))
-    tries = [s.try_cast("timestamp")] + [F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]
+    tries = [F.when(s.rlike(ISO_DATE_SHAPE), s.try_cast("timestamp"))]
+    tries += [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
     return F.coalesce(*tries)
 
 
@@ -72,33 +82,45 @@ def _q(name: str) -> Column:
 def dedupe(df: DataFrame, order_by=None) -> DataFrame:
     """Drop exact duplicate rows, keep the first.
 
-    Adds ``_ord`` (row position: the ``order_by`` key, else the scan
-    position) and ``_copies`` (rows folded into this one).
+    Adds ``_ord`` (row position: the ``order_by`` key -- expressions over
+    the row's own columns -- else the scan position) and ``_copies`` (rows
+    folded into this one).
     """
     cols = df.columns
+    keys = [_q(c) for c in cols]
     if order_by:
-        ordk = F.struct(*[exprs.col(c) for c in order_by])
-    else:
-        ordk = F.monotonically_increasing_id()
-    return (df.withColumn("_ord", ordk)
-              .groupBy(*[_q(c) for c in cols])
+        # the key is a function of the row's columns, so every copy has the
+        # same key: compute it after the grouping (fixed-width hash buffers)
+        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+                  .withColumn("_ord", F.struct(*[exprs.col(c) for c in order_by])))
+    return (df.withColumn("_ord", F.monotonically_increasing_id())
+              .groupBy(*keys)
               .agg(F.min("_ord").alias("_ord"), F.count(F.lit(1)).alias("_copies")))
 
 
 def infer_types(dd: DataFrame, cols: list[str]) -> dict:
     """Logical type of every column from one aggregate."""
     schema = {f.name: f.dataType for f in dd.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    # parse once per value in a projection, then aggregate plain columns
+    proj = []
     for i, c in enumerate(cols):
         x = _q(c)
-        aggs += [F.count(x).alias(f"nn{i}"), F.count_if(x.isNull()).alias(f"z{i}")]
+        proj.append(x.isNotNull().alias(f"v{i}"))
         if exprs.logical_type(schema[c]) is None:
             p = exprs.parse_number(x)
+            proj += [p.alias(f"p{i}"), parse_date(x).isNotNull().alias(f"d{i}"),
+                     exprs.norm_token(x).isin(*rules.BOOL_INFER_TOKENS).alias(f"b{i}")]
+    pre = dd.select(*proj)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        v = F.col(f"v{i}")
+        aggs += [F.count_if(v).alias(f"nn{i}"), F.count_if(~v).alias(f"z{i}")]
+        if exprs.logical_type(schema[c]) is None:
+            p = F.col(f"p{i}")
             aggs += [F.count(p).alias(f"p{i}"), F.count_if(p % 1 != 0).alias(f"fr{i}"),
-                     F.count(parse_date(x)).alias(f"dt{i}"),
-                     F.count_if(x.isNotNull() & ~exprs.norm_token(x).isin(*rules.BOOL_INFER_TOKENS))
-                      .alias(f"nb{i}")]
-    row = dd.agg(*aggs).first()  # one row: a handful of counts per column
+                     F.count_if(F.col(f"d{i}")).alias(f"dt{i}"),
+                     F.count_if(v & ~F.col(f"b{i}")).alias(f"nb{i}")]
+    row = pre.agg(*aggs).first()  # one row: a handful of counts per column
     kinds = {}
     for i, c in enumerate(cols):
         nn = row[f"nn{i}"]
@@ -160,22 +182,24 @@ def fill_dates(df: DataFrame, cols: list[str], order_col: str = "_ord",
         return df
     fallback = F.current_timestamp() if fallback is None else fallback
     ranged = df.repartitionByRange(F.col(order_col)).withColumn("_rng", F.spark_partition_id())
-    w_f = Window.partitionBy("_rng").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    w_b = Window.partitionBy("_rng").orderBy(order_col).rowsBetween(0, Window.unboundedFollowing)
+    # both directions use growing frames (O(n) per range): the backward
+    # fill is a forward fill over the reversed order
+    w_f = Window.partitionBy("_rng").orderBy(F.col(order_col).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_b = Window.partitionBy("_rng").orderBy(F.col(order_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     for c in cols:
         ranged = (ranged.withColumn(f"_lf_{c}", F.last(_q(c), ignorenulls=True).over(w_f))
-                        .withColumn(f"_lb_{c}", F.first(_q(c), ignorenulls=True).over(w_b)))
+                        .withColumn(f"_lb_{c}", F.last(_q(c), ignorenulls=True).over(w_b)))
     carry_aggs = []
     for c in cols:
         key = F.when(_q(c).isNotNull(), F.col(order_col))
         carry_aggs += [F.max_by(_q(c), key).alias(f"_end_{c}"), F.min_by(_q(c), key).alias(f"_beg_{c}")]
     per_range = ranged.groupBy("_rng").agg(*carry_aggs)
-    w_prev = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    w_next = Window.orderBy("_rng").rowsBetween(1, Window.unboundedFollowing)
+    w_prev = Window.orderBy(F.col("_rng").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    w_next = Window.orderBy(F.col("_rng").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for c in cols:
         carry_cols += [F.last(f"_end_{c}", ignorenulls=True).over(w_prev).alias(f"_cf_{c}"),
-                       F.first(f"_beg_{c}", ignorenulls=True).over(w_next).alias(f"_cb_{c}")]
+                       F.last(f"_beg_{c}", ignorenulls=True).over(w_next).alias(f"_cb_{c}")]
     # one row per range partition: a size bound that does not grow with rows
     carries = per_range.select("_rng", *carry_cols)
     out = ranged.join(F.broadcast(carries), "_rng", "left")
@@ -239,6 +263,9 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
             m = mo.get(c)
             proj.append(F.coalesce(clean_text(_q(c)), F.lit(rules.TEXT_FILL if m is None else m)).alias(c))
     typed = dd.select(*proj, "_ord")
+    # numeric columns do not depend on the date fill: the outlier passes
+    # read them straight from the (checkpointed) de-duplicated rows
+    typed_num = typed.select(*[_q(c) for c in numeric])
     typed = fill_dates(typed, dates, "_ord", now)
 
     # C14: derived net amount
@@ -253,7 +280,7 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
             p = (F.percentile_approx(_q(c), [0.25, 0.75], 10000) if approx
                  else F.percentile(_q(c), F.array(F.lit(0.25), F.lit(0.75))))
             qs.append(p.alias(f"q{i}"))
-        qr = data.agg(*qs).first()
+        qr = typed_num.agg(*qs).first()
         fences = {c: (float(qr[f"q{i}"][0]), float(qr[f"q{i}"][1])) for i, c in enumerate(numeric)}
         cnt = []
         for i, c in enumerate(numeric):
@@ -262,7 +289,7 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
             lo, hi = q1 - rules.IQR_FACTOR * iqr, q3 + rules.IQR_FACTOR * iqr
             cnt.append(F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"),
                                 F.count_if((_q(c) < lo) | (_q(c) > hi)).alias("outliers")))
-        outliers = data.agg(F.array(*cnt).alias("o")).select(F.inline("o"))
+        outliers = typed_num.agg(F.array(*cnt).alias("o")).select(F.inline("o"))
     else:
         outliers = spark.createDataFrame([], "column_name string, q1 double, q3 double, outliers long")
 

@@ -60,8 +60,10 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
                      F.stddev_samp(x).alias(f"_psd{i}"),
                      F.min(c.cast("string")).alias(f"_lo{i}"), F.max(c.cast("string")).alias(f"_hi{i}")]
         else:
-            t = exprs.as_text(c, f.dataType)
-            aggs += [F.min(t).alias(f"_lo{i}"), F.max(t).alias(f"_hi{i}")]
+            # min/max of the typed value, then its text: same order as the
+            # text form for timestamps and booleans, without a cast per row
+            aggs += [exprs.as_text(F.min(c), f.dataType).alias(f"_lo{i}"),
+                     exprs.as_text(F.max(c), f.dataType).alias(f"_hi{i}")]
     # Distinct counts run as their own aggregate: mixed with the others,
     # Spark's distinct rewrite (Expand) would copy every other aggregate's
     # input once per distinct column.

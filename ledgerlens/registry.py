@@ -247,7 +247,9 @@ _SQL_DATE_FORMATS = ["%m/%d/%Y", "%m/%d/%Y %H:%M:%S", "%Y/%m/%d", "%d-%b-%Y", "%
 
 def _pdate(c):
     s = f"trim(CAST({c} AS VARCHAR))"
-    tries = [f"TRY_CAST({s} AS TIMESTAMP)"] + [f"try_strptime({s}, '{f}')" for f in _SQL_DATE_FORMATS]
+    tries = [f"CASE WHEN regexp_matches({s}, {twins.q(clean_ops.ISO_DATE_SHAPE)}) THEN TRY_CAST({s} AS TIMESTAMP) END"]
+    tries += [f"CASE WHEN regexp_matches({s}, {twins.q(shape)}) THEN try_strptime({s}, '{f}') END"
+              for (shape, _), f in zip(clean_ops.DATE_FORMATS, _SQL_DATE_FORMATS)]
     return f"coalesce({', '.join(tries)})"
 
 
