@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from ..functions import exprs, rules
 from ..session import shared_dir
 from .profile import one_row
+from .quantiles import exact_quantiles
 
 # Date text shapes and the format tried for each.  A format is only tried
 # when the text has its shape: a failed parse is an exception inside the
@@ -227,16 +228,16 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
     texts = [c for c in cols if kinds[c] == "Text"]
     dates = [c for c in cols if kinds[c] == "DateTime"]
 
-    # Medians of the parsed numeric columns (one aggregate)
+    # Medians of the parsed numeric columns (exact, bounded memory)
     med = {}
     if numeric:
-        aggs = []
-        for i, c in enumerate(numeric):
-            v = _numeric_value(c, schema[c])
-            aggs.append((F.percentile_approx(v, 0.5, 10000).cast("double") if approx
-                         else F.median(v)).alias(f"m{i}"))
-        r = dd.agg(*aggs).first()
-        med = {c: r[f"m{i}"] for i, c in enumerate(numeric)}
+        if approx:
+            r = dd.agg(*[F.percentile_approx(_numeric_value(c, schema[c]), 0.5, 10000).cast("double")
+                         .alias(f"m{i}") for i, c in enumerate(numeric)]).first()
+            med = {c: r[f"m{i}"] for i, c in enumerate(numeric)}
+        else:
+            qs = exact_quantiles(dd, {c: _numeric_value(c, schema[c]) for c in numeric}, [0.5])
+            med = {c: v[0] for c, v in qs.items()}
     # modes
     mode_in = {c: to_bool(_q(c)) for c in booleans}
     mode_in.update({c: clean_text(_q(c)) for c in texts})
@@ -275,13 +276,13 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
 
     # IQR fences on the imputed columns, then one counting pass
     if numeric:
-        qs = []
-        for i, c in enumerate(numeric):
-            p = (F.percentile_approx(_q(c), [0.25, 0.75], 10000) if approx
-                 else F.percentile(_q(c), F.array(F.lit(0.25), F.lit(0.75))))
-            qs.append(p.alias(f"q{i}"))
-        qr = typed_num.agg(*qs).first()
-        fences = {c: (float(qr[f"q{i}"][0]), float(qr[f"q{i}"][1])) for i, c in enumerate(numeric)}
+        if approx:
+            qr = typed_num.agg(*[F.percentile_approx(_q(c), [0.25, 0.75], 10000).alias(f"q{i}")
+                                 for i, c in enumerate(numeric)]).first()
+            fences = {c: (float(qr[f"q{i}"][0]), float(qr[f"q{i}"][1])) for i, c in enumerate(numeric)}
+        else:
+            qs = exact_quantiles(typed_num, {c: _q(c) for c in numeric}, [0.25, 0.75])
+            fences = {c: (qs[c][0], qs[c][1]) for c in numeric}
         cnt = []
         for i, c in enumerate(numeric):
             q1, q3 = fences[c]

@@ -30,14 +30,30 @@ def _median(c: Column, approx: bool) -> Column:
     return F.percentile_approx(c, 0.5, 10000).cast("double") if approx else F.median(c)
 
 
+def _exact_medians(df: DataFrame) -> dict[int, float | None]:
+    """Exact medians of the numeric and numeric-text columns (by position)."""
+    from .quantiles import exact_quantiles
+    cols = {}
+    for i, f in enumerate(df.schema.fields):
+        kind = exprs.logical_type(f.dataType)
+        c = F.col(f"`{f.name}`")
+        if kind in ("Integer", "Float"):
+            cols[i] = c
+        elif kind is None:
+            cols[i] = exprs.parse_number(c)
+    got = exact_quantiles(df, {str(i): e for i, e in cols.items()}, [0.5])
+    return {int(k): v[0] for k, v in got.items()}
+
+
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One profile row per column, in column order.
 
-    ``approx=True`` swaps the exact distinct count and median (whose final
-    merge holds every distinct value) for HyperLogLog++ and a t-digest
-    style sketch with bounded memory -- for very wide or very large tables.
+    Medians come from the exact bounded-memory selection (a few passes of
+    the numeric columns); ``approx=True`` swaps the exact distinct count
+    and median for HyperLogLog++ and ``percentile_approx`` (one pass).
     """
     fields = df.schema.fields
+    meds = {} if approx else _exact_medians(df)
     n = F.count(F.lit(1))
     aggs = [n.alias("_n")]
     dists = []
@@ -49,14 +65,17 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         if kind in ("Integer", "Float"):
             x = c
             aggs += [F.min(x).cast("string").alias(f"_lo{i}"), F.max(x).cast("string").alias(f"_hi{i}"),
-                     F.avg(x).alias(f"_mu{i}"), _median(x.cast("double"), approx).alias(f"_me{i}"),
+                     F.avg(x).alias(f"_mu{i}"),
+                     (_median(x.cast("double"), approx) if approx else F.lit(meds.get(i)).cast("double"))
+                     .alias(f"_me{i}"),
                      F.stddev_samp(x).alias(f"_sd{i}")]
         elif kind is None:
             # text: maybe numeric text ($ and , stripped); keep both readings
             x = exprs.parse_number(c)
             aggs += [F.count(x).alias(f"_p{i}"),
                      F.min(x).cast("string").alias(f"_plo{i}"), F.max(x).cast("string").alias(f"_phi{i}"),
-                     F.avg(x).alias(f"_pmu{i}"), _median(x, approx).alias(f"_pme{i}"),
+                     F.avg(x).alias(f"_pmu{i}"),
+                     (_median(x, approx) if approx else F.lit(meds.get(i)).cast("double")).alias(f"_pme{i}"),
                      F.stddev_samp(x).alias(f"_psd{i}"),
                      F.min(c.cast("string")).alias(f"_lo{i}"), F.max(c.cast("string")).alias(f"_hi{i}")]
         else:

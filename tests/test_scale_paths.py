@@ -87,3 +87,18 @@ def test_modes_ties_and_hot_value(spark):
     rows = [("b",)] * 5000 + [("a",)] * 5000 + [("c",)] * 10
     df = spark.createDataFrame(rows, "x string").repartition(9)
     assert C.modes(df, {"x": F.col("x")}) == {"x": "a"}
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from ledgerlens.operators.quantiles import exact_quantiles
+    rnd = np.random.default_rng(5)
+    a = np.concatenate([rnd.normal(size=3000), np.full(2500, 1.25), rnd.integers(0, 20, 700).astype(float)])
+    b = rnd.exponential(size=a.size)
+    b[::7] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b})).repartition(7)
+    df = df.withColumn("b", F.when(~F.isnan("b"), F.col("b")))
+    probs = [0.25, 0.5, 0.75]
+    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, probs, limit=40, accuracy=100)
+    assert got["a"] == list(np.quantile(a, probs))
+    assert got["b"] == list(np.quantile(b[~np.isnan(b)], probs))
