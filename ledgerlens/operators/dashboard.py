@@ -172,13 +172,13 @@ def dashboard_document(kpis: DataFrame, series: DataFrame, pie: DataFrame,
     k = kpis.select(F.lit("kpi").alias("section"), F.col("kpi_order").cast("int").alias("position"),
                     F.col("kpi_name").alias("label"), F.col("value"))
     s = series.select(F.lit("line").alias("section"), w([F.col("date")]).alias("position"),
-                      F.col("date").alias("label"), F.col("value").cast("string").alias("value"))
+                      F.col("date").alias("label"), exprs.float_text(F.col("value")).alias("value"))
     p = pie.select(F.lit("pie").alias("section"),
                    w([F.col("value").desc(), F.col("name")]).alias("position"),
-                   F.col("name").alias("label"), F.col("value").cast("string").alias("value"))
+                   F.col("name").alias("label"), exprs.float_text(F.col("value")).alias("value"))
     b = bar.select(F.lit("bar").alias("section"),
                    w([F.col("value").desc(), F.col("name")]).alias("position"),
-                   F.col("name").alias("label"), F.col("value").cast("string").alias("value"))
+                   F.col("name").alias("label"), exprs.float_text(F.col("value")).alias("value"))
     i = insights.where(F.col("insight").isNotNull()).select(
         F.lit("insight").alias("section"), w([F.col("column_name")]).alias("position"),
         F.col("column_name").alias("label"), F.col("insight").alias("value"))

@@ -6,17 +6,17 @@ distinct values.  Exact selection instead narrows a value window around
 each wanted rank:
 
 1. one aggregate: count, min, max of every column;
-2. per round, one aggregate: ``percentile_approx`` restricted to the
-   current window (rank error <= size / accuracy), giving a narrower
-   window that still brackets the rank, and one aggregate counting the
-   values below / inside the new windows;
+2. per round, one exact histogram of every open window: ``buckets``
+   equal-width buckets counted by a partial hash aggregate (at most
+   ``buckets`` rows per window reach the driver).  The bucket holding the
+   rank becomes the next window, with the exact count of values below it;
+   a window with one distinct value left (a hot value) is answered at once;
 3. once a window holds at most ``limit`` values, its (value, count) pairs
-   are grouped on the executors and the few that remain are read to finish
-   the rank (bounded by ``limit`` per target).
+   are grouped on the executors and the few that remain finish the rank.
 
-Each round shrinks a window by about accuracy / 6, so a trillion values
-need two rounds.  Interpolation is linear between the two neighbouring
-ranks, computed as numpy does.
+Every round divides the value range by ``buckets``, so a double column needs
+a handful of rounds at most.  Interpolation is linear between the two
+neighbouring ranks, computed as numpy does.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-ACCURACY = 10000
-LIMIT = 200_000
+BUCKETS = 4096
+LIMIT = 100_000
+MAX_ROUNDS = 12
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -36,7 +37,7 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
-                    limit: int = LIMIT, accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+                    limit: int = LIMIT, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each column expression."""
     names = list(columns)
     if not names:
@@ -46,13 +47,13 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
     base = df.select(*[e.cast("double").alias(f"_x{i}") for i, e in enumerate(columns.values())])
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _select(base, names, probs, limit, accuracy)
+        return _select(base, names, probs, limit, buckets)
     finally:
         base.unpersist()
 
 
 def _select(base: DataFrame, names: list[str], probs: list[float], limit: int,
-            accuracy: int) -> dict[str, list[float | None]]:
+            buckets: int) -> dict[str, list[float | None]]:
     r0 = base.agg(*[a for i in range(len(names)) for a in (
         F.count(f"_x{i}").alias(f"n{i}"), F.min(f"_x{i}").alias(f"lo{i}"),
         F.max(f"_x{i}").alias(f"hi{i}"))]).first()
@@ -71,53 +72,44 @@ def _select(base: DataFrame, names: list[str], probs: list[float], limit: int,
             for r in (lo_r, hi_r):
                 targets.setdefault((i, r), {"lo": r0[f"lo{i}"], "hi": r0[f"hi{i}"], "below": 0, "size": n})
 
-    for _ in range(8):
-        big = [k for k, t in targets.items() if t["size"] > limit]
+    for _ in range(MAX_ROUNDS):
+        big = [k for k, t in targets.items() if t["size"] > limit and t["lo"] < t["hi"]]
         if not big:
             break
-        # (a) approximate bounds of each rank inside its current window
-        aggs = []
-        for j, (i, r) in enumerate(big):
-            t = targets[(i, r)]
+        # one exact histogram per distinct window: (window, bucket) -> count, min, max
+        wins = sorted({(k[0], targets[k]["lo"], targets[k]["hi"]) for k in big})
+        items = []
+        for w, (i, lo, hi) in enumerate(wins):
             x = F.col(f"_x{i}")
-            inwin = F.when((x >= F.lit(t["lo"])) & (x <= F.lit(t["hi"])), x)
-            rr, m = r - t["below"], 3.0 * t["size"] / accuracy + 2
-            qlo = min(max((rr - m) / t["size"], 0.0), 1.0)
-            qhi = min(max((rr + 1 + m) / t["size"], 0.0), 1.0)
-            aggs.append(F.percentile_approx(inwin, [qlo, qhi], accuracy).alias(f"q{j}"))
-        qr = base.agg(*aggs).first()
-        cand = {}
-        for j, k in enumerate(big):
+            b = F.least(F.floor((x - F.lit(lo)) * F.lit(float(buckets)) / F.lit(hi - lo)),
+                        F.lit(buckets - 1)).cast("int")
+            items.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
+                                F.struct(F.lit(w).alias("w"), b.alias("b"), x.alias("x"))))
+        hist = (base.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
+                    .groupBy("e.w", "e.b")
+                    .agg(F.count(F.lit(1)).alias("c"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx")))
+        per_win = {}
+        for row in hist.collect():  # at most `buckets` rows per window
+            per_win.setdefault(row["w"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
+        for k in big:
             t = targets[k]
-            rr, m = k[1] - t["below"], 3.0 * t["size"] / accuracy + 2
-            lo = t["lo"] if rr - m <= 0 else qr[f"q{j}"][0]
-            hi = t["hi"] if rr + 1 + m >= t["size"] else qr[f"q{j}"][1]
-            cand[k] = (lo, hi)
-        # (b) exact counts below / inside the narrower windows
-        cnt = []
-        for j, k in enumerate(big):
-            x = F.col(f"_x{k[0]}")
-            lo, hi = cand[k]
-            cnt += [F.count_if(x < F.lit(lo)).alias(f"b{j}"),
-                    F.count_if((x >= F.lit(lo)) & (x <= F.lit(hi))).alias(f"s{j}")]
-        cr = base.agg(*cnt).first()
-        progressed = False
-        for j, k in enumerate(big):
-            b, s = cr[f"b{j}"], cr[f"s{j}"]
-            t = targets[k]
-            if b <= k[1] < b + s and s < t["size"]:  # still brackets the rank
-                t.update(lo=cand[k][0], hi=cand[k][1], below=b, size=s)
-                progressed = True
-        if not progressed:
-            break
+            w = wins.index((k[0], t["lo"], t["hi"]))
+            want = k[1] - t["below"]
+            acc = 0
+            for b, c, mn, mx in sorted(per_win.get(w, [])):
+                if acc + c > want:  # the bucket holding the rank
+                    t.update(lo=mn, hi=mx, below=t["below"] + acc, size=c)
+                    break
+                acc += c
 
     # finish: grouped (value, count) pairs inside each window
     keys = list(targets)
+    values = {k: t["lo"] for k, t in targets.items() if t["lo"] == t["hi"]}  # one distinct value left
+    keys = [k for k in keys if k not in values]
     sel = F.array(*[F.when((F.col(f"_x{i}") >= F.lit(targets[(i, r)]["lo"]))
                            & (F.col(f"_x{i}") <= F.lit(targets[(i, r)]["hi"])),
                            F.struct(F.lit(j).alias("t"), F.col(f"_x{i}").alias("v")))
                     for j, (i, r) in enumerate(keys)]) if keys else None
-    values = {}
     if keys:
         pairs = (base.select(F.explode(F.filter(sel, lambda s: s.isNotNull())).alias("p"))
                      .groupBy("p.t", "p.v").agg(F.count(F.lit(1)).alias("c")))

@@ -1009,3 +1009,25 @@ SELECT ordinal, column_name, data_type, semantic_type, null_percentage, distinct
   {_na_sql('std_dev_value')} AS std_dev_value FROM prof""")
 def s9_report_profile_section(spark, sf_dir):
     return rep_ops.profile_section(_round_stats(_flat_profile(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- dashboard assembly
+def _a7_sql() -> str:
+    o = ORACLE
+    return f"""
+SELECT 'kpi' AS section, CAST(kpi_order AS INTEGER) AS position, kpi_name AS label, value FROM ({o['a1_kpi_values']})
+UNION ALL SELECT 'line', CAST(row_number() OVER (ORDER BY date) AS INTEGER), date, {exprs.float_text_sql('value')}
+  FROM ({o['a3_daily_series']})
+UNION ALL SELECT 'pie', CAST(row_number() OVER (ORDER BY value DESC, name) AS INTEGER), name,
+  {exprs.float_text_sql('value')} FROM ({o['a4_category_share']})
+UNION ALL SELECT 'bar', CAST(row_number() OVER (ORDER BY value DESC, name) AS INTEGER), name,
+  {exprs.float_text_sql('value')} FROM ({o['a5_country_ranking']})
+UNION ALL SELECT 'insight', CAST(row_number() OVER (ORDER BY column_name) AS INTEGER), column_name, insight
+  FROM ({o['a6_skewness_insights']}) WHERE insight IS NOT NULL"""
+
+
+@register("a7_dashboard_document", _a7_sql())
+def a7_dashboard_document(spark, sf_dir):
+    return dash.dashboard_document(a1_kpi_values(spark, sf_dir), a3_daily_series(spark, sf_dir),
+                                   a4_category_share(spark, sf_dir), a5_country_ranking(spark, sf_dir),
+                                   a6_skewness_insights(spark, sf_dir))

@@ -161,3 +161,12 @@ def test_numbers(spark):
     df = spark.createDataFrame([("a 1,234.5 b 7 c 7 d x9 10.25",)], "text string")
     assert df.select(T.extract_numbers(F.col("text"))).first()[0] == [7.0, 10.25, 1234.5]
     assert not math.isnan(1.0)
+
+
+def test_kpi_formatting_and_errors(spark):
+    from ledgerlens.operators import dashboard as D
+    df = spark.createDataFrame([(1234.5, 3, 0.25), (1000.0, 4, 0.75)], "sales double, units int, rate double")
+    got = {r["kpi_name"]: r["value"] for r in D.evaluate_kpis(
+        df, [("s", "SUM(sales)"), ("n", "COUNT(units)"), ("r", "AVG(rate)"), ("bad", "SUM(no_such_col)"),
+             ("u", "SUM(units)")]).collect()}
+    assert got == {"s": "$2,234.50", "n": "2", "r": "0.50", "bad": "Error", "u": "7"}
