@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from .functions import exprs, rules
 from .operators import dashboard as dash
+from .plans import rollup
 from .plans.star import sales_lines, sales_lines_sql
 from .sources.tables import Tables
 
@@ -65,8 +66,9 @@ FROM {sales_lines_sql(["order_date", "net_amount"])} f
 GROUP BY CAST(order_date AS DATE) ORDER BY CAST(order_date AS DATE) LIMIT 100
 """)
 def a3_daily_series(spark, sf_dir):
-    flat = sales_lines(Tables(spark, sf_dir), ["order_date", "net_amount"])
-    return dash.daily_series(flat, "order_date", "net_amount").withColumn("value", r2("value"))
+    # SUM is pushed below the joins: lines -> per-order sums -> orders
+    sums = rollup.sum_by(Tables(spark, sf_dir), "order_date", "net_amount")
+    return dash.daily_series(sums, "order_date", "value").withColumn("value", r2("value"))
 
 
 @register("a4_category_share", f"""
@@ -75,8 +77,8 @@ FROM {sales_lines_sql(["category_name", "net_amount"])} f
 GROUP BY category_name ORDER BY sum(net_amount) DESC, name LIMIT 8
 """)
 def a4_category_share(spark, sf_dir):
-    flat = sales_lines(Tables(spark, sf_dir), ["category_name", "net_amount"])
-    return dash.top_share(flat, "category_name", "net_amount", rules.PIE_TOP).withColumn("value", r2("value"))
+    sums = rollup.sum_by(Tables(spark, sf_dir), "category_name", "net_amount")
+    return dash.top_share(sums, "category_name", "value", rules.PIE_TOP).withColumn("value", r2("value"))
 
 
 @register("a5_country_ranking", f"""
@@ -85,8 +87,8 @@ FROM {sales_lines_sql(["country", "net_amount"])} f
 GROUP BY country ORDER BY sum(net_amount) DESC, name LIMIT 10
 """)
 def a5_country_ranking(spark, sf_dir):
-    flat = sales_lines(Tables(spark, sf_dir), ["country", "net_amount"])
-    return dash.top_share(flat, "country", "net_amount", rules.BAR_TOP).withColumn("value", r2("value"))
+    sums = rollup.sum_by(Tables(spark, sf_dir), "country", "net_amount")
+    return dash.top_share(sums, "country", "value", rules.BAR_TOP).withColumn("value", r2("value"))
 
 
 SKEW_COLS = ["order_number", "line_number", "quantity", "net_amount", "unit_price", "discount"]
@@ -882,8 +884,8 @@ SELECT supplier_name AS name, round(sum(net_amount), 2) AS value
 FROM {sales_lines_sql(["supplier_name", "net_amount"])} f
 GROUP BY supplier_name ORDER BY sum(net_amount) DESC, name LIMIT 10""")
 def d6_supplier_performance(spark, sf_dir):
-    flat = sales_lines(Tables(spark, sf_dir), ["supplier_name", "net_amount"])
-    return dash.top_share(flat, "supplier_name", "net_amount", rules.BAR_TOP).withColumn("value", r2("value"))
+    sums = rollup.sum_by(Tables(spark, sf_dir), "supplier_name", "net_amount")
+    return dash.top_share(sums, "supplier_name", "value", rules.BAR_TOP).withColumn("value", r2("value"))
 
 
 @register("d6_category_split", f"""
@@ -891,8 +893,8 @@ SELECT category_name AS name, round(sum(net_amount), 2) AS value,
        round(sum(net_amount) * 100.0 / sum(sum(net_amount)) OVER (), 6) AS share_pct
 FROM {sales_lines_sql(["category_name", "net_amount"])} f GROUP BY category_name""")
 def d6_category_split(spark, sf_dir):
-    flat = sales_lines(Tables(spark, sf_dir), ["category_name", "net_amount"])
-    g = flat.groupBy(F.col("category_name").alias("name")).agg(F.sum("net_amount").alias("v"))
+    sums = rollup.sum_by(Tables(spark, sf_dir), "category_name", "net_amount")
+    g = sums.groupBy(F.col("category_name").alias("name")).agg(F.sum("value").alias("v"))
     tot = g.agg(F.sum("v").alias("t")).first()["t"]  # one scalar
     return g.select("name", r2("v").alias("value"), r6(F.col("v") * 100.0 / F.lit(tot)).alias("share_pct"))
 
