@@ -22,13 +22,20 @@ def col(c) -> Column:
 
 
 def strip_currency(c) -> Column:
-    return F.regexp_replace(col(c).cast("string"), rules.CURRENCY_CHARS, "")
+    # a character-level translate: no regex, no decode of the UTF-8 bytes
+    return F.translate(col(c).cast("string"), rules.CURRENCY_CHARS, "")
+
+
+# Characters a number text can start with (NUMBER_TEXT's first token).
+# Checked on the first character before the regex, which decodes the
+# value: text columns (names, labels) fail here without a regex run.
+NUMBER_FIRST = list("0123456789+-. \t\n\r\f\x0b")
 
 
 def parse_number(c) -> Column:
     """Text with '$' and ',' removed, parsed as double; bad values -> null."""
     s = strip_currency(c)
-    return F.when(s.rlike(NUMBER_TEXT), s.try_cast("double"))
+    return F.when(F.substring(s, 1, 1).isin(*NUMBER_FIRST) & s.rlike(NUMBER_TEXT), s.try_cast("double"))
 
 
 def logical_type(dt: T.DataType) -> str | None:

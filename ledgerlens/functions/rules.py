@@ -52,7 +52,7 @@ CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 # date (strictly greater than).
 PARSE_SHARE = 0.8
 # Characters stripped from numeric text before parsing.
-CURRENCY_CHARS = r"[$,]"
+CURRENCY_CHARS = "$,"
 TEXT_FILL = "Unknown"
 
 # IQR outlier fences.

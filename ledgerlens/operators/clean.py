@@ -5,8 +5,9 @@ dataset plus a cleaning report.  The plan, per pass:
 
 1. de-duplicate: one ``groupBy`` over every column, keeping the earliest
    row position (map-side partial aggregation collapses a hot duplicate);
-   the result is checkpointed to the shared folder so the passes below
-   read it once each and an executor loss does not replay the shuffle.
+   each text value is parsed once (number, date) next to its text and the
+   result is written to the shared folder, so the passes below scan parsed
+   columns and an executor loss does not replay the shuffle.
 2. inference: one aggregate of per-column conditional counts (one row).
 3. fill values: medians in one aggregate; modes from a stacked
    ``groupBy(column, value).count()`` reduced with ``min_by`` -- bounded
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs, rules
-from ..session import shared_dir
+from ..session import stage
 from .profile import one_row
 from .quantiles import exact_quantiles
 
@@ -46,12 +47,21 @@ DATE_FORMATS = [
 ]
 
 
+# Separator each shape needs (all shapes are at least 8 characters long).
+# Testing these on the UTF-8 bytes is far cheaper than a regex, which
+# decodes the value first, so each shape's regex only runs on candidates.
+ISO_NEEDS = "-"
+FORMAT_NEEDS = ["/", "/", "/", "-", ",", " "]
+DATE_MIN_CHARS = 8
+
+
 def parse_date(c) -> Column:
     """Mixed-format text -> timestamp; unparseable -> null."""
     s = F.trim(exprs.col(c).cast("string"))
-    tries = [F.when(s.rlike(ISO_DATE_SHAPE), s.try_cast("timestamp"))]
-    tries += [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
-    return F.coalesce(*tries)
+    tries = [F.when(s.contains(ISO_NEEDS) & s.rlike(ISO_DATE_SHAPE), s.try_cast("timestamp"))]
+    tries += [F.when(s.contains(need) & s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
+              for (shape, fmt), need in zip(DATE_FORMATS, FORMAT_NEEDS)]
+    return F.when(F.length(s) >= DATE_MIN_CHARS, F.coalesce(*tries))
 
 
 def to_bool(c) -> Column:
@@ -99,29 +109,36 @@ def dedupe(df: DataFrame, order_by=None) -> DataFrame:
               .agg(F.min("_ord").alias("_ord"), F.count(F.lit(1)).alias("_copies")))
 
 
-def infer_types(dd: DataFrame, cols: list[str]) -> dict:
-    """Logical type of every column from one aggregate."""
+def parse_candidates(dd: DataFrame, cols: list[str]) -> DataFrame:
+    """Every reading a text column may need, parsed once per value.
+
+    Adds ``_p{i}`` (number) and ``_d{i}`` (timestamp) next to each text
+    column; native columns stay as they are.  The caller stages this once,
+    so inference, medians, the typed projection and the outlier pass all
+    read parsed columns instead of running the regexes again.
+    """
     schema = {f.name: f.dataType for f in dd.schema.fields}
-    # parse once per value in a projection, then aggregate plain columns
-    proj = []
+    extra = []
     for i, c in enumerate(cols):
-        x = _q(c)
-        proj.append(x.isNotNull().alias(f"v{i}"))
         if exprs.logical_type(schema[c]) is None:
-            p = exprs.parse_number(x)
-            proj += [p.alias(f"p{i}"), parse_date(x).isNotNull().alias(f"d{i}"),
-                     exprs.norm_token(x).isin(*rules.BOOL_INFER_TOKENS).alias(f"b{i}")]
-    pre = dd.select(*proj)
+            extra += [exprs.parse_number(_q(c)).alias(f"_p{i}"), parse_date(_q(c)).alias(f"_d{i}")]
+    return dd.select("*", *extra)
+
+
+def infer_types(cand: DataFrame, cols: list[str]) -> dict:
+    """Logical type of every column from one aggregate of the parsed readings."""
+    schema = {f.name: f.dataType for f in cand.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        v = F.col(f"v{i}")
+        x = _q(c)
+        v = x.isNotNull()
         aggs += [F.count_if(v).alias(f"nn{i}"), F.count_if(~v).alias(f"z{i}")]
         if exprs.logical_type(schema[c]) is None:
-            p = F.col(f"p{i}")
+            p = F.col(f"_p{i}")
             aggs += [F.count(p).alias(f"p{i}"), F.count_if(p % 1 != 0).alias(f"fr{i}"),
-                     F.count_if(F.col(f"d{i}")).alias(f"dt{i}"),
-                     F.count_if(v & ~F.col(f"b{i}")).alias(f"nb{i}")]
-    row = pre.agg(*aggs).first()  # one row: a handful of counts per column
+                     F.count(f"_d{i}").alias(f"dt{i}"),
+                     F.count_if(v & ~exprs.norm_token(x).isin(*rules.BOOL_INFER_TOKENS)).alias(f"nb{i}")]
+    row = cand.agg(*aggs).first()  # one row: a handful of counts per column
     kinds = {}
     for i, c in enumerate(cols):
         nn = row[f"nn{i}"]
@@ -145,9 +162,11 @@ def infer_types(dd: DataFrame, cols: list[str]) -> dict:
     return {"kinds": kinds, "nulls": nulls, "n": n}
 
 
-def _numeric_value(c: str, dtype: T.DataType) -> Column:
-    return _q(c).cast("double") if exprs.logical_type(dtype) in ("Integer", "Float") \
-        else exprs.parse_number(_q(c))
+def _numeric_value(cols: list[str], c: str, dtype: T.DataType) -> Column:
+    """Numeric reading of a column of the candidate table."""
+    if exprs.logical_type(dtype) in ("Integer", "Float"):
+        return _q(c).cast("double")
+    return F.col(f"_p{cols.index(c)}")
 
 
 def modes(df: DataFrame, columns: dict[str, Column]) -> dict:
@@ -216,10 +235,11 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
     spark = df.sparkSession
     cols = df.columns
     schema = {f.name: f.dataType for f in df.schema.fields}
-    dd = dedupe(df, order_by)
+    # de-duplicated rows with every parsed reading, written once to the
+    # shared folder: the lineage cut that the passes below all scan
+    dd = parse_candidates(dedupe(df, order_by), cols)
     if checkpoint:
-        shared_dir(spark)
-        dd = dd.checkpoint(eager=True)
+        dd = stage(dd, "clean-candidates")
     info = infer_types(dd, cols)
     kinds = info["kinds"]
 
@@ -232,11 +252,11 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
     med = {}
     if numeric:
         if approx:
-            r = dd.agg(*[F.percentile_approx(_numeric_value(c, schema[c]), 0.5, 10000).cast("double")
+            r = dd.agg(*[F.percentile_approx(_numeric_value(cols, c, schema[c]), 0.5, 10000).cast("double")
                          .alias(f"m{i}") for i, c in enumerate(numeric)]).first()
             med = {c: r[f"m{i}"] for i, c in enumerate(numeric)}
         else:
-            qs = exact_quantiles(dd, {c: _numeric_value(c, schema[c]) for c in numeric}, [0.5])
+            qs = exact_quantiles(dd, {c: _numeric_value(cols, c, schema[c]) for c in numeric}, [0.5])
             med = {c: v[0] for c, v in qs.items()}
     # modes
     mode_in = {c: to_bool(_q(c)) for c in booleans}
@@ -248,7 +268,7 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
         k = kinds[c]
         if k in ("Integer", "Float"):
             fill = med.get(c)
-            v = F.coalesce(_numeric_value(c, schema[c]), F.lit(0.0 if fill is None else float(fill)))
+            v = F.coalesce(_numeric_value(cols, c, schema[c]), F.lit(0.0 if fill is None else float(fill)))
             v = v.cast("double")
             if k == "Float":
                 v = exprs.np_round(v, 4)  # C6: numpy's half-even, 4 places
@@ -259,13 +279,13 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
             proj.append(F.coalesce(to_bool(_q(c)), F.lit(fill)).alias(c))
         elif k == "DateTime":
             native = exprs.logical_type(schema[c]) == "DateTime"
-            proj.append((_q(c).cast("timestamp") if native else parse_date(_q(c))).alias(c))
+            proj.append((_q(c).cast("timestamp") if native else F.col(f"_d{cols.index(c)}")).alias(c))
         else:
             m = mo.get(c)
             proj.append(F.coalesce(clean_text(_q(c)), F.lit(rules.TEXT_FILL if m is None else m)).alias(c))
     typed = dd.select(*proj, "_ord")
     # numeric columns do not depend on the date fill: the outlier passes
-    # read them straight from the (checkpointed) de-duplicated rows
+    # read them straight from the staged candidate rows
     typed_num = typed.select(*[_q(c) for c in numeric])
     typed = fill_dates(typed, dates, "_ord", now)
 

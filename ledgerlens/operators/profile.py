@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs, rules
+from ..session import shared_dir, stage
 
 PROFILE_SCHEMA = ("ordinal int, column_name string, data_type string, semantic_type string, "
                   "null_percentage double, distinct_count long, cardinality double, "
@@ -45,13 +46,19 @@ def _exact_medians(df: DataFrame) -> dict[int, float | None]:
     return {int(k): v[0] for k, v in got.items()}
 
 
-def profile(df: DataFrame, approx: bool = False) -> DataFrame:
+def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> DataFrame:
     """One profile row per column, in column order.
 
     Medians come from the exact bounded-memory selection (a few passes of
     the numeric columns); ``approx=True`` swaps the exact distinct count
     and median for HyperLogLog++ and ``percentile_approx`` (one pass).
+    ``materialize=True`` (for inputs built by joins) writes the input once
+    to the shared folder so the passes scan files instead of re-joining.
+    The profile itself (one row per column) is checkpointed, so the rule
+    operators that read it in several branches do not recompute it.
     """
+    if materialize:
+        df = stage(df, "profile-input")
     fields = df.schema.fields
     meds = {} if approx else _exact_medians(df)
     n = F.count(F.lit(1))
@@ -129,9 +136,11 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     prof = row.select(F.inline(F.array(*parts)))
     prof = prof.withColumn("semantic_type", semantic_type(F.col("column_name"), F.col("data_type"),
                                                           F.col("distinct_count")))
-    return prof.select("ordinal", "column_name", "data_type", "semantic_type", "null_percentage",
+    prof = prof.select("ordinal", "column_name", "data_type", "semantic_type", "null_percentage",
                        "distinct_count", "cardinality", "min_value", "max_value", "mean_value",
                        "median_value", "std_dev_value")
+    shared_dir(df.sparkSession)
+    return prof.checkpoint(eager=True)  # one row per column
 
 
 def semantic_type(name: Column, data_type: Column, distinct_count: Column) -> Column:

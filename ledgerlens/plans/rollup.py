@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..sources.tables import Tables
 from . import star
 
+# Money in cents and rates in hundredths are exact decimals: the product and
+# the sums are then exact whatever order the partial sums are merged in (a
+# double sum can land either side of a half cent and flip the rounding).
+MONEY = "decimal(15,2)"
+
 LINE_MEASURES = {
-    "net_amount": lambda: F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")),
+    "net_amount": lambda: (F.col("l_extendedprice").cast(MONEY)
+                           * (F.lit(1).cast(MONEY) - F.col("l_discount").cast(MONEY))),
     "gross_amount": lambda: F.col("l_extendedprice"),
     "quantity": lambda: F.col("l_quantity"),
 }

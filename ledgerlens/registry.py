@@ -17,6 +17,7 @@ from .functions import exprs, rules
 from .operators import dashboard as dash
 from .plans import rollup
 from .plans.star import sales_lines, sales_lines_sql
+from .session import stage
 from .sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,34 +62,35 @@ def a1_kpi_values(spark, sf_dir):
 
 
 @register("a3_daily_series", f"""
-SELECT strftime(CAST(order_date AS DATE), '%Y-%m-%d') AS date, round(sum(net_amount), 2) AS value
+SELECT strftime(CAST(order_date AS DATE), '%Y-%m-%d') AS date, CAST(round(sum(CAST(net_amount AS DECIMAL(38,4))), 2) AS DOUBLE) AS value
 FROM {sales_lines_sql(["order_date", "net_amount"])} f
 GROUP BY CAST(order_date AS DATE) ORDER BY CAST(order_date AS DATE) LIMIT 100
 """)
 def a3_daily_series(spark, sf_dir):
     # SUM is pushed below the joins: lines -> per-order sums -> orders
     sums = rollup.sum_by(Tables(spark, sf_dir), "order_date", "net_amount")
-    return dash.daily_series(sums, "order_date", "value").withColumn("value", r2("value"))
+    return dash.daily_series(sums, "order_date", "value").withColumn("value", r2("value").cast("double"))
 
 
 @register("a4_category_share", f"""
-SELECT category_name AS name, round(sum(net_amount), 2) AS value
+SELECT category_name AS name, CAST(round(sum(CAST(net_amount AS DECIMAL(38,4))), 2) AS DOUBLE) AS value
 FROM {sales_lines_sql(["category_name", "net_amount"])} f
 GROUP BY category_name ORDER BY sum(net_amount) DESC, name LIMIT 8
 """)
 def a4_category_share(spark, sf_dir):
     sums = rollup.sum_by(Tables(spark, sf_dir), "category_name", "net_amount")
-    return dash.top_share(sums, "category_name", "value", rules.PIE_TOP).withColumn("value", r2("value"))
+    return dash.top_share(sums, "category_name", "value", rules.PIE_TOP).withColumn(
+        "value", r2("value").cast("double"))
 
 
 @register("a5_country_ranking", f"""
-SELECT country AS name, round(sum(net_amount), 2) AS value
+SELECT country AS name, CAST(round(sum(CAST(net_amount AS DECIMAL(38,4))), 2) AS DOUBLE) AS value
 FROM {sales_lines_sql(["country", "net_amount"])} f
 GROUP BY country ORDER BY sum(net_amount) DESC, name LIMIT 10
 """)
 def a5_country_ranking(spark, sf_dir):
     sums = rollup.sum_by(Tables(spark, sf_dir), "country", "net_amount")
-    return dash.top_share(sums, "country", "value", rules.BAR_TOP).withColumn("value", r2("value"))
+    return dash.top_share(sums, "country", "value", rules.BAR_TOP).withColumn("value", r2("value").cast("double"))
 
 
 SKEW_COLS = ["order_number", "line_number", "quantity", "net_amount", "unit_price", "discount"]
@@ -182,13 +184,13 @@ def _flat_profile_sql() -> str:
 
 
 def _flat_profile(spark, sf_dir):
-    return prof_ops.profile(sales_lines(Tables(spark, sf_dir)))
+    return prof_ops.profile(sales_lines(Tables(spark, sf_dir, wide=True)), materialize=True)
 
 
 @register("p1_p7_profile_orders",
           _round_stats_sql(twins.profile_sql("orders", ORDERS_KINDS)))
 def p1_p7_profile_orders(spark, sf_dir):
-    return _round_stats(prof_ops.profile(Tables(spark, sf_dir).orders))
+    return _round_stats(prof_ops.profile(Tables(spark, sf_dir, wide=True).orders))
 
 
 @register("p1_p7_profile_sales", _round_stats_sql(_flat_profile_sql()))
@@ -230,7 +232,7 @@ UNION ALL SELECT 2, '**WARNING**: Columns (' || array_to_string(nulls[1:{rules.N
   FROM info WHERE len(coalesce(nulls, [])) > 0
 """)
 def p12_p13_ingest_insights(spark, sf_dir):
-    flat = sales_lines(Tables(spark, sf_dir))
+    flat = stage(sales_lines(Tables(spark, sf_dir, wide=True)), "sales-lines")
     prof = prof_ops.profile(flat)
     return prof_ops.ingest_insights(prof, prof_ops.classify_domain(prof),
                                     flat.agg(F.count(F.lit(1)).alias("n")))
@@ -306,7 +308,7 @@ FROM typed"""
 
 
 def _clean(spark, sf_dir):
-    up = dirty.upload_lines(Tables(spark, sf_dir))
+    up = dirty.upload_lines(Tables(spark, sf_dir, wide=True))
     return clean_ops.clean(up, order_by=dirty.order_key_exprs())
 
 
@@ -712,8 +714,8 @@ def t11_chart_digest(spark, sf_dir):
 
 
 def _context_document(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    flat = sales_lines(t)
+    t = Tables(spark, sf_dir, wide=True)
+    flat = stage(sales_lines(t), "sales-lines")  # read by several passes below
     prof = prof_ops.profile(flat)
     dom = prof_ops.classify_domain(prof)
     records = flat.agg(F.count(F.lit(1)).alias("n"))
@@ -880,23 +882,25 @@ def d5_repeat_purchase_rate(spark, sf_dir):
 
 
 @register("d6_supplier_performance", f"""
-SELECT supplier_name AS name, round(sum(net_amount), 2) AS value
+SELECT supplier_name AS name, CAST(round(sum(CAST(net_amount AS DECIMAL(38,4))), 2) AS DOUBLE) AS value
 FROM {sales_lines_sql(["supplier_name", "net_amount"])} f
 GROUP BY supplier_name ORDER BY sum(net_amount) DESC, name LIMIT 10""")
 def d6_supplier_performance(spark, sf_dir):
     sums = rollup.sum_by(Tables(spark, sf_dir), "supplier_name", "net_amount")
-    return dash.top_share(sums, "supplier_name", "value", rules.BAR_TOP).withColumn("value", r2("value"))
+    return dash.top_share(sums, "supplier_name", "value", rules.BAR_TOP).withColumn(
+        "value", r2("value").cast("double"))
 
 
 @register("d6_category_split", f"""
-SELECT category_name AS name, round(sum(net_amount), 2) AS value,
+SELECT category_name AS name, CAST(round(sum(CAST(net_amount AS DECIMAL(38,4))), 2) AS DOUBLE) AS value,
        round(sum(net_amount) * 100.0 / sum(sum(net_amount)) OVER (), 6) AS share_pct
 FROM {sales_lines_sql(["category_name", "net_amount"])} f GROUP BY category_name""")
 def d6_category_split(spark, sf_dir):
     sums = rollup.sum_by(Tables(spark, sf_dir), "category_name", "net_amount")
     g = sums.groupBy(F.col("category_name").alias("name")).agg(F.sum("value").alias("v"))
     tot = g.agg(F.sum("v").alias("t")).first()["t"]  # one scalar
-    return g.select("name", r2("v").alias("value"), r6(F.col("v") * 100.0 / F.lit(tot)).alias("share_pct"))
+    return g.select("name", r2("v").cast("double").alias("value"),
+                    r6(F.col("v").cast("double") * 100.0 / F.lit(float(tot))).alias("share_pct"))
 
 
 _KEY_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -984,7 +988,7 @@ _CUST_CLEAN = ("(SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_n
 def e1_csv_ingest_profile(spark, sf_dir):
     """Upload end to end: CSV text -> clean -> profile."""
     up = up_ops.check_upload(spark, "customer.csv", _customer_csv(spark, sf_dir))
-    return _round_stats(prof_ops.profile(clean_ops.clean(up).data))
+    return _round_stats(prof_ops.profile(clean_ops.clean(up).data, materialize=True))
 
 
 @register("s8_report_sample", f"""

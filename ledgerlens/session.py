@@ -70,3 +70,35 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
 
 def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
     return os.environ.get("BENCH_SF_DIR", default)
+
+
+def spread(df):
+    """Round-robin a file scan over the cluster's cores when it has fewer
+    splits than that (a file with one parquet row group is read by one
+    task), so the joins and partial aggregates above it run on every core.
+    At scale a scan has far more splits than cores and this is a no-op: no
+    shuffle is added.  Only for plain scans: counting the partitions of a
+    plan with shuffles would run it.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
+def stage(df, name: str = "stage"):
+    """Write a derived DataFrame once to the shared folder and read it back.
+
+    Used where several passes read the result of joins or heavy parsing:
+    each pass then scans parquet (column pruning, vectorized reads) instead
+    of re-running the lineage, and a lost executor re-reads files rather
+    than replaying shuffles.  Columns are stored under positional names so
+    any upload header (spaces, dots, brackets) is a valid parquet name.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = shared_dir(spark, f"stage/{name}-{uuid.uuid4().hex}")
+    names = df.columns
+    df.toDF(*[f"_c{i}" for i in range(len(names))]).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).toDF(*names)

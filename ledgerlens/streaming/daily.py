@@ -20,6 +20,9 @@ def daily_totals_stream(spark: SparkSession, source_dir: str, schema: StructType
                         late: str = "2 days") -> DataFrame:
     """Streaming DataFrame: sid, day, value (sum), rows."""
     src = spark.readStream.schema(schema).parquet(source_dir)
+    # watermarks need an instant: a wall-clock (NTZ) or date column is read
+    # in the session time zone
+    src = src.withColumn(date_col, F.col(date_col).cast("timestamp"))
     sid = F.col(series_col).cast("string") if series_col else F.lit("all")
     return (src.withWatermark(date_col, late)
                .groupBy(sid.alias("sid"), F.window(F.col(date_col), "1 day").alias("w"))
