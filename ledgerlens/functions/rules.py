@@ -81,6 +81,8 @@ SEGMENT_LABELS = ["Champions", "Loyal Customers", "At-Risk", "Lost"]
 KMEANS_K = 4
 KMEANS_SEED = 42
 KMEANS_RESTARTS = 10
+# Restarts submitted at the same time (each is a chain of small jobs).
+KMEANS_PARALLEL_FITS = 10
 RULE_MIN_CUSTOMERS = 4
 RULE_CHAMPION_FREQ = 3
 RULE_AT_RISK_DAYS = 30
