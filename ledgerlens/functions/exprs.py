@@ -105,3 +105,38 @@ def float_text(c) -> Column:
 def float_text_sql(e: str) -> str:
     # DuckDB prints the shortest round-trip form without E-notation here
     return f"CAST({e} AS VARCHAR)"
+
+
+# --- the same expressions as Spark SQL text -------------------------------
+# Wide plans (every statistic of every column) are built as SQL strings:
+# one call into the JVM per expression instead of one per function node.
+
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_double(v: float) -> str:
+    """A double literal that round-trips exactly."""
+    import math
+    if math.isfinite(v):
+        return f"({float(v)!r}D)"
+    return f"CAST({sql_str(repr(float(v)))} AS DOUBLE)"
+
+
+def parse_number_sql(c: str) -> str:
+    """SQL text of ``parse_number`` applied to the SQL expression ``c``."""
+    s = f"translate(CAST({c} AS STRING), {sql_str(rules.CURRENCY_CHARS)}, '')"
+    first = ", ".join(sql_str(ch) for ch in NUMBER_FIRST)
+    return (f"CASE WHEN substring({s}, 1, 1) IN ({first}) AND {s} RLIKE {sql_str(NUMBER_TEXT)} "
+            f"THEN try_cast({s} AS DOUBLE) END")
+
+
+def np_round_text(e: str, decimals: int) -> str:
+    """SQL text of ``np_round`` (Spark dialect)."""
+    f = sql_double(float(10 ** decimals))
+    return f"(rint(({e}) * {f}) / {f})"

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs, rules
-from ..session import shared_dir, stage
+from ..session import stage
 
 PROFILE_SCHEMA = ("ordinal int, column_name string, data_type string, semantic_type string, "
                   "null_percentage double, distinct_count long, cardinality double, "
@@ -41,7 +41,7 @@ def _exact_medians(df: DataFrame) -> dict[int, float | None]:
         if kind in ("Integer", "Float"):
             cols[i] = c
         elif kind is None:
-            cols[i] = exprs.parse_number(c)
+            cols[i] = F.expr(exprs.parse_number_sql(exprs.sql_ident(f.name)))
     got = exact_quantiles(df, {str(i): e for i, e in cols.items()}, [0.5])
     return {int(k): v[0] for k, v in got.items()}
 
@@ -54,93 +54,104 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
     and median for HyperLogLog++ and ``percentile_approx`` (one pass).
     ``materialize=True`` (for inputs built by joins) writes the input once
     to the shared folder so the passes scan files instead of re-joining.
-    The profile itself (one row per column) is checkpointed, so the rule
-    operators that read it in several branches do not recompute it.
+    The profile itself (one row per column, bounded by the schema) is
+    computed once, so the rule operators that read it in several branches
+    do not recompute it.
     """
     if materialize:
         df = stage(df, "profile-input")
     fields = df.schema.fields
     meds = {} if approx else _exact_medians(df)
-    n = F.count(F.lit(1))
-    aggs = [n.alias("_n")]
+    q, S, D = exprs.sql_ident, exprs.sql_str, exprs.sql_double
+    # positional names, the numeric reading of text columns parsed once
+    cols = [f"c{i}" for i in range(len(fields))]
+    kinds = [exprs.logical_type(f.dataType) for f in fields]
+    proj = [f"{q(f.name)} AS c{i}" for i, f in enumerate(fields)]
+    proj += [f"{exprs.parse_number_sql(q(f.name))} AS p{i}"
+             for i, f in enumerate(fields) if kinds[i] is None]
+    base = df.selectExpr(*proj)
+
+    def med(i):
+        return f"CAST(percentile_approx(CAST(c{i} AS DOUBLE), 0.5, 10000) AS DOUBLE)" if approx \
+            else f"CAST({D(meds[i]) if meds.get(i) is not None else 'NULL'} AS DOUBLE)"
+
+    def text_of(e, dt):
+        if isinstance(dt, T.BooleanType):
+            return f"CASE WHEN {e} THEN 'True' WHEN NOT {e} THEN 'False' END"
+        return f"CAST({e} AS STRING)"
+
+    aggs = ["count(1) AS _n"]
     dists = []
     for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        kind = exprs.logical_type(f.dataType)
-        aggs.append(F.count_if(c.isNull()).alias(f"_z{i}"))
-        dists.append(_distinct(c, approx).alias(f"_d{i}"))
+        c, kind = cols[i], kinds[i]
+        aggs.append(f"count_if({c} IS NULL) AS _z{i}")
+        dists.append((f"approx_count_distinct({c}, 0.01)" if approx else f"count(DISTINCT {c})") + f" AS _d{i}")
         if kind in ("Integer", "Float"):
-            x = c
-            aggs += [F.min(x).cast("string").alias(f"_lo{i}"), F.max(x).cast("string").alias(f"_hi{i}"),
-                     F.avg(x).alias(f"_mu{i}"),
-                     (_median(x.cast("double"), approx) if approx else F.lit(meds.get(i)).cast("double"))
-                     .alias(f"_me{i}"),
-                     F.stddev_samp(x).alias(f"_sd{i}")]
+            aggs += [f"CAST(min({c}) AS STRING) AS _lo{i}", f"CAST(max({c}) AS STRING) AS _hi{i}",
+                     f"avg({c}) AS _mu{i}", f"{med(i)} AS _me{i}", f"stddev_samp({c}) AS _sd{i}"]
         elif kind is None:
             # text: maybe numeric text ($ and , stripped); keep both readings
-            x = exprs.parse_number(c)
-            aggs += [F.count(x).alias(f"_p{i}"),
-                     F.min(x).cast("string").alias(f"_plo{i}"), F.max(x).cast("string").alias(f"_phi{i}"),
-                     F.avg(x).alias(f"_pmu{i}"),
-                     (_median(x, approx) if approx else F.lit(meds.get(i)).cast("double")).alias(f"_pme{i}"),
-                     F.stddev_samp(x).alias(f"_psd{i}"),
-                     F.min(c.cast("string")).alias(f"_lo{i}"), F.max(c.cast("string")).alias(f"_hi{i}")]
+            x = f"p{i}"
+            pmed = f"CAST(percentile_approx({x}, 0.5, 10000) AS DOUBLE)" if approx else med(i)
+            aggs += [f"count({x}) AS _p{i}", f"CAST(min({x}) AS STRING) AS _plo{i}",
+                     f"CAST(max({x}) AS STRING) AS _phi{i}", f"avg({x}) AS _pmu{i}",
+                     f"{pmed} AS _pme{i}", f"stddev_samp({x}) AS _psd{i}",
+                     f"min(CAST({c} AS STRING)) AS _lo{i}", f"max(CAST({c} AS STRING)) AS _hi{i}"]
         else:
             # min/max of the typed value, then its text: same order as the
             # text form for timestamps and booleans, without a cast per row
-            aggs += [exprs.as_text(F.min(c), f.dataType).alias(f"_lo{i}"),
-                     exprs.as_text(F.max(c), f.dataType).alias(f"_hi{i}")]
+            aggs += [f"{text_of(f'min({c})', f.dataType)} AS _lo{i}",
+                     f"{text_of(f'max({c})', f.dataType)} AS _hi{i}"]
     # Distinct counts run as their own aggregate: mixed with the others,
     # Spark's distinct rewrite (Expand) would copy every other aggregate's
     # input once per distinct column.
-    row = one_row(df.agg(*aggs), df.agg(*dists))
+    row = one_row(base.selectExpr(*aggs), base.selectExpr(*dists))
 
-    nd = F.col("_n").cast("double")
+    nd = "CAST(_n AS DOUBLE)"
+    k = rules.PROFILE_TEXT_CHARS
     parts = []
     for i, f in enumerate(fields):
-        kind = exprs.logical_type(f.dataType)
-        dc = F.col(f"_d{i}").cast("long")
-        has = dc > 0
-        nul = F.when(F.col("_n") > 0, exprs.np_round(F.col(f"_z{i}") / nd * 100.0, 2)
-                     ).otherwise(F.lit(float("nan")))
-        card = F.when(F.col("_n") > 0, exprs.np_round(dc / nd, 4)).otherwise(F.lit(0.0))
-        cut = lambda s: F.substring(s, 1, rules.PROFILE_TEXT_CHARS)
-        none_d = F.lit(None).cast("double")
+        kind = kinds[i]
+        dc = f"CAST(_d{i} AS BIGINT)"
+        has = f"({dc} > 0)"
+        nul = f"CASE WHEN _n > 0 THEN {exprs.np_round_text(f'_z{i} / {nd} * {D(100.0)}', 2)} ELSE CAST('NaN' AS DOUBLE) END"
+        card = f"CASE WHEN _n > 0 THEN {exprs.np_round_text(f'{dc} / {nd}', 4)} ELSE {D(0.0)} END"
+        cut = lambda e: f"substring({e}, 1, {k})"
         if kind in ("Integer", "Float"):
-            dtype = F.lit(kind)
-            lo, hi = F.when(has, F.col(f"_lo{i}")), F.when(has, F.col(f"_hi{i}"))
-            mu, me, sd = (F.when(has, F.col(f"_mu{i}")), F.when(has, F.col(f"_me{i}")),
-                          F.when(has, F.col(f"_sd{i}")))
+            dtype = S(kind)
+            lo, hi = f"CASE WHEN {has} THEN _lo{i} END", f"CASE WHEN {has} THEN _hi{i} END"
+            mu, me, sd = (f"CASE WHEN {has} THEN _mu{i} END", f"CASE WHEN {has} THEN _me{i} END",
+                          f"CASE WHEN {has} THEN _sd{i} END")
         elif kind is None:
-            numeric = F.col(f"_p{i}") > nd * rules.PARSE_SHARE
-            dtype = F.when(numeric, F.lit("Float")).otherwise(F.lit("Text"))
-            pnum = numeric & (F.col(f"_p{i}") > 0)
-            lo = F.when(numeric, F.when(pnum, F.col(f"_plo{i}"))).otherwise(
-                F.when(has, cut(F.col(f"_lo{i}"))))
-            hi = F.when(numeric, F.when(pnum, F.col(f"_phi{i}"))).otherwise(
-                F.when(has, cut(F.col(f"_hi{i}"))))
-            mu = F.when(pnum, F.col(f"_pmu{i}"))
-            me = F.when(pnum, F.col(f"_pme{i}"))
-            sd = F.when(pnum, F.col(f"_psd{i}"))
+            numeric = f"(_p{i} > {nd} * {D(rules.PARSE_SHARE)})"
+            dtype = f"CASE WHEN {numeric} THEN 'Float' ELSE 'Text' END"
+            pnum = f"({numeric} AND _p{i} > 0)"
+            lo = (f"CASE WHEN {numeric} THEN (CASE WHEN {pnum} THEN _plo{i} END) "
+                  f"ELSE (CASE WHEN {has} THEN {cut(f'_lo{i}')} END) END")
+            hi = (f"CASE WHEN {numeric} THEN (CASE WHEN {pnum} THEN _phi{i} END) "
+                  f"ELSE (CASE WHEN {has} THEN {cut(f'_hi{i}')} END) END")
+            mu = f"CASE WHEN {pnum} THEN _pmu{i} END"
+            me = f"CASE WHEN {pnum} THEN _pme{i} END"
+            sd = f"CASE WHEN {pnum} THEN _psd{i} END"
         else:
-            dtype = F.lit(kind)
-            lo, hi = F.when(has, cut(F.col(f"_lo{i}"))), F.when(has, cut(F.col(f"_hi{i}")))
-            mu = me = sd = none_d
-        parts.append(F.struct(
-            F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"), dtype.alias("data_type"),
-            nul.cast("double").alias("null_percentage"), dc.alias("distinct_count"),
-            card.cast("double").alias("cardinality"),
-            lo.cast("string").alias("min_value"), hi.cast("string").alias("max_value"),
-            mu.cast("double").alias("mean_value"), me.cast("double").alias("median_value"),
-            sd.cast("double").alias("std_dev_value")))
-    prof = row.select(F.inline(F.array(*parts)))
+            dtype = S(kind)
+            lo, hi = f"CASE WHEN {has} THEN {cut(f'_lo{i}')} END", f"CASE WHEN {has} THEN {cut(f'_hi{i}')} END"
+            mu = me = sd = "NULL"
+        parts.append(
+            f"named_struct('ordinal', {i}, 'column_name', {S(f.name)}, 'data_type', {dtype}, "
+            f"'null_percentage', CAST({nul} AS DOUBLE), 'distinct_count', {dc}, "
+            f"'cardinality', CAST({card} AS DOUBLE), 'min_value', CAST({lo} AS STRING), "
+            f"'max_value', CAST({hi} AS STRING), 'mean_value', CAST({mu} AS DOUBLE), "
+            f"'median_value', CAST({me} AS DOUBLE), 'std_dev_value', CAST({sd} AS DOUBLE))")
+    prof = row.selectExpr(f"inline(array({', '.join(parts)}))")
     prof = prof.withColumn("semantic_type", semantic_type(F.col("column_name"), F.col("data_type"),
                                                           F.col("distinct_count")))
     prof = prof.select("ordinal", "column_name", "data_type", "semantic_type", "null_percentage",
                        "distinct_count", "cardinality", "min_value", "max_value", "mean_value",
                        "median_value", "std_dev_value")
-    shared_dir(df.sparkSession)
-    return prof.checkpoint(eager=True)  # one row per column
+    # metadata, one row per column (bounded by the schema, not the data):
+    # computed once here, then reused by every rule branch downstream
+    return df.sparkSession.createDataFrame(prof.collect(), prof.schema)
 
 
 def semantic_type(name: Column, data_type: Column, distinct_count: Column) -> Column:
@@ -227,7 +238,8 @@ def one_row(*frames: DataFrame) -> DataFrame:
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
-    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
+    q = exprs.sql_ident
+    return u.selectExpr(*[f"first({q(c)}, true) AS {q(c)}" for c in u.columns])
 
 
 def suggest_kpis(prof: DataFrame) -> DataFrame:

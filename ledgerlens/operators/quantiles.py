@@ -26,6 +26,8 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import exprs
+
 BUCKETS = 4096
 LIMIT = 100_000
 MAX_ROUNDS = 12
@@ -54,9 +56,9 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
 
 def _select(base: DataFrame, names: list[str], probs: list[float], limit: int,
             buckets: int) -> dict[str, list[float | None]]:
-    r0 = base.agg(*[a for i in range(len(names)) for a in (
-        F.count(f"_x{i}").alias(f"n{i}"), F.min(f"_x{i}").alias(f"lo{i}"),
-        F.max(f"_x{i}").alias(f"hi{i}"))]).first()
+    D = exprs.sql_double  # plans are built as SQL text: one JVM call per expression
+    r0 = base.selectExpr(*[a for i in range(len(names)) for a in (
+        f"count(_x{i}) AS n{i}", f"min(_x{i}) AS lo{i}", f"max(_x{i}) AS hi{i}")]).first()
     targets = {}  # (column, rank) -> window state
     plan = {}
     for i in range(len(names)):
@@ -80,14 +82,14 @@ def _select(base: DataFrame, names: list[str], probs: list[float], limit: int,
         wins = sorted({(k[0], targets[k]["lo"], targets[k]["hi"]) for k in big})
         items = []
         for w, (i, lo, hi) in enumerate(wins):
-            x = F.col(f"_x{i}")
-            b = F.least(F.floor((x - F.lit(lo)) * F.lit(float(buckets)) / F.lit(hi - lo)),
-                        F.lit(buckets - 1)).cast("int")
-            items.append(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                                F.struct(F.lit(w).alias("w"), b.alias("b"), x.alias("x"))))
-        hist = (base.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e"))
-                    .groupBy("e.w", "e.b")
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("e.x").alias("mn"), F.max("e.x").alias("mx")))
+            x = f"_x{i}"
+            b = f"CAST(least(floor(({x} - {D(lo)}) * {D(float(buckets))} / {D(hi - lo)}), {buckets - 1}) AS INT)"
+            items.append(f"CASE WHEN {x} >= {D(lo)} AND {x} <= {D(hi)} "
+                         f"THEN named_struct('w', {w}, 'b', {b}, 'x', {x}) END")
+        hist = (base.selectExpr(f"explode(filter(array({', '.join(items)}), e -> e IS NOT NULL)) AS e")
+                    .selectExpr("e.w AS w", "e.b AS b", "e.x AS x")
+                    .groupBy("w", "b")
+                    .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")))
         per_win = {}
         for row in hist.collect():  # at most `buckets` rows per window
             per_win.setdefault(row["w"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
@@ -106,13 +108,13 @@ def _select(base: DataFrame, names: list[str], probs: list[float], limit: int,
     keys = list(targets)
     values = {k: t["lo"] for k, t in targets.items() if t["lo"] == t["hi"]}  # one distinct value left
     keys = [k for k in keys if k not in values]
-    sel = F.array(*[F.when((F.col(f"_x{i}") >= F.lit(targets[(i, r)]["lo"]))
-                           & (F.col(f"_x{i}") <= F.lit(targets[(i, r)]["hi"])),
-                           F.struct(F.lit(j).alias("t"), F.col(f"_x{i}").alias("v")))
-                    for j, (i, r) in enumerate(keys)]) if keys else None
+    sel = ", ".join(f"CASE WHEN _x{i} >= {D(targets[(i, r)]['lo'])} AND _x{i} <= {D(targets[(i, r)]['hi'])} "
+                    f"THEN named_struct('t', {j}, 'v', _x{i}) END"
+                    for j, (i, r) in enumerate(keys))
     if keys:
-        pairs = (base.select(F.explode(F.filter(sel, lambda s: s.isNotNull())).alias("p"))
-                     .groupBy("p.t", "p.v").agg(F.count(F.lit(1)).alias("c")))
+        pairs = (base.selectExpr(f"explode(filter(array({sel}), p -> p IS NOT NULL)) AS p")
+                     .selectExpr("p.t AS t", "p.v AS v")
+                     .groupBy("t", "v").agg(F.count(F.lit(1)).alias("c")))
         per = {}
         for row in pairs.collect():  # at most `limit` distinct values per target
             per.setdefault(row["t"], []).append((row["v"], row["c"]))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs, rules
-from ..session import shared_dir
+from ..session import stage
 
 
 def rfm(df: DataFrame, customer: str, amount: str, date: str | None = None) -> DataFrame:
@@ -68,12 +68,12 @@ def kmeans_segments(r: DataFrame, k: int = rules.KMEANS_K, seed: int = rules.KME
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    spark = r.sparkSession
     z = standardize(r)
     feats = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features").transform(z)
     # the fits read the features several times each: cut the lineage once
-    shared_dir(spark)
-    feats = feats.checkpoint(eager=True)
+    # (one write to the shared folder; a reliable checkpoint would compute
+    # the aggregate twice)
+    feats = stage(feats, "kmeans-features")
     # the restarts are independent seeded fits: submit them together so
     # their per-iteration jobs share the cluster instead of queueing one
     # fit behind the other; the lowest cost wins, ties to the earlier seed
