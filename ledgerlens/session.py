@@ -72,6 +72,11 @@ def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
     return os.environ.get("BENCH_SF_DIR", default)
 
 
+# Scans smaller than this stay as they are: one task reads them quickly
+# (and dimension tables of that size are broadcast anyway).
+SPREAD_MIN_BYTES = 4 << 20
+
+
 def spread(df):
     """Round-robin a file scan over the cluster's cores when it has fewer
     splits than that (a file with one parquet row group is read by one
@@ -81,7 +86,8 @@ def spread(df):
     plan with shuffles would run it.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
 
