@@ -64,6 +64,18 @@ def parse_date(c) -> Column:
     return F.when(F.length(s) >= DATE_MIN_CHARS, F.coalesce(*tries))
 
 
+def parse_date_sql(c: str) -> str:
+    """SQL text of ``parse_date`` applied to the SQL expression ``c``."""
+    S = exprs.sql_str
+    t = f"trim(CAST({c} AS STRING))"
+    tries = [f"CASE WHEN contains({t}, {S(ISO_NEEDS)}) AND {t} RLIKE {S(ISO_DATE_SHAPE)} "
+             f"THEN try_cast({t} AS TIMESTAMP) END"]
+    tries += [f"CASE WHEN contains({t}, {S(need)}) AND {t} RLIKE {S(shape)} "
+              f"THEN try_to_timestamp({t}, {S(fmt)}) END"
+              for (shape, fmt), need in zip(DATE_FORMATS, FORMAT_NEEDS)]
+    return f"CASE WHEN length({t}) >= {DATE_MIN_CHARS} THEN coalesce({', '.join(tries)}) END"
+
+
 def to_bool(c) -> Column:
     """Boolean tokens -> true/false, anything else -> null."""
     t = exprs.norm_token(c)
@@ -118,27 +130,27 @@ def parse_candidates(dd: DataFrame, cols: list[str]) -> DataFrame:
     read parsed columns instead of running the regexes again.
     """
     schema = {f.name: f.dataType for f in dd.schema.fields}
-    extra = []
+    extra = []  # SQL text: one JVM call per expression
     for i, c in enumerate(cols):
         if exprs.logical_type(schema[c]) is None:
-            extra += [exprs.parse_number(_q(c)).alias(f"_p{i}"), parse_date(_q(c)).alias(f"_d{i}")]
-    return dd.select("*", *extra)
+            x = exprs.sql_ident(c)
+            extra += [f"{exprs.parse_number_sql(x)} AS _p{i}", f"{parse_date_sql(x)} AS _d{i}"]
+    return dd.selectExpr("*", *extra)
 
 
 def infer_types(cand: DataFrame, cols: list[str]) -> dict:
     """Logical type of every column from one aggregate of the parsed readings."""
     schema = {f.name: f.dataType for f in cand.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    tokens = ", ".join(exprs.sql_str(t) for t in rules.BOOL_INFER_TOKENS)
+    aggs = ["count(1) AS _n"]
     for i, c in enumerate(cols):
-        x = _q(c)
-        v = x.isNotNull()
-        aggs += [F.count_if(v).alias(f"nn{i}"), F.count_if(~v).alias(f"z{i}")]
+        x = exprs.sql_ident(c)
+        aggs += [f"count_if({x} IS NOT NULL) AS nn{i}", f"count_if({x} IS NULL) AS z{i}"]
         if exprs.logical_type(schema[c]) is None:
-            p = F.col(f"_p{i}")
-            aggs += [F.count(p).alias(f"p{i}"), F.count_if(p % 1 != 0).alias(f"fr{i}"),
-                     F.count(f"_d{i}").alias(f"dt{i}"),
-                     F.count_if(v & ~exprs.norm_token(x).isin(*rules.BOOL_INFER_TOKENS)).alias(f"nb{i}")]
-    row = cand.agg(*aggs).first()  # one row: a handful of counts per column
+            aggs += [f"count(_p{i}) AS p{i}", f"count_if(_p{i} % 1 != 0) AS fr{i}",
+                     f"count(_d{i}) AS dt{i}",
+                     f"count_if({x} IS NOT NULL AND NOT (lower(trim(CAST({x} AS STRING))) IN ({tokens}))) AS nb{i}"]
+    row = cand.selectExpr(*aggs).first()  # one row: a handful of counts per column
     kinds = {}
     for i, c in enumerate(cols):
         nn = row[f"nn{i}"]
