@@ -85,11 +85,13 @@ def spread(df):
     shuffle is added.  Only for plain scans: counting the partitions of a
     plan with shuffles would run it.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        narrow = size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < n
+    except Exception:  # no plan statistics (e.g. a Spark Connect session): keep the scan
+        return df
+    return df.repartition(n) if narrow else df
 
 
 def stage(df, name: str = "stage"):
