@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, tokenfile
+from . import packing, secret_scan, simhash, tokenfile
 from .common import table
 from .tokens import tokenizer_path
 
@@ -34,6 +34,16 @@ def op1_packing(spark, sf_dir):
     return packed.drop("ids")
 
 
+@register("op2_simhash")
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @register("op9_token_file")
 def op9_token_file(spark, sf_dir):
     file = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
