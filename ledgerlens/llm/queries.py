@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, secret_scan, simhash, tokenfile
+from . import langid, packing, quality, secret_scan, simhash, tokenfile
 from .common import table
 from .tokens import tokenizer_path
 
@@ -44,6 +44,19 @@ def op3_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@register("op4_langid")
+def op4_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op7_quality")
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @register("op9_token_file")
 def op9_token_file(spark, sf_dir):
     file = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
