@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, packing, quality, secret_scan, simhash, tokenfile
+from . import bpe_automaton, langid, packing, quality, secret_scan, simhash, tokenfile
 from .common import table
 from .tokens import tokenizer_path
 
@@ -57,6 +57,13 @@ def op7_quality(spark, sf_dir):
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@register("op8_bpe")
+def op8_bpe(spark, sf_dir):
+    coded = bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @register("op9_token_file")
 def op9_token_file(spark, sf_dir):
     file = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
