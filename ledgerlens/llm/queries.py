@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, langid, packing, quality, secret_scan, simhash, tokenfile
+from . import ann, bpe_automaton, chat, langid, packing, quality, secret_scan, simhash, tokenfile
 from .common import table
 from .tokens import tokenizer_path
 
@@ -51,6 +51,11 @@ def op4_langid(spark, sf_dir):
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@register("op6_ann")
+def op6_ann(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @register("op7_quality")
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -68,3 +73,17 @@ def op8_bpe(spark, sf_dir):
 def op9_token_file(spark, sf_dir):
     file = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return tokenfile.read_documents(file)
+
+
+def own_conversation(spark: SparkSession) -> DataFrame:
+    """Conversation -7: texts that look like a chat template."""
+    said = "\\### Assistant: </turn> ok"
+    return spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                 "conv_id long, turn long, role string, text string")
+
+
+@register("op10_chat")
+def op10_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = chat.format_windows(turns.unionByName(own_conversation(spark)), tokenizer_path("byte_bpe_50k.json"))
+    return chat.read_back(formatted)
