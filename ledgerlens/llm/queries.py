@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe_automaton, chat, langid, packing, quality, secret_scan, simhash, tokenfile
+import corpus_pipeline
+
+from . import ann, bpe_automaton, chat, langid, packing, quality, secret_scan, simhash, substring_dedup, tokenfile
 from .common import table
 from .tokens import tokenizer_path
 
@@ -51,6 +53,14 @@ def op4_langid(spark, sf_dir):
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@register("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select(
+        "doc_id", "dedup.n_words", "dedup.n_removed",
+        F.sha2(F.col("dedup.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register("op6_ann")
 def op6_ann(spark, sf_dir):
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
@@ -87,3 +97,9 @@ def op10_chat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     formatted = chat.format_windows(turns.unionByName(own_conversation(spark)), tokenizer_path("byte_bpe_50k.json"))
     return chat.read_back(formatted)
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    """The packed pieces; their ids as a digest."""
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
