@@ -63,7 +63,8 @@ class Automaton:
 
     def _gadget(self, number: int, u: str, v: str) -> None:
         w, before = u + v, self.state.get(v, 0)
-        if w not in self.vocab or w in self.made:
+        # nothing to bridge if no path holds u and then v (the merge never applies)
+        if w not in self.vocab or w in self.made or not self._arc(self._lost(self.state.get(u, 0)), v):
             return
         self.made[w], self.left[w] = number, u
         self.state[w] = before                      # the bridge ends where v ended
@@ -78,19 +79,19 @@ class Automaton:
             out[token] = number
         return out
 
-    def has_arc(self, before: str, token: str) -> bool:
-        """Whether the state after ``before`` has an arc ``token``."""
-        lost = self.lost.get(self.state.get(before, 0))
-        if not lost:
-            return True
+    def _arc(self, lost: dict[str, int], token: str) -> bool:
         at, made = token, 1 << 62
-        while True:
-            number = lost.get(at)
-            if number is not None and number <= made:
+        while lost:
+            if lost.get(at, made + 1) <= made:
                 return False
             if at not in self.left:
-                return True
+                break
             made, at = self.made[at], self.left[at]
+        return True
+
+    def has_arc(self, before: str, token: str) -> bool:
+        """Whether the state after ``before`` has an arc ``token``."""
+        return self._arc(self.lost.get(self.state.get(before, 0), {}), token)
 
     def encode(self, symbols: str) -> list[str]:
         """Labels of the accepted path that spells a non-empty word of base
