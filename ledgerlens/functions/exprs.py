@@ -87,6 +87,8 @@ def as_text(c, dt: T.DataType | None = None) -> Column:
     c = col(c)
     if isinstance(dt, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if isinstance(dt, T.DoubleType):
+        return float_text(c)
     return c.cast("string")
 
 
@@ -97,9 +99,36 @@ def norm_token(c) -> Column:
 def float_text(c) -> Column:
     """Plain decimal text of a double, the way Python prints short floats
     ('300000000.0', '1234.56'); Spark's own cast switches to E-notation
-    from 1e7 on.  Exact for values with at most 10 decimals."""
-    d = F.regexp_replace(col(c).cast("decimal(38,10)").cast("string"), "0+$", "")
-    return F.when(col(c).isNotNull(), F.when(d.endswith("."), F.concat(d, F.lit("0"))).otherwise(d))
+    from 1e7 on and below 1e-3.
+
+    Spark's text is the shortest that reads back as the value; its digits
+    are moved to plain notation between 1e-4 and 1e16, as Python does.
+    Outside that, and for NaN and infinities, Spark's text stays."""
+    s = col(c).cast("string")
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    exp = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_extract(s, r"^-?([\d.]+)E", 1), r"\.0$|\.", "")
+    whole = F.concat(F.rpad(digits, F.greatest(exp + 1, F.length(digits)), "0"))
+    left = F.substring(whole, F.lit(1), exp + 1)
+    right = F.substring(whole, exp + 2, F.length(whole))
+    large = F.concat(sign, left, F.lit("."), F.when(right == "", F.lit("0")).otherwise(right))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    return (F.when(exp.isNull(), s).when(exp.between(0, 15), large).when(exp.between(-4, -1), small).otherwise(s))
+
+
+def ascii_digits(c) -> Column:
+    """Decimal digits of the common scripts as ASCII digits (one translate)."""
+    zeros = [0x660, 0x6F0, 0x7C0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xE50, 0xED0,
+             0xF20, 0x1040, 0x17E0, 0x1810, 0xFF10]
+    every = "".join(chr(z + d) for z in zeros for d in range(10))
+    return F.translate(col(c), every, "0123456789" * len(zeros))
+
+
+def nan_to_null(df):
+    """NaN in float and double columns is a missing value, as in pandas."""
+    return df.select(*[F.nanvl(F.col(sql_ident(f.name)), F.lit(None).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(sql_ident(f.name))
+                       for f in df.schema.fields])
 
 
 def float_text_sql(e: str) -> str:

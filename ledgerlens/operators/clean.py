@@ -36,22 +36,29 @@ from .quantiles import exact_quantiles
 # Date text shapes and the format tried for each.  A format is only tried
 # when the text has its shape: a failed parse is an exception inside the
 # JVM, far more costly than the regex test.
-ISO_DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+ISO_DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 DATE_FORMATS = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/MM/dd"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    # day first, reached only where the month-first reading failed
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
 ]
 
 
-# Separator each shape needs (all shapes are at least 8 characters long).
+# Separator each shape needs (no shape has fewer than 8 characters).
 # Testing these on the UTF-8 bytes is far cheaper than a regex, which
 # decodes the value first, so each shape's regex only runs on candidates.
 ISO_NEEDS = "-"
-FORMAT_NEEDS = ["/", "/", "/", "-", ",", " "]
+FORMAT_NEEDS = ["/", "/", "/", "-", ",", " ", "/", ",", " ", "/", "/", "/"]
 DATE_MIN_CHARS = 8
 
 
@@ -213,7 +220,9 @@ def fill_dates(df: DataFrame, cols: list[str], order_col: str = "_ord",
     if not cols:
         return df
     fallback = F.current_timestamp() if fallback is None else fallback
-    ranged = df.repartitionByRange(F.col(order_col)).withColumn("_rng", F.spark_partition_id())
+    # written once with its range number, so the rows and the carries below
+    # speak of the same ranges (a second range exchange would sample its own)
+    ranged = stage(df.repartitionByRange(F.col(order_col)).withColumn("_rng", F.spark_partition_id()), "date-ranges")
     # both directions use growing frames (O(n) per range): the backward
     # fill is a forward fill over the reversed order
     w_f = Window.partitionBy("_rng").orderBy(F.col(order_col).asc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -245,6 +254,7 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
           now: Column | None = None) -> Cleaned:
     """C1-C15 over an upload DataFrame."""
     spark = df.sparkSession
+    df = exprs.nan_to_null(df)
     cols = df.columns
     schema = {f.name: f.dataType for f in df.schema.fields}
     # de-duplicated rows with every parsed reading, written once to the
@@ -327,7 +337,7 @@ def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool =
         outliers = spark.createDataFrame([], "column_name string, q1 double, q3 double, outliers long")
 
     # Totals come from the dedupe aggregate (sum of folded copies)
-    counts = dd.agg(F.sum("_copies").alias("total_records"), F.count(F.lit(1)).alias("processed_records"))
+    counts = dd.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_records"), F.count(F.lit(1)).alias("processed_records"))
     out_tot = outliers.agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("long").alias("outliers_detected"))
     report = one_row(counts, out_tot).select(
         F.col("total_records").cast("long"), F.col("processed_records").cast("long"),

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rules
+from ..functions import exprs, rules
+from ..session import stage
 
 SALTS = 64
 
@@ -52,9 +53,11 @@ def merge_turns(turns: DataFrame) -> DataFrame:
     Output: conv_id, block, first_turn, last_turn, role, text (joined by
     newline in turn order).
     """
-    r = (turns.select("conv_id", "turn", "role", "text")
-              .repartitionByRange("conv_id", "turn")
-              .withColumn("_rng", F.spark_partition_id()))
+    # written once with its range number: both readers below see the same ranges
+    # (two range exchanges would each sample and coalesce their own)
+    r = stage(turns.select("conv_id", "turn", "role", "text")
+                   .repartitionByRange("conv_id", "turn")
+                   .withColumn("_rng", F.spark_partition_id()), "turn-ranges")
     w = Window.partitionBy("_rng", "conv_id").orderBy("turn")
     prev = F.lag("role").over(w)
     r = r.withColumn("_chg", (prev.isNotNull() & (F.col("role") != prev)).cast("int"))
@@ -95,7 +98,17 @@ def extract_numbers(text: Column) -> Column:
     """T5: distinct numbers in a text (thousands commas dropped), sorted."""
     clean = F.regexp_replace(text, ",", "")
     found = F.regexp_extract_all(clean, F.lit("(?U)" + rules.NUMBER_PATTERN), 0)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: s.cast("double"))))
+    # the pattern takes digits of any script; Spark's cast reads ASCII ones
+    read = F.transform(found, lambda s: exprs.ascii_digits(s).try_cast("double"))
+    return F.array_sort(F.array_distinct(F.filter(read, lambda v: v.isNotNull())))
+
+
+def _bucket(value: Column) -> Column:
+    """Band number as a double: floor(value / tolerance) of any size, without
+    a cast to long.  Beyond 2**53 neighbours round to the same number, and so
+    do the values within the tolerance."""
+    q = value / F.lit(rules.GROUNDING_TOLERANCE)
+    return q - F.pmod(q, F.lit(1.0))
 
 
 def is_fallback(text: Column) -> Column:
@@ -116,9 +129,9 @@ def grounding_check(responses: DataFrame, context: DataFrame) -> DataFrame:
     nums = responses.select("conv_id", "turn", F.explode(extract_numbers(F.col("text"))).alias("value"))
     nums = nums.where(~F.col("value").isin(*[float(x) for x in rules.GENERIC_NUMBERS]))
     # band join: bucket width = tolerance, probe the 3 neighbouring buckets
-    nb = nums.withColumn("_b", F.explode(F.array(*[F.floor(F.col("value") / tol) + d for d in (-1, 0, 1)])))
-    cb = context.select("conv_id", F.col("value").alias("cval"), "from_turn",
-                        F.floor(F.col("value") / tol).alias("_b"))
+    around = F.array_distinct(F.array(*[_bucket(F.col("value")) + d for d in (-1.0, 0.0, 1.0)]))
+    nb = nums.withColumn("_b", F.explode(around))
+    cb = context.select("conv_id", F.col("value").alias("cval"), "from_turn", _bucket(F.col("value")).alias("_b"))
     matched = nb.join(cb, ["conv_id", "_b"]).where(
         (F.abs(F.col("value") - F.col("cval")) < tol) & (F.col("from_turn") < F.col("turn"))
     ).select("conv_id", "turn", "value").distinct()

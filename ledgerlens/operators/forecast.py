@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs, rules
+from ..session import stage
 
 GRID_STEPS = 20  # a, g in {1/20, ..., 19/20}
 
@@ -34,9 +35,12 @@ def daily_totals(df: DataFrame, date_col: str, value_col: str, series_col: str |
 
 def fill_days(daily: DataFrame) -> DataFrame:
     """every day between a series' first and last day; missing -> 0."""
+    daily = stage(daily, "daily-totals")
     cal = (daily.groupBy("sid").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
                 .select("sid", F.explode(F.sequence("d0", "d1", F.expr("INTERVAL 1 DAY"))).alias("d")))
-    return cal.join(daily, ["sid", "d"], "left").fillna(0.0, subset=["y"])
+    filled = cal.join(daily, ["sid", "d"], "left").fillna(0.0, subset=["y"])
+    # calendar-sized; history, fits and counts all read this one written table
+    return stage(filled, "daily-series")
 
 
 def _fold(pts: Column, a: Column, g: Column) -> Column:
@@ -109,18 +113,18 @@ def linear_fit(filled: DataFrame) -> DataFrame:
     Output: sid, n, last_date, slope, intercept, sigma (population std of
     residuals; 10 when there is one point).
     """
-    w_first = F.min("d").alias("d0")
-    idx = filled.join(filled.groupBy("sid").agg(w_first), "sid").withColumn(
-        "t", F.datediff("d", "d0").cast("double"))
-    fit = idx.groupBy("sid").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"),
-                                 F.count(F.lit(1)).alias("n"), F.max("d").alias("last_date"))
-    res = idx.join(fit, "sid").withColumn(
-        "r", F.col("y") - (F.coalesce("intercept", F.col("y")) + F.coalesce("slope", F.lit(0.0)) * F.col("t")))
-    sig = res.groupBy("sid").agg(F.stddev_pop("r").alias("sd"))
-    return fit.join(sig, "sid").select(
-        "sid", "n", "last_date", F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.coalesce("intercept", F.lit(0.0)).alias("intercept"),
-        F.when(F.col("n") <= 1, F.lit(rules.OLS_SIGMA_SINGLE)).otherwise(F.col("sd")).alias("sigma"))
+    # sums over a day number; the index 0..n-1 is that number less the first
+    t = F.datediff("d", F.lit("1970-01-01").cast("date")).cast("double")
+    sums = filled.withColumn("t", t).groupBy("sid").agg(
+        F.count(F.lit(1)).alias("n"), F.max("d").alias("last_date"), F.min("t").alias("t0"), F.avg("t").alias("mt"),
+        F.avg("y").alias("my"), F.regr_sxx("y", "t").alias("sxx"), F.regr_sxy("y", "t").alias("sxy"),
+        F.regr_syy("y", "t").alias("syy"))
+    slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx"))
+    sd = F.sqrt(F.greatest(F.col("syy") - F.coalesce(slope, F.lit(0.0)) * F.col("sxy"), F.lit(0.0)) / F.col("n"))
+    return sums.select(
+        "sid", "n", "last_date", F.coalesce(slope, F.lit(0.0)).alias("slope"),
+        F.coalesce(F.col("my") - slope * (F.col("mt") - F.col("t0")), F.lit(0.0)).alias("intercept"),
+        F.when(F.col("n") <= 1, F.lit(rules.OLS_SIGMA_SINGLE)).otherwise(sd).alias("sigma"))
 
 
 def linear_forecast(fit: DataFrame, days_ahead: int) -> DataFrame:

@@ -58,6 +58,7 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
     computed once, so the rule operators that read it in several branches
     do not recompute it.
     """
+    df = exprs.nan_to_null(df)
     if materialize:
         df = stage(df, "profile-input")
     fields = df.schema.fields

@@ -3,133 +3,133 @@
 Spark's exact ``percentile``/``median`` merge a map of every distinct value
 of a column in one task; that does not survive a column with billions of
 distinct values.  Exact selection instead narrows a value window around
-each wanted rank:
-
-1. one aggregate: count, min, max of every column;
-2. per round, one exact histogram of every open window: ``buckets``
-   equal-width buckets counted by a partial hash aggregate (at most
-   ``buckets`` rows per window reach the driver).  The bucket holding the
-   rank becomes the next window, with the exact count of values below it;
-   a window with one distinct value left (a hot value) is answered at once;
-3. once a window holds at most ``limit`` values, its (value, count) pairs
-   are grouped on the executors and the few that remain finish the rank.
-
-Every round divides the value range by ``buckets``, so a double column needs
-a handful of rounds at most.  Interpolation is linear between the two
-neighbouring ranks, computed as numpy does.
+each wanted rank.  A round takes two one-row aggregates for all open windows:
+
+1. sketched quantiles just below and just above the rank (mergeable, of
+   fixed size) propose a narrower window.  They split by value order, so
+   neither outliers nor the range of doubles matter;
+2. exact counts place the rank below, at the lower end, inside, at the upper
+   end of, or above the proposal.  A rank on an end is answered; otherwise
+   the window shrinks to the open part that holds it, so every round makes
+   progress whatever the sketch said.
+
+A window of at most ``finish`` rows is sorted by the executors' partial
+counts, and at most that many (value, count) pairs are read.  Interpolation
+is linear between the two neighbouring ranks, computed as numpy does.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs
 
-BUCKETS = 4096
-LIMIT = 100_000
-MAX_ROUNDS = 12
+FINISH = 1024
+ACCURACY = 10_000
 
 
 def _lerp(a: float, b: float, t: float) -> float:
     d = b - a
+    if math.isinf(d):  # the ends lie further apart than a double can say
+        return a * (1.0 - t) + b * t
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
-                    limit: int = LIMIT, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of each column expression."""
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], finish: int = FINISH,
+                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of each column expression; null
+    and NaN take no part."""
     names = list(columns)
     if not names:
         return {}
-    # the rounds re-read only these narrow columns: keep them (memory, then
-    # disk) for the few passes; lost blocks are recomputed from lineage
-    base = df.select(*[e.cast("double").alias(f"_x{i}") for i, e in enumerate(columns.values())])
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _select(base, names, probs, limit, buckets)
-    finally:
-        base.unpersist()
-
-
-def _select(base: DataFrame, names: list[str], probs: list[float], limit: int,
-            buckets: int) -> dict[str, list[float | None]]:
+    base = df.select(*[F.nanvl(e.cast("double"), F.lit(None).cast("double")).alias(f"_x{i}")
+                       for i, e in enumerate(columns.values())])
+    return _select(base, names, probs, finish, accuracy)
+
+
+def _select(base: DataFrame, names: list[str], probs: list[float], finish: int, accuracy: int):
     D = exprs.sql_double  # plans are built as SQL text: one JVM call per expression
     r0 = base.selectExpr(*[a for i in range(len(names)) for a in (
         f"count(_x{i}) AS n{i}", f"min(_x{i}) AS lo{i}", f"max(_x{i}) AS hi{i}")]).first()
-    targets = {}  # (column, rank) -> window state
-    plan = {}
+    plan: dict[int, list[tuple[int, int, float]]] = {i: [] for i in range(len(names))}
+    targets: dict[tuple[int, int], dict] = {}  # (column, rank) -> window [lo, hi], rows below it, rows in it
     for i in range(len(names)):
         n = r0[f"n{i}"]
-        plan[i] = []
-        if not n:
-            continue
-        for p in probs:
+        for p in probs if n else []:
             h = p * (n - 1)
-            lo_r = int(math.floor(h))
-            hi_r = min(lo_r + 1, n - 1)
-            plan[i].append((lo_r, hi_r, h - lo_r))
-            for r in (lo_r, hi_r):
+            low = int(math.floor(h))
+            high = min(low + 1, n - 1)
+            plan[i].append((low, high, h - low))
+            for r in (low, high):
                 targets.setdefault((i, r), {"lo": r0[f"lo{i}"], "hi": r0[f"hi{i}"], "below": 0, "size": n})
-
-    for _ in range(MAX_ROUNDS):
-        big = [k for k, t in targets.items() if t["size"] > limit and t["lo"] < t["hi"]]
-        if not big:
+    values: dict[tuple[int, int], float] = {}
+    while True:
+        for k, t in targets.items():
+            if k not in values and t["lo"] == t["hi"]:
+                values[k] = t["lo"]
+        open_ = [k for k, t in targets.items() if k not in values and t["size"] > finish]
+        if not open_:
             break
-        # one exact histogram per distinct window: (window, bucket) -> count, min, max
-        wins = sorted({(k[0], targets[k]["lo"], targets[k]["hi"]) for k in big})
-        items = []
-        for w, (i, lo, hi) in enumerate(wins):
-            x = f"_x{i}"
-            b = f"CAST(least(floor(({x} - {D(lo)}) * {D(float(buckets))} / {D(hi - lo)}), {buckets - 1}) AS INT)"
-            items.append(f"CASE WHEN {x} >= {D(lo)} AND {x} <= {D(hi)} "
-                         f"THEN named_struct('w', {w}, 'b', {b}, 'x', {x}) END")
-        hist = (base.selectExpr(f"explode(filter(array({', '.join(items)}), e -> e IS NOT NULL)) AS e")
-                    .selectExpr("e.w AS w", "e.b AS b", "e.x AS x")
-                    .groupBy("w", "b")
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")))
-        per_win = {}
-        for row in hist.collect():  # at most `buckets` rows per window
-            per_win.setdefault(row["w"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-        for k in big:
-            t = targets[k]
-            w = wins.index((k[0], t["lo"], t["hi"]))
-            want = k[1] - t["below"]
-            acc = 0
-            for b, c, mn, mx in sorted(per_win.get(w, [])):
-                if acc + c > want:  # the bucket holding the rank
-                    t.update(lo=mn, hi=mx, below=t["below"] + acc, size=c)
-                    break
-                acc += c
-
-    # finish: grouped (value, count) pairs inside each window
-    keys = list(targets)
-    values = {k: t["lo"] for k, t in targets.items() if t["lo"] == t["hi"]}  # one distinct value left
-    keys = [k for k in keys if k not in values]
-    sel = ", ".join(f"CASE WHEN _x{i} >= {D(targets[(i, r)]['lo'])} AND _x{i} <= {D(targets[(i, r)]['hi'])} "
-                    f"THEN named_struct('t', {j}, 'v', _x{i}) END"
-                    for j, (i, r) in enumerate(keys))
-    if keys:
+        _narrow(base, targets, values, open_, accuracy, D)
+    rest = [k for k in targets if k not in values]
+    if rest:
+        sel = ", ".join(f"CASE WHEN _x{k[0]} >= {D(targets[k]['lo'])} AND _x{k[0]} <= {D(targets[k]['hi'])} "
+                        f"THEN named_struct('t', {j}, 'v', _x{k[0]}) END" for j, k in enumerate(rest))
         pairs = (base.selectExpr(f"explode(filter(array({sel}), p -> p IS NOT NULL)) AS p")
-                     .selectExpr("p.t AS t", "p.v AS v")
-                     .groupBy("t", "v").agg(F.count(F.lit(1)).alias("c")))
-        per = {}
-        for row in pairs.collect():  # at most `limit` distinct values per target
+                     .selectExpr("p.t AS t", "p.v AS v").groupBy("t", "v").agg(F.count(F.lit(1)).alias("c")))
+        per: dict[int, list] = {}
+        for row in pairs.collect():  # at most `finish` rows a target
             per.setdefault(row["t"], []).append((row["v"], row["c"]))
-        for j, k in enumerate(keys):
-            want = k[1] - targets[k]["below"]
-            acc = 0
-            for v, c in sorted(per.get(j, [])):
-                acc += c
-                if acc > want:
+        for j, k in enumerate(rest):
+            left = k[1] - targets[k]["below"]
+            for v, c in sorted(per[j]):
+                left -= c
+                if left < 0:
                     values[k] = v
                     break
-    out = {}
-    for i, name in enumerate(names):
-        if not plan[i]:
-            out[name] = [None] * len(probs)
-            continue
-        out[name] = [_lerp(values[(i, lo_r)], values[(i, hi_r)], t) for lo_r, hi_r, t in plan[i]]
-    return out
+    return {name: [_lerp(values[i, a], values[i, b], t) for a, b, t in plan[i]] or [None] * len(probs)
+            for i, name in enumerate(names)}
+
+
+def _narrow(base, targets, values, open_, accuracy, D) -> None:
+    """One round for the open targets: two one-row aggregates."""
+    inside = {}
+    proposals = []
+    for j, k in enumerate(open_):
+        t = targets[k]
+        x = f"_x{k[0]}"
+        inside[k] = f"{x} >= {D(t['lo'])} AND {x} <= {D(t['hi'])}"
+        slack = t["size"] * 2.0 / accuracy + 1
+        want = k[1] - t["below"]
+        p, q = (min(1.0, max(0.0, (want + d) / t["size"])) for d in (-slack, slack))
+        proposals.append(f"percentile_approx(CASE WHEN {inside[k]} THEN {x} END, array({p!r}D, {q!r}D), {accuracy}) AS p{j}")
+    guess = base.selectExpr(*proposals).first()
+    counts = []
+    for j, k in enumerate(open_):
+        x, (a, b) = f"_x{k[0]}", guess[f"p{j}"]
+        w, a, b = inside[k], D(a), D(b)
+        counts += [f"count_if({w} AND {x} < {a}) AS b{j}", f"count_if({x} = {a}) AS a{j}",
+                   f"count_if({x} > {a} AND {x} < {b}) AS m{j}", f"count_if({x} = {b}) AS e{j}",
+                   f"max(CASE WHEN {w} AND {x} < {a} THEN {x} END) AS bx{j}",
+                   f"min(CASE WHEN {x} > {a} AND {x} < {b} THEN {x} END) AS mn{j}",
+                   f"max(CASE WHEN {x} > {a} AND {x} < {b} THEN {x} END) AS mx{j}",
+                   f"min(CASE WHEN {w} AND {x} > {b} THEN {x} END) AS en{j}"]
+    got = base.selectExpr(*counts).first()
+    for j, k in enumerate(open_):
+        t, (a, b) = targets[k], guess[f"p{j}"]
+        want = k[1] - t["below"]
+        below, at, middle = got[f"b{j}"], got[f"a{j}"], got[f"m{j}"]
+        end = got[f"e{j}"] if b > a else 0
+        if want < below:
+            t.update(hi=got[f"bx{j}"], size=below)
+        elif want < below + at:
+            values[k] = a
+        elif want < below + at + middle:
+            t.update(lo=got[f"mn{j}"], hi=got[f"mx{j}"], below=t["below"] + below + at, size=middle)
+        elif want < below + at + middle + end:
+            values[k] = b
+        else:
+            past = below + at + middle + end
+            t.update(lo=got[f"en{j}"], below=t["below"] + past, size=t["size"] - past)

@@ -22,10 +22,10 @@ DEFAULT_CONF = {
 }
 
 # Local mode runs everything in the driver JVM: give it the memory.
-LOCAL_CONF = {"spark.driver.memory": "16g"}
+LOCAL_CONF = {"spark.driver.memory": "8g"}
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
     """Session for tests and the local bench (on a cluster use spark-submit's)."""
     b = SparkSession.builder.appName(app)
@@ -34,7 +34,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
         conf.update(LOCAL_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -50,14 +51,17 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
     """Shared folder for lineage cuts and staged outputs.
 
     Read from ``spark.checkpoint.dir`` (the folder the cluster names);
-    only when it is unset (local tests) a scratch folder is created and
-    registered.
+    only when it is unset on a local master (tests) a scratch folder is
+    created and registered; on a cluster an unset folder is an error.
     """
     global _LOCAL_BASE
+    master = spark.conf.get("spark.master", "local")
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_BASE is None:
             _LOCAL_BASE = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         base = _LOCAL_BASE
@@ -72,26 +76,13 @@ def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
     return os.environ.get("BENCH_SF_DIR", default)
 
 
-# Scans smaller than this stay as they are: one task reads them quickly
-# (and dimension tables of that size are broadcast anyway).
-SPREAD_MIN_BYTES = 4 << 20
-
-
 def spread(df):
-    """Round-robin a file scan over the cluster's cores when it has fewer
-    splits than that (a file with one parquet row group is read by one
-    task), so the joins and partial aggregates above it run on every core.
-    At scale a scan has far more splits than cores and this is a no-op: no
-    shuffle is added.  Only for plain scans: counting the partitions of a
-    plan with shuffles would run it.
+    """Deal a scan over ``spark.ledgerlens.scanPartitions`` partitions, if the
+    session sets it (a test file with one parquet row group is read by one
+    task).  Unset, as on a cluster with many splits, a scan stays as it is.
     """
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        narrow = size >= SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < n
-    except Exception:  # no plan statistics (e.g. a Spark Connect session): keep the scan
-        return df
-    return df.repartition(n) if narrow else df
+    n = df.sparkSession.conf.get("spark.ledgerlens.scanPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def stage(df, name: str = "stage"):

@@ -14,10 +14,10 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 def read_table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    ``wide=True`` spreads a scan narrower than the cluster over every core
-    (filters and pruning still reach the scan): for CPU-heavy jobs such as
-    parsing and profiling.  Light aggregations keep the plain scan, where
-    the partial aggregate shrinks the data before any shuffle.
+    ``wide=True`` marks scans of CPU-heavy jobs such as parsing and profiling:
+    they are dealt over the partitions the session asks for, if it does
+    (``session.spread``).  Light aggregations keep the plain scan, where the
+    partial aggregate shrinks the data before any shuffle.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if wide else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import rules
+from ..functions import exprs, rules
 
 ACCEPTED = (".csv", ".xlsx", ".xls")
 
@@ -13,17 +13,36 @@ class UploadError(ValueError):
     """An upload the ingest refuses (format, parse failure, empty)."""
 
 
-def read_upload_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_upload_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Header CSV, every column as text, missing-value tokens -> null.
 
     Spark's ``nullValue`` takes a single token, so the token set is applied
-    afterwards with one ``isin`` per column.  FAILFAST turns malformed
-    records into an error instead of silently dropped fields.
+    afterwards with one ``isin`` per column.  Quotes inside a quoted value
+    are doubled, and a quoted value may hold line breaks (``multi_line``; a
+    file is then read by one task, so large uploads without such breaks turn
+    it off).  Short rows are filled with nulls, rows with too many values
+    are an error.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "FAILFAST").option("multiLine", False).csv(path))
-    return raw.select(*[F.when(~F.col(f"`{c}`").isin(*rules.CSV_NA_TOKENS), F.col(f"`{c}`")).alias(c)
-                        for c in raw.columns])
+    read = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"')
+            .option("escape", '"').option("multiLine", multi_line))
+    names = read.csv(path).columns
+    extra = "_corrupt_record"
+    schema = ", ".join(f"{exprs.sql_ident(c)} STRING" for c in names)
+    raw = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", extra).schema(
+        f"{schema}, {extra} STRING").csv(path)
+    # a short row is reported as corrupt too: only more separators than columns are an error
+    return _refuse_long(raw, names, extra).select(*[F.when(~F.col(f"`{c}`").isin(*rules.CSV_NA_TOKENS), F.col(f"`{c}`")).alias(c)
+                        for c in names])
+
+
+def _refuse_long(raw: DataFrame, names: list[str], extra: str) -> DataFrame:
+    """Fail on records with more values than the header: Spark fills every
+    column of those, while a short record leaves the last one empty."""
+    last = F.col(exprs.sql_ident(names[-1]))
+    quoted = F.regexp_replace(F.col(extra), r'"(?:[^"]|"")*"', "")
+    long = F.col(extra).isNotNull() & (F.length(quoted) - F.length(F.translate(quoted, ",", "")) >= len(names))
+    checked = F.when(long, F.raise_error(F.concat(F.lit("too many values: "), F.col(extra))).cast("string")).otherwise(last)
+    return raw.withColumn(names[-1], checked)
 
 
 def check_upload(spark: SparkSession, name: str, path: str) -> DataFrame:

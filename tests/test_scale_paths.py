@@ -99,6 +99,6 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b})).repartition(7)
     df = df.withColumn("b", F.when(~F.isnan("b"), F.col("b")))
     probs = [0.25, 0.5, 0.75]
-    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, probs, limit=40, buckets=8)
+    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, probs, finish=40, accuracy=50)
     assert got["a"] == list(np.quantile(a, probs))
     assert got["b"] == list(np.quantile(b[~np.isnan(b)], probs))
