@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..session import stage
+
 
 def sales_kpis(lines: DataFrame, order_col: str, customer_col: str, revenue_col: str,
                gross_col: str, quantity_col: str, cost_col: str | None = None) -> DataFrame:
@@ -81,23 +83,33 @@ def key_relationships(candidates: list[tuple[str, DataFrame, str, str, DataFrame
     child_values, matched_values, containment, parent_unique, cardinality,
     confidence (= containment x 100, 2 dp).
     """
-    outs = []
+    columns: dict[tuple[str, str], DataFrame] = {}
     for ct, cdf, cc, pt, pdf, pc in candidates:
-        cv = (cdf.where(F.col(cc).isNotNull()).select(F.col(cc).alias("_v")).distinct()
-                 .withColumn("_in_child", F.lit(1)))
-        pv = pdf.where(F.col(pc).isNotNull()).groupBy(F.col(pc).alias("_v")).agg(F.count(F.lit(1)).alias("_pc"))
-        # full join of the two distinct-value sets: one pass gives the
-        # containment (child side) and the parent's uniqueness
-        j = cv.join(pv, "_v", "full")
-        outs.append(j.agg(F.count("_in_child").alias("child_values"),
-                          F.count_if(F.col("_in_child").isNotNull() & F.col("_pc").isNotNull())
-                          .alias("matched_values"),
-                          F.max("_pc").alias("_maxc")).select(
-            F.lit(ct).alias("child_table"), F.lit(cc).alias("child_column"), F.lit(pt).alias("parent_table"),
-            F.lit(pc).alias("parent_column"), "child_values", "matched_values", "_maxc"))
-    g = outs[0]
-    for o in outs[1:]:
-        g = g.unionByName(o)
+        columns.setdefault((ct, cc), cdf)
+        columns.setdefault((pt, pc), pdf)
+    number = {k: i for i, k in enumerate(columns)}
+    # every key column once: (column, value, rows), partially aggregated
+    keys = None
+    for (table, c), df in columns.items():
+        one = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(
+            F.count(F.lit(1)).alias("rows")).select(F.lit(number[table, c]).alias("c"), "v", "rows")
+        keys = one if keys is None else keys.unionByName(one)
+    keys = stage(keys, "key-values")
+    stats = {r["c"]: r for r in keys.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).collect()}
+    pairs = [(number[ct, cc], number[pt, pc]) for ct, _, cc, pt, _, pc in candidates]
+    # the columns that hold a value are few: their candidate pairs are counted in place
+    wanted = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    held = keys.groupBy("v").agg(F.collect_set("c").alias("cs"))
+    both = held.select(F.explode(F.filter(wanted, lambda p: F.array_contains("cs", p["a"]) & F.array_contains("cs", p["b"])))
+                       .alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    matched = {(r["a"], r["b"]): r["n"] for r in both.collect()}  # one row per candidate pair
+    rows = []
+    for (ct, _, cc, pt, _, pc), (a, b) in zip(candidates, pairs):
+        rows.append((ct, cc, pt, pc, stats[a]["n"] if a in stats else 0, matched.get((a, b), 0),
+                     stats[b]["most"] if b in stats else None))
+    g = candidates[0][1].sparkSession.createDataFrame(
+        rows, "child_table string, child_column string, parent_table string, parent_column string, child_values long,"
+              " matched_values long, _maxc long")
     cont = F.try_divide(F.col("matched_values").cast("double"), F.col("child_values"))
     uniq = F.coalesce(F.col("_maxc") <= 1, F.lit(True))
     return g.select("child_table", "child_column", "parent_table", "parent_column", "child_values",

@@ -10,6 +10,8 @@ run on that small profile DataFrame (one row per column).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -82,11 +84,11 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
         return f"CAST({e} AS STRING)"
 
     aggs = ["count(1) AS _n"]
-    dists = []
+    dist = {} if approx else distinct_counts(base, {i: c for i, c in enumerate(cols)})
     for i, f in enumerate(fields):
         c, kind = cols[i], kinds[i]
         aggs.append(f"count_if({c} IS NULL) AS _z{i}")
-        dists.append((f"approx_count_distinct({c}, 0.01)" if approx else f"count(DISTINCT {c})") + f" AS _d{i}")
+        aggs.append((f"approx_count_distinct({c}, 0.01)" if approx else f"CAST({dist[i]} AS BIGINT)") + f" AS _d{i}")
         if kind in ("Integer", "Float"):
             aggs += [f"CAST(min({c}) AS STRING) AS _lo{i}", f"CAST(max({c}) AS STRING) AS _hi{i}",
                      f"avg({c}) AS _mu{i}", f"{med(i)} AS _me{i}", f"stddev_samp({c}) AS _sd{i}"]
@@ -103,10 +105,7 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
             # text form for timestamps and booleans, without a cast per row
             aggs += [f"{text_of(f'min({c})', f.dataType)} AS _lo{i}",
                      f"{text_of(f'max({c})', f.dataType)} AS _hi{i}"]
-    # Distinct counts run as their own aggregate: mixed with the others,
-    # Spark's distinct rewrite (Expand) would copy every other aggregate's
-    # input once per distinct column.
-    row = one_row(base.selectExpr(*aggs), base.selectExpr(*dists))
+    row = base.selectExpr(*aggs)
 
     nd = "CAST(_n AS DOUBLE)"
     k = rules.PROFILE_TEXT_CHARS
@@ -155,6 +154,55 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
     return df.sparkSession.createDataFrame(prof.collect(), prof.schema)
 
 
+def distinct_counts(df: DataFrame, exprs_by_key: dict[int, str]) -> dict[int, int]:
+    """Exact distinct counts of many expressions: narrow (key, value text)
+    pairs, grouped with a partial aggregate and counted.  Several
+    ``count(DISTINCT)`` in one aggregate would copy every row, with all its
+    columns, once per expression."""
+    if not exprs_by_key:
+        return {}
+    pairs = ", ".join(f"named_struct('k', {k}, 'v', CAST({e} AS STRING))" for k, e in exprs_by_key.items())
+    found = (df.selectExpr(f"explode(array({pairs})) AS p").selectExpr("p.k AS k", "p.v AS v").where("v IS NOT NULL")
+               .groupBy("k", "v").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("one").alias("n")).collect())
+    return {k: 0 for k in exprs_by_key} | {r["k"]: r["n"] for r in found}  # one row per expression
+
+
+def column_names(df: DataFrame) -> DataFrame:
+    """ordinal, column_name: all that P8 needs, from the schema alone."""
+    return df.sparkSession.createDataFrame(list(enumerate(df.columns)), "ordinal int, column_name string")
+
+
+def column_metadata(df: DataFrame) -> DataFrame:
+    """P4 + P7 without the statistics: ordinal, column_name, data_type,
+    semantic_type, one row per column.
+
+    Only columns that a name rule does not decide are read: text columns for
+    the share of numbers, and all of them for their distinct counts."""
+    df = exprs.nan_to_null(df)
+    q = exprs.sql_ident
+    open_ = [i for i, f in enumerate(df.schema.fields) if _by_name(f.name) is None]
+    kinds = {i: exprs.logical_type(f.dataType) for i, f in enumerate(df.schema.fields)}
+    dist = distinct_counts(df, {i: q(df.columns[i]) for i in open_})
+    texts = [i for i in open_ if kinds[i] is None]
+    share = df.selectExpr("count(1) AS n", *[f"count({exprs.parse_number_sql(q(df.columns[i]))}) AS p{i}" for i in texts]
+                          ).first() if texts else None
+    rows = []
+    for i, name in enumerate(df.columns):
+        numeric = i in texts and share[f"p{i}"] > share["n"] * rules.PARSE_SHARE
+        rows.append((i, name, kinds[i] or ("Float" if numeric else "Text"), dist.get(i)))
+    meta = df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, data_type string, distinct_count long")
+    return meta.withColumn("semantic_type", semantic_type(F.col("column_name"), F.col("data_type"), F.col("distinct_count"))
+                           ).select("ordinal", "column_name", "data_type", "semantic_type")
+
+
+def _by_name(name: str) -> str | None:
+    """The semantic type a name decides whatever the column holds."""
+    for sem, pattern in rules.SEMANTIC_RULES:
+        if re.search(pattern, name.lower()):
+            return None if sem == "Boolean" else sem
+    return None
+
+
 def semantic_type(name: Column, data_type: Column, distinct_count: Column) -> Column:
     """First matching name rule, then type/cardinality fallbacks."""
     low = F.lower(name)

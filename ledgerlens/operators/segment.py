@@ -30,6 +30,8 @@ def rfm(df: DataFrame, customer: str, amount: str, date: str | None = None) -> D
     per = df.groupBy(F.col(customer).alias("customer_code")).agg(*aggs)
     if not date:
         return per.withColumn("last_date", F.lit(None).cast("timestamp")).withColumn("recency", F.lit(0).cast("long"))
+    # read three times from here on (latest date, z-score moments, rows): written once
+    per = stage(per, "rfm")
     # one scalar, not a data set: the global latest purchase
     top = per.agg(F.max("last_date").alias("m")).first()["m"]
     if top is None:

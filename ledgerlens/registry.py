@@ -187,6 +187,10 @@ def _flat_profile(spark, sf_dir):
     return prof_ops.profile(sales_lines(Tables(spark, sf_dir, wide=True)), materialize=True)
 
 
+def _flat_metadata(spark, sf_dir):
+    return prof_ops.column_metadata(sales_lines(Tables(spark, sf_dir)))
+
+
 @register("p1_p7_profile_orders",
           _round_stats_sql(twins.profile_sql("orders", ORDERS_KINDS)))
 def p1_p7_profile_orders(spark, sf_dir):
@@ -200,22 +204,22 @@ def p1_p7_profile_sales(spark, sf_dir):
 
 @register("p8_domain", f"WITH prof AS ({_flat_profile_sql()}) {twins.domain_sql('prof')}")
 def p8_domain(spark, sf_dir):
-    return prof_ops.classify_domain(_flat_profile(spark, sf_dir))
+    return prof_ops.classify_domain(prof_ops.column_names(sales_lines(Tables(spark, sf_dir))))
 
 
 @register("p9_kpi_suggestions", f"WITH prof AS ({_flat_profile_sql()}) {twins.kpis_sql('prof')}")
 def p9_kpi_suggestions(spark, sf_dir):
-    return prof_ops.suggest_kpis(_flat_profile(spark, sf_dir))
+    return prof_ops.suggest_kpis(_flat_metadata(spark, sf_dir))
 
 
 @register("p10_chart_suggestions", f"WITH prof AS ({_flat_profile_sql()}) {twins.charts_sql('prof')}")
 def p10_chart_suggestions(spark, sf_dir):
-    return prof_ops.suggest_charts(_flat_profile(spark, sf_dir))
+    return prof_ops.suggest_charts(_flat_metadata(spark, sf_dir))
 
 
 @register("p11_column_picks", f"WITH prof AS ({_flat_profile_sql()}) {twins.picks_sql('prof')}")
 def p11_column_picks(spark, sf_dir):
-    return prof_ops.pick_columns(_flat_profile(spark, sf_dir))
+    return prof_ops.pick_columns(_flat_metadata(spark, sf_dir))
 
 
 @register("p12_p13_ingest_insights", f"""
@@ -420,6 +424,16 @@ def a11_scatter_points(spark, sf_dir):
     return s.withColumn("y", r2("y"))
 
 
+@register("m4_zscores", f"""WITH {_RFM_SQL},
+st AS (SELECT avg(recency) mr, stddev_pop(recency) sr, avg(frequency) mf, stddev_pop(frequency) sf,
+              avg(monetary) mm, stddev_pop(monetary) sm FROM rfm)
+SELECT customer_code, round((recency - mr) / sr, 6) AS z_recency, round((frequency - mf) / sf, 6) AS z_frequency,
+       round((monetary - mm) / sm, 6) AS z_monetary FROM rfm, st""")
+def m4_zscores(spark, sf_dir):
+    z = seg_ops.standardize(_rfm(spark, sf_dir))
+    return z.select("customer_code", *[r6(f"z_{c}").alias(f"z_{c}") for c in seg_ops.FEATURES])
+
+
 @register("m4_m8_kmeans_segments")
 def m4_m8_kmeans_segments(spark, sf_dir):
     s = seg_ops.segment_customers(Tables(spark, sf_dir).orders, "o_custkey", "o_totalprice", "o_orderdate")
@@ -448,12 +462,12 @@ FROM prof"""
 
 @register("m1_column_resolution", _resolve_sql("m1"))
 def m1_column_resolution(spark, sf_dir):
-    return seg_ops.resolve_columns(_flat_profile(spark, sf_dir))
+    return seg_ops.resolve_columns(_flat_metadata(spark, sf_dir))
 
 
 @register("f1_column_resolution", _resolve_sql("f1"))
 def f1_column_resolution(spark, sf_dir):
-    return fc.resolve_columns(_flat_profile(spark, sf_dir))
+    return fc.resolve_columns(_flat_metadata(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- forecasting
@@ -1034,3 +1048,71 @@ def a7_dashboard_document(spark, sf_dir):
     return dash.dashboard_document(a1_kpi_values(spark, sf_dir), a3_daily_series(spark, sf_dir),
                                    a4_category_share(spark, sf_dir), a5_country_ranking(spark, sf_dir),
                                    a6_skewness_insights(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- storage, catalog, inventory
+from .sources import catalog as cat_ops  # noqa: E402
+
+
+def _orders_catalog(spark, sf_dir):
+    """Orders read as catalog rows: an order is a dataset, its customer the owner."""
+    return Tables(spark, sf_dir).orders.select(
+        F.col("o_orderkey").cast("string").alias("dataset_id"), F.col("o_custkey").cast("string").alias("uploaded_by"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("record_count"))
+
+
+@register("s6_dataset_listing", """
+SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, strftime(o_orderdate, '%Y-%m-%d') AS created,
+       row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS position
+FROM orders WHERE o_custkey = 7""")
+def s6_dataset_listing(spark, sf_dir):
+    mine = cat_ops.list_datasets(_orders_catalog(spark, sf_dir), "7")  # one owner's list
+    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), "dataset_id"))
+    return mine.select("dataset_id", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+                       rank.cast("long").alias("position"))
+
+
+@register("s7_resolve_dataset", """
+WITH c AS (SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, o_custkey AS owner, o_orderdate AS created FROM orders),
+latest AS (SELECT owner, dataset_id AS latest FROM (SELECT *, row_number() OVER (PARTITION BY owner
+           ORDER BY created DESC, dataset_id DESC) AS k FROM c) WHERE k = 1),
+req AS (SELECT c_custkey AS owner, CAST(c_custkey * 3 AS VARCHAR) AS requested_id FROM customer)
+SELECT CAST(req.owner AS VARCHAR) AS owner, requested_id,
+       CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.owner = req.owner AND c.dataset_id = req.requested_id)
+            THEN requested_id ELSE latest END AS resolved_id
+FROM req LEFT JOIN latest ON latest.owner = req.owner""")
+def s7_resolve_dataset(spark, sf_dir):
+    asked = Tables(spark, sf_dir).customer.select(F.col("c_custkey").cast("string").alias("owner"),
+                                                  (F.col("c_custkey") * 3).cast("string").alias("dataset_id"))
+    return cat_ops.resolve_datasets(_orders_catalog(spark, sf_dir), asked)
+
+
+@register("s3_d8_dataset_versions", """
+SELECT 'raw' AS version, o_orderkey, o_custkey, o_totalprice FROM orders
+UNION ALL SELECT 'cleaned', o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 0""")
+def s3_d8_dataset_versions(spark, sf_dir):
+    """Two versions of one dataset, written and read back."""
+    root = shared_dir(spark, f"catalog-{_uuid.uuid4().hex}")
+    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    out = None
+    for version, df in (("raw", orders), ("cleaned", orders.where("o_totalprice > 0"))):
+        path = cat_ops.write_dataset(df, root, "orders", version)
+        back = spark.read.schema(df.schema).parquet(path).select(F.lit(version).alias("version"), "*")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@register("d4_stock_out_rate", """
+WITH inv AS (SELECT p_partkey, greatest(0, 800 - coalesce(CAST(sum(l_quantity) AS BIGINT), 0)) AS on_hand, 100 AS reorder_point
+             FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
+SELECT count(*) AS items, CAST(sum(on_hand) AS BIGINT) AS inventory_count, count_if(on_hand <= 0) AS stock_outs,
+       count_if(on_hand <= reorder_point) AS below_reorder,
+       round(count_if(on_hand <= 0) * 100.0 / count(*), 6) AS stock_out_rate_pct FROM inv""")
+def d4_stock_out_rate(spark, sf_dir):
+    """Inventory derived from the tables: 800 of each part less what was sold."""
+    t = Tables(spark, sf_dir)
+    sold = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").cast("long").alias("sold"))
+    left = F.greatest(F.lit(0).cast("long"), F.lit(800).cast("long") - F.coalesce("sold", F.lit(0).cast("long")))
+    inv = t.part.select("p_partkey").join(sold, "p_partkey", "left").select(
+        left.alias("quantity_on_hand"), F.lit(100).alias("reorder_point"))
+    return m_ops.stock_out_rate(inv).withColumn("stock_out_rate_pct", r6("stock_out_rate_pct"))
