@@ -62,6 +62,10 @@ IQR_FACTOR = 1.5
 NULL_WARN_PCT = 10.0
 NULL_WARN_NAMES = 2
 
+# Dashboard of a user without datasets.
+NO_DATASET_FILE = "None"
+NO_DATASET_TEXT = "No business datasets uploaded yet. Go to Upload Dataset to import a file."
+
 # Dashboard limits.
 SERIES_DAYS = 100
 PIE_TOP = 8

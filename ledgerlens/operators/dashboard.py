@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs, rules
+from .profile import one_row
 
 
 def _kpi_display(value: Column, dtype: T.DataType, formula: str) -> Column:
@@ -160,12 +161,34 @@ def page_count(total: Column, size: int = rules.PAGE_SIZE) -> Column:
     return F.ceil(total / F.lit(size)).cast("long")
 
 
-def dashboard_document(kpis: DataFrame, series: DataFrame, pie: DataFrame,
-                       bar: DataFrame, insights: DataFrame) -> DataFrame:
+def _header(filename, domain, confidence, records) -> Column:
+    cells = [("filename", filename), ("domain", domain), ("confidence_score", confidence), ("record_count", records)]
+    return F.inline(F.array(*[F.struct(F.lit("header").alias("section"), F.lit(i).alias("position"),
+                                       F.lit(label).alias("label"), value.alias("value"))
+                              for i, (label, value) in enumerate(cells, 1)]))
+
+
+def dashboard_header(filename: str, domain: DataFrame, records: DataFrame) -> DataFrame:
+    """A7 header rows.  ``domain``: domain, confidence_score (P8);
+    ``records``: n (both one row)."""
+    return one_row(domain, records).select(_header(F.lit(filename), F.col("domain"), exprs.float_text(F.col("confidence_score")),
+                                                   F.col("n").cast("string")))
+
+
+def empty_dashboard(spark) -> DataFrame:
+    """A7 for a user without datasets: a header of defaults and one insight."""
+    one = spark.range(1)
+    head = one.select(_header(F.lit(rules.NO_DATASET_FILE), F.lit(rules.GENERIC_DOMAIN), F.lit("0.0"), F.lit("0")))
+    return head.unionByName(one.select(F.lit("insight").alias("section"), F.lit(1).alias("position"),
+                                       F.lit("").alias("label"), F.lit(rules.NO_DATASET_TEXT).alias("value")))
+
+
+def dashboard_document(kpis: DataFrame, series: DataFrame, pie: DataFrame, bar: DataFrame, insights: DataFrame,
+                       header: DataFrame | None = None) -> DataFrame:
     """The dashboard parts as one long table.
 
-    Output: section, position, label, value (text) -- one row per KPI,
-    chart point and insight; every part is already bounded (top-k).
+    Output: section, position, label, value (text) -- one row per header
+    field, KPI, chart point and insight; every part is already bounded (top-k).
     """
     def w(order):  # parts are top-k bounded: a one-partition window is fine
         return F.row_number().over(Window.orderBy(*order))
@@ -182,4 +205,5 @@ def dashboard_document(kpis: DataFrame, series: DataFrame, pie: DataFrame,
     i = insights.where(F.col("insight").isNotNull()).select(
         F.lit("insight").alias("section"), w([F.col("column_name")]).alias("position"),
         F.col("column_name").alias("label"), F.col("insight").alias("value"))
-    return k.unionByName(s).unionByName(p).unionByName(b).unionByName(i)
+    parts = k.unionByName(s).unionByName(p).unionByName(b).unionByName(i)
+    return parts if header is None else header.unionByName(parts)

@@ -63,13 +63,13 @@ def _lines(df: DataFrame, order: str, line: str, alias: str) -> DataFrame:
 
 def context_document(filename: str, domain: DataFrame, records: DataFrame, columns: DataFrame,
                      kpis: DataFrame, charts: DataFrame, insights: DataFrame,
-                     forecast: DataFrame, segments: DataFrame) -> DataFrame:
+                     forecast: DataFrame, segments: DataFrame, metric: str = "Sales") -> DataFrame:
     """The sections joined in their fixed order (one row: document).
 
     domain: domain, confidence_score; records: n; columns: ordinal, line;
     kpis: kpi_order, kpi_name, value, formula; charts: chart_order, line;
-    insights: insight_order, text; forecast: one digest row (F10);
-    segments: M9 rows.
+    insights: insight_order, text; forecast: one digest row (F10) with its
+    ``mape``; segments: M9 rows; metric: the column that is forecast.
     """
     kp = kpis.select("kpi_order", F.format_string("- %s: %s (Formula: %s)", "kpi_name", "value",
                                                   "formula").alias("line"))
@@ -80,6 +80,8 @@ def context_document(filename: str, domain: DataFrame, records: DataFrame, colum
         exprs.float_text(F.col("percentage")), exprs.grouped(F.col("avg_monetary"), 2)).alias("line"))
     fc = forecast.select(F.concat_ws(
         "\n",
+        F.lit(f"- Forecast Target Metric: {metric}"),
+        F.concat(F.lit("- Forecast Accuracy (MAPE): "), exprs.float_text(F.col("mape")), F.lit("%")),
         F.format_string("- Historical Data Count: %s records", F.col("history_days").cast("string")),
         F.concat(F.lit("- Average Historical Value: "), exprs.grouped(F.col("history_mean"), 2)),
         F.format_string("- 30-Day Forecast Point Count: %s days", F.col("forecast_days").cast("string")),

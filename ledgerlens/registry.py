@@ -742,11 +742,12 @@ def _context_document(spark, sf_dir):
     ins = prof_ops.ingest_insights(prof, dom, records).unionByName(
         skew.select((F.lit(100) + F.monotonically_increasing_id()).cast("int").alias("insight_order"),
                     F.col("insight").alias("text")))
-    rows, _ = fc.forecast(t.orders, "o_orderdate", "o_totalprice", 30)
-    fdig = fc.digest(rows)
-    segs = seg_ops.segment_summary(seg_ops.rule_segments(_rfm(spark, sf_dir)))
+    # forecast and segments of the described lines, as the document says
+    rows, accuracy = fc.forecast(flat, "order_date", "net_amount", 30)
+    fdig = prof_ops.one_row(fc.digest(rows), accuracy.select("mape"))
+    segs = seg_ops.segment_summary(seg_ops.segment_customers(flat, "customer_id", "net_amount", "order_date"))
     return digest_ops.context_document("sales_lines", dom, records, digest_ops.column_digest(prof), kpis,
-                                       digest_ops.chart_digest(_chart_points(spark, sf_dir)), ins, fdig, segs)
+                                       digest_ops.chart_digest(_chart_points(spark, sf_dir)), ins, fdig, segs, "net_amount")
 
 
 @register("t12_context_document")
@@ -1031,8 +1032,14 @@ def s9_report_profile_section(spark, sf_dir):
 # ---------------------------------------------------------------- dashboard assembly
 def _a7_sql() -> str:
     o = ORACLE
+    names = ", ".join(f"({i}, {twins.q(c)})" for i, c in enumerate(FLAT_COLUMNS))
     return f"""
-SELECT 'kpi' AS section, CAST(kpi_order AS INTEGER) AS position, kpi_name AS label, value FROM ({o['a1_kpi_values']})
+WITH prof AS (SELECT * FROM (VALUES {names}) v(ordinal, column_name)), dom AS ({twins.domain_sql('prof')})
+SELECT 'header' AS section, 1 AS position, 'filename' AS label, 'sales_lines' AS value
+UNION ALL SELECT 'header', 2, 'domain', domain FROM dom
+UNION ALL SELECT 'header', 3, 'confidence_score', {exprs.float_text_sql('confidence_score')} FROM dom
+UNION ALL SELECT 'header', 4, 'record_count', CAST(count(*) AS VARCHAR) FROM {sales_lines_sql(["order_number"])} f
+UNION ALL SELECT 'kpi' AS section, CAST(kpi_order AS INTEGER) AS position, kpi_name AS label, value FROM ({o['a1_kpi_values']})
 UNION ALL SELECT 'line', CAST(row_number() OVER (ORDER BY date) AS INTEGER), date, {exprs.float_text_sql('value')}
   FROM ({o['a3_daily_series']})
 UNION ALL SELECT 'pie', CAST(row_number() OVER (ORDER BY value DESC, name) AS INTEGER), name,
@@ -1047,7 +1054,12 @@ UNION ALL SELECT 'insight', CAST(row_number() OVER (ORDER BY column_name) AS INT
 def a7_dashboard_document(spark, sf_dir):
     return dash.dashboard_document(a1_kpi_values(spark, sf_dir), a3_daily_series(spark, sf_dir),
                                    a4_category_share(spark, sf_dir), a5_country_ranking(spark, sf_dir),
-                                   a6_skewness_insights(spark, sf_dir))
+                                   a6_skewness_insights(spark, sf_dir), _a7_header(spark, sf_dir))
+
+
+def _a7_header(spark, sf_dir):
+    lines = sales_lines(Tables(spark, sf_dir), ["order_number"])
+    return dash.dashboard_header("sales_lines", p8_domain(spark, sf_dir), lines.agg(F.count(F.lit(1)).alias("n")))
 
 
 # ---------------------------------------------------------------- storage, catalog, inventory

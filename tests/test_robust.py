@@ -154,3 +154,11 @@ def test_linear_fit_by_sums(spark):
     assert math.isclose(rows["a"]["slope"], slope) and math.isclose(rows["a"]["intercept"], intercept)
     assert math.isclose(rows["a"]["sigma"], np.std(y - (intercept + slope * np.arange(5))))
     assert (rows["b"]["slope"], rows["b"]["sigma"]) == (0.0, 10.0)
+
+
+def test_empty_dashboard(spark):
+    from ledgerlens.operators import dashboard
+
+    rows = {(r["section"], r["label"]): r["value"] for r in dashboard.empty_dashboard(spark).collect()}
+    assert rows["header", "record_count"] == "0" and rows["header", "domain"] == "Generic Business Dataset"
+    assert rows["insight", ""].startswith("No business datasets uploaded yet.")
