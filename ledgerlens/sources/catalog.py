@@ -10,13 +10,19 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..operators.profile import PROFILE_SCHEMA
 
 CATALOG_SCHEMAS = {
     "datasets": ("dataset_id string, filename string, domain string, confidence_score double, "
                  "record_count long, uploaded_by string, version string, path string, created_at timestamp"),
     "upload_history": ("upload_id string, filename string, uploaded_by string, status string, "
                        "records_processed long, created_at timestamp"),
+    # what ingest derives, stored once so that reports and digests read it
+    "column_metadata": f"dataset_id string, {PROFILE_SCHEMA}",
+    "generated_kpis": "dataset_id string, kpi_order int, kpi_name string, formula string",
+    "generated_insights": "dataset_id string, insight_order int, text string",
     "audit_logs": ("user_id string, action string, table_name string, record_id string, details string, "
                    "created_at timestamp"),
 }
@@ -58,6 +64,20 @@ def publish(df: DataFrame, root: str, dataset_id: str, filename: str, owner: str
     return path
 
 
+def store_metadata(root: str, dataset_id: str, prof: DataFrame, kpis: DataFrame, insights: DataFrame) -> None:
+    """The profile (P1-P7), KPIs (P9) and insights (P12) of a dataset."""
+    spark = prof.sparkSession
+    for table, df in (("column_metadata", prof), ("generated_kpis", kpis), ("generated_insights", insights)):
+        named = df.withColumn("dataset_id", F.lit(dataset_id))
+        schema = T._parse_datatype_string(CATALOG_SCHEMAS[table])
+        append_catalog(spark, root, table, named.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+
+
+def stored_metadata(spark: SparkSession, root: str, table: str, dataset_id: str) -> DataFrame:
+    """The stored rows of one dataset (a filter that reaches the scan)."""
+    return read_catalog(spark, root, table).where(F.col("dataset_id") == dataset_id).drop("dataset_id")
+
+
 def list_datasets(catalog: DataFrame, owner: str) -> DataFrame:
     """An owner's datasets, newest first."""
     return catalog.where(F.col("uploaded_by") == owner).orderBy(F.desc("created_at"), "dataset_id")

@@ -162,3 +162,28 @@ def test_empty_dashboard(spark):
     rows = {(r["section"], r["label"]): r["value"] for r in dashboard.empty_dashboard(spark).collect()}
     assert rows["header", "record_count"] == "0" and rows["header", "domain"] == "Generic Business Dataset"
     assert rows["insight", ""].startswith("No business datasets uploaded yet.")
+
+
+def test_stored_metadata_feeds_the_report(spark, tmp_path):
+    from ledgerlens.operators import digest, reports
+    from ledgerlens.sources import catalog
+
+    df = spark.createDataFrame([(1, "a", 2.5), (2, "b", 3.5)], "order_id int, city string, price double")
+    p = prof.profile(df)
+    insights = prof.ingest_insights(p, prof.classify_domain(p), df.agg(F.count(F.lit(1)).alias("n")))
+    for name in ("d1", "d2"):
+        catalog.store_metadata(str(tmp_path), name, p, prof.suggest_kpis(p), insights)
+    stored = catalog.stored_metadata(spark, str(tmp_path), "column_metadata", "d1")
+    assert sorted(stored.collect()) == sorted(p.select(stored.columns).collect())
+    assert sorted(reports.profile_section(stored).collect()) == sorted(reports.profile_section(p).collect())
+    assert sorted(digest.column_digest(stored).collect()) == sorted(digest.column_digest(p).collect())
+    assert catalog.stored_metadata(spark, str(tmp_path), "generated_kpis", "d2").count() == prof.suggest_kpis(p).count()
+
+
+def test_metadata_matches_the_profile(spark):
+    df = spark.createDataFrame([(i, "yes" if i % 2 else "no", str(i * 1.5), f"n{i % 7}", i % 2 == 0) for i in range(40)],
+                               "order_id int, is_open string, amount_text string, thing string, flag boolean")
+    cols = ["ordinal", "column_name", "data_type", "semantic_type"]
+    got, full = prof.column_metadata(df), prof.profile(df).select(cols)
+    assert [r["semantic_type"] for r in got.orderBy("ordinal").collect()] == [
+        r["semantic_type"] for r in full.orderBy("ordinal").collect()]
