@@ -11,7 +11,7 @@ hold, per token, that state, and per state the arcs it lost and when.
 A token is missing from a state if a symbol on its left edge was lost before
 the token that covers it was made.  So walking a word needs two table
 look-ups per arc.  Of all arc sequences that spell a word exactly one is
-accepted; encoding follows, for each prefix, the one arc that reaches it.
+accepted; encoding walks the longest arcs first and steps back where it must.
 Decoding emits the labels of the arcs.
 """
 
@@ -95,27 +95,30 @@ class Automaton:
 
     def encode(self, symbols: str) -> list[str]:
         """Labels of the accepted path that spells a non-empty word of base
-        symbols; the end mark belongs to the last one."""
-        n, end, arcs = len(symbols), self.end, self.arcs
-        reach: list[str | None] = [""] + [None] * n  # the arc that reaches each prefix
-        for j in range(1, n + 1):
-            tail = end if j == n else ""
-            for i in range(max(0, j - self.longest), j):
-                token = symbols[i:j] + tail
-                if token not in arcs:
-                    continue
-                before = reach[i]
-                if i == 0 or before is not None and self.has_arc(before, token):
-                    reach[j] = token
+        symbols; the end mark belongs to the last one.
+
+        The walk takes the longest arc that goes on spelling the word, and
+        steps back where none does.  One accepted path at most spells a
+        prefix, so a position left once is never entered again."""
+        n, end, arcs, states, tables = len(symbols), self.end, self.arcs, self.state, self.lost
+        path: list[str] = []
+        at, size, dead = 0, self.longest, [False] * (n + 1)
+        while at < n:
+            lost = tables.get(states.get(path[-1], 0)) if path else None
+            for size in range(min(size, n - at), 0, -1):
+                stop = at + size
+                token = symbols[at:stop] if stop < n else symbols[at:] + end
+                if token in arcs and not dead[stop] and (not lost or self._arc(lost, token)):
+                    path.append(token)
+                    at, size = stop, self.longest
                     break
-        out, j = [], n
-        while j:
-            token = reach[j]
-            if token is None:
-                raise ValueError(f"no path spells {symbols!r}")
-            out.append(token)
-            j -= len(token) - (len(end) if j == n else 0)
-        return out[::-1]
+            else:
+                if not path:
+                    raise ValueError(f"no path spells {symbols!r}")
+                dead[at] = True
+                size = len(path.pop())
+                at, size = at - size, size - 1
+        return path
 
 
 class Codec:
@@ -182,8 +185,9 @@ class Codec:
         chunks = SPACES.findall(text or "")
         if len(self.chunks) > CACHE_WORDS:
             self.chunks.clear()
-        for c in set(chunks) - self.chunks.keys():
-            self.chunks[c] = self._chunk(c)
+        for c in set(chunks):
+            if c not in self.chunks:
+                self.chunks[c] = self._chunk(c)
         found = [self.chunks[c] for c in chunks]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
 
