@@ -25,6 +25,7 @@ from .common import map_rows, renamed
 
 ORDER = 3
 SAMPLE_BYTES = 1 << 20  # training text per language, about (whole texts, by a hash of the text)
+LANGUAGES = 200         # languages learned, at most
 SLICE = 1 << 20
 PAD = b"\n" * ORDER     # what stands before a text's first byte
 UNKNOWN = "und"
@@ -118,14 +119,17 @@ class Model:
         return self.langs[int(np.argmin(total))], float(weight.max() / weight.sum())
 
 
-def training_grams(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def training_grams(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
     """``lang, code, n`` over whole texts of a sample of ``docs(text, lang)``:
-    per language about ``sample_bytes``, chosen by a hash of the text."""
+    per language about ``sample_bytes``, chosen by a hash of the text; the
+    ``languages`` with most text are learned."""
     named = docs.where("lang IS NOT NULL AND length(text) > 0")
     size = named.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
-    share = size.select("lang", (F.lit(float(sample_bytes)) / F.col("size")).alias("share"))
+    share = {r["lang"]: min(1.0, sample_bytes / r["size"])
+             for r in size.orderBy(F.desc("size"), "lang").limit(languages).collect()}
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = named.withColumn("place", place).join(share, "lang").where("place < share").select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair]) if share else F.lit(None)
+    chosen = named.where(place < shares[F.col("lang")] if share else F.lit(False)).select("lang", "text")
 
     def count(batches):
         for cols in batches:
