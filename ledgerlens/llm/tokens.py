@@ -61,6 +61,7 @@ class ChunkEncoder:
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([f"[{WIDE_SPACE}]", *map(re.escape, added)]))
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes()
@@ -70,20 +71,22 @@ class ChunkEncoder:
         """Ids of unseen chunks: one library call over all, parted by newlines
         (own tokens there), cut where the tokens' bytes reach a chunk's end."""
         words = [c for c in chunks if not c.isspace()]
-        for c in chunks:
-            if c.isspace():
-                self.cache[c] = self._library([c])[0]
+        if len(words) < len(chunks):
+            spaces = [c for c in chunks if c.isspace()]
+            self.cache.update(zip(spaces, self._library(spaces)))
         if not words:
             return
-        ids = np.array(self.tok.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.dtype)
         at = np.concatenate([[0], np.cumsum(self.width[ids])])
-        lens = np.fromiter((len(c.encode()) for c in words), np.int64, len(words))
+        lens = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))
         ends = np.cumsum(lens + 1) - 1
         lo, hi = np.searchsorted(at, ends - lens), np.searchsorted(at, ends)
-        exact = (at[np.minimum(lo, len(at) - 1)] == ends - lens) & (at[np.minimum(hi, len(at) - 1)] == ends)
-        ids = ids.astype(self.dtype)
-        for c, a, b, ok in zip(words, lo.tolist(), hi.tolist(), exact.tolist()):
-            self.cache[c] = ids[a:b].tobytes() if ok else self._library([c])[0]
+        exact = (at[lo] == ends - lens) & (at[hi] == ends)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        self.cache.update(zip(words, [raw[a:b] for a, b in zip((lo * size).tolist(), (hi * size).tolist())]))
+        if not exact.all():
+            odd = [words[k] for k in np.flatnonzero(~exact)]
+            self.cache.update(zip(odd, self._library(odd)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts, of = [], []
@@ -91,10 +94,12 @@ class ChunkEncoder:
             for part in slices(t):
                 parts.append(None if self.whole.search(part) else CHUNK.findall(part))
                 of.append((k, part if parts[-1] is None else None))
-        new = list(dict.fromkeys(c for p in parts if p for c in p if c not in self.cache))
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = list(dict.fromkeys(c for p in parts if p for c in p))
+        if len(self.cache) > CACHE_CHUNKS:  # what is used again comes back from the older half
+            self.old, self.cache = self.cache, {}
+        new = [c for c in set().union(*filter(None, parts)) if c not in self.cache]
+        if self.old:
+            self.cache.update((c, self.old[c]) for c in new if c in self.old)
+            new = [c for c in new if c not in self.cache]
         for i in range(0, len(new), 50_000):
             self._learn(new[i:i + 50_000])
         out: list[list[bytes]] = [[] for _ in texts]
