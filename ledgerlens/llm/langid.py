@@ -19,12 +19,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_rows, renamed
 
 ORDER = 3
-SAMPLE_BYTES = 1 << 20  # training text per language, about (whole texts, by a hash of the text)
+SAMPLE_BYTES = 1 << 20  # training text per language, about (whole distinct texts, the smallest hashes)
 LANGUAGES = 200         # languages learned, at most
 SLICE = 1 << 20
 PAD = b"\n" * ORDER     # what stands before a text's first byte
@@ -119,17 +119,34 @@ class Model:
         return self.langs[int(np.argmin(total))], float(weight.max() / weight.sum())
 
 
+def training_texts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``lang, text``: of every language of ``docs(text, lang)`` the distinct
+    texts with the smallest hashes, until they hold ``sample_bytes``: one text
+    at least, and all of them where they hold less.
+
+    The last hash is found in a histogram of the distinct texts' bytes, whose
+    steps are 1/64 of the hash wide: a step is taken whole."""
+    named = docs.where("lang IS NOT NULL AND length(text) > 0").withColumn("hash", F.xxhash64("text"))
+    # the hash as an unsigned number in floating point: exponent and the first six digits behind
+    place = "(CAST(shiftrightunsigned(hash, 1) AS DOUBLE) + 1)"
+    step = f"CAST(floor(log2({place})) * 64 + floor({place} / pow(2D, floor(log2({place}))) * 64) AS INT)"
+    named = named.withColumn("step", F.expr(step))
+    sizes = named.groupBy("lang", "hash").agg(F.first("step").alias("step"), F.max(F.octet_length("text")).alias("size"))
+    steps = sizes.groupBy("lang", "step").agg(F.sum("size").alias("size"))
+    before = Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    last = (steps.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+            .where(F.col("before") < sample_bytes).groupBy("lang").agg(F.max("step").alias("last")))
+    chosen = named.join(F.broadcast(last), "lang").where("step <= last")
+    return chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def training_grams(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
-    """``lang, code, n`` over whole texts of a sample of ``docs(text, lang)``:
-    per language about ``sample_bytes``, chosen by a hash of the text; the
+    """``lang, code, n`` over the whole texts of :func:`training_texts`; the
     ``languages`` with most text are learned."""
     named = docs.where("lang IS NOT NULL AND length(text) > 0")
     size = named.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
-    share = {r["lang"]: min(1.0, sample_bytes / r["size"])
-             for r in size.orderBy(F.desc("size"), "lang").limit(languages).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair]) if share else F.lit(None)
-    chosen = named.where(place < shares[F.col("lang")] if share else F.lit(False)).select("lang", "text")
+    most = size.orderBy(F.desc("size"), "lang").limit(languages).select("lang")
+    chosen = training_texts(docs.join(F.broadcast(most), "lang", "left_semi"), sample_bytes)
 
     def count(batches):
         for cols in batches:

@@ -58,6 +58,23 @@ def test_langid_odd_inputs(spark):
     assert langid.identify(empty(spark), nothing).collect() == []
 
 
+def test_langid_sample_holds_enough_distinct_texts(spark):
+    rare = [(f"{k} " + "aba " * 2500, "rare") for k in range(6)]
+    hot = [(f"text {k} " + "xyz " * 10, "hot") for k in range(200)] + [("copied " * 20, "hot")] * 3000
+    few = [("one", "few"), ("two", "few"), ("two", "few")]
+    docs = spark.createDataFrame(rare + hot + few, "text string, lang string")
+    for salt in range(4):  # other texts, other hashes
+        own = docs.withColumn("text", F.concat(F.lit(f"{salt} "), "text"))
+        got = {}
+        for r in langid.training_texts(own, 2000).collect():
+            got.setdefault(r["lang"], []).append(r["text"])
+        assert all(len(set(x)) == len(x) for x in got.values())
+        size = {k: sum(map(len, x)) for k, x in got.items()}
+        assert len(got["rare"]) >= 1 and 2000 <= size["hot"] < 3000 and len(got["few"]) == 2
+        assert {t for x in got.values() for t in x} <= {r["text"] for r in own.collect()}
+        assert langid.fit(own, 2000).langs == ["few", "hot", "rare"]
+
+
 # ---------------------------------------------------------- quality rules
 def plain_counts(text):
     text = text or ""
