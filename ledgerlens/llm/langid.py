@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_rows, renamed
+from .common import map_rows, renamed, staged
 
 ORDER = 3
 SAMPLE_BYTES = 1 << 20  # training text per language, about (whole distinct texts, the smallest hashes)
-LANGUAGES = 200         # languages learned, at most
+SAMPLE_TOTAL = 200 << 20  # of all languages; more than 200 of them share it evenly
 SLICE = 1 << 20
 PAD = b"\n" * ORDER     # what stands before a text's first byte
 UNKNOWN = "und"
@@ -119,10 +119,11 @@ class Model:
         return self.langs[int(np.argmin(total))], float(weight.max() / weight.sum())
 
 
-def training_texts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def training_texts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL) -> DataFrame:
     """``lang, text``: of every language of ``docs(text, lang)`` the distinct
-    texts with the smallest hashes, until they hold ``sample_bytes``: one text
-    at least, and all of them where they hold less.
+    texts with the smallest hashes, until they hold ``sample_bytes`` (or the
+    language's even part of ``total``, if less): one text at least, and all of
+    them where they hold less.  No language is left out.
 
     The last hash is found in a histogram of the distinct texts' bytes, whose
     steps are 1/64 of the hash wide: a step is taken whole."""
@@ -132,21 +133,18 @@ def training_texts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFra
     step = f"CAST(floor(log2({place})) * 64 + floor({place} / pow(2D, floor(log2({place}))) * 64) AS INT)"
     named = named.withColumn("step", F.expr(step))
     sizes = named.groupBy("lang", "hash").agg(F.first("step").alias("step"), F.max(F.octet_length("text")).alias("size"))
-    steps = sizes.groupBy("lang", "step").agg(F.sum("size").alias("size"))
+    steps = staged(sizes.groupBy("lang", "step").agg(F.sum("size").alias("size")), "sample-steps")
+    bound = max(1, min(sample_bytes, total // max(1, steps.select("lang").distinct().count())))
     before = Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     last = (steps.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-            .where(F.col("before") < sample_bytes).groupBy("lang").agg(F.max("step").alias("last")))
+            .where(F.col("before") < bound).groupBy("lang").agg(F.max("step").alias("last")))
     chosen = named.join(F.broadcast(last), "lang").where("step <= last")
     return chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def training_grams(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
-    """``lang, code, n`` over the whole texts of :func:`training_texts`; the
-    ``languages`` with most text are learned."""
-    named = docs.where("lang IS NOT NULL AND length(text) > 0")
-    size = named.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"))
-    most = size.orderBy(F.desc("size"), "lang").limit(languages).select("lang")
-    chosen = training_texts(docs.join(F.broadcast(most), "lang", "left_semi"), sample_bytes)
+def training_grams(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``lang, code, n`` over the whole texts of :func:`training_texts`."""
+    chosen = training_texts(docs, sample_bytes)
 
     def count(batches):
         for cols in batches:
@@ -162,7 +160,7 @@ def training_grams(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, languages:
 
 
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Trees of a bounded sample (``sample_bytes`` a language).  Rows without
+    """Trees of every language, from a bounded sample (``sample_bytes`` a language).  Rows without
     text or language teach nothing; a table without any gives a model that
     predicts ``und``."""
     grams: dict[str, dict[int, int]] = {}

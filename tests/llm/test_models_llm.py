@@ -75,6 +75,17 @@ def test_langid_sample_holds_enough_distinct_texts(spark):
         assert langid.fit(own, 2000).langs == ["few", "hot", "rare"]
 
 
+def test_every_language_is_learned(spark):
+    texts = [(f"{chr(0x4e00 + k)} " * 20, f"lang{k}") for k in range(260)]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 260
+    assert all(model.predict(text)[0] == lang for text, lang in texts)
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("x"), "text")))
+    langs = [r["lang"] for r in langid.training_texts(twice, total=260).collect()]
+    assert len(set(langs)) == 260 and len(langs) < 400  # mostly one of the two texts
+
+
 # ---------------------------------------------------------- quality rules
 def plain_counts(text):
     text = text or ""
