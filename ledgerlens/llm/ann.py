@@ -7,8 +7,11 @@ rehashing: no new hash tables, only wider ranges of the same arrays); a
 vector in the window of at least ``THRESHOLD`` lines collides often enough
 and is verified by its exact cosine.  Growth stops when enough have been.
 
-Rows and queries are dealt into blocks of bounded size by a hash of their
-ids; every query block meets every row block, and the best of each are merged.
+Equal vectors are indexed once, with the smallest of their ids (k + 1 are all
+that a result can hold), so copies do not stand in for different vectors.
+Vectors and queries are dealt into blocks of bounded size by a hash of their
+(smallest) ids; every query block meets every row block, and the best of each
+are merged.
 """
 
 from __future__ import annotations
@@ -41,12 +44,25 @@ def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return fine.groupBy("vec_id").agg(F.min(v).alias("vector"))
 
 
+def distinct(vectors: DataFrame, ids: int) -> DataFrame:
+    """``vector, vec_ids``: each different vector once, with the ``ids``
+    smallest of its ids, sorted.  What many rows share is cut down where the
+    rows lie, before they meet."""
+    own = Window.partitionBy("hash", "vector").orderBy("vec_id")
+    few = vectors.select("vec_id", "vector", F.xxhash64("vector").alias("hash")).withColumn(
+        "place", F.row_number().over(own)).where(F.col("place") <= ids)
+    return few.groupBy("hash", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids")).select(
+        "vector", "vec_ids")
+
+
 class Block:
-    """Index of one block: unit vectors and, per line, their sorted projections."""
+    """Index of one block: unit vectors and, per line, their sorted projections.
+    ``copies`` are the sorted ids of each vector (not given: ``ids`` alone)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, seed: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, seed: int, copies: list | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.copies = [ids[k:k + 1] if copies is None else np.asarray(copies[k]) for k in order]
         self.norms = _norms(self.vectors)
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         at = ((self.vectors / self.norms[:, None]) @ self.lines).T
@@ -84,10 +100,13 @@ class Block:
         norm = _norms(vector[None, :])[0]
         wanted = max(least, int(share * len(self.ids))) + 1
         found = self.candidates(vector / norm, threshold, wanted)
-        found = found[self.ids[found] != query_id]
         score = cosine(self.vectors[found], self.norms[found], vector, norm)
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found][best], score[best]
+        best = np.lexsort((self.ids[found], -score))[:k + 1]  # the query's own vector may have no other id
+        held = [self.copies[i] for i in found[best]]
+        ids, score = np.concatenate(held), np.repeat(score[best], [len(x) for x in held])
+        ids, score = ids[ids != query_id], score[ids != query_id]
+        best = np.lexsort((ids, -score))[:k]
+        return ids[best], score[best]
 
 
 def _norms(v: np.ndarray) -> np.ndarray:
@@ -106,13 +125,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
     query, itself left out; ties to the smaller id.  Both inputs are
     ``vec_id, vector`` as :func:`clean` gives them.  Vectors of different
     lengths are not compared.  Queries without candidates have no rows."""
-    n = vectors.agg(F.count(F.lit(1))).first()[0]
+    different = staged(distinct(vectors, k + 1), "distinct-vectors")
+    n = different.agg(F.count(F.lit(1))).first()[0]
+    share = min(1.0, share * vectors.agg(F.count(F.lit(1))).first()[0] / max(1, n))  # as many as if copies were indexed
     m = queries.agg(F.count(F.lit(1))).first()[0]
     row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-m // query_block))
     block = lambda c, blocks, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), block("vec_id", row_blocks, 1).alias("rb")
-                          ).withColumn("qb", every(query_blocks))
+    rows = different.select(F.col("vec_ids")[0].alias("vec_id"), "vec_ids", "vector", F.size("vector").alias("dim")
+                            ).withColumn("rb", block("vec_id", row_blocks, 1)).withColumn("qb", every(query_blocks))
     asked = queries.select("vec_id", "vector", F.size("vector").alias("dim"), block("vec_id", query_blocks, 2).alias("qb")
                            ).withColumn("rb", every(row_blocks))
 
@@ -121,7 +142,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
 
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            own = Block(left["vec_id"].to_numpy(np.int64), np.stack(left["vector"].to_numpy()), projections, seed)
+            own = Block(left["vec_id"].to_numpy(np.int64), np.stack(left["vector"].to_numpy()), projections, seed,
+                        left["vec_ids"].tolist())
             for q, v in zip(right["vec_id"].tolist(), right["vector"]):
                 ids, scores = own.nearest(q, np.asarray(v), k, threshold, share, least)
                 out["query_id"] += [q] * len(ids)

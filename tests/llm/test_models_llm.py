@@ -176,6 +176,35 @@ def test_recall(spark):
     assert len(found) == 200 and hits / 200 >= 0.9
 
 
+def copied_group(n=3000, copies=1500, dim=32, seed=11):
+    """Vectors of which ``copies`` more are equal; queries near that group."""
+    rnd = np.random.default_rng(seed)
+    hot = rnd.standard_normal(dim)
+    vectors = {i: (rnd.standard_normal(dim) + (0.7 * hot if i % 3 else 0)).tolist() for i in range(n)}
+    return vectors | {n + i: hot.tolist() for i in range(copies)}
+
+
+def test_copies_do_not_stand_in_for_different_vectors(spark):
+    vectors = copied_group()
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<double>")
+    found = ann.search(df, df.where("vec_id < 3000 AND vec_id % 60 = 0"), least=100).collect()
+    best = {q: set(plain_nearest(vectors, q, 5)) for q in range(0, 3000, 60)}
+    assert len(found) == 250 and sum(r["vec_id"] in best[r["query_id"]] for r in found) / 250 >= 0.9
+    one = ann.distinct(df, 6).where("size(vec_ids) > 1").collect()
+    assert [r["vec_ids"] for r in one] == [list(range(3000, 3006))]
+
+
+def test_candidates_count_copies_once():
+    rnd = np.random.default_rng(12)
+    v = np.vstack([rnd.standard_normal((300, 16)), np.zeros((1, 16))])
+    v[300] = v[0] + 0.01
+    block = ann.Block(np.arange(301), v, 30, 1, [[i] for i in range(300)] + [[300, 301, 302, 303]])
+    ids, _ = block.nearest(0, v[0], 4, 24, 0.0, 10)
+    assert ids.tolist() == [300, 301, 302, 303]
+    ids, scores = block.nearest(300, v[300], 4, 24, 0.0, 10)
+    assert ids.tolist()[:3] == [301, 302, 303] and ids[3] == 0 and np.all(np.diff(scores) <= 0)
+
+
 def test_candidates_collide_often_enough():
     rnd = np.random.default_rng(5)
     v = rnd.standard_normal((500, 16))
