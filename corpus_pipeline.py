@@ -8,7 +8,7 @@ stage's result as Parquet to the shared folder and reads it for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlens.llm import packing, quality, secret_scan, simhash, substring_dedup
 from ledgerlens.llm.common import staged, table
@@ -22,12 +22,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id.
-    Rows with a null id stay; of rows with the same smallest id one stays."""
+    Rows with a null id stay.  Where several rows have an id, each group of
+    which it is the smallest keeps one of them, the smallest text."""
     named = docs.where("doc_id IS NOT NULL")
-    groups = simhash.near_duplicates(named.select("doc_id", "text"))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(stay, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    groups = simhash.groups(named.select("doc_id", "text"))
+    rows = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr("doc_id = component_id")).alias("_first"))
+    found = named.join(rows.where("_first").select("doc_id", "_n"), "doc_id")
+    alone = found.where("_n = 1").select(*docs.columns)
+    # an id of several rows does not say which of them are in the group: their fingerprints do
+    own = groups.where("doc_id = component_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    shared = found.where("_n > 1").withColumn("_fp", simhash.fingerprint_column()("text")).join(own, ["doc_id", "_fp"])
+    order = Window.partitionBy("doc_id", "_root").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    one = shared.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+    return alone.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return map_rows(renamed(docs, doc_id=id_col, text=text_col), run, "doc_id long, fp long")
 
 
+def fingerprint_column(shingle: int = SHINGLE):
+    """Column expression: the fingerprint of a text, as in :func:`fingerprints`."""
+
+    @F.pandas_udf("long")
+    def of(texts):
+        import pandas as pd
+
+        found = (fingerprint(t, shingle) for t in texts)
+        return pd.Series([fp - (1 << 64) if fp >> 63 else fp for fp in found], dtype="int64")
+
+    return of
+
+
 def _forest(max_bits: int):
     """Links that connect what pairs within ``max_bits`` connect, in one bucket."""
 
@@ -129,6 +142,20 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
     return two.unionByName(some).unionByName(many)
 
 
+def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+           bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, root, component_id`` for every row: ``root`` tells
+    components apart, also those with the same smallest doc_id."""
+    prints = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(links(classes.select("fp"), max_bits, bucket))
+    of = staged(classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "class-roots")
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = staged(of.join(staged(least, "component-ids"), "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
@@ -137,12 +164,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     if all ids of a component are null).  Null and empty texts have
     fingerprint zero and are linked like any other; repeated rows share
     their component; an empty table gives no rows."""
-    prints = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), max_bits, bucket))
-    of = staged(classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")), "class-roots")
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staged(of.join(staged(least, "component-ids"), "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                           "component_id")
+    return groups(docs, shingle, max_bits, bucket, id_col, text_col).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

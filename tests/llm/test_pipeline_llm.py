@@ -44,3 +44,15 @@ def test_stages_on_planted_documents(spark, tmp_path):
     whole = cp.run(spark, d)
     cols = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(whole.select(cols).collect()) == sorted(packed.select(cols).collect())
+
+
+def test_near_dedup_clashing_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (5, text("c")), (5, text("c")), (6, text("b")), (7, text("d")),
+            (None, text("a")), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"] or -1, r["text"] or "") for r in got.collect()))
+    assert kept == [(-1, text("a")), (3, text("a")), (5, text("b")), (5, text("c")), (7, text("d")), (8, "")]
