@@ -100,7 +100,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """``docs`` with a column ``secrets``: array<struct<start, rank, kind, end>>
     sorted by start, then kind as listed (assign, access, hex, entropy).
 
-    Entropy spans are added where no base span overlaps.  Null and empty
+    Entropy spans are added unless they lie wholly inside a base span; they
+    may overlap one (:func:`redact` masks what any of them covers).  Null and empty
     texts have no spans.  Other columns of the input are kept as they are
     (one named ``secrets`` is replaced); rows, repeated ones too, stay."""
     t = {**THRESHOLDS, **(thresholds or {})}
@@ -115,8 +116,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     base = "concat(_assign, _access, _hex)"
     benign = " OR ".join(f"rlike(x.text, {_lit('^(?:' + a + ')$')})" for a in (ALLOW if allow is None else allow)) or "false"
     df = df.selectExpr("*", f"{base} AS _base")
-    df = df.selectExpr("*", f"filter(_candidate, x -> NOT ({benign}) AND NOT exists(_base, y -> y.start < x.end"
-                            " AND x.start < y.end)) AS _judged")
+    df = df.selectExpr("*", f"filter(_candidate, x -> NOT ({benign}) AND NOT exists(_base, y -> y.start <= x.start"
+                            " AND x.end <= y.end)) AS _judged")
     level = (f"CASE WHEN rlike(x.text, '^[0-9a-fA-F]+$') THEN {t['hex']!r}D"
              f" WHEN rlike(x.text, '^[0-9a-zA-Z]+$') THEN {t['alnum']!r}D ELSE {t['base64']!r}D END")
     df = df.selectExpr("*", f"filter(_judged, x -> {max_window_entropy('x.text', window)} >= {level}) AS _entropy")

@@ -304,6 +304,16 @@ def test_secrets_redacted(spark):
         assert r["text"] == text
 
 
+def test_key_around_a_base_span_is_masked_whole(spark):
+    key = "Zx9Qw3Er7Ty1Ui5Op2+" + "0123456789abcdef01234567" + "/Gh6JkLm8Nq4Rs0Tv"
+    docs = documents(spark, [f"key {key} ok", "token = " + key, f"my{'token=' + key} end"])
+    scanned = secret_scan.scan(docs)
+    got = [[x["kind"] for x in r["secrets"]] for r in scanned.orderBy("doc_id").select("secrets").collect()]
+    assert got == [["entropy", "hex"], ["assign", "hex"], ["entropy", "assign", "hex"]]
+    texts = [r["text"] for r in secret_scan.redact(scanned).orderBy("doc_id").collect()]
+    assert texts == ["key [SECRET] ok", "[SECRET]", "[SECRET] end"]
+
+
 @pytest.mark.parametrize("text", ["0123456789abcdefghij", "aaaaaaaaaaaaaaaaaaaaab", "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk", "ab" * 30, "short"])
 def test_sliding_entropy(spark, text):
     got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{secret_scan.max_window_entropy('t')} AS e").first()["e"]
