@@ -13,16 +13,27 @@ class UploadError(ValueError):
     """An upload the ingest refuses (format, parse failure, empty)."""
 
 
-def read_upload_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def breaks_in_values(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may hold a line break, from one distributed pass
+    over the lines: some line has a quote that is neither doubled nor one of
+    the two around a whole value."""
+    # possessive, and no group: long lines need no deep recursion
+    left = F.regexp_replace(F.concat(F.lit(","), F.replace("value", F.lit('""'), F.lit("")), F.lit(",")), r',"[^"]*+"(?=,)', ",")
+    return bool(spark.read.text(path).agg(F.max(F.contains(left, F.lit('"')))).first()[0])
+
+
+def read_upload_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Header CSV, every column as text, missing-value tokens -> null.
 
     Spark's ``nullValue`` takes a single token, so the token set is applied
     afterwards with one ``isin`` per column.  Quotes inside a quoted value
-    are doubled, and a quoted value may hold line breaks (``multi_line``; a
-    file is then read by one task, so large uploads without such breaks turn
-    it off).  Short rows are filled with nulls, rows with too many values
-    are an error.
+    are doubled, and a quoted value may hold line breaks: a file is then read
+    by one task (``multi_line``; unset, only where :func:`breaks_in_values`
+    finds a sign of it).  Short rows are filled with nulls, rows with too many
+    values are an error.
     """
+    if multi_line is None:
+        multi_line = breaks_in_values(spark, path)
     read = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"')
             .option("escape", '"').option("multiLine", multi_line))
     names = read.csv(path).columns
@@ -45,7 +56,7 @@ def _refuse_long(raw: DataFrame, names: list[str], extra: str) -> DataFrame:
     return raw.withColumn(names[-1], checked)
 
 
-def check_upload(spark: SparkSession, name: str, path: str) -> DataFrame:
+def check_upload(spark: SparkSession, name: str, path: str, multi_line: bool | None = None) -> DataFrame:
     """Refuse unsupported extensions, unreadable and empty uploads.
 
     Excel workbooks are refused with a hint: there is no Excel reader in
@@ -57,7 +68,7 @@ def check_upload(spark: SparkSession, name: str, path: str) -> DataFrame:
     if not low.endswith(".csv"):
         raise UploadError("Excel uploads must be converted to CSV or Parquet first.")
     try:
-        df = read_upload_csv(spark, path)
+        df = read_upload_csv(spark, path, multi_line)
         header = df.columns
         if any(("\x00" in c) or ("�" in c) for c in header):
             raise UploadError("Could not parse uploaded file: binary content")

@@ -187,3 +187,26 @@ def test_metadata_matches_the_profile(spark):
     got, full = prof.column_metadata(df), prof.profile(df).select(cols)
     assert [r["semantic_type"] for r in got.orderBy("ordinal").collect()] == [
         r["semantic_type"] for r in full.orderBy("ordinal").collect()]
+
+
+def test_uploads_are_split_unless_values_hold_line_breaks(spark, tmp_path):
+    from ledgerlens.sources import upload
+    plain = ['a,b', '1,"x ""y"", z"', '2,""', '3,"""q"""', '"",w', '4,"' + "long " * 20000 + '"']
+    broken = [['a,b', '1,"x', 'y"'], ['a,b', '1"0,"x', 'y"'], ['a,b', '1,"x "" ', '"" y"']]
+    p = tmp_path / "plain.csv"
+    p.write_text("\n".join(plain) + "\n")
+    assert not upload.breaks_in_values(spark, str(p))
+    assert [r["b"][:9] if r["b"] else r["b"] for r in upload.read_upload_csv(spark, str(p)).collect()] == ['x "y", z', None, '"q"', "w", "long long"]
+    for k, lines in enumerate(broken):
+        q = tmp_path / f"broken{k}.csv"
+        q.write_text("\n".join(lines) + "\n")
+        assert upload.breaks_in_values(spark, str(q))
+        assert upload.check_upload(spark, "q.csv", str(q)).count() == 1
+    big = tmp_path / "big.csv"
+    big.write_text("a,b\n" + "".join(f'{i},"v {i}"\n' for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = upload.check_upload(spark, "big.csv", str(big))
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
