@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe_automaton, chat, langid, packing, quality, secret_scan, simhash, substring_dedup, tokenfile
+from . import (ann, bpe_automaton, chat, langid, minhash, packing, prefix_trie, quality, secret_scan, simhash,
+               substring_dedup, tokenfile, vector_codes)
 from .common import table
 from .tokens import tokenizer_path
 
@@ -99,6 +100,21 @@ def op10_chat(spark, sf_dir):
     return chat.read_back(formatted)
 
 
+@register("op11_vector_codes")
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_prefix_trie")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_minhash")
+def op13_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """The packed pieces; their ids as a digest."""
