@@ -113,7 +113,8 @@ def float_text(c) -> Column:
     right = F.substring(whole, exp + 2, F.length(whole))
     large = F.concat(sign, left, F.lit("."), F.when(right == "", F.lit("0")).otherwise(right))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    return (F.when(exp.isNull(), s).when(exp.between(0, 15), large).when(exp.between(-4, -1), small).otherwise(s))
+    # almost every value has no exponent: the first test spares it all the rest
+    return (F.when(~s.contains("E"), s).when(exp.between(0, 15), large).when(exp.between(-4, -1), small).otherwise(s))
 
 
 def ascii_digits(c) -> Column:

@@ -20,7 +20,7 @@ The driver only sees the one-row aggregates (a few values per column).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -96,15 +96,6 @@ def clean_text(c) -> Column:
     return F.when(~t.isin(*rules.TEXT_NULL_TOKENS), t)
 
 
-@dataclass
-class Cleaned:
-    data: DataFrame          # cleaned dataset (+ net_amount when derived)
-    report: DataFrame        # C15: one row
-    null_report: DataFrame   # C2: column_name, null_percentage
-    types: DataFrame         # C3: column_name, inferred_type
-    outliers: DataFrame      # C7: column_name, q1, q3, outliers
-
-
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -178,7 +169,10 @@ def infer_types(cand: DataFrame, cols: list[str]) -> dict:
     # numpy rounding of (nulls / rows) * 100, as the reference computes it
     nulls = {c: (float(np.rint(row[f"z{i}"] / n * 100.0 * 100.0) / 100.0) if n else 0.0)
              for i, c in enumerate(cols)}
-    return {"kinds": kinds, "nulls": nulls, "n": n}
+    # numeric columns with values to fill in
+    gaps = {c for i, c in enumerate(cols) if kinds[c] in ("Integer", "Float")
+            and (row[f"nn{i}"] if exprs.logical_type(schema[c]) is not None else row[f"p{i}"]) < n}
+    return {"kinds": kinds, "nulls": nulls, "n": n, "gaps": gaps}
 
 
 def _numeric_value(cols: list[str], c: str, dtype: T.DataType) -> Column:
@@ -250,103 +244,130 @@ def fill_dates(df: DataFrame, cols: list[str], order_col: str = "_ord",
     return out.select(*df.columns)
 
 
-def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool = True,
-          now: Column | None = None) -> Cleaned:
-    """C1-C15 over an upload DataFrame."""
-    spark = df.sparkSession
-    df = exprs.nan_to_null(df)
-    cols = df.columns
-    schema = {f.name: f.dataType for f in df.schema.fields}
-    # de-duplicated rows with every parsed reading, written once to the
-    # shared folder: the lineage cut that the passes below all scan
-    dd = parse_candidates(dedupe(df, order_by), cols)
-    if checkpoint:
-        dd = stage(dd, "clean-candidates")
-    info = infer_types(dd, cols)
-    kinds = info["kinds"]
-
-    numeric = [c for c in cols if kinds[c] in ("Integer", "Float")]
-    booleans = [c for c in cols if kinds[c] == "Boolean"]
-    texts = [c for c in cols if kinds[c] == "Text"]
-    dates = [c for c in cols if kinds[c] == "DateTime"]
-
-    # Medians of the parsed numeric columns (exact, bounded memory)
-    med = {}
-    if numeric:
-        if approx:
-            r = dd.agg(*[F.percentile_approx(_numeric_value(cols, c, schema[c]), 0.5, 10000).cast("double")
-                         .alias(f"m{i}") for i, c in enumerate(numeric)]).first()
-            med = {c: r[f"m{i}"] for i, c in enumerate(numeric)}
-        else:
-            qs = exact_quantiles(dd, {c: _numeric_value(cols, c, schema[c]) for c in numeric}, [0.5])
-            med = {c: v[0] for c, v in qs.items()}
-    # modes
-    mode_in = {c: to_bool(_q(c)) for c in booleans}
-    mode_in.update({c: clean_text(_q(c)) for c in texts})
-    mo = modes(dd, mode_in)
-
-    proj = []
-    for c in cols:
-        k = kinds[c]
-        if k in ("Integer", "Float"):
-            fill = med.get(c)
-            v = F.coalesce(_numeric_value(cols, c, schema[c]), F.lit(0.0 if fill is None else float(fill)))
-            v = v.cast("double")
-            if k == "Float":
-                v = exprs.np_round(v, 4)  # C6: numpy's half-even, 4 places
-            proj.append(v.alias(c))
-        elif k == "Boolean":
-            m = mo.get(c)
-            fill = True if m is None else (m == "true")
-            proj.append(F.coalesce(to_bool(_q(c)), F.lit(fill)).alias(c))
-        elif k == "DateTime":
-            native = exprs.logical_type(schema[c]) == "DateTime"
-            proj.append((_q(c).cast("timestamp") if native else F.col(f"_d{cols.index(c)}")).alias(c))
-        else:
-            m = mo.get(c)
-            proj.append(F.coalesce(clean_text(_q(c)), F.lit(rules.TEXT_FILL if m is None else m)).alias(c))
-    typed = dd.select(*proj, "_ord")
-    # numeric columns do not depend on the date fill: the outlier passes
-    # read them straight from the staged candidate rows
-    typed_num = typed.select(*[_q(c) for c in numeric])
-    typed = fill_dates(typed, dates, "_ord", now)
-
-    # C14: derived net amount
-    if "net_amount" not in cols and "quantity" in cols and "unit_price" in cols:
-        typed = typed.withColumn("net_amount", F.col("quantity") * F.col("unit_price"))
-    data = typed.drop("_ord")
-
-    # IQR fences on the imputed columns, then one counting pass
-    if numeric:
-        if approx:
-            qr = typed_num.agg(*[F.percentile_approx(_q(c), [0.25, 0.75], 10000).alias(f"q{i}")
-                                 for i, c in enumerate(numeric)]).first()
-            fences = {c: (float(qr[f"q{i}"][0]), float(qr[f"q{i}"][1])) for i, c in enumerate(numeric)}
-        else:
-            qs = exact_quantiles(typed_num, {c: _q(c) for c in numeric}, [0.25, 0.75])
-            fences = {c: (qs[c][0], qs[c][1]) for c in numeric}
+class Cleaned:
+    """C1-C15 of an upload; every part is computed when it is asked for.
+
+    ``data``: cleaned dataset (+ net_amount when derived); ``report``: C15,
+    one row; ``null_report``: C2; ``types``: C3; ``outliers``: C7.  All parts
+    read the same written rows.
+    """
+
+    def __init__(self, df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool = True,
+                 now: Column | None = None):
+        df = exprs.nan_to_null(df)
+        self.cols = df.columns
+        self.schema = {f.name: f.dataType for f in df.schema.fields}
+        self.approx, self.now, self.spark = approx, now, df.sparkSession
+        # de-duplicated rows with every parsed reading, written once to the
+        # shared folder: the lineage cut that the passes below all scan
+        dd = parse_candidates(dedupe(df, order_by), self.cols)
+        self.rows = stage(dd, "clean-candidates") if checkpoint else dd
+
+    @cached_property
+    def info(self) -> dict:
+        return infer_types(self.rows, self.cols)
+
+    def _of_kind(self, *kinds: str) -> list[str]:
+        return [c for c in self.cols if self.info["kinds"][c] in kinds]
+
+    @property
+    def numeric(self) -> list[str]:
+        return self._of_kind("Integer", "Float")
+
+    def _quantiles(self, df: DataFrame, values: dict, at: list[float]) -> dict:
+        if not values:
+            return {}
+        if not self.approx:
+            return exact_quantiles(df, values, at)
+        row = df.agg(*[F.percentile_approx(v, at, 10000).alias(f"q{i}") for i, v in enumerate(values.values())]).first()
+        return {c: [None if x is None else float(x) for x in row[f"q{i}"] or [None] * len(at)] for i, c in enumerate(values)}
+
+    @cached_property
+    def medians(self) -> dict:
+        """Medians of the parsed numeric columns with gaps to fill (exact, bounded memory)."""
+        wanted = [c for c in self.numeric if c in self.info["gaps"]]
+        values = {c: _numeric_value(self.cols, c, self.schema[c]) for c in wanted}
+        return {c: q[0] for c, q in self._quantiles(self.rows, values, [0.5]).items()}
+
+    @cached_property
+    def modes(self) -> dict:
+        """Modes of the boolean and text columns."""
+        return modes(self.rows, {**{c: to_bool(_q(c)) for c in self._of_kind("Boolean")},
+                                 **{c: clean_text(_q(c)) for c in self._of_kind("Text")}})
+
+    def _number(self, c: str) -> Column:
+        """C4-C6 of one numeric column."""
+        v, fill = _numeric_value(self.cols, c, self.schema[c]), self.medians.get(c)
+        if c in self.info["gaps"]:
+            v = F.coalesce(v, F.lit(0.0 if fill is None else float(fill)))
+        v = v.cast("double")
+        return exprs.np_round(v, 4) if self.info["kinds"][c] == "Float" else v  # C6: numpy's half-even, 4 places
+
+    def _typed(self, c: str) -> Column:
+        kind = self.info["kinds"][c]
+        if kind in ("Integer", "Float"):
+            return self._number(c)
+        if kind == "Boolean":
+            m = self.modes.get(c)
+            return F.coalesce(to_bool(_q(c)), F.lit(True if m is None else (m == "true")))
+        if kind == "DateTime":
+            native = exprs.logical_type(self.schema[c]) == "DateTime"
+            return _q(c).cast("timestamp") if native else F.col(f"_d{self.cols.index(c)}")
+        m = self.modes.get(c)
+        return F.coalesce(clean_text(_q(c)), F.lit(rules.TEXT_FILL if m is None else m))
+
+    @cached_property
+    def data(self) -> DataFrame:
+        typed = self.rows.select(*[self._typed(c).alias(c) for c in self.cols], "_ord")
+        typed = fill_dates(typed, self._of_kind("DateTime"), "_ord", self.now)
+        # C14: derived net amount
+        if "net_amount" not in self.cols and "quantity" in self.cols and "unit_price" in self.cols:
+            typed = typed.withColumn("net_amount", F.col("quantity") * F.col("unit_price"))
+        return typed.drop("_ord")
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        """column_name, q1, q3, outliers (IQR fences on the imputed columns,
+        then one counting pass; dates play no part)."""
+        if not self.numeric:
+            return self.spark.createDataFrame([], "column_name string, q1 double, q3 double, outliers long")
+        filled = self.rows.select(*[self._number(c).alias(c) for c in self.numeric])
+        fences = self._quantiles(filled, {c: _q(c) for c in self.numeric}, [0.25, 0.75])
         cnt = []
-        for i, c in enumerate(numeric):
+        for c in self.numeric:
             q1, q3 = fences[c]
             iqr = q3 - q1
             lo, hi = q1 - rules.IQR_FACTOR * iqr, q3 + rules.IQR_FACTOR * iqr
             cnt.append(F.struct(F.lit(c).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"),
                                 F.count_if((_q(c) < lo) | (_q(c) > hi)).alias("outliers")))
-        outliers = typed_num.agg(F.array(*cnt).alias("o")).select(F.inline("o"))
-    else:
-        outliers = spark.createDataFrame([], "column_name string, q1 double, q3 double, outliers long")
-
-    # Totals come from the dedupe aggregate (sum of folded copies)
-    counts = dd.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_records"), F.count(F.lit(1)).alias("processed_records"))
-    out_tot = outliers.agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("long").alias("outliers_detected"))
-    report = one_row(counts, out_tot).select(
-        F.col("total_records").cast("long"), F.col("processed_records").cast("long"),
-        (F.col("total_records") - F.col("processed_records")).cast("long").alias("duplicates_removed"),
-        F.col("outliers_detected").cast("long"))
-    # Per-column metadata from the inference aggregate
-    null_report = spark.createDataFrame(
-        [(i, c, float(info["nulls"][c])) for i, c in enumerate(cols)],
-        "ordinal int, column_name string, null_percentage double")
-    types = spark.createDataFrame([(i, c, kinds[c]) for i, c in enumerate(cols)],
-                                  "ordinal int, column_name string, inferred_type string")
-    return Cleaned(data=data, report=report, null_report=null_report, types=types, outliers=outliers)
+        return filled.agg(F.array(*cnt).alias("o")).select(F.inline("o"))
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """Totals come from the dedupe aggregate (sum of folded copies)."""
+        counts = self.rows.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_records"),
+                               F.count(F.lit(1)).alias("processed_records"))
+        out_tot = self.outliers.agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("long").alias("outliers_detected"))
+        return one_row(counts, out_tot).select(
+            F.col("total_records").cast("long"), F.col("processed_records").cast("long"),
+            (F.col("total_records") - F.col("processed_records")).cast("long").alias("duplicates_removed"),
+            F.col("outliers_detected").cast("long"))
+
+    @cached_property
+    def null_report(self) -> DataFrame:
+        """Per-column null shares from the inference aggregate."""
+        return self.spark.createDataFrame(
+            [(i, c, float(self.info["nulls"][c])) for i, c in enumerate(self.cols)],
+            "ordinal int, column_name string, null_percentage double")
+
+    @cached_property
+    def types(self) -> DataFrame:
+        """Inferred types."""
+        return self.spark.createDataFrame([(i, c, self.info["kinds"][c]) for i, c in enumerate(self.cols)],
+                                          "ordinal int, column_name string, inferred_type string")
+
+
+def clean(df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool = True,
+          now: Column | None = None) -> Cleaned:
+    """C1-C15 over an upload DataFrame; see :class:`Cleaned`."""
+    return Cleaned(df, order_by, approx, checkpoint, now)

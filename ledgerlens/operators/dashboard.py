@@ -64,6 +64,16 @@ def evaluate_kpis(df: DataFrame, kpis) -> DataFrame:
     return base.select(F.inline(F.array(*parts)))
 
 
+def show_kpis(values: DataFrame, kpis: list[tuple[str, str, str]]) -> DataFrame:
+    """A1 + A2 of values that are there already: ``values`` has one row,
+    ``kpis`` are (name, formula it stands for, column).  Output as
+    :func:`evaluate_kpis`."""
+    parts = [F.struct(F.lit(i).alias("kpi_order"), F.lit(name).alias("kpi_name"), F.lit(formula).alias("formula"),
+                      _kpi_display(F.col(c), values.schema[c].dataType, formula).alias("value"), F.col(c).cast("double").alias("raw_value"))
+             for i, (name, formula, c) in enumerate(kpis)]
+    return values.select(F.inline(F.array(*parts)))
+
+
 def daily_series(df: DataFrame, date_col: str, measure: str,
                  days: int | None = rules.SERIES_DAYS) -> DataFrame:
     """A3 / F2: SUM(measure) by calendar day, ascending, first ``days`` days.
@@ -106,7 +116,11 @@ def skewness_insights(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, c in enumerate(columns):
         s = exprs.corrected_skewness(F.col(f"_s{i}"), F.col(f"_n{i}").cast("double"))
         parts.append(F.struct(F.lit(c).alias("column_name"), s.alias("skewness")))
-    out = df.agg(*aggs).select(F.inline(F.array(*parts)))
+    return skewness_text(df.agg(*aggs).select(F.inline(F.array(*parts))))
+
+
+def skewness_text(out: DataFrame) -> DataFrame:
+    """column_name, skewness with their ``insight``."""
     txt = F.format_string("%.2f", F.col("skewness"))
     pos = F.format_string(
         "The **%s** data distribution exhibits positive skewness (**%s**), "
@@ -120,22 +134,34 @@ def skewness_insights(df: DataFrame, columns: list[str]) -> DataFrame:
          .when(F.col("skewness") < -rules.SKEW_LIMIT, neg))
 
 
-def _search_predicate(df: DataFrame, term: str) -> Column:
+# What the text of a number can hold, NaN and infinities included.
+NUMBER_TEXT_CHARS = set("0123456789+-.einfatyNIE")
+
+
+def _search_predicate(schema: T.StructType, term: str) -> Column:
     # The term's % and _ stay wildcards (as in the reference); a backslash
     # is escaped so it matches itself.
     pattern = "%" + term.replace("\\", "\\\\") + "%"
-    preds = [exprs.as_text(f.name, f.dataType).ilike(pattern) for f in df.schema.fields]
-    out = preds[0]
-    for p in preds[1:]:
+    numbers = not {c.lower() for c in term} - {c.lower() for c in NUMBER_TEXT_CHARS} - {"%", "_"}
+    # text columns first (no cast); number columns only if the term can be in a number's text
+    fields = sorted(schema.fields, key=lambda f: not isinstance(f.dataType, T.StringType))
+    preds = [exprs.as_text(exprs.sql_ident(f.name), f.dataType).ilike(pattern) for f in fields
+             if numbers or not isinstance(f.dataType, exprs.NUMERIC_TYPES)]
+    return F.coalesce(_any(preds), F.lit(False))
+
+
+def _any(preds: list[Column]) -> Column:
+    out = F.lit(False)
+    for p in preds:
         out = out | p
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def search_records(df: DataFrame, term: str | None) -> DataFrame:
     """Rows where any column, as text, contains ``term`` (case-insensitive)."""
     if not term:
         return df
-    return df.where(_search_predicate(df, term))
+    return df.where(_search_predicate(df.schema, term))
 
 
 def match_count(df: DataFrame, term: str | None) -> DataFrame:
@@ -146,7 +172,11 @@ def match_count(df: DataFrame, term: str | None) -> DataFrame:
 def page(df: DataFrame, order_by: list[str], limit: int = rules.PAGE_SIZE,
          offset: int = 0) -> DataFrame:
     """A10: one page of records in a stable order (NaN shown as null)."""
-    out = df.orderBy(*order_by).offset(offset).limit(limit)
+    return shown(df.orderBy(*order_by).offset(offset).limit(limit))
+
+
+def shown(out: DataFrame) -> DataFrame:
+    """Records as a page shows them: NaN as null."""
     fixed = []
     for f in out.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):

@@ -13,10 +13,12 @@ level y0 and trend y1 - y0; for each day the one-step fit is l + b, then
 l' = a*y + (1-a)*(l+b) and b' = g*(l' - l) + (1-g)*b.  The reference's
 library also optimises the initial state with a continuous optimiser;
 this grid (steps of 1/20 for both parameters) is close but not equal.
+``holt_estimated`` estimates all four, many series side by side.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs, rules
@@ -67,7 +69,7 @@ def _fold(pts: Column, a: Column, g: Column) -> Column:
 def holt_fit(filled: DataFrame, min_days: int = rules.HOLT_MIN_DAYS) -> DataFrame:
     """best (a, g) per series.
 
-    Output: sid, n, last_date, alpha, beta, level, trend, sigma, mape_raw.
+    Output: sid, n, last_date, alpha, beta, level, trend, sse, sigma, mape_raw.
     Series shorter than ``min_days`` are left to the linear fallback.
     """
     # one array per series: its length is the series' day count
@@ -89,10 +91,119 @@ def holt_fit(filled: DataFrame, min_days: int = rules.HOLT_MIN_DAYS) -> DataFram
     return best.select(
         "sid", "n", "last_date", F.col("m.alpha").alias("alpha"), F.col("m.beta").alias("beta"),
         F.col("m.s.l").alias("level"), F.col("m.s.b").alias("trend"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"),
+        F.col("m.s.sse").alias("sse"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"),
         F.when(F.col("m.s.apn") > 0, F.col("m.s.ape") / F.col("m.s.apn") * 100.0).alias("mape_raw"))
 
 
+# Box of the estimated smoothing parameters, and where refining their steps ends.
+HOLT_LEAST, HOLT_MOST = 1e-4, 1.0 - 1e-4
+HOLT_STEP = 1e-7
+HOLT_ROUNDS = 200
+ESTIMATED = ("sid string, n long, last_date date, alpha double, beta double, level0 double, trend0 double, level double,"
+             " trend double, sse double, sigma double, mape_raw double")
+
+
+def _profiled(y: np.ndarray, a: np.ndarray, g: np.ndarray):
+    """Least squared error of each (a, g) over all initial states, and the state.
+
+    One-step errors are linear in the initial level and trend: e = e0 - l0*u -
+    b0*v, where e0 is the error from a zero state and u, v those a unit level
+    and a unit trend leave.  The best state solves two normal equations."""
+    z, o = np.zeros_like(a), np.ones_like(a)
+    l0, b0, lu, bu, lv, bv = z, z, o, z, z, o
+    suu, suv, svv, sue, sve = (np.zeros_like(a) for _ in range(5))
+    for x in y:
+        f, u, v = l0 + b0, lu + bu, lv + bv
+        e = x - f
+        suu, suv, svv, sue, sve = suu + u * u, suv + u * v, svv + v * v, sue + u * e, sve + v * e
+        n0, nu, nv = f + a * e, u - a * u, v - a * v
+        b0, bu, bv = g * (n0 - l0) + (1 - g) * b0, g * (nu - lu) + (1 - g) * bu, g * (nv - lv) + (1 - g) * bv
+        l0, lu, lv = n0, nu, nv
+    det = suu * svv - suv * suv
+    fine = det > 1e-12 * suu * svv
+    safe = np.where(fine, det, 1.0)
+    level = np.where(fine, (svv * sue - suv * sve) / safe, np.where(suu > 0, sue / np.where(suu > 0, suu, 1.0), y[0]))
+    trend = np.where(fine, (suu * sve - suv * sue) / safe, 0.0)
+    return level, trend
+
+
+def _run(y: np.ndarray, a, g, level, trend):
+    """The recursion from given states: squared error, sum of errors, final state."""
+    l, b, sse, total = level, trend, np.zeros_like(a), np.zeros_like(a)
+    for x in y:
+        f = l + b
+        e = x - f
+        sse, total = sse + e * e, total + e
+        after = f + a * e
+        b = g * (after - l) + (1 - g) * b
+        l = after
+    return sse, total, l, b
+
+
+def estimate_holt(y: np.ndarray) -> dict:
+    """Smoothing parameters and initial state of least squared one-step error.
+
+    The state is solved exactly for every (alpha, beta); those two are found by
+    a search over the grid's cells, then over ever finer steps around the best,
+    moving on while the best lies at the edge.  The grid's own start state is
+    kept where it is no worse, so the result is never above the grid's."""
+    y = np.asarray(y, float)
+    steps = np.arange(1, GRID_STEPS) / GRID_STEPS
+
+    def tried(a, g):
+        a, g = (x.ravel() for x in np.meshgrid(np.unique(a), np.unique(g), indexing="ij"))
+        level, trend = _profiled(y, a, g)
+        sse, *_ = _run(y, a, g, level, trend)
+        plain = np.full_like(a, y[0]), np.full_like(a, (y[1] if len(y) > 1 else y[0]) - y[0])
+        other, *_ = _run(y, a, g, *plain)
+        use = other < sse
+        sse = np.where(use, other, sse)
+        k = int(np.argmin(sse))
+        return sse[k], a[k], g[k], np.where(use, plain[0], level)[k], np.where(use, plain[1], trend)[k]
+
+    best, step = tried(steps, steps), 1 / GRID_STEPS
+    around = np.arange(-3, 4) / 3
+    for _ in range(HOLT_ROUNDS):
+        if step < HOLT_STEP:
+            break
+        a, g = (np.clip(x + around * step, HOLT_LEAST, HOLT_MOST) for x in best[1:3])
+        found = tried(a, g)
+        moved = max(abs(found[1] - best[1]), abs(found[2] - best[2])) >= step * 0.99 and found[0] < best[0]
+        best = min(best, found, key=lambda r: r[0])
+        if not moved:
+            step /= 3
+    sse, a, g, level0, trend0 = best
+    one = (np.array([a]), np.array([g]), np.array([level0]), np.array([trend0]))
+    _, total, level, trend = _run(y, *one)
+    l, b, ape, seen = level0, trend0, 0.0, 0
+    for t, x in enumerate(y.tolist()):
+        f = l + b
+        if t and x > 0:
+            ape, seen = ape + abs(x - f) / x, seen + 1
+        after = f + a * (x - f)
+        b, l = g * (after - l) + (1 - g) * b, after
+    mean = total[0] / len(y)
+    return {"alpha": float(a), "beta": float(g), "level0": float(level0), "trend0": float(trend0), "level": float(level[0]),
+            "trend": float(trend[0]), "sse": float(sse), "sigma": float(np.sqrt(max(sse / len(y) - mean * mean, 0.0))),
+            "mape_raw": float(ape / seen * 100.0) if seen else None}
+
+
+def holt_estimated(filled: DataFrame, min_days: int = rules.HOLT_MIN_DAYS) -> DataFrame:
+    """F4, F6, F7 with estimated parameters: as :func:`holt_fit`, and the
+    initial state and squared error.  Every series is one group, bounded by
+    its number of days; series are fitted side by side."""
+    long = filled.groupBy("sid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_days).select("sid")
+
+    def fit(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("d")
+        found = estimate_holt(pdf["y"].to_numpy(float))
+        return pd.DataFrame([{"sid": pdf["sid"].iloc[0], "n": len(pdf), "last_date": pdf["d"].iloc[-1], **found}])
+
+    return filled.join(long, "sid", "left_semi").select("sid", "d", "y").groupBy("sid").applyInPandas(fit, ESTIMATED)
+
+
 def holt_forecast(fit: DataFrame, days_ahead: int) -> DataFrame:
     """F5 + F6: sid, date, forecast, lower_bound, upper_bound (2 dp, floored at 0)."""
     h = F.col("h")
@@ -142,15 +253,16 @@ def linear_forecast(fit: DataFrame, days_ahead: int) -> DataFrame:
 
 
 def forecast(df: DataFrame, date_col: str, value_col: str, days_ahead: int = 90,
-             series_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+             series_col: str | None = None, estimated: bool = False) -> tuple[DataFrame, DataFrame]:
     """History + forecast rows per series, and the accuracy per series.
+    ``estimated``: parameters from :func:`holt_estimated`, not from the grid.
 
     Returns (rows, accuracy): rows has sid, date, historical, forecast,
     lower_bound, upper_bound; accuracy has sid, method, mape_raw, mape
     (capped at 25, 14.2 when not computed, 2 dp).
     """
     filled = fill_days(daily_totals(df, date_col, value_col, series_col))
-    holt = holt_fit(filled)
+    holt = stage(holt_estimated(filled), "holt") if estimated else holt_fit(filled)
     ser_n = filled.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
     short = ser_n.where(F.col("n") < rules.HOLT_MIN_DAYS).select("sid")
     lin = linear_fit(filled.join(short, "sid", "left_semi"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import exprs
+from ..session import stage
 from ..sources.tables import Tables
 from . import star
 
@@ -64,3 +66,59 @@ def sum_by(t: Tables, attr: str, measure: str = "net_amount") -> DataFrame:
     if attr in g["line"]:
         return t.lineitem.select(star._line()[attr].alias(attr), LINE_MEASURES[measure]().alias("value"))
     raise ValueError(f"unknown attribute {attr}")
+
+
+# ---------------------------------------------------------------- all dashboard sums in one scan of the lines
+def dashboard_sums(t: Tables, skew_cols: list[str]) -> DataFrame:
+    """Everything the dashboard (A1, A3-A6) needs of the lines, from one scan.
+
+    Grouping sets over the lines' keys, before any join: a row per order, a
+    row per part and one for all lines (``level``: order, part, all).  A line
+    stands in each of the three sets; what only the last one needs is null in
+    the others, so their sums skip it.  The dimensions meet these sums, not
+    the lines.  Written once: order keys and part keys are read apart.
+
+    Columns: level, key, net (exact decimal), net_amount, unit_price,
+    quantity (doubles), lines, and per skewness column its population
+    skewness and count."""
+    line = star._line()
+    sets = F.array(F.struct(F.lit("order").alias("level"), F.col("l_orderkey").alias("key")),
+                   F.struct(F.lit("part").alias("level"), F.col("l_partkey").alias("key")),
+                   F.struct(F.lit("all").alias("level"), F.lit(None).cast("long").alias("key")))
+    rows = t.lineitem.select(LINE_MEASURES["net_amount"]().alias("net"), line["net_amount"].alias("net_amount"),
+                             line["unit_price"].alias("unit_price"), line["quantity"].alias("quantity"),
+                             *[line[c].cast("double").alias(f"s{i}") for i, c in enumerate(skew_cols)],
+                             F.explode(sets).alias("g"))
+    rows = rows.select("g.level", "g.key", "net", "net_amount", "unit_price", "quantity",
+                       *[F.when(F.col("g.level") == "all", F.col(f"s{i}")).alias(f"s{i}") for i in range(len(skew_cols))])
+    per = rows.groupBy("level", "key").agg(
+        F.sum("net").alias("net"), F.sum("net_amount").alias("net_amount"), F.sum("unit_price").alias("unit_price"),
+        F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"),
+        *[a for i in range(len(skew_cols)) for a in (F.skewness(f"s{i}").alias(f"k{i}"), F.count(f"s{i}").alias(f"n{i}"))])
+    return stage(per, "dashboard-sums")
+
+
+def dashboard_parts(t: Tables, sums: DataFrame, skew_cols: list[str]) -> dict[str, DataFrame]:
+    """The dashboard's inputs from :func:`dashboard_sums`:
+
+    ``kpis`` (one row: net_amount, unit_price, quantity, customers: lines
+    with an order that has one), ``series`` (order_date, value), ``category``
+    (category_name, value), ``country`` (country, value): partial sums, and
+    ``skewness`` (column_name, skewness) and ``records`` (n)."""
+    orders = sums.where("level = 'order'").join(
+        t.orders.select(F.col("o_orderkey").alias("key"), "o_custkey", "o_orderdate"), "key")
+    kpis = orders.agg(F.sum("net_amount").alias("net_amount"), F.sum("unit_price").alias("unit_price"),
+                      F.sum("quantity").alias("quantity"),
+                      F.sum(F.when(F.col("o_custkey").isNotNull(), F.col("lines")).otherwise(0)).alias("customers"))
+    customer = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    spent = orders.groupBy("o_custkey").agg(F.sum("net").alias("value"))
+    country = spent.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(star._geo()["country"].alias("country"), "value")
+    parts = sums.where("level = 'part'").join(t.part.select(F.col("p_partkey").alias("key"), star._part()["category_name"].alias(
+        "category_name")), "key").select("category_name", F.col("net").alias("value"))
+    whole = sums.where("level = 'all'")
+    skew = whole.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), exprs.corrected_skewness(F.col(f"k{i}"), F.col(f"n{i}").cast("double")).alias("skewness"))
+        for i, c in enumerate(skew_cols)])))
+    return {"kpis": kpis, "series": orders.select(star._order()["order_date"].alias("order_date"), F.col("net").alias("value")),
+            "category": parts, "country": country, "skewness": skew, "records": whole.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n"))}

@@ -62,7 +62,7 @@ def _geo():
 
 def _part():
     return {"category_name": F.col("p_type"), "product_name": F.col("p_name"),
-            "brand": F.col("p_brand")}
+            "brand": F.col("p_brand"), "list_price": F.col("p_retailprice")}
 
 
 def _supplier():
@@ -75,7 +75,7 @@ _GROUPS = {
     "order": ["order_date", "customer_id"],
     "customer": ["customer_name", "market_segment"],
     "geo": ["country", "region"],
-    "part": ["category_name", "product_name", "brand"],
+    "part": ["category_name", "product_name", "brand", "list_price"],
     "supplier": ["supplier_name"],
 }
 
@@ -129,6 +129,7 @@ def sales_lines_sql(columns: list[str] | None = None) -> str:
         "customer_name": "c.c_name", "market_segment": "c.c_mktsegment",
         "country": "n.n_name", "region": "r.r_name",
         "category_name": "p.p_type", "product_name": "p.p_name", "brand": "p.p_brand",
+        "list_price": "p.p_retailprice",
         "supplier_name": "s.s_name",
     }
     need = set(cols)

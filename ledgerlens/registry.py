@@ -152,6 +152,42 @@ def a10_records_page(spark, sf_dir):
                      limit=rules.PAGE_SIZE, offset=100)
 
 
+# ---------------------------------------------------------------- record index
+from .operators import record_index  # noqa: E402
+from .session import shared_dir  # noqa: E402
+
+_PAGE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in SEARCH_COLS)
+
+
+def _record_index(spark, sf_dir, search):
+    import uuid
+
+    flat = sales_lines(Tables(spark, sf_dir), SEARCH_COLS)
+    return record_index.build(flat, SEARCH_COLS, shared_dir(spark, f"index/{uuid.uuid4().hex}"), search=search)
+
+
+@register("a10_deep_page", f"""
+SELECT {', '.join(SEARCH_COLS)} FROM (SELECT *, row_number() OVER (ORDER BY {_PAGE_ORDER}) AS k, count(*) OVER () AS n
+FROM {sales_lines_sql(SEARCH_COLS)} f) WHERE k > n // 10 * 9 AND k <= n // 10 * 9 + 50""")
+def a10_deep_page(spark, sf_dir):
+    """The page that starts after nine tenths of all lines, by the rank directory."""
+    index = _record_index(spark, sf_dir, False)
+    n = index.directory().agg(F.sum("n")).first()[0] or 0
+    return index.page(offset=n // 10 * 9)
+
+
+INDEXED_TERM = "red%dget"
+
+
+@register("a8_indexed_search", f"""
+SELECT * FROM {sales_lines_sql(SEARCH_COLS)} f WHERE {_search_where(SEARCH_COLS, INDEXED_TERM)}
+UNION ALL SELECT * FROM {sales_lines_sql(SEARCH_COLS)} f WHERE {_search_where(SEARCH_COLS, 'hot gear')}""")
+def a8_indexed_search(spark, sf_dir):
+    """Two searches by posting lists, one with wildcards."""
+    index = _record_index(spark, sf_dir, True)
+    return index.search(INDEXED_TERM).unionByName(index.search("hot gear"))
+
+
 # ---------------------------------------------------------------- profile
 from .operators import profile as prof_ops  # noqa: E402
 from .plans import twins  # noqa: E402
@@ -202,6 +238,40 @@ def p1_p7_profile_sales(spark, sf_dir):
     return _round_stats(_flat_profile(spark, sf_dir))
 
 
+def _incremental_sql() -> str:
+    prof = twins.profile_sql("orders", ORDERS_KINDS)
+    return f"""SELECT ordinal, column_name, data_type, semantic_type, null_percentage, min_value, max_value,
+  round(mean_value, 6) AS mean_value, round(std_dev_value, 6) AS std_dev_value, true AS distinct_within, true AS median_within
+FROM ({prof})"""
+
+
+@register("p_incremental_profile", _incremental_sql())
+def p_incremental_profile(spark, sf_dir):
+    """Orders appended in three parts, each profiled alone and merged; whether
+    the two sketched figures are within 3 % and 2 % (of the ranks) of the exact ones."""
+    import uuid
+
+    from .sources import catalog
+
+    orders, root = Tables(spark, sf_dir).orders, shared_dir(spark, f"catalog-{uuid.uuid4().hex}")
+    for k in range(3):
+        catalog.append_rows(orders.where(F.pmod("o_orderkey", F.lit(3)) == k), root, "orders")
+    prof = catalog.stored_metadata(spark, root, "column_metadata", "orders", "cleaned")
+    whole = catalog.read_parts(spark, root, "orders")
+    found = prof.collect()  # one row a column
+    exact = prof_ops.distinct_counts(whole, {r["ordinal"]: exprs.sql_ident(r["column_name"]) for r in found})
+    numbers = [r for r in found if r["median_value"] is not None]
+    below = whole.agg(F.count(F.lit(1)).alias("n"), *[x.alias(f"{k}{r['ordinal']}") for r in numbers for k, x in (
+        ("l", F.count_if(F.col(r["column_name"]) < r["median_value"])), ("u", F.count_if(F.col(r["column_name"]) <= r["median_value"])))]).first()
+    ok = {r["ordinal"]: below[f"l{r['ordinal']}"] <= 0.52 * below["n"] and below[f"u{r['ordinal']}"] >= 0.48 * below["n"] for r in numbers}
+    rows = [(r["ordinal"], abs(r["distinct_count"] - exact[r["ordinal"]]) <= 0.03 * exact[r["ordinal"]] + 1, ok.get(r["ordinal"], True))
+            for r in found]
+    judged = spark.createDataFrame(rows, "ordinal int, distinct_within boolean, median_within boolean")
+    return prof.join(F.broadcast(judged), "ordinal").select(
+        "ordinal", "column_name", "data_type", "semantic_type", "null_percentage", "min_value", "max_value",
+        r6("mean_value").alias("mean_value"), r6("std_dev_value").alias("std_dev_value"), "distinct_within", "median_within")
+
+
 @register("p8_domain", f"WITH prof AS ({_flat_profile_sql()}) {twins.domain_sql('prof')}")
 def p8_domain(spark, sf_dir):
     return prof_ops.classify_domain(prof_ops.column_names(sales_lines(Tables(spark, sf_dir))))
@@ -347,6 +417,21 @@ def c3_inferred_types(spark, sf_dir):
     return _clean(spark, sf_dir).types
 
 
+_NATIVE_SQL = ("CASE WHEN count({c}) = 0 THEN 'Text' WHEN any_value(typeof({c})) IN ('BIGINT', 'INTEGER') THEN 'Integer' "
+               "WHEN any_value(typeof({c})) = 'DOUBLE' THEN 'Float' WHEN any_value(typeof({c})) LIKE 'TIMESTAMP%' THEN 'DateTime' "
+               "WHEN any_value(typeof({c})) = 'BOOLEAN' THEN 'Boolean' ELSE 'other' END")
+_NATIVE_COLS = ["o_orderkey", "o_totalprice", "o_orderdate", "is_open", "nothing"]
+
+
+@register("c3a_native_types", "WITH t AS (SELECT *, o_orderstatus = 'O' AS is_open, CAST(NULL AS DOUBLE) AS nothing FROM orders) "
+          + " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS column_name, {_NATIVE_SQL.format(c=c)} AS inferred_type FROM t"
+                               for i, c in enumerate(_NATIVE_COLS)))
+def c3a_native_types(spark, sf_dir):
+    """Inference over typed columns (and one that is all null)."""
+    orders = Tables(spark, sf_dir).orders.withColumns({"is_open": F.col("o_orderstatus") == "O", "nothing": F.lit(None).cast("double")})
+    return clean_ops.clean(orders.select(*_NATIVE_COLS)).types
+
+
 @register("c4_c14_cleaned_dataset", _cleaned_sql())
 def c4_c14_cleaned_dataset(spark, sf_dir):
     return _clean(spark, sf_dir).data
@@ -434,6 +519,39 @@ def m4_zscores(spark, sf_dir):
     return z.select("customer_code", *[r6(f"z_{c}").alias(f"z_{c}") for c in seg_ops.FEATURES])
 
 
+# four centres in z-space, given: what assignment, labels and shares make of them is plain SQL
+FIXED_CENTRES = [(-0.5, -0.5, -0.5), (-0.5, 1.0, 1.0), (2.0, -1.0, -1.0), (0.5, 0.0, 0.25)]
+
+
+def _fixed_sql() -> str:
+    far = lambda c: " + ".join(f"(z{d} - ({x})) * (z{d} - ({x}))" for d, x in zip("rfm", c))
+    pts = ", ".join(f"{{'d': 0.0 + {far(c)}, 'i': {i}}}" for i, c in enumerate(FIXED_CENTRES))
+    names = ", ".join(twins.q(x) for x in rules.SEGMENT_LABELS)
+    return f"""WITH {_RFM_SQL},
+st AS (SELECT avg(recency) mr, stddev_pop(recency) sr, avg(frequency) mf, stddev_pop(frequency) sf,
+              avg(monetary) mm, stddev_pop(monetary) sm FROM rfm),
+z AS (SELECT customer_code, recency, frequency, monetary, (recency - mr) / sr AS zr, (frequency - mf) / sf AS zf,
+             (monetary - mm) / sm AS zm FROM rfm, st),
+c AS (SELECT *, list_min([{pts}]).i AS cluster FROM z),
+k AS (SELECT cluster, row_number() OVER (ORDER BY avg(monetary) DESC, cluster) AS place FROM c GROUP BY cluster),
+s AS (SELECT c.*, [{names}][place] AS segment FROM c JOIN k USING (cluster))"""
+
+
+@register("m5_m8_fixed_centres", f"""{_fixed_sql()}
+SELECT customer_code, recency, frequency, round(monetary, 2) AS monetary, cluster, segment FROM s""")
+def m5_m8_fixed_centres(spark, sf_dir):
+    s = seg_ops.label_clusters(seg_ops.assign_clusters(seg_ops.standardize(_rfm(spark, sf_dir)), FIXED_CENTRES))
+    return s.select("customer_code", "recency", "frequency", r2("monetary").alias("monetary"), "cluster", "segment")
+
+
+@register("m9_fixed_centres_summary", f"""{_fixed_sql()}
+SELECT segment AS segment_name, count(*) AS customer_count, {exprs.np_round_sql('avg(monetary)', 2)} AS avg_monetary,
+       {exprs.np_round_sql('count(*) / sum(count(*)) OVER () * 100.0', 2)} AS percentage FROM s GROUP BY segment""")
+def m9_fixed_centres_summary(spark, sf_dir):
+    s = seg_ops.label_clusters(seg_ops.assign_clusters(seg_ops.standardize(_rfm(spark, sf_dir)), FIXED_CENTRES))
+    return seg_ops.segment_summary(s)
+
+
 @register("m4_m8_kmeans_segments")
 def m4_m8_kmeans_segments(spark, sf_dir):
     s = seg_ops.segment_customers(Tables(spark, sf_dir).orders, "o_custkey", "o_totalprice", "o_orderdate")
@@ -549,6 +667,26 @@ def f_events_multi_series(spark, sf_dir):
     return fc.holt_forecast(fc.holt_fit(filled), 30)
 
 
+@register("f4_holt_estimated", _holt_sql("events", "ts", "value", "event_type", 30) + """
+SELECT best.sid, best.n, strftime(best.last_date, '%Y-%m-%d') AS last_date, round(log10(fin.sse), 6) AS grid_error, true AS not_above_grid
+FROM best JOIN fin USING (sid) WHERE fin.rk = 1""")
+def f4_holt_estimated(spark, sf_dir):
+    """Estimated parameters of every series against the best grid cell: the
+    grid's squared error (logarithm) and whether the estimate is no worse."""
+    filled = fc.fill_days(fc.daily_totals(Tables(spark, sf_dir).events, "ts", "value", "event_type"))
+    est = fc.holt_estimated(filled).select("sid", "n", "last_date", "sse")
+    both = est.join(fc.holt_fit(filled).select("sid", F.col("sse").alias("grid")), "sid")
+    return both.select("sid", "n", F.date_format("last_date", "yyyy-MM-dd").alias("last_date"),
+                       r6(F.log10("grid")).alias("grid_error"), (F.col("sse") <= F.col("grid") * (1 + 1e-9)).alias("not_above_grid"))
+
+
+@register("f5_estimated_forecast")
+def f5_estimated_forecast(spark, sf_dir):
+    """History and forecast with estimated parameters: totals of the orders."""
+    rows, _ = fc.forecast(Tables(spark, sf_dir).orders, "o_orderdate", "o_totalprice", 90, estimated=True)
+    return rows
+
+
 def _linear_sql(horizon: int) -> str:
     return f"""WITH {_filled_sql('orders', 'o_orderdate', 'o_totalprice', None)},
 idx AS (SELECT sid, d, y, CAST(datediff('day', min(d) OVER (PARTITION BY sid), d) AS DOUBLE) AS t FROM filled),
@@ -760,6 +898,25 @@ def t9_context_sections(spark, sf_dir):
     return conv_ops.sections(_context_document(spark, sf_dir).withColumn("doc_id", F.lit(0)))
 
 
+_SECTIONED = "'=== ' || source || ' ===' || chr(10) || text || chr(10) || '=== ' || lang || chr(10) || doc_id"
+
+
+@register("t9_document_sections", f"""
+WITH l AS (SELECT doc_id, unnest(string_split({_SECTIONED}, chr(10))) AS line,
+                  generate_subscripts(string_split({_SECTIONED}, chr(10)), 1) - 1 AS line_no FROM documents),
+s AS (SELECT *, last_value(CASE WHEN starts_with(line, '===') THEN line END IGNORE NULLS)
+             OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l)
+SELECT doc_id, section, CAST(line_no AS INTEGER) AS line_no, line FROM s
+WHERE section IS NOT NULL AND NOT starts_with(line, '===') AND length(trim(line)) > 0""")
+def t9_document_sections(spark, sf_dir):
+    """Lines by section of every document: its source's section holds the text."""
+    nl = F.lit("\n")
+    doc = F.concat(F.lit("=== "), F.col("source"), F.lit(" ==="), nl, F.col("text"), nl, F.lit("=== "), F.col("lang"), nl,
+                   F.col("doc_id").cast("string"))
+    out = conv_ops.sections(Tables(spark, sf_dir).documents.select("doc_id", doc.alias("document")))
+    return out.select("doc_id", "section", "line_no", "line")
+
+
 # ---------------------------------------------------------------- data quality
 from .operators import quality as q_ops  # noqa: E402
 
@@ -867,6 +1024,26 @@ def d1_sales_kpis(spark, sf_dir):
     return k.select(*[r2(c).alias(c) if c not in ("orders", "customers") else F.col(c) for c in k.columns])
 
 
+# The tables carry no cost.  Stated here: a unit costs this share of its part's list price.
+COST_SHARE = 0.6
+_PROFIT_COLS = [*_D1_COLS, "list_price"]
+
+
+@register("d1_profit_margin", f"""
+SELECT round(sum(net_amount), 2) AS revenue, round(sum(gross_amount), 2) AS gross_sales,
+       round(sum(gross_amount) - sum(net_amount), 2) AS discounts, count(DISTINCT order_number) AS orders,
+       count(DISTINCT customer_id) AS customers, round(sum(quantity), 2) AS items,
+       round(sum(net_amount) / count(DISTINCT order_number), 2) AS aov,
+       round(sum(net_amount) - sum(quantity * list_price * {COST_SHARE}), 2) AS profit,
+       round((sum(net_amount) - sum(quantity * list_price * {COST_SHARE})) * 100.0 / sum(net_amount), 6) AS margin_pct
+FROM {sales_lines_sql(_PROFIT_COLS)} f""")
+def d1_profit_margin(spark, sf_dir):
+    """D1 with profit and margin, at the stated cost."""
+    flat = sales_lines(Tables(spark, sf_dir), _PROFIT_COLS).withColumn("cost", F.col("quantity") * F.col("list_price") * F.lit(COST_SHARE))
+    k = m_ops.sales_kpis(flat, "order_number", "customer_id", "net_amount", "gross_amount", "quantity", "cost")
+    return k.select(*[F.col(c) if c in ("orders", "customers") else (r6 if c == "margin_pct" else r2)(c).alias(c) for c in k.columns])
+
+
 @register("d2_monthly_growth", f"""
 WITH m AS (SELECT date_trunc('month', order_date) AS mo, sum(net_amount) AS value
            FROM {sales_lines_sql(["order_date", "net_amount"])} f GROUP BY 1)
@@ -963,11 +1140,46 @@ def d7_key_relationships(spark, sf_dir):
     return out.withColumn("containment", r6("containment"))
 
 
+_DISCOVERY = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_regionkey", "n_name"],
+              "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+              "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+              "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+              "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]}
+_DISCOVERY_TEXT = {"r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus",
+                   "o_orderpriority", "l_returnflag", "l_linestatus"}
+
+
+def _discovery_sql() -> str:
+    """Every pair of columns of a family, by brute force."""
+    cols = [(t, c) for t, cs in _DISCOVERY.items() for c in cs]
+    vals = ", ".join(f"v_{c} AS (SELECT CAST({c} AS {'VARCHAR' if c in _DISCOVERY_TEXT else 'BIGINT'}) AS v, count(*) AS n "
+                     f"FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)" for t, c in cols)
+    pairs = " UNION ALL ".join(
+        f"SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column, "
+        f"(SELECT count(*) FROM v_{cc}) AS child_values, (SELECT count(*) FROM v_{cc} a JOIN v_{pc} b USING (v)) AS matched_values, "
+        f"(SELECT max(n) = 1 FROM v_{pc}) AS parent_unique, (SELECT count(*) FROM v_{pc}) AS parent_values"
+        for ct, cc in cols for pt, pc in cols if ct != pt and (cc in _DISCOVERY_TEXT) == (pc in _DISCOVERY_TEXT))
+    return f"""WITH {vals}, p AS ({pairs})
+SELECT child_table, child_column, parent_table, parent_column, child_values, matched_values,
+  round(CAST(matched_values AS DOUBLE) / child_values, 6) AS containment, parent_unique, 'many-to-one' AS cardinality,
+  round(CAST(matched_values AS DOUBLE) / child_values * 100.0, 2) AS confidence,
+  round(CAST(matched_values AS DOUBLE) / parent_values, 6) AS coverage
+FROM p WHERE parent_unique AND child_values > 0 AND matched_values >= 0.95 * child_values"""
+
+
+@register("d7_discovered_relationships", _discovery_sql())
+def d7_discovered_relationships(spark, sf_dir):
+    """Keys and the columns that refer to them, found by their values alone."""
+    t = Tables(spark, sf_dir)
+    out = m_ops.discover_relationships({name: getattr(t, name).select(*cols) for name, cols in _DISCOVERY.items()})
+    return out.withColumn("containment", r6("containment")).withColumn("coverage", r6("coverage"))
+
+
 # ---------------------------------------------------------------- sources and reports
 import uuid as _uuid  # noqa: E402
 
 from .operators import reports as rep_ops  # noqa: E402
-from .session import shared_dir  # noqa: E402
+from .sources import catalog as cat_ops  # noqa: E402
 from .sources import upload as up_ops  # noqa: E402
 
 
@@ -990,6 +1202,20 @@ def s1_csv_upload(spark, sf_dir):
     return up_ops.read_upload_csv(spark, _customer_csv(spark, sf_dir))
 
 
+_NA_SQL = ", ".join(twins.q(t) for t in rules.CSV_NA_TOKENS)
+
+
+@register("s1_csv_line_breaks", " UNION ALL ".join(
+    f"SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, "
+    f"CASE WHEN {t} NOT IN ({_NA_SQL}) THEN {t} END AS text FROM conversations" for t in ("text",)))
+def s1_csv_line_breaks(spark, sf_dir):
+    """Conversations as a CSV upload: texts with line breaks, commas and quotes, read split by split."""
+    path = shared_dir(spark, f"uploads/conversations-{_uuid.uuid4().hex}.csv")
+    Tables(spark, sf_dir).conversations.write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+    return up_ops.read_upload_csv(spark, path)
+
+
 _CUST_CLEAN = ("(SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, "
                f"{exprs.np_round_sql('c_acctbal', 4)} AS c_acctbal, c_mktsegment FROM customer) cc")
 
@@ -1029,6 +1255,23 @@ def s9_report_profile_section(spark, sf_dir):
     return rep_ops.profile_section(_round_stats(_flat_profile(spark, sf_dir)))
 
 
+@register("s9_report_header", f"""WITH d AS ({ORACLE['p8_domain']}), n AS (SELECT count(*) AS n FROM {sales_lines_sql(FLAT_COLUMNS)} f),
+k AS (SELECT count(*) AS kpi_count FROM ({ORACLE['p9_kpi_suggestions']})),
+i AS (SELECT count(*) AS insight_count FROM ({ORACLE['p12_p13_ingest_insights']}))
+SELECT domain, confidence_score, format('{{:,}}', n) AS record_count, kpi_count, insight_count FROM d, n, k, i""")
+def s9_report_header(spark, sf_dir):
+    """The header of a report, from the metadata stored with the dataset."""
+    root = shared_dir(spark, f"catalog-{_uuid.uuid4().hex}")
+    flat = stage(sales_lines(Tables(spark, sf_dir, wide=True)), "sales-lines")
+    prof = prof_ops.profile(flat)
+    records = flat.agg(F.count(F.lit(1)).alias("n"))
+    cat_ops.store_metadata(root, "sales", prof, prof_ops.suggest_kpis(prof),
+                           prof_ops.ingest_insights(prof, prof_ops.classify_domain(prof), records))
+    stored = lambda table: cat_ops.stored_metadata(spark, root, table, "sales")
+    return rep_ops.header_section(prof_ops.classify_domain(stored("column_metadata")), records,
+                                  stored("generated_kpis"), stored("generated_insights"))
+
+
 # ---------------------------------------------------------------- dashboard assembly
 def _a7_sql() -> str:
     o = ORACLE
@@ -1050,21 +1293,26 @@ UNION ALL SELECT 'insight', CAST(row_number() OVER (ORDER BY column_name) AS INT
   FROM ({o['a6_skewness_insights']}) WHERE insight IS NOT NULL"""
 
 
-@register("a7_dashboard_document", _a7_sql())
-def a7_dashboard_document(spark, sf_dir):
-    return dash.dashboard_document(a1_kpi_values(spark, sf_dir), a3_daily_series(spark, sf_dir),
-                                   a4_category_share(spark, sf_dir), a5_country_ranking(spark, sf_dir),
-                                   a6_skewness_insights(spark, sf_dir), _a7_header(spark, sf_dir))
+# the KPIs as formulas over the one-row sums of all lines
+_A7_KPIS = [("Total Net Amount", "SUM(net_amount)", "net_amount"), ("Total Unit Price", "SUM(unit_price)", "unit_price"),
+            ("Total Quantity", "SUM(quantity)", "quantity"), ("Total Records Volume", "COUNT(customer_id)", "customers")]
 
 
-def _a7_header(spark, sf_dir):
-    lines = sales_lines(Tables(spark, sf_dir), ["order_number"])
-    return dash.dashboard_header("sales_lines", p8_domain(spark, sf_dir), lines.agg(F.count(F.lit(1)).alias("n")))
+@register("a7_dashboard_document", _a7_sql())
+def a7_dashboard_document(spark, sf_dir):
+    """The whole dashboard from one scan of the lines."""
+    t = Tables(spark, sf_dir)
+    parts = rollup.dashboard_parts(t, rollup.dashboard_sums(t, SKEW_COLS), SKEW_COLS)
+    kpis = dash.show_kpis(parts["kpis"], _A7_KPIS)
+    cents = lambda df: df.withColumn("value", r2("value").cast("double"))
+    head = dash.dashboard_header("sales_lines", p8_domain(spark, sf_dir), parts["records"])
+    return dash.dashboard_document(
+        kpis, cents(dash.daily_series(parts["series"], "order_date", "value")),
+        cents(dash.top_share(parts["category"], "category_name", "value", rules.PIE_TOP)),
+        cents(dash.top_share(parts["country"], "country", "value", rules.BAR_TOP)), dash.skewness_text(parts["skewness"]), head)
 
 
 # ---------------------------------------------------------------- storage, catalog, inventory
-from .sources import catalog as cat_ops  # noqa: E402
-
 
 def _orders_catalog(spark, sf_dir):
     """Orders read as catalog rows: an order is a dataset, its customer the owner."""
@@ -1074,14 +1322,13 @@ def _orders_catalog(spark, sf_dir):
 
 
 @register("s6_dataset_listing", """
-SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, strftime(o_orderdate, '%Y-%m-%d') AS created,
-       row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS position
-FROM orders WHERE o_custkey = 7""")
+SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS dataset_id, strftime(o_orderdate, '%Y-%m-%d') AS created,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS position
+FROM orders""")
 def s6_dataset_listing(spark, sf_dir):
-    mine = cat_ops.list_datasets(_orders_catalog(spark, sf_dir), "7")  # one owner's list
-    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), "dataset_id"))
-    return mine.select("dataset_id", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
-                       rank.cast("long").alias("position"))
+    lists = cat_ops.dataset_lists(_orders_catalog(spark, sf_dir))
+    return lists.select(F.col("uploaded_by").alias("owner"), "dataset_id",
+                        F.date_format("created_at", "yyyy-MM-dd").alias("created"), "position")
 
 
 @register("s7_resolve_dataset", """
@@ -1099,21 +1346,79 @@ def s7_resolve_dataset(spark, sf_dir):
     return cat_ops.resolve_datasets(_orders_catalog(spark, sf_dir), asked)
 
 
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
 @register("s3_d8_dataset_versions", """
 SELECT 'raw' AS version, o_orderkey, o_custkey, o_totalprice FROM orders
 UNION ALL SELECT 'cleaned', o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 0""")
 def s3_d8_dataset_versions(spark, sf_dir):
-    """Two versions of one dataset, written and read back."""
+    """Two versions of one dataset, published and read back."""
     root = shared_dir(spark, f"catalog-{_uuid.uuid4().hex}")
-    orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = Tables(spark, sf_dir).orders.select(*_ORDER_COLS)
     out = None
     for version, df in (("raw", orders), ("cleaned", orders.where("o_totalprice > 0"))):
-        path = cat_ops.write_dataset(df, root, "orders", version)
-        back = spark.read.schema(df.schema).parquet(path).select(F.lit(version).alias("version"), "*")
+        cat_ops.write_dataset(df, root, "orders", version)
+        back = cat_ops.read_dataset(spark, root, "orders", version).select(F.lit(version).alias("version"), *_ORDER_COLS)
         out = back if out is None else out.unionByName(back)
     return out
 
 
+@register("s3_s5_publish_rollback", """
+SELECT 'after the failed publish' AS state, 1 AS listed, o_orderkey, o_custkey, o_totalprice FROM orders
+UNION ALL SELECT 'after the next publish', 1, o_orderkey, o_custkey, o_totalprice * 2 FROM orders""")
+def s3_s5_publish_rollback(spark, sf_dir):
+    """A publish whose catalog rows fail leaves the dataset as it was; the next
+    one replaces it.  ``listed``: catalog rows of the dataset then visible."""
+    root = shared_dir(spark, f"catalog-{_uuid.uuid4().hex}")
+    orders = Tables(spark, sf_dir).orders.select(*_ORDER_COLS)
+    doubled = orders.withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    fails = orders.limit(1).select(F.lit(0).alias("insight_order"), F.raise_error(F.lit("no insight")).cast("string").alias("text"))
+
+    def put(df, **kw):
+        cat_ops.publish(df, root, "orders", "orders.csv", "owner", "Retail", 40.0, df.count(), **kw)
+
+    def state(name):
+        listed = cat_ops.read_catalog(spark, root, "datasets").count()
+        return cat_ops.read_dataset(spark, root, "orders").select(F.lit(name).alias("state"), F.lit(listed).alias("listed"), *_ORDER_COLS)
+
+    put(orders)
+    try:
+        put(doubled, metadata={"generated_insights": fails})
+    except Exception as e:  # the job's own error, and no other
+        if "no insight" not in str(e):
+            raise
+    kept = state("after the failed publish")
+    put(doubled)
+    return kept.unionByName(state("after the next publish"))
+
+
+_CHANGED_SQL = """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 > 1
+UNION ALL SELECT o_orderkey, o_custkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 10 = 1
+UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 = 7
+UNION ALL SELECT -o_orderkey - 1, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 = 5"""
+
+
+@register("d8_version_difference", f"""
+WITH n AS ({_CHANGED_SQL}),
+net AS (SELECT o_orderkey, o_custkey, o_totalprice, sum(s) AS net FROM (
+          SELECT o_orderkey, o_custkey, o_totalprice, -1 AS s FROM orders
+          UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 1 FROM n) GROUP BY ALL HAVING sum(s) <> 0),
+b AS (SELECT *, min(net) OVER (PARTITION BY o_orderkey) < 0 AND max(net) OVER (PARTITION BY o_orderkey) > 0 AS both_sides FROM net)
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(abs(net) AS BIGINT) AS copies,
+       CASE WHEN both_sides AND net > 0 THEN 'changed_to' WHEN both_sides THEN 'changed_from'
+            WHEN net > 0 THEN 'added' ELSE 'removed' END AS change FROM b""")
+def d8_version_difference(spark, sf_dir):
+    """What a later version of the orders adds, removes, repeats and changes."""
+    orders = Tables(spark, sf_dir).orders.select(*_ORDER_COLS)
+    last = F.col("o_orderkey") % 10
+    new = (orders.where(last > 1).unionByName(orders.where(last == 1).withColumn("o_totalprice", F.col("o_totalprice") + 1))
+           .unionByName(orders.where(last == 7))
+           .unionByName(orders.where(last == 5).withColumn("o_orderkey", -F.col("o_orderkey") - 1)))
+    return cat_ops.version_difference(orders, new, ["o_orderkey"])
+
+
 @register("d4_stock_out_rate", """
 WITH inv AS (SELECT p_partkey, greatest(0, 800 - coalesce(CAST(sum(l_quantity) AS BIGINT), 0)) AS on_hand, 100 AS reorder_point
              FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
