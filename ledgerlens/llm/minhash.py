@@ -12,8 +12,11 @@ exceed it about once in 60,000 pairs, more similar ones less often.
 Work is per distinct set.  A key's sets first meet only its smallest one: a
 star, not all pairs.  Candidates close enough by signature and size are
 confirmed on their full sets.  Where a key then still holds several
-components, members of different ones meet in blocks of bounded size, so no
-link that a key offers is lost, and sets already connected are not compared.
+components, the hashes that no other component's set has are counted: a set
+with too many of them can have no partner there, two sets with many cannot be
+partners.  What that leaves open meets in blocks of bounded size, where a
+longer signature rules out all but likely pairs (about 1 in 75,000 of the
+least similar ones wrongly); sets already connected are not compared.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import map_rows, staged
 from .components import components
 from .words import word_slices
 
@@ -34,29 +37,41 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 BITS = 16
 SEED = 11
-BLOCK = 128       # members of a key that meet at once
+BLOCK = 256       # members of a key that meet at once, on either side
+FINE = 400        # one-byte symbols of the longer signature that sets of unsettled keys get
+NEAREST = 1       # of a set's neighbours under a key that are tried before all others
 ROWS = 2048       # hashes permuted at once
 
 
+def _folded(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of the words at equal places, in order."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        out = (out ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles, A-Z lower-cased
     (fewer words: the whole sequence; no words or null: empty)."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    parts, tail = [], []
+    parts, tail = [], np.zeros(0, np.uint64)
     for words in word_slices((text or "").encode().lower()):
-        words = tail + words
-        if len(words) < shingle:
-            tail = words
+        own = np.fromiter(map(digest, words), np.uint64, len(words))
+        own = np.concatenate([tail, own])
+        n = len(own) - shingle + 1
+        if n < 1:
+            tail = own
             continue
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        parts.append(np.unique(np.array([digest(line[a:b]) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64)))
-        tail = words[len(words) - shingle + 1:] if shingle > 1 else []
-    if not parts and tail:
-        parts.append(np.array([digest(b" ".join(tail))], np.uint64))
+        parts.append(np.unique(_folded([own[k:k + n] for k in range(shingle)])))
+        tail = own[n:]
+    if not parts and len(tail):
+        parts.append(_folded([tail[k:k + 1] for k in range(len(tail))]))
     if len(parts) == 1:
         return parts[0]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
@@ -159,87 +174,178 @@ def _sized(percent: int) -> str:
     return f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Of the pairs ``u, v`` of classes those whose full sets are similar."""
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = staged(wanted.join(classes.select("id", "first", "own"), "id"), "candidate-sets")
-    # texts go where a candidate's first document is; another text under the same id has another digest
+def _full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """``id, items`` of the wanted classes: their texts are read once more."""
+    wanted = staged(ids.distinct().join(classes.select("id", "first", "own"), "id"), "wanted-sets")
     named = wanted.select("first").distinct()
+    # texts go where a class's first document is; another text under the same id has another digest
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["first"]), "left_semi")
     found = prints(texts, shingle, sets=True).select("own", "items").join(wanted.select("id", "own"), "own")
-    found = staged(found.dropDuplicates(["id"]).select("id", "items"), "full-sets")
-    both = pairs.join(found.withColumnsRenamed({"id": "u", "items": "a"}), "u").join(
-        found.withColumnsRenamed({"id": "v", "items": "b"}), "v")
+    return staged(found.dropDuplicates(["id"]).select("id", "items"), name)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``u, v`` of classes those whose full sets are similar."""
+    both = pairs.join(sets.withColumnsRenamed({"id": "u", "items": "a"}), "u").join(
+        sets.withColumnsRenamed({"id": "v", "items": "b"}), "v")
     shared = both.select("u", "v", F.size("a").alias("x"), F.size("b").alias("y"), F.size(F.array_intersect("a", "b")).alias("s"))
-    return staged(shared.where(f"100L * s >= {percent}L * (x + y - s)").select("u", "v"), "confirmed")
+    return shared.where(f"100L * s >= {percent}L * (x + y - s)").select("u", "v")
 
 
-def _residual(members: DataFrame, distance: int, percent: int, block: int) -> DataFrame:
-    """``u, v`` of different components under one key, close by signature.
+def _slack(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, n, slack``: how many of a set's hashes no set of another component
+    has.  These cannot be shared with any set it may yet be linked with."""
+    own = sets.join(roots, "id").select("id", "root", F.explode("items").alias("item"))
+    shared = own.groupBy("item").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("item")
+    met = own.join(shared, "item", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    return sets.select("id", F.size("items").cast("long").alias("n")).join(met, "id", "left").select(
+        "id", "n", (F.col("n") - F.coalesce("met", F.lit(0))).alias("slack"))
 
-    ``members``: ``key, id, root, n, sign, main`` (in the component of the
-    key's smallest).  Others meet everything, block by block; members of the
-    main component do not meet each other."""
-    held = members.groupBy("key").agg(F.sum(F.expr("CAST(main AS INT)")).alias("mains"),
-                                      F.sum(F.expr("CAST(NOT main AS INT)")).alias("others"))
-    dealt = members.join(held, "key").selectExpr(
-        "*", f"CAST(ceil(others / {block}) AS INT) AS a", f"CAST(ceil(mains / {block}) AS INT) AS b").selectExpr(
-        "*", "CASE WHEN main THEN a + CAST(pmod(xxhash64(id), b) AS INT) ELSE CAST(pmod(xxhash64(id), a) AS INT) END AS own")
-    meets = ("CASE WHEN main THEN transform(sequence(0, a - 1), i -> struct(i AS i, own AS j))"
-             " ELSE concat(transform(sequence(own, a + b - 1), j -> struct(own AS i, j AS j)),"
-             " transform(filter(sequence(0, own), i -> i < own), i -> struct(i AS i, own AS j))) END")
-    rows = dealt.selectExpr("key", "id", "root", "n", "sign", "own", f"explode({meets}) AS m").select(
-        "key", "m.i", "m.j", "id", "root", "n", "sign", "own")
-
-    def meet(pdf):
-        import pandas as pd
 
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        u, v = [], []
-        if len(left) and len(right):
-            signs = np.frombuffer(b"".join(right["sign"]), "<u2").reshape(len(right), SYMBOLS)
-            ids, roots, sizes = (right[c].to_numpy() for c in ("id", "root", "n"))
-            for own, root, n, sign in zip(left["id"], left["root"], left["n"], left["sign"]):
-                fits = (roots != root) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                fits &= (signs != np.frombuffer(sign, "<u2")).sum(axis=1) <= distance
-                near = ids[fits] if i != j else ids[fits & (ids > own)]
-                u += np.minimum(near, own).tolist()
-                v += np.maximum(near, own).tolist()
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+def _fine(sets: DataFrame) -> DataFrame:
+    """``id, fine``: a longer signature of full sets."""
 
-    return rows.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long").distinct()
+    def run(batches):
+        signer = Signer(FINE, SEED + 1)
+        for cols in batches:
+            for doc, items in zip(cols["id"], cols["items"]):
+                yield doc, signer.sign(np.array(items, np.int64).view(np.uint64)).astype(np.uint8).tobytes()
+
+    return map_rows(sets.select("id", "items"), run, "id long, fine binary", 256)
+
+
+def fine_limit(percent: int, sigmas: float = 4.5) -> int:
+    """Differing symbols of the longer signature that similar sets may have."""
+    p = (1 - percent / 100) * 255 / 256
+    return int(FINE * p + sigmas * (FINE * p * (1 - p)) ** 0.5)
 
 
-def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, distance: int = DISTANCE,
+def _residual(members: DataFrame, distance: int, percent: int, block: int, nearest: int | None) -> DataFrame:
+    """``u, v`` of different components under one key that may be similar.
+
+    ``members``: ``key, slot, id, root, n, slack, sign, fine, main`` (in the component
+    of the key's smallest).  Members are dealt into blocks of ``block``; every
+    block meets every other, but blocks of the main component do not meet each
+    other.  Two sets share at most what neither's slack takes away.  A pair is
+    returned under the first key it shares, with ``nearest`` only if it is
+    among so many nearest of either set there."""
+    held = members.groupBy("key").agg(F.count_if("main").alias("mains"), F.count_if(~F.col("main")).alias("others"))
+    dealt = members.join(held, "key").selectExpr(
+        "*", f"mains + others <= {block} AS small", f"CAST(ceil(others / {block}) AS INT) AS a", f"CAST(ceil(mains / {block}) AS INT) AS b").selectExpr(
+        "*", "CASE WHEN small THEN 0 WHEN main THEN a + CAST(pmod(xxhash64(id), b) AS INT) ELSE CAST(pmod(xxhash64(id), a) AS INT) END AS own")
+    meets = ("CASE WHEN small THEN array(0) WHEN main THEN sequence(0, a - 1) ELSE sequence(0, a + b - 1) END")
+    rows = dealt.selectExpr("key", "slot", "id", "root", "n", "slack", "sign", "fine", "own", f"explode({meets}) AS met").selectExpr(
+        "key", "least(own, met) AS i", "greatest(own, met) AS j", "slot", "id", "root", "n", "slack", "sign", "fine", "own")
+    limit = fine_limit(percent)
+
+    def run(batches):
+        group, own = None, []
+        for cols in batches:
+            for key, i, j, *row in zip(*(cols[c] for c in ("key", "i", "j", "own", "slot", "id", "root", "n", "slack", "sign", "fine"))):
+                if (key, i, j) != group:
+                    yield from meet(group, own)
+                    group, own = (key, i, j), []
+                own.append(row)
+        yield from meet(group, own)
+
+    def meet(group, own):
+        if not own:
+            return
+        place, slot, ids, roots, sizes, slacks = (np.array([r[k] for r in own]) for k in range(6))
+        signs = np.frombuffer(b"".join(r[6] for r in own), "<u2").reshape(len(own), SYMBOLS)
+        fine = np.frombuffer(b"".join(r[7] for r in own), np.uint8).reshape(len(own), FINE)
+        left, right = np.flatnonzero(place == group[1]), np.flatnonzero(place == group[2])
+        for at in range(0, len(left), 32):
+            one = left[at:at + 32]
+            fits = roots[one, None] != roots[right]
+            fits &= 100 * np.minimum(sizes[one, None], sizes[right]) >= percent * np.maximum(sizes[one, None], sizes[right])
+            fits &= (100 + percent) * (slacks[one, None] + slacks[right]) <= (100 - percent) * (sizes[one, None] + sizes[right])
+            if group[1] == group[2]:
+                fits &= ids[one, None] < ids[right]
+            x, y = np.nonzero(fits)
+            wrong = signs[one[x]] != signs[right[y]]
+            far = wrong.sum(axis=1)
+            near = np.flatnonzero(far <= distance)
+            near = near[first_shared(wrong[near]) == slot[0]] if len(near) else near
+            if len(near):
+                far = (fine[one[x[near]]] != fine[right[y[near]]]).sum(axis=1)
+                near, far = near[far <= limit], far[far <= limit]
+            if nearest is not None and len(near):
+                near = near[_nearest(x[near], y[near], far, nearest)]
+            for u, v in zip(ids[one[x[near]]].tolist(), ids[right[y[near]]].tolist()):
+                yield min(u, v), max(u, v)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return map_rows(dealt, run, "u long, v long")  # each pair at its first key and one block only
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Pairs among the ``k`` nearest of their ``x`` or of their ``y``."""
+    keep = np.zeros(len(x), bool)
+    for side in (x, y):
+        order = np.lexsort((far, side))
+        first = np.searchsorted(side[order], side[order])
+        keep[order[np.arange(len(x)) - first < k]] = True
+    return keep
+
+
+def first_shared(wrong: np.ndarray) -> np.ndarray:
+    """Per row of differing symbols, the place of the first key both have."""
+    chunks = wrong.reshape(len(wrong), CHUNKS, WIDTH)
+    c = np.argmax(chunks.sum(axis=2) <= 1, axis=1)
+    return c * WIDTH + chunks[np.arange(len(wrong)), c].argmax(axis=1)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, root`` after links between ids of different components."""
+    root = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    named = links.join(root("u"), "u", "left").join(root("v"), "v", "left").select(
+        F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    over = components(named).select(F.col("node").alias("below"), F.col("root").alias("top"))
+    every = roots.unionByName(over.select(F.col("below").alias("id"), F.col("below").alias("root"))).distinct()
+    return staged(every.join(over, F.col("root") == F.col("below"), "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def roots(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, distance: int = DISTANCE,
           block: int = BLOCK) -> DataFrame:
-    """``u, v``: links that connect all classes of sets whose similarity is
-    ``percent`` or more and whose signatures differ in ``distance`` symbols
-    or fewer.  All are confirmed; links that others imply may be absent."""
+    """``id, root`` of classes linked with another: links join sets whose
+    similarity is ``percent`` or more and whose signatures differ in
+    ``distance`` symbols or fewer.  All are confirmed; links that others
+    imply may not be looked at."""
     if distance > DISTANCE:
         raise ValueError("chunks with one wrong symbol cover less than two errors a chunk")
-    keys = classes.select("id", F.explode(_keys()("sign")).alias("key"))
-    held = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
-                  .where("n > 1"), "shared-keys")
-    members = staged(keys.join(held.where("n > 2").select("key", "hub"), "key"), "key-members")
-    star = held.where("n = 2").selectExpr("hub AS u", "last AS v").unionByName(
-        members.where("id <> hub").selectExpr("hub AS u", "id AS v")).distinct()
+    keys = classes.select("id", F.posexplode(_keys()("sign")).alias("slot", "key"))
+    held = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared-keys")
+    members = staged(keys.join(held.select("key", "hub"), "key"), "key-members")
+    star = members.where("id <> hub").selectExpr("hub AS u", "id AS v").distinct()
     side = classes.select("id", "n", "sign")
     near = star.join(side.withColumnsRenamed({"id": "u", "n": "n_u", "sign": "s_u"}), "u").join(
         side.withColumnsRenamed({"id": "v", "n": "n_v", "sign": "s_v"}), "v").where(_sized(percent))
     near = staged(near.where(_distance()("s_u", "s_v") <= distance).select("u", "v"), "candidates")
-    first = _confirmed(near, classes, docs, percent, shingle)
-    roots = components(first)
-    rooted = staged(members.join(roots, members["id"] == roots["node"], "left").select(
-        "key", "hub", "id", F.coalesce("root", "id").alias("root")), "rooted-members")
-    split = staged(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"),
-                                             F.min(F.expr("CASE WHEN id = hub THEN root END")).alias("main"))
-                   .where("least < most").select("key", "main"), "split-keys")
-    if not split.limit(1).count():
-        return first
-    rest = rooted.join(split, "key").join(side, "id").select("key", "id", "root", "n", "sign", (F.col("root") == F.col("main")).alias("main"))
-    more = _residual(staged(rest, "residual"), distance, percent, block).join(near, ["u", "v"], "left_anti")
-    return first.unionByName(_confirmed(staged(more, "more-candidates"), classes, docs, percent, shingle))
+    sets = _full_sets(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))), classes, docs, shingle, "full-sets")
+    found = staged(components(_confirmed(near, sets, percent)).select(F.col("node").alias("id"), "root"), "roots")
+    kept = None
+    # first each set's nearest, which joins most of a group; then all that is still apart
+    for nearest in (NEAREST, None):
+        rooted = members.join(found, "id", "left").select("key", "slot", "hub", "id", F.coalesce("root", "id").alias("root"))
+        # keys of two members have been decided by their star; others are looked at again while they hold several components
+        split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"),
+                                          F.min(F.expr("CASE WHEN id = hub THEN root END")).alias("main")).where("n > 2 AND least < most")
+        rest = staged(rooted.join(split.select("key", "main"), "key").select(
+            "key", "slot", "id", "root", (F.col("root") == F.col("main")).alias("main")), "residual")
+        if kept is None:
+            apart = staged(rest.select("id", "root").distinct(), "residual-ids")
+            if not apart.limit(1).count():
+                break
+            sets = _full_sets(apart.select("id"), classes, docs, shingle, "residual-sets")
+            # hashes no other component has: there can only be more of them later, so this stays a bound
+            kept = staged(_slack(sets, apart).join(side.select("id", "sign"), "id").join(_fine(sets), "id"), "slack")
+        # more than this share of a set away, and it has no partner
+        full = rest.join(kept, "id").where(f"{percent} * slack <= {100 - percent} * n")
+        more = staged(_residual(staged(full, "residual-members"), distance, percent, block, nearest).join(near, ["u", "v"], "left_anti"), "more-candidates")
+        found = _joined(found, _confirmed(more, sets, percent))
+        near = near.unionByName(more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, distance: int = DISTANCE,
@@ -256,11 +362,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     classes = found.where("n > 0").groupBy("own").agg(
         F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")  # written: ids stay
-    roots = components(links(classes, texts, percent, shingle, distance, block))
-    of = staged(classes.select("id", "own", "first").join(roots, F.col("id") == F.col("node"), "left").select(
+    of = staged(classes.select("id", "own", "first").join(roots(classes, texts, percent, shingle, distance, block), "id", "left").select(
         "own", "first", F.coalesce("root", "id").alias("root")), "class-roots")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staged(of.join(least, "root").select("own", "component_id"), "named-classes")
+    named = of.join(least, "root").select("own", "component_id")
     return found.join(named, "own", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias(
             "component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
