@@ -24,7 +24,7 @@ from .common import staged
 PROJECTIONS = 100
 THRESHOLD = 90          # lines that must collide
 VERIFY_SHARE = 0.15     # of a block's vectors to verify for a query, and
-VERIFY_LEAST = 500      # at least
+VERIFY_ROOT = 10.0      # times the square root of their number at least
 GROWTH = 1.05           # factor of a window's width from one step to the next
 PILOT = 512             # vectors from which the first width is guessed
 ROW_BLOCK = 8192
@@ -96,9 +96,9 @@ class Block:
             counts += np.bincount(np.concatenate(rings), minlength=n)
             lo, hi = wide_lo, wide_hi
 
-    def nearest(self, query_id: int, vector: np.ndarray, k: int, threshold: int, share: float, least: int):
+    def nearest(self, query_id: int, vector: np.ndarray, k: int, threshold: int, share: float, root: float):
         norm = _norms(vector[None, :])[0]
-        wanted = max(least, int(share * len(self.ids))) + 1
+        wanted = max(int(root * len(self.ids) ** 0.5), int(share * len(self.ids))) + 1
         found = self.candidates(vector / norm, threshold, wanted)
         score = cosine(self.vectors[found], self.norms[found], vector, norm)
         best = np.lexsort((self.ids[found], -score))[:k + 1]  # the query's own vector may have no other id
@@ -119,7 +119,7 @@ def cosine(vectors, norms, query, norm) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int = PROJECTIONS,
-           threshold: int = THRESHOLD, share: float = VERIFY_SHARE, least: int = VERIFY_LEAST,
+           threshold: int = THRESHOLD, share: float = VERIFY_SHARE, root: float = VERIFY_ROOT,
            row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, seed: int = SEED) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for each
     query, itself left out; ties to the smaller id.  Both inputs are
@@ -145,7 +145,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, projections: int
             own = Block(left["vec_id"].to_numpy(np.int64), np.stack(left["vector"].to_numpy()), projections, seed,
                         left["vec_ids"].tolist())
             for q, v in zip(right["vec_id"].tolist(), right["vector"]):
-                ids, scores = own.nearest(q, np.asarray(v), k, threshold, share, least)
+                ids, scores = own.nearest(q, np.asarray(v), k, threshold, share, root)
                 out["query_id"] += [q] * len(ids)
                 out["vec_id"] += ids.tolist()
                 out["score"] += scores.tolist()

@@ -16,7 +16,6 @@ back exactly.  Masks are [start, end) ranges of code points of the window.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import deque
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,23 +26,47 @@ BUDGET = 1024        # tokens a window
 HISTORY_TURNS = 2    # turns repeated from the window before, at most
 HISTORY_SHARE = 0.25  # of the budget that they may take
 TARGET = "assistant"
-ESCAPED = re.compile(r"[\\<>]")
-BACK = re.compile(r"\\(.)", re.S)
-TURN = re.compile(r"<(turn|again) ((?:[^\\<>]|\\.)*)>\n((?:[^\\<>]|\\.)*)</turn>\n", re.S)
+END = "</turn>\n"
 
 
 def escape(text: str) -> str:
-    return ESCAPED.sub(r"\\\g<0>", text)
+    return text.replace("\\", "\\\\").replace("<", "\\<").replace(">", "\\>")
 
 
 def unescape(text: str) -> str:
-    return BACK.sub(r"\1", text)
+    # a run of backslashes begins where an escape does, so pairs are found in step
+    return "\\".join(part.replace("\\<", "<").replace("\\>", ">") for part in text.split("\\\\"))
+
+
+def _bare(text: str, char: str, at: int) -> int:
+    """Place of the first ``char`` from ``at`` on that no backslash escapes."""
+    while True:
+        at = text.index(char, at)
+        back = at
+        while back and text[back - 1] == "\\":
+            back -= 1
+        if (at - back) % 2 == 0:
+            return at
+        at += 1
+
+
+def turns_of(text: str):
+    """``kind, escaped role, escaped text`` of a window's turns: "turn" or
+    "again".  What a turn holds is found by its unescaped marks alone, in one
+    pass and without a copy but the parts'."""
+    at = 0
+    while at < len(text):
+        role = text.index(" ", at) + 1
+        close = _bare(text, ">", role)
+        stop = _bare(text, "<", close + 2)
+        yield text[at + 1:role - 1], text[role:close], text[close + 2:stop]
+        at = stop + len(END)
 
 
 def _turn(role: str, body: str, again: bool) -> tuple[str, int, int]:
     """A formatted turn, and where its text starts and ends in it."""
     head = f"<{'again' if again else 'turn'} {escape(role)}>\n"
-    return f"{head}{body}</turn>\n", len(head), len(head) + len(body)
+    return f"{head}{body}{END}", len(head), len(head) + len(body)
 
 
 class Window:
@@ -95,13 +118,15 @@ def windows(turns, budget=BUDGET, history=HISTORY_TURNS, share=HISTORY_SHARE):
 def token_counter(tokenizer: str):
     """Column expression: tokens of a text by a public tokenizer (null: 0)."""
 
-    @F.pandas_udf("int")
-    def count(texts):
+    @F.pandas_udf("int", F.PandasUDFType.SCALAR_ITER)
+    def count(batches):
         import pandas as pd
 
         from .tokens import encoder
 
-        return pd.Series([len(x) for x in encoder(tokenizer).encode([t or "" for t in texts])], dtype="int32")
+        own = encoder(tokenizer)  # the task's
+        for texts in batches:
+            yield pd.Series([len(x) for x in own.encode([t or "" for t in texts])], dtype="int32")
 
     return count
 
@@ -160,7 +185,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             turns, loss, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             for text, mask in own:
                 chars += len(text)
-                for kind, role, body in TURN.findall(text):
+                for kind, role, body in turns_of(text):
                     if kind == "turn":
                         n += 1
                         turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode())

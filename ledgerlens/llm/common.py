@@ -13,6 +13,7 @@ from ..session import shared_dir
 # Rows leave a Python task in batches of about this many payload bytes.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 8192
+IN_ROWS = 1024  # whole texts that are Python objects at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +40,10 @@ def task_id() -> int:
 
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[tuple]],
-             schema: str) -> DataFrame:
-    """``mapInArrow`` over column lists: ``rows`` gets each batch as
-    ``{column: list}`` and yields output tuples in the order of ``schema``.
+             schema: str, in_rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` over column lists: ``rows`` gets each batch (of
+    ``in_rows`` rows at most, if given) as ``{column: list}`` and yields
+    output tuples in the order of ``schema``.
     Output batches close after ``BATCH_ROWS`` rows or ``BATCH_BYTES`` of
     text and binary values, so a task's memory does not follow its input.
     """
@@ -59,8 +61,9 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable
                 [pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         def lists():
-            for b in batches:
-                if b.num_rows:
+            for batch in batches:  # Arrow's batches may be large: a part at a time becomes Python objects
+                for at in range(0, batch.num_rows, in_rows or max(1, batch.num_rows)):
+                    b = batch.slice(at, in_rows)
                     yield {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
 
         out, size = [], 0

@@ -37,7 +37,7 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 BITS = 16
 SEED = 11
-BLOCK = 256       # members of a key that meet at once, on either side
+BLOCK = 1024      # members of a key that meet at once, on either side
 FINE = 400        # one-byte symbols of the longer signature that sets of unsettled keys get
 NEAREST = 1       # of a set's neighbours under a key that are tried before all others
 ROWS = 2048       # hashes permuted at once

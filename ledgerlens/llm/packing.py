@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_rows, renamed, staged, task_id
+from .common import IN_ROWS, map_rows, renamed, staged, task_id
 from .tokens import encode_column
 
 CAPACITY = 2048
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
                 yield row["doc_id"], start, len(cut), len(ids), cut.tobytes(), part, pos
 
     return map_rows(renamed(docs, doc_id=id_col, text=text_col), run,
-                    "doc_id long, start long, length long, doc_tokens long, ids binary, part int, pos long")
+                    "doc_id long, start long, length long, doc_tokens long, ids binary, part int, pos long", IN_ROWS)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY,

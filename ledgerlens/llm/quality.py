@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, renamed
+from .common import IN_ROWS, map_rows, renamed
 from .words import word_slices
 
 BUCKETS = 1 << 14
@@ -28,21 +28,12 @@ SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-WORD_CACHE = 500_000
-
-_hashes: dict[bytes, int] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_hashes) > WORD_CACHE:
-        _hashes.clear()
-    digest = xxhash.xxh64_intdigest
-    for w in set(words):
-        if w not in _hashes:
-            _hashes[w] = digest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def ngram_buckets(words: list[bytes], buckets: int = BUCKETS, last: np.uint64 | None = None):
@@ -150,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
         for b in np.flatnonzero(raw).tolist():
             yield b, int(raw[b]), int(target[b])
 
-    rows = map_rows(texts, count, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(
+    rows = map_rows(texts, count, "bucket int, n_raw long, n_target long", IN_ROWS).groupBy("bucket").agg(
         F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")).collect()
     raw, target = np.full(buckets, SMOOTH), np.zeros(buckets)
     for r in rows:
@@ -170,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
                     yield doc, model.score(text)
 
     # one score a labelled id, however often its row occurs
-    scored = map_rows(held, scores, "doc_id long, score double").groupBy("doc_id").agg(F.min("score").alias("score"))
+    scored = map_rows(held, scores, "doc_id long, score double", IN_ROWS).groupBy("doc_id").agg(F.min("score").alias("score"))
     found = [(r["score"], judged[r["doc_id"]]) for r in scored.collect()]
     model.threshold = threshold([s for s, g in found if g], [s for s, g in found if not g], good_weight)
     return model
@@ -204,7 +195,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     return map_rows(renamed(docs, doc_id=id_col, text=text_col), run,
                     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-                    " n_repeat_words long, base_failed boolean, score double, kept boolean")
+                    " n_repeat_words long, base_failed boolean, score double, kept boolean", IN_ROWS)
 
 
 def _verdict(text: str | None, model: Model) -> tuple:
@@ -222,7 +213,8 @@ def filtered(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         for b in batches:
-            keep = [_verdict(t, model)[-1] for t in b.column(k).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for at in range(0, b.num_rows, IN_ROWS):
+                part = b.slice(at, IN_ROWS)
+                yield part.filter(pa.array([_verdict(t.as_py(), model)[-1] for t in part.column(k)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ fingerprints a key, so no bucket grows with the data and no link is lost.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_rows, renamed, staged
 from .components import components
@@ -166,3 +166,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     their component; an empty table gives no rows."""
     return groups(docs, shingle, max_bits, bucket, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """Rows of ``docs`` (``doc_id``, ``text`` and further columns ``x0, x1, ...``)
+    that stay when of each group of near-duplicates the smallest id does.
+
+    Rows with a null id stay.  Where several rows have an id, each group of
+    which it is the smallest keeps one of them, the smallest text.  Null and
+    empty texts are one group; an empty table stays empty."""
+    named = docs.where("doc_id IS NOT NULL")
+    found = groups(named.select("doc_id", "text"), shingle, max_bits)
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr("doc_id = component_id")).alias("_first"))
+    held = named.join(rows.where("_first").select("doc_id", "_n"), "doc_id")
+    alone = held.where("_n = 1").select(*docs.columns)
+    # an id of several rows does not say which of them are in the group: their fingerprints do
+    own = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    shared = held.where("_n > 1").withColumn("_fp", fingerprint_column(shingle)("text")).join(own, ["doc_id", "_fp"])
+    order = Window.partitionBy("doc_id", "_root").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    one = shared.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+    return alone.unionByName(one).unionByName(docs.where("doc_id IS NULL"))

@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, staged
+from .common import IN_ROWS, map_rows, staged
 from .quality import _word_hashes
 from .words import word_slices
 
@@ -123,7 +123,7 @@ def cuts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_runs: i
                     mini, first, n = zip(*found)
                     yield doc, key, list(mini), list(first), list(n)
 
-    runs = staged(map_rows(known, kmers, "doc_id long, key long, mini array<long>, first array<int>, n array<int>"),
+    runs = staged(map_rows(known, kmers, "doc_id long, key long, mini array<long>, first array<int>, n array<int>", IN_ROWS),
                   "super-kmers")
     shared = staged(runs.select("doc_id", F.explode("mini").alias("mini")).groupBy("mini").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("runs")
@@ -143,7 +143,7 @@ def cuts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_runs: i
                     yield doc, key, r["first"], r["mini"], r["parts"], part, body
 
     strings = map_rows(known.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "runs"), packed,
-                       "doc_id long, key long, first int, mini long, parts int, part int, body string")
+                       "doc_id long, key long, first int, mini long, parts int, part int, body string", IN_ROWS)
     dealt = strings.withColumn("bucket", F.pmod(F.xxhash64("mini", "part"), F.lit(buckets)))
 
     def counted(pdf):

@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_rows, renamed, staged, task_id
+from .common import IN_ROWS, map_rows, renamed, staged, task_id
 from .tokens import encode_column, encoder
 
 BLOCK = 1024
@@ -140,11 +140,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         dtype = encoder(tokenizer).dtype
         if end_id >= 1 << (8 * dtype.itemsize):
             dtype = np.dtype("<u4")
+        end = np.array([end_id], dtype).tobytes()
         for pos, (row, ids) in enumerate(encode_column(batches, tokenizer)):
-            yield row["doc_id"], part, pos, dtype.itemsize, np.append(ids, end_id).astype(dtype).tobytes()
+            yield row["doc_id"], part, pos, dtype.itemsize, ids.astype(dtype, copy=False).tobytes() + end
 
     plain = staged(map_rows(renamed(docs, doc_id=id_col, text=text_col), ids_of,
-                            "doc_id long, part int, pos long, width int, ids binary"), "tokens")
+                            "doc_id long, part int, pos long, width int, ids binary", IN_ROWS), "tokens")
 
     def segments(batches):
         shard, held, size, k = task_id(), [], 0, 0

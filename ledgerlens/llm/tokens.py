@@ -1,11 +1,17 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded
-cache of the ids of white-space separated chunks.
+cache of the ids of white-space separated pieces.
 
 A byte-level pre-tokenizer never joins a non-space character with a later
 white-space one, and takes at most one leading space into a word.  So a text
 cut before the last white-space character in front of each word encodes to
-the concatenation of its chunks.  Texts holding the added tokens' strings or
-white space beyond ASCII go through the library whole.
+the concatenation of its pieces.  Texts holding the added tokens' strings or
+white space beyond ASCII go through the library whole, as all texts do if the
+tokenizer has a normalizer or another pre-tokenizer.
+
+Pieces are numbered; their ids lie in one array, and a group of texts is put
+together from it by numpy.  Texts without longer runs of white space are cut
+at every space and newline by Arrow.  The cache belongs to its task and is emptied when
+it holds ``CACHE_BYTES``.
 """
 
 from __future__ import annotations
@@ -14,13 +20,21 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = re.compile(r"[\t-\r ]?[^\t-\r ]+|[\t-\r ]+(?=[\t-\r ][^\t-\r ])|[\t-\r ]+")
 SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
 # white space beyond ASCII, and the separators Python counts as such
 WIDE_SPACE = "".join(map(chr, [*range(0x1c, 0x20), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
                                0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
-CACHE_CHUNKS = 400_000
+MARK = "\x1c"  # leads the key of a piece that is itself; other keys have one space before them, or begin with white space
+# letters, then punctuation: two tokens' worth for the pre-tokenizer
+TAILED = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]+)")
+PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+CACHE_BYTES = 64 << 20
+LEARN = 32_768     # pieces a library call; its working memory follows them
+ENTRY_BYTES = 160  # of a piece beside its characters and ids
 SLICE_CHARS = 1 << 18
 
 
@@ -43,78 +57,207 @@ def slices(text: str, size: int = SLICE_CHARS):
     yield text[at:] if at else text
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(path: str):
+    """The tokenizer, the byte width of each id, and patterns of texts that
+    cannot be cut, or not at every space: one a worker, of a fixed size."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would keep memory of their own
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    vocab = tok.get_vocab(with_added_tokens=False)
+    width = np.zeros(max(vocab.values()) + 1, np.int64)
+    for piece, i in vocab.items():
+        width[i] = len(piece)
+    pre = tok.pre_tokenizer
+    cut = tok.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    never = re.compile("|".join([f"[{WIDE_SPACE}]", *map(re.escape, added)]) if cut else "(?s:.*)")
+    # the same for Arrow, with the white space that a cut at every space or newline would part
+    odd = "|".join([f"[{''.join(map(_hex, WIDE_SPACE))}\\t\\x0b\\f\\r]", "[ \\n][ \\n][ \\n]", "[ \\n][ \\n]$",
+                    *("".join(map(_hex, t)) for t in added)]) if cut else ""
+    return tok, width, never, odd
+
+
+def _hex(char: str) -> str:
+    return f"\\x{{{ord(char):x}}}"
+
+
+def _key(chunk: str) -> str:
+    if chunk.isspace() or chunk[0] not in "\t\n\v\f\r ":
+        return MARK + chunk
+    return chunk[1:] if chunk[0] == " " else chunk
+
+
+_ODD = ("", MARK, "\t", "\n", "\v", "\f", "\r")
+
+
+def _text(key: str) -> str:
+    if key[:1] == MARK:
+        return key[1:]
+    return key if key[:1] in ("\t", "\n", "\v", "\f", "\r") else f" {key}"
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype, size: int = 1 << 12):
+        self.data, self.n = np.zeros(size, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        stop = self.n + len(values)
+        if stop > len(self.data):
+            grown = np.zeros(max(stop, 2 * len(self.data)), self.data.dtype)
+            grown[:self.n] = self.data[:self.n]
+            self.data = grown
+        self.data[self.n:stop] = values
+        self.n = stop
+
+
 class ChunkEncoder:
     """``encode(texts)``: per text its ids as one numpy array."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        self.tok, self.width, self.never, self.odd = _vocabulary(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
-        for piece, i in vocab.items():
-            self.width[i] = len(piece)
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([f"[{WIDE_SPACE}]", *map(re.escape, added)]))
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of unseen chunks: one library call over all, parted by newlines
-        (own tokens there), cut where the tokens' bytes reach a chunk's end."""
-        words = [c for c in chunks if not c.isspace()]
-        if len(words) < len(chunks):
-            spaces = [c for c in chunks if c.isspace()]
-            self.cache.update(zip(spaces, self._library(spaces)))
-        if not words:
+        self.limit = cache_bytes
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.start, self.count = _Grown(self.dtype), _Grown(np.int64), _Grown(np.int64)
+        self.bytes = 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, keys, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Number keys whose ids follow each other in ``ids``."""
+        first = self.start.n
+        self.number.update(zip(keys, range(first, first + len(counts))))
+        self.start.extend(self.ids.n + np.cumsum(counts) - counts)
+        self.count.extend(counts)
+        self.ids.extend(ids)
+        self.bytes += ids.nbytes + ENTRY_BYTES * len(counts) + sum(map(len, keys))
+
+    def _add_each(self, keys: list[str], ids: list[np.ndarray]) -> None:
+        if keys:
+            self._add(keys, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn(self, keys: list[str]) -> None:
+        """Ids of unseen pieces.  Letters and the punctuation after them are
+        learned apart, so a word is looked up once whatever follows it."""
+        whole, tailed, words, tails = [], [], [], []
+        for k in keys:
+            m = TAILED.fullmatch(k) if k[-1:] in PUNCTUATION else None
+            if m:
+                tailed.append(k)
+                words.append(m[1])
+                tails.append(MARK + m[2])
+            else:
+                whole.append(k)
+        parts = set(words).union(tails).difference(self.number, whole)
+        odd = [k for k in whole if k[:1] in _ODD]
+        if odd:
+            whole = [k for k in whole if k[:1] not in _ODD]
+            odd += [k for k in parts if k[:1] == MARK]
+            self._learn_each(odd)
+        self._learn_words([*whole, *(k for k in parts if k not in self.number and k[:1] != MARK)])
+        self._learn_each([k for k in parts if k[:1] == MARK and k not in self.number])
+        if tailed:
+            pairs = np.empty(2 * len(tailed), np.int64)
+            for at, side in enumerate((words, tails)):
+                pairs[at::2] = np.fromiter(map(self.number.__getitem__, side), np.int64, len(side))
+            ids, counts = self._gather(pairs)
+            self._add(tailed, ids, counts.reshape(-1, 2).sum(axis=1))
+
+    def _learn_each(self, keys: list[str]) -> None:
+        """Pieces with white space or nothing in front: a few, one by one."""
+        keys = list(dict.fromkeys(keys))
+        if keys:
+            self._add_each(keys, self._library([_text(k) for k in keys]))
+
+    def _learn_words(self, keys: list[str]) -> None:
+        """One library call over words with a space before them, parted by
+        newlines (own tokens there), cut where the tokens' bytes reach a
+        word's end."""
+        if not keys:
             return
-        ids = np.array(self.tok.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ids = self._library([" " + "\n ".join(keys)])[0]
         at = np.concatenate([[0], np.cumsum(self.width[ids])])
-        lens = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))
-        ends = np.cumsum(lens + 1) - 1
-        lo, hi = np.searchsorted(at, ends - lens), np.searchsorted(at, ends)
-        exact = (at[lo] == ends - lens) & (at[hi] == ends)
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        self.cache.update(zip(words, [raw[a:b] for a, b in zip((lo * size).tolist(), (hi * size).tolist())]))
-        if not exact.all():
-            odd = [words[k] for k in np.flatnonzero(~exact)]
-            self.cache.update(zip(odd, self._library(odd)))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, keys)), np.int64, len(keys)) + 2) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        lo, hi = np.searchsorted(at, begins), np.searchsorted(at, ends)
+        if ((at[lo] == begins) & (at[hi] == ends)).all():
+            # the newlines between stay in the array, in no piece
+            first = self.ids.n
+            self._add(keys, ids, hi - lo)
+            self.start.data[self.start.n - len(keys):self.start.n] = first + lo
+        else:
+            self._add_each(keys, self._library([f" {k}" for k in keys]))
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has."""
+        counts = self.count.data[numbers]
+        shift = self.start.data[numbers] - (np.cumsum(counts) - counts)
+        return self.ids.data[np.repeat(shift, counts) + np.arange(int(counts.sum()))], counts
+
+    def _pieces(self, text: str) -> list[str]:
+        """Keys of the pieces of a text that cannot be cut at every space."""
+        keys: list[str] = []
+        for part in slices(text):
+            if self.never.search(part):  # the library must see it whole: a number of its own, no text has such a key
+                keys.append(f"{MARK}{MARK}{len(self.number)}")
+                self._add_each(keys[-1:], self._library([part]))
+            else:
+                keys += map(_key, CHUNK.findall(part))
+        return keys
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(k for k in keys if k not in self.number))
+        for at in range(0, len(new), LEARN):
+            self._learn([k for k in new[at:at + LEARN] if k not in self.number])
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts, of = [], []
-        for k, t in enumerate(texts):
-            for part in slices(t):
-                parts.append(None if self.whole.search(part) else CHUNK.findall(part))
-                of.append((k, part if parts[-1] is None else None))
-        if len(self.cache) > CACHE_CHUNKS:  # what is used again comes back from the older half
-            self.old, self.cache = self.cache, {}
-        new = [c for c in set().union(*filter(None, parts)) if c not in self.cache]
-        if self.old:
-            self.cache.update((c, self.old[c]) for c in new if c in self.old)
-            new = [c for c in new if c not in self.cache]
-        for i in range(0, len(new), 50_000):
-            self._learn(new[i:i + 50_000])
-        out: list[list[bytes]] = [[] for _ in texts]
-        for p, (k, raw) in zip(parts, of):
-            out[k].append(self._library([raw])[0] if p is None else b"".join(map(self.cache.__getitem__, p)))
-        return [np.frombuffer(x[0] if len(x) == 1 else b"".join(x), self.dtype) for x in out]
-
-
-@lru_cache(maxsize=4)
+        """Texts that can be cut at every space are split and their different
+        pieces found by Arrow; Python sees each different piece once."""
+        if self.bytes > self.limit:
+            self._empty()
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.or_(pc.match_substring_regex(whole, self.odd), pc.greater(pc.utf8_length(whole), SLICE_CHARS))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self._numbers(self._pieces(texts[k]))
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            cut = pc.split_pattern(pc.replace_substring(whole.take(pa.array(plain)), "\n", " \n"), " ")
+            coded = cut.flatten().dictionary_encode()
+            numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+            begins = np.cumsum([0, *pc.list_value_length(cut).to_numpy().tolist()])
+            # a text's first piece has no space before it
+            first = coded.dictionary.take(coded.indices.take(pa.array(begins[:-1]))).to_pylist()
+            numbers[begins[:-1]] = self._numbers([MARK + f for f in first])
+            for k, a, b in zip(plain.tolist(), begins.tolist(), begins[1:].tolist()):
+                out[k] = numbers[a:b]
+        pieces = np.fromiter(map(len, out), np.int64, len(out))
+        ids, counts = self._gather(np.concatenate(out) if out else np.zeros(0, np.int64))
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(pieces)]
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder a Python worker and vocabulary."""
+    """A task's own encoder."""
     return ChunkEncoder(path)
 
 
-def encode_column(batches, path: str, text: str = "text", group_chars: int = 1 << 22):
+def encode_column(batches, path: str, text: str = "text", group_chars: int = 1 << 21):
     """Yield ``(row values, ids)`` for each row, encoding about
     ``group_chars`` characters of texts at a time."""
     enc = encoder(path)

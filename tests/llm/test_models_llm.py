@@ -171,7 +171,7 @@ def test_recall(spark):
     rnd = np.random.default_rng(4)
     vectors = {i: rnd.standard_normal(32).tolist() for i in range(4000)}
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<double>")
-    found = ann.search(df, df.where("vec_id % 100 = 0"), row_block=2048, query_block=30, least=100).collect()
+    found = ann.search(df, df.where("vec_id % 100 = 0"), row_block=2048, query_block=30, root=2.0).collect()
     hits = sum(r["vec_id"] in plain_nearest(vectors, r["query_id"], 5) for r in found)
     assert len(found) == 200 and hits / 200 >= 0.9
 
@@ -187,7 +187,7 @@ def copied_group(n=3000, copies=1500, dim=32, seed=11):
 def test_copies_do_not_stand_in_for_different_vectors(spark):
     vectors = copied_group()
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<double>")
-    found = ann.search(df, df.where("vec_id < 3000 AND vec_id % 60 = 0"), least=100).collect()
+    found = ann.search(df, df.where("vec_id < 3000 AND vec_id % 60 = 0"), root=2.0).collect()
     best = {q: set(plain_nearest(vectors, q, 5)) for q in range(0, 3000, 60)}
     assert len(found) == 250 and sum(r["vec_id"] in best[r["query_id"]] for r in found) / 250 >= 0.9
     one = ann.distinct(df, 6).where("size(vec_ids) > 1").collect()
@@ -229,8 +229,21 @@ def test_windows_cut_at_turns():
     assert targets == [b for r, b, _ in turns if r == "assistant"]
 
 
+def test_chat_turns_of_a_very_long_text():
+    """Memory follows the text, whatever it escapes."""
+    import tracemalloc
+
+    body = "x<y> \\" * 700_000
+    text = chat._turn("user", chat.escape(body), False)[0]
+    tracemalloc.start()
+    (kind, role, found), = chat.turns_of(text)
+    assert (kind, role) == ("turn", "user") and chat.unescape(found) == body
+    assert tracemalloc.get_traced_memory()[1] < 25 * len(text)
+    tracemalloc.stop()
+
+
 def test_chat_read_back(spark):
-    odd = [t for t in ODD_TEXTS if t != "a" * 5000]
+    odd = ODD_TEXTS + ["<turn user>\n\\<" * 30_000, "\\" * 999, "b" * 300_000]
     rows = [(1, i, ["system", "user", "assistant", None][i % 4 if i else 0], t) for i, t in enumerate(odd)]
     rows += [(2, 0, "assistant", "\\### Assistant: </turn> ok")] * 2 + [(None, None, "us>er", "x"), (3, 1, "assistant", "word " * 3000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit(1))

@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 
 def test_registered():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and 4 <= len(cp.STAGES) <= 5
 
@@ -46,6 +46,47 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert sorted(whole.select(cols).collect()) == sorted(packed.select(cols).collect())
 
 
+def test_stages_keep_any_column(spark, tmp_path):
+    """Columns named as the operators' own, null ids and texts, repeated rows."""
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(70))
+    rows = [(i, text()) for i in range(12)] + [(None, text()), (20, None), (None, None), (21, "")]
+    rows += [rows[0], (30, rows[1][1]), (31, f"{text()} secret=abcdef99 {rows[2][1]}")]
+    extra = ["_n", "_first", "_fp", "_root", "_place", "dedup", "secrets", "TEXT", "key", "x0", "_cut", "a b", "ids", "length"]
+    cols = ", ".join(f"`{c}` string" for c in extra)
+    spark.conf.set("spark.sql.caseSensitive", "true")  # to make a table with both text and TEXT
+    try:
+        docs = spark.createDataFrame([(i, t, *[f"{c} of {k}" for c in extra]) for k, (i, t) in enumerate(rows)],
+                                     f"doc_id long, text string, {cols}")
+        own = docs.columns
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+        kept = cp.quality_rules(spark, docs, str(tmp_path))
+        assert kept.columns == own and kept.count() == 16
+        for stage in (cp.near_dedup, cp.substring, cp.secrets):
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == own
+            found = got.collect()
+            for r in found:  # the extra columns are those of one input row
+                k = int(r["_n"].split()[-1])
+                assert tuple(r)[2:] == tuple(f"{c} of {k}" for c in extra) and r["doc_id"] == rows[k][0]
+            if stage is cp.near_dedup:
+                assert sorted(str(r["doc_id"]) for r in found) == sorted(map(str, [*range(12), None, None, 20, 31]))
+            else:
+                assert len(found) == len(rows)
+        masked = {r["doc_id"]: r["text"] for r in cp.secrets(spark, docs, str(tmp_path)).collect()}
+        assert "[SECRET]" in masked[31] and masked[20] is None
+        assert {r["doc_id"] for r in cp.pack(spark, docs, str(tmp_path)).collect()} == {r[0] for r in rows}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []
+
+
 def test_near_dedup_clashing_ids(spark, tmp_path):
     text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
     rows = [(3, text("a")), (5, text("a")), (5, text("b")), (5, text("c")), (5, text("c")), (6, text("b")), (7, text("d")),
