@@ -32,7 +32,7 @@ MARK = "\x1c"  # leads the key of a piece that is itself; other keys have one sp
 # letters, then punctuation: two tokens' worth for the pre-tokenizer
 TAILED = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]+)")
 PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 LEARN = 32_768     # pieces a library call; its working memory follows them
 ENTRY_BYTES = 160  # of a piece beside its characters and ids
 SLICE_CHARS = 1 << 18
