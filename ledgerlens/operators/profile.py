@@ -33,8 +33,9 @@ def _median(c: Column, approx: bool) -> Column:
     return F.percentile_approx(c, 0.5, 10000).cast("double") if approx else F.median(c)
 
 
-def _exact_medians(df: DataFrame) -> dict[int, float | None]:
-    """Exact medians of the numeric and numeric-text columns (by position)."""
+def _exact_medians(df: DataFrame, numeric_texts: set[int]) -> dict[int, float | None]:
+    """Exact medians of the numeric columns and of the text columns that hold
+    numbers (by position)."""
     from .quantiles import exact_quantiles
     cols = {}
     for i, f in enumerate(df.schema.fields):
@@ -42,7 +43,7 @@ def _exact_medians(df: DataFrame) -> dict[int, float | None]:
         c = F.col(f"`{f.name}`")
         if kind in ("Integer", "Float"):
             cols[i] = c
-        elif kind is None:
+        elif i in numeric_texts:
             cols[i] = F.expr(exprs.parse_number_sql(exprs.sql_ident(f.name)))
     got = exact_quantiles(df, {str(i): e for i, e in cols.items()}, [0.5])
     return {int(k): v[0] for k, v in got.items()}
@@ -64,14 +65,18 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
     if materialize:
         df = stage(df, "profile-input")
     fields = df.schema.fields
-    meds = {} if approx else _exact_medians(df)
     q, S, D = exprs.sql_ident, exprs.sql_str, exprs.sql_double
     # positional names, the numeric reading of text columns parsed once
     cols = [f"c{i}" for i in range(len(fields))]
     kinds = [exprs.logical_type(f.dataType) for f in fields]
+    # distinct values first: they tell which text columns hold numbers at all,
+    # so the passes over the rows parse no others
+    found = {} if approx else value_tallies(df, {i: q(f.name) for i, f in enumerate(fields)})
+    parsed = {i for i, k in enumerate(kinds) if k is None and (approx or found[i]["numbers"])}
+    meds = {} if approx else _exact_medians(df, parsed)
     proj = [f"{q(f.name)} AS c{i}" for i, f in enumerate(fields)]
     proj += [f"{exprs.parse_number_sql(q(f.name))} AS p{i}"
-             for i, f in enumerate(fields) if kinds[i] is None]
+             for i, f in enumerate(fields) if i in parsed]
     base = df.selectExpr(*proj)
 
     def med(i):
@@ -84,22 +89,27 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
         return f"CAST({e} AS STRING)"
 
     aggs = ["count(1) AS _n"]
-    dist = {} if approx else distinct_counts(base, {i: c for i, c in enumerate(cols)})
     for i, f in enumerate(fields):
         c, kind = cols[i], kinds[i]
         aggs.append(f"count_if({c} IS NULL) AS _z{i}")
-        aggs.append((f"approx_count_distinct({c}, 0.01)" if approx else f"CAST({dist[i]} AS BIGINT)") + f" AS _d{i}")
+        aggs.append((f"approx_count_distinct({c}, 0.01)" if approx else f"CAST({found[i]['n']} AS BIGINT)") + f" AS _d{i}")
         if kind in ("Integer", "Float"):
             aggs += [f"CAST(min({c}) AS STRING) AS _lo{i}", f"CAST(max({c}) AS STRING) AS _hi{i}",
                      f"avg({c}) AS _mu{i}", f"{med(i)} AS _me{i}", f"stddev_samp({c}) AS _sd{i}"]
         elif kind is None:
             # text: maybe numeric text ($ and , stripped); keep both readings
+            ends = ([f"min(CAST({c} AS STRING)) AS _lo{i}", f"max(CAST({c} AS STRING)) AS _hi{i}"] if approx else
+                    [f"CAST({'NULL' if found[i][e] is None else S(found[i][e])} AS STRING) AS _{e}{i}" for e in ("lo", "hi")])
+            if i not in parsed:
+                aggs += [f"CAST(0 AS BIGINT) AS _p{i}", *ends]
+                aggs += [f"CAST(NULL AS {t}) AS _{s}{i}" for s, t in
+                         (("plo", "STRING"), ("phi", "STRING"), ("pmu", "DOUBLE"), ("pme", "DOUBLE"), ("psd", "DOUBLE"))]
+                continue
             x = f"p{i}"
             pmed = f"CAST(percentile_approx({x}, 0.5, 10000) AS DOUBLE)" if approx else med(i)
             aggs += [f"count({x}) AS _p{i}", f"CAST(min({x}) AS STRING) AS _plo{i}",
                      f"CAST(max({x}) AS STRING) AS _phi{i}", f"avg({x}) AS _pmu{i}",
-                     f"{pmed} AS _pme{i}", f"stddev_samp({x}) AS _psd{i}",
-                     f"min(CAST({c} AS STRING)) AS _lo{i}", f"max(CAST({c} AS STRING)) AS _hi{i}"]
+                     f"{pmed} AS _pme{i}", f"stddev_samp({x}) AS _psd{i}", *ends]
         else:
             # min/max of the typed value, then its text: same order as the
             # text form for timestamps and booleans, without a cast per row
@@ -155,16 +165,39 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
 
 
 def distinct_counts(df: DataFrame, exprs_by_key: dict[int, str]) -> dict[int, int]:
-    """Exact distinct counts of many expressions: narrow (key, value text)
-    pairs, grouped with a partial aggregate and counted.  Several
-    ``count(DISTINCT)`` in one aggregate would copy every row, with all its
-    columns, once per expression."""
+    """Exact distinct counts of many expressions over a written table."""
+    return {k: r["n"] for k, r in value_tallies(df, exprs_by_key).items()}
+
+
+def value_tallies(df: DataFrame, exprs_by_key: dict[int, str]) -> dict[int, dict]:
+    """Of each expression over a written table: ``n`` distinct values and, of
+    text, ``numbers`` (rows that read as a number) and the ends ``lo`` and ``hi``
+    (cut to the profile's length).
+
+    Each expression is grouped by itself, on values of its own type: a branch
+    scans one column, and only its distinct values of a task are shuffled.
+    Numbers are read once per distinct text."""
     if not exprs_by_key:
         return {}
-    pairs = ", ".join(f"named_struct('k', {k}, 'v', CAST({e} AS STRING))" for k, e in exprs_by_key.items())
-    found = (df.selectExpr(f"explode(array({pairs})) AS p").selectExpr("p.k AS k", "p.v AS v").where("v IS NOT NULL")
-               .groupBy("k", "v").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("one").alias("n")).collect())
-    return {k: 0 for k in exprs_by_key} | {r["k"]: r["n"] for r in found}  # one row per expression
+    types = df.selectExpr(*[f"{e} AS _{k}" for k, e in exprs_by_key.items()]).schema
+    cut = rules.PROFILE_TEXT_CHARS
+    branches = []
+    for (k, e), f in zip(exprs_by_key.items(), types.fields):
+        kind = exprs.logical_type(f.dataType)
+        if kind is None:
+            v = df.selectExpr(f"CAST({e} AS STRING) AS v").where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+            row = [f"coalesce(sum(CASE WHEN {exprs.parse_number_sql('v')} IS NOT NULL THEN c END), 0) AS numbers",
+                   f"substring(min(v), 1, {cut}) AS lo", f"substring(max(v), 1, {cut}) AS hi"]
+        else:
+            # both zeros of a double are values of their own, as in their texts
+            zero = ["CASE WHEN v = 0 THEN CAST(v AS STRING) END AS z"] if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else []
+            v = df.selectExpr(f"{e} AS v").where("v IS NOT NULL").selectExpr("v", *zero).distinct()
+            row = ["CAST(0 AS BIGINT) AS numbers", "CAST(NULL AS STRING) AS lo", "CAST(NULL AS STRING) AS hi"]
+        branches.append(v.selectExpr("count(1) AS n", *row).selectExpr(f"{k} AS k", "*"))
+    every = branches[0]
+    for b in branches[1:]:
+        every = every.unionByName(b)
+    return {r["k"]: r.asDict() for r in every.collect()}  # one row per expression
 
 
 def column_names(df: DataFrame) -> DataFrame:
@@ -176,20 +209,25 @@ def column_metadata(df: DataFrame) -> DataFrame:
     """P4 + P7 without the statistics: ordinal, column_name, data_type,
     semantic_type, one row per column.
 
-    Only columns that a name rule does not decide are read: text columns for
-    the share of numbers, and all of them for their distinct counts."""
+    Only columns that a name rule does not decide are read, in one pass (the
+    input may be a join): (column, value) pairs are grouped, and the groups tell
+    the distinct counts and, of text columns, the share of numbers."""
     df = exprs.nan_to_null(df)
     q = exprs.sql_ident
     open_ = [i for i, f in enumerate(df.schema.fields) if _by_name(f.name) is None]
     kinds = {i: exprs.logical_type(f.dataType) for i, f in enumerate(df.schema.fields)}
-    dist = distinct_counts(df, {i: q(df.columns[i]) for i in open_})
-    texts = [i for i in open_ if kinds[i] is None]
-    share = df.selectExpr("count(1) AS n", *[f"count({exprs.parse_number_sql(q(df.columns[i]))}) AS p{i}" for i in texts]
-                          ).first() if texts else None
+    pairs = ", ".join(f"named_struct('k', {i}, 'v', CAST({q(df.columns[i])} AS STRING))" for i in open_)
+    texts = ", ".join(str(i) for i in open_ if kinds[i] is None) or "NULL"
+    found = {} if not open_ else {r["k"]: r for r in (  # one row per column
+        df.selectExpr(f"inline(array({pairs}))").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+          .groupBy("k").agg(F.sum("c").alias("rows"), F.count("v").alias("n"), F.expr(
+              f"sum(CASE WHEN k IN ({texts}) AND {exprs.parse_number_sql('v')} IS NOT NULL THEN c END)").alias("numbers")).collect())}
     rows = []
     for i, name in enumerate(df.columns):
-        numeric = i in texts and share[f"p{i}"] > share["n"] * rules.PARSE_SHARE
-        rows.append((i, name, kinds[i] or ("Float" if numeric else "Text"), dist.get(i)))
+        r = found.get(i)
+        numeric = r is not None and (r["numbers"] or 0) > r["rows"] * rules.PARSE_SHARE
+        distinct = (r["n"] if r else 0) if i in open_ else None
+        rows.append((i, name, kinds[i] or ("Float" if numeric else "Text"), distinct))
     meta = df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, data_type string, distinct_count long")
     return meta.withColumn("semantic_type", semantic_type(F.col("column_name"), F.col("data_type"), F.col("distinct_count"))
                            ).select("ordinal", "column_name", "data_type", "semantic_type")

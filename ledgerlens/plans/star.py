@@ -7,6 +7,9 @@ region), part and supplier.  Only the joins a caller's columns need are
 planned: an inner join Catalyst cannot drop is never added for nothing.
 
 Join strategy (what the plan does at scale):
+* orders meet customer before the lines meet them, and the lines meet orders
+  last: the lines are never dealt by customer, and cross the other joins
+  without the orders' and customers' columns.
 * lineitem - orders: both grow with the data; shuffled sort-merge join on
   the order key, AQE splits skewed partitions.
 * customer / part / supplier: grow with the data as well, so no broadcast
@@ -99,19 +102,20 @@ def sales_lines(t: Tables, columns: list[str] | None = None) -> DataFrame:
     need_supp = bool(need & set(_GROUPS["supplier"]))
 
     df = t.lineitem
-    if need_orders:
-        df = df.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if need_part:
+        df = df.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    if need_supp:
+        df = df.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = t.orders if need_orders else None
     if need_cust:
         cust = t.customer
         if need_geo:
             cust = (cust
                     .join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
                     .join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")))
-        df = df.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    if need_part:
-        df = df.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    if need_supp:
-        df = df.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        orders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    if need_orders:
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return df.select(*[expr[c].alias(c) for c in cols])
 
 
