@@ -21,6 +21,7 @@ is linear between the two neighbouring ranks, computed as numpy does.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -94,42 +95,55 @@ def _select(base: DataFrame, names: list[str], probs: list[float], finish: int,
 
 
 def _narrow(base, targets, values, open_, accuracy, D) -> None:
-    """One round for the open targets: two one-row aggregates."""
-    inside = {}
-    proposals = []
-    for j, k in enumerate(open_):
+    """One round for the open targets: a sketch of every window, then counts.
+
+    Targets of one window share its sketch; neighbouring ranks (the two that an
+    even median lies between) also share a proposal and its counts."""
+    windows: dict[tuple, list[list]] = {}
+    for k in sorted(open_):
         t = targets[k]
-        x = f"_x{k[0]}"
-        inside[k] = f"{x} >= {D(t['lo'])} AND {x} <= {D(t['hi'])}"
-        slack = t["size"] * 2.0 / accuracy + 1
-        want = k[1] - t["below"]
-        p, q = (min(1.0, max(0.0, (want + d) / t["size"])) for d in (-slack, slack))
-        proposals.append(f"percentile_approx(CASE WHEN {inside[k]} THEN {x} END, array({p!r}D, {q!r}D), {accuracy}) AS p{j}")
-    guess = base.selectExpr(*proposals).first()
-    counts = []
-    for j, k in enumerate(open_):
-        x, (a, b) = f"_x{k[0]}", guess[f"p{j}"]
-        w, a, b = inside[k], D(a), D(b)
-        counts += [f"count_if({w} AND {x} < {a}) AS b{j}", f"count_if({x} = {a}) AS a{j}",
-                   f"count_if({x} > {a} AND {x} < {b}) AS m{j}", f"count_if({x} = {b}) AS e{j}",
-                   f"max(CASE WHEN {w} AND {x} < {a} THEN {x} END) AS bx{j}",
-                   f"min(CASE WHEN {x} > {a} AND {x} < {b} THEN {x} END) AS mn{j}",
-                   f"max(CASE WHEN {x} > {a} AND {x} < {b} THEN {x} END) AS mx{j}",
-                   f"min(CASE WHEN {w} AND {x} > {b} THEN {x} END) AS en{j}"]
-    got = base.selectExpr(*counts).first()
-    for j, k in enumerate(open_):
-        t, (a, b) = targets[k], guess[f"p{j}"]
+        runs = windows.setdefault((k[0], t["lo"], t["hi"], t["below"]), [])
+        if runs and k[1] - runs[-1][-1][1] <= 1:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    sketches, proposed = [], []  # proposed: its ranks, the window's test, sketch and place in it
+    for g, ((i, lo, hi, below), runs) in enumerate(windows.items()):
+        inside = f"_x{i} >= {D(lo)} AND _x{i} <= {D(hi)}"
+        at = []
+        for r in runs:
+            size = targets[r[0]]["size"]
+            slack = size * 2.0 / accuracy + 1
+            proposed.append((r, inside, f"p{g}", len(at)))
+            at += [min(1.0, max(0.0, (rank - below + d) / size)) for rank, d in ((r[0][1], -slack), (r[-1][1], slack))]
+        sketches.append(f"percentile_approx(CASE WHEN {inside} THEN _x{i} END, "
+                        f"array({', '.join(f'{p!r}D' for p in at)}), {accuracy}) AS p{g}")
+    guess = base.selectExpr(*sketches).first()
+    ends = [guess[p][k:k + 2] for _, _, p, k in proposed]
+    counts = []  # a small aggregate a proposal, each over its own column, in one job
+    for j, (r, w, _, _) in enumerate(proposed):
+        x, a, b = f"_x{r[0][0]}", D(ends[j][0]), D(ends[j][1])
+        counts.append(base.selectExpr(
+            f"count_if({w} AND {x} < {a}) AS b", f"count_if({x} = {a}) AS a",
+            f"count_if({x} > {a} AND {x} < {b}) AS m", f"count_if({x} = {b}) AS e",
+            f"max(CASE WHEN {w} AND {x} < {a} THEN {x} END) AS bx",
+            f"min(CASE WHEN {x} > {a} AND {x} < {b} THEN {x} END) AS mn",
+            f"max(CASE WHEN {x} > {a} AND {x} < {b} THEN {x} END) AS mx",
+            f"min(CASE WHEN {w} AND {x} > {b} THEN {x} END) AS en").selectExpr(f"{j} AS j", "*"))
+    got = {r["j"]: r for r in reduce(DataFrame.unionAll, counts).collect()}  # one row a proposal
+    for j, k in ((j, k) for j, (r, _, _, _) in enumerate(proposed) for k in r):
+        t, (a, b) = targets[k], ends[j]
         want = k[1] - t["below"]
-        below, at, middle = got[f"b{j}"], got[f"a{j}"], got[f"m{j}"]
-        end = got[f"e{j}"] if b > a else 0
+        below, at, middle = got[j]["b"], got[j]["a"], got[j]["m"]
+        end = got[j]["e"] if b > a else 0
         if want < below:
-            t.update(hi=got[f"bx{j}"], size=below)
+            t.update(hi=got[j]["bx"], size=below)
         elif want < below + at:
             values[k] = a
         elif want < below + at + middle:
-            t.update(lo=got[f"mn{j}"], hi=got[f"mx{j}"], below=t["below"] + below + at, size=middle)
+            t.update(lo=got[j]["mn"], hi=got[j]["mx"], below=t["below"] + below + at, size=middle)
         elif want < below + at + middle + end:
             values[k] = b
         else:
             past = below + at + middle + end
-            t.update(lo=got[f"en{j}"], below=t["below"] + past, size=t["size"] - past)
+            t.update(lo=got[j]["en"], below=t["below"] + past, size=t["size"] - past)
