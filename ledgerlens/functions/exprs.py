@@ -160,9 +160,20 @@ def sql_double(v: float) -> str:
 
 def parse_number_sql(c: str) -> str:
     """SQL text of ``parse_number`` applied to the SQL expression ``c``."""
-    s = f"translate(CAST({c} AS STRING), {sql_str(rules.CURRENCY_CHARS)}, '')"
-    first = ", ".join(sql_str(ch) for ch in NUMBER_FIRST)
-    return (f"CASE WHEN substring({s}, 1, 1) IN ({first}) AND {s} RLIKE {sql_str(NUMBER_TEXT)} "
+    return read_number_sql(strip_currency_sql(f"CAST({c} AS STRING)"))
+
+
+def strip_currency_sql(v: str) -> str:
+    """SQL text of ``strip_currency`` of a text.  Only values that hold such a
+    character are translated: that goes through the text character by character."""
+    marked = " OR ".join(f"contains({v}, {sql_str(ch)})" for ch in rules.CURRENCY_CHARS)
+    return f"(CASE WHEN {marked} THEN translate({v}, {sql_str(rules.CURRENCY_CHARS)}, '') ELSE {v} END)"
+
+
+def read_number_sql(s: str) -> str:
+    """SQL text of the number that a stripped text reads as."""
+    first = ", ".join(str(ord(ch)) for ch in NUMBER_FIRST)
+    return (f"CASE WHEN ascii({s}) IN ({first}) AND {s} RLIKE {sql_str(NUMBER_TEXT)} "
             f"THEN try_cast({s} AS DOUBLE) END")
 
 

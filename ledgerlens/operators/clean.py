@@ -9,8 +9,8 @@ dataset plus a cleaning report.  The plan, per pass:
    result is written to the shared folder, so the passes below scan parsed
    columns and an executor loss does not replay the shuffle.
 2. inference: one aggregate of per-column conditional counts (one row).
-3. fill values: medians in one aggregate; modes from a stacked
-   ``groupBy(column, value).count()`` reduced with ``min_by`` -- bounded
+3. fill values: medians in one aggregate; modes from each column's
+   ``groupBy(value).count()`` reduced with ``min_by`` -- bounded
    memory whatever the number of distinct texts.
 4. typed projection; dates forward/backward filled in row order by a
    two-level scan (per range partition, then carries across partitions).
@@ -20,7 +20,7 @@ The driver only sees the one-row aggregates (a few values per column).
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 
@@ -73,8 +73,19 @@ def parse_date(c) -> Column:
 
 def parse_date_sql(c: str) -> str:
     """SQL text of ``parse_date`` applied to the SQL expression ``c``."""
+    return read_date_sql(date_text_sql(f"CAST({c} AS STRING)"))
+
+
+def date_text_sql(v: str) -> str:
+    """SQL text of a trimmed text that may be a date, else null.  Most values
+    fail on the untrimmed bytes: too short, or no separator (', ' holds a blank)."""
+    needs = " OR ".join(f"contains({v}, {exprs.sql_str(n)})" for n in ("-", "/", " "))
+    return f"(CASE WHEN length({v}) >= {DATE_MIN_CHARS} AND ({needs}) THEN trim({v}) END)"
+
+
+def read_date_sql(t: str) -> str:
+    """SQL text of the timestamp that a trimmed text reads as."""
     S = exprs.sql_str
-    t = f"trim(CAST({c} AS STRING))"
     tries = [f"CASE WHEN contains({t}, {S(ISO_NEEDS)}) AND {t} RLIKE {S(ISO_DATE_SHAPE)} "
              f"THEN try_cast({t} AS TIMESTAMP) END"]
     tries += [f"CASE WHEN contains({t}, {S(need)}) AND {t} RLIKE {S(shape)} "
@@ -126,29 +137,39 @@ def parse_candidates(dd: DataFrame, cols: list[str]) -> DataFrame:
     column; native columns stay as they are.  The caller stages this once,
     so inference, medians, the typed projection and the outlier pass all
     read parsed columns instead of running the regexes again.
+
+    The rules are stated once and applied to the array of a row's texts: stated
+    once a column they are more code than the JVM compiles.
     """
     schema = {f.name: f.dataType for f in dd.schema.fields}
-    extra = []  # SQL text: one JVM call per expression
-    for i, c in enumerate(cols):
-        if exprs.logical_type(schema[c]) is None:
-            x = exprs.sql_ident(c)
-            extra += [f"{exprs.parse_number_sql(x)} AS _p{i}", f"{parse_date_sql(x)} AS _d{i}"]
-    return dd.selectExpr("*", *extra)
+    texts = [i for i, c in enumerate(cols) if exprs.logical_type(schema[c]) is None]
+    if not texts:
+        return dd
+    row = f"array({', '.join(f'CAST({exprs.sql_ident(cols[i])} AS STRING)' for i in texts)})"
+    numbers = f"transform(transform({row}, v -> {exprs.strip_currency_sql('v')}), s -> {exprs.read_number_sql('s')})"
+    dates = f"transform(transform({row}, v -> {date_text_sql('v')}), t -> {read_date_sql('t')})"
+    read = dd.selectExpr("*", f"{numbers} AS _numbers", f"{dates} AS _dates")
+    return read.selectExpr(*[exprs.sql_ident(c) for c in dd.columns], *[e for k, i in enumerate(texts) for e in (
+        f"_numbers[{k}] AS _p{i}", f"_dates[{k}] AS _d{i}")])
 
 
 def infer_types(cand: DataFrame, cols: list[str]) -> dict:
-    """Logical type of every column from one aggregate of the parsed readings."""
+    """Logical type of every column from counts of its parsed readings
+    (one small aggregate a column, in one job)."""
     schema = {f.name: f.dataType for f in cand.schema.fields}
-    tokens = ", ".join(exprs.sql_str(t) for t in rules.BOOL_INFER_TOKENS)
-    aggs = ["count(1) AS _n"]
+    branches = []
     for i, c in enumerate(cols):
-        x = exprs.sql_ident(c)
-        aggs += [f"count_if({x} IS NOT NULL) AS nn{i}", f"count_if({x} IS NULL) AS z{i}"]
-        if exprs.logical_type(schema[c]) is None:
-            aggs += [f"count(_p{i}) AS p{i}", f"count_if(_p{i} % 1 != 0) AS fr{i}",
-                     f"count(_d{i}) AS dt{i}",
-                     f"count_if({x} IS NOT NULL AND NOT (lower(trim(CAST({x} AS STRING))) IN ({tokens}))) AS nb{i}"]
-    row = cand.selectExpr(*aggs).first()  # one row: a handful of counts per column
+        p, d = (f"_p{i}", f"_d{i}") if exprs.logical_type(schema[c]) is None else ("CAST(NULL AS DOUBLE)", "NULL")
+        branches.append(cand.selectExpr("count(1) AS n", f"count({exprs.sql_ident(c)}) AS nn", f"count({p}) AS p",
+                                        f"count_if({p} % 1 != 0) AS fr", f"count({d}) AS dt").selectExpr(f"{i} AS i", "*"))
+    found = reduce(DataFrame.unionAll, branches).collect()  # one row per column
+    row = {f"{k}{r['i']}": r[k] for r in found for k in ("nn", "p", "fr", "dt")}
+    # words for true and false are looked for where neither numbers nor dates prevail
+    tokens = ", ".join(exprs.sql_str(t) for t in rules.BOOL_INFER_TOKENS)
+    words = [i for i, c in enumerate(cols) if exprs.logical_type(schema[c]) is None and row[f"nn{i}"]
+             and max(row[f"p{i}"], row[f"dt{i}"]) <= row[f"nn{i}"] * rules.PARSE_SHARE]
+    other = cand.selectExpr(*[f"count_if(NOT (lower(trim(CAST({exprs.sql_ident(cols[i])} AS STRING))) IN ({tokens}))) AS nb{i}"
+                              for i in words]).first() if words else {}
     kinds = {}
     for i, c in enumerate(cols):
         nn = row[f"nn{i}"]
@@ -161,18 +182,23 @@ def infer_types(cand: DataFrame, cols: list[str]) -> dict:
             kinds[c] = "Integer" if row[f"fr{i}"] == 0 else "Float"
         elif row[f"dt{i}"] > nn * rules.PARSE_SHARE:
             kinds[c] = "DateTime"
-        elif row[f"nb{i}"] == 0:
+        elif other[f"nb{i}"] == 0:
             kinds[c] = "Boolean"
         else:
             kinds[c] = "Text"
-    n = row["_n"]
-    # numpy rounding of (nulls / rows) * 100, as the reference computes it
-    nulls = {c: (float(np.rint(row[f"z{i}"] / n * 100.0 * 100.0) / 100.0) if n else 0.0)
-             for i, c in enumerate(cols)}
+    n = found[0]["n"]
     # numeric columns with values to fill in
     gaps = {c for i, c in enumerate(cols) if kinds[c] in ("Integer", "Float")
             and (row[f"nn{i}"] if exprs.logical_type(schema[c]) is not None else row[f"p{i}"]) < n}
-    return {"kinds": kinds, "nulls": nulls, "n": n, "gaps": gaps}
+    return {"kinds": kinds, "n": n, "gaps": gaps}
+
+
+def null_shares(dd: DataFrame, cols: list[str]) -> dict[str, float]:
+    """Percentage of nulls of every column, from one aggregate."""
+    row = dd.selectExpr("count(1) AS _n", *[f"count_if({exprs.sql_ident(c)} IS NULL) AS z{i}" for i, c in enumerate(cols)]).first()
+    n = row["_n"]
+    # numpy rounding of (nulls / rows) * 100, as the reference computes it
+    return {c: (float(np.rint(row[f"z{i}"] / n * 100.0 * 100.0) / 100.0) if n else 0.0) for i, c in enumerate(cols)}
 
 
 def _numeric_value(cols: list[str], c: str, dtype: T.DataType) -> Column:
@@ -185,17 +211,16 @@ def _numeric_value(cols: list[str], c: str, dtype: T.DataType) -> Column:
 def modes(df: DataFrame, columns: dict[str, Column]) -> dict:
     """Most frequent non-null value of each expression; ties -> smallest.
 
-    Stacks (column, value) pairs, counts them with one groupBy (partial
-    aggregation per partition) and keeps the best value per column with
-    ``min_by`` over (-count, value) -- no group is ever collected.
+    Counts each expression's values by themselves (partial aggregation per
+    partition; a branch reads only its own column) and keeps the best value per
+    column with ``min_by`` over (-count, value) -- no group is ever collected.
     """
     if not columns:
         return {}
     names = list(columns)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), e.cast("string").alias("v")) for i, e in enumerate(columns.values())
-    ])).alias("s")).select("s.k", "s.v").where(F.col("v").isNotNull())
-    counts = stacked.groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = reduce(DataFrame.unionAll, [
+        df.select(e.cast("string").alias("v")).where(F.col("v").isNotNull()).groupBy("v")
+          .agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(i).alias("k"), "v", "cnt") for i, e in enumerate(columns.values())])
     best = counts.groupBy("k").agg(
         F.min_by("v", F.struct((-F.col("cnt")).alias("c"), F.col("v").alias("v"))).alias("mode"))
     return {names[r["k"]]: r["mode"] for r in best.collect()}  # one row per column
@@ -249,7 +274,8 @@ class Cleaned:
 
     ``data``: cleaned dataset (+ net_amount when derived); ``report``: C15,
     one row; ``null_report``: C2; ``types``: C3; ``outliers``: C7.  All parts
-    read the same written rows.
+    but the null report read the same written rows; it needs no parsed reading
+    and counts the de-duplicated rows themselves, unless they are written.
     """
 
     def __init__(self, df: DataFrame, order_by=None, approx: bool = False, checkpoint: bool = True,
@@ -258,10 +284,15 @@ class Cleaned:
         self.cols = df.columns
         self.schema = {f.name: f.dataType for f in df.schema.fields}
         self.approx, self.now, self.spark = approx, now, df.sparkSession
-        # de-duplicated rows with every parsed reading, written once to the
-        # shared folder: the lineage cut that the passes below all scan
-        dd = parse_candidates(dedupe(df, order_by), self.cols)
-        self.rows = stage(dd, "clean-candidates") if checkpoint else dd
+        self.checkpoint = checkpoint
+        self.distinct = dedupe(df, order_by)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """De-duplicated rows with every parsed reading, written once to the
+        shared folder: the lineage cut that the passes below all scan."""
+        dd = parse_candidates(self.distinct, self.cols)
+        return stage(dd, "clean-candidates") if self.checkpoint else dd
 
     @cached_property
     def info(self) -> dict:
@@ -355,9 +386,10 @@ class Cleaned:
 
     @cached_property
     def null_report(self) -> DataFrame:
-        """Per-column null shares from the inference aggregate."""
+        """Per-column null shares of the de-duplicated rows."""
+        nulls = null_shares(self.__dict__.get("rows", self.distinct), self.cols)
         return self.spark.createDataFrame(
-            [(i, c, float(self.info["nulls"][c])) for i, c in enumerate(self.cols)],
+            [(i, c, nulls[c]) for i, c in enumerate(self.cols)],
             "ordinal int, column_name string, null_percentage double")
 
     @cached_property

@@ -102,3 +102,115 @@ def test_exact_quantiles_match_numpy(spark):
     got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, probs, finish=40, accuracy=50)
     assert got["a"] == list(np.quantile(a, probs))
     assert got["b"] == list(np.quantile(b[~np.isnan(b)], probs))
+
+
+def test_value_tallies(spark):
+    from ledgerlens.operators.profile import value_tallies
+
+    rows = [("1", 0.0), ("$2,000.5", -0.0), ("x", 1.5), (None, None), ("1", 1.5), ("", float("inf"))]
+    df = spark.createDataFrame(rows * 3, "`a b` string, d double")
+    got = value_tallies(df, {0: "`a b`", 4: "d"})
+    assert got[0] == {"k": 0, "n": 4, "numbers": 9, "lo": "", "hi": "x"}
+    assert got[4]["n"] == 4  # both zeros, as in their texts
+    empty = value_tallies(df.where("d > 9e300 AND d < 0"), {0: "`a b`", 1: "d"})
+    assert [(r["n"], r["numbers"], r["lo"]) for r in empty.values()] == [(0, 0, None)] * 2
+
+
+def test_lines_are_not_dealt_by_customer(spark):
+    """Orders meet customer below the join with the lines, whatever the columns."""
+    from ledgerlens.plans.star import sales_lines
+
+    class T:
+        pass
+
+    t = T()
+    for name, cols in {"lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                       "l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                       "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp",
+                       "customer": "c_custkey long, c_name string, c_nationkey int, c_mktsegment string",
+                       "part": "p_partkey long, p_type string, p_name string, p_brand string", "supplier": "s_suppkey long, s_name string",
+                       "nation": "n_nationkey int, n_name string, n_regionkey int", "region": "r_regionkey int, r_name string"}.items():
+        setattr(t, name, spark.createDataFrame([], cols))
+    plan = sales_lines(t)._jdf.queryExecution().analyzed().toString().splitlines()
+    depth = {k: next(i for i, line in enumerate(plan) if "Join" in line and k in line) for k in ("c_custkey", "l_orderkey", "l_partkey")}
+    assert depth["l_orderkey"] < depth["l_partkey"] and depth["l_orderkey"] < depth["c_custkey"]
+    indent = lambda k: len(plan[depth[k]]) - len(plan[depth[k]].lstrip(" :+-|"))
+    assert indent("c_custkey") > indent("l_orderkey")
+
+
+def test_column_metadata_reads_its_input_once(spark):
+    """One pass: the input may be a join of large tables."""
+    from ledgerlens.operators.profile import column_metadata
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            seen.add(p.num_rows)
+            yield p
+
+    df = spark.createDataFrame([(str(i), "$1" if i % 10 else "no", i % 3, "AB"[i % 2]) for i in range(100)],
+                               "product string, worth string, status int, kind string")
+    got = {r["column_name"]: (r["data_type"], r["semantic_type"]) for r in column_metadata(df.mapInArrow(count, df.schema)).collect()}
+    assert got == {"product": ("Float", "Number"), "worth": ("Float", "Boolean"), "status": ("Integer", "Boolean"),
+                   "kind": ("Text", "Boolean")}
+    assert seen.value == 100
+
+
+def test_targets_of_a_window_share_a_sketch(spark):
+    from ledgerlens.operators import quantiles
+
+    df = spark.range(1000).selectExpr("CAST(id * 37 % 1000 AS DOUBLE) AS _x0")
+    asked = []
+
+    class Spy:
+        def selectExpr(self, *e):
+            asked.append(e)
+            return df.selectExpr(*e)
+
+    got = quantiles._select(Spy(), ["x"], [0.25, 0.5, 0.75], 10, 50)
+    assert got == {"x": [249.75, 499.5, 749.25]}
+    first = next(e for e in asked if "percentile_approx" in e[0])
+    assert len(first) == 1  # four before: one a rank
+
+
+def test_null_report_parses_nothing(spark):
+    from ledgerlens.operators import clean
+
+    df = spark.createDataFrame([("1", None), ("1", None), (None, "2020-01-02"), ("x", "nan")], "a string, b string")
+    res = clean.clean(df)
+    want = [("a", 33.33), ("b", 33.33)]
+    assert [(r["column_name"], r["null_percentage"]) for r in res.null_report.orderBy("ordinal").collect()] == want
+    assert "rows" not in res.__dict__  # nothing was parsed and written for it
+    assert res.report.first()["duplicates_removed"] == 1
+    again = clean.clean(df)
+    again.info
+    assert [(r["column_name"], r["null_percentage"]) for r in again.null_report.orderBy("ordinal").collect()] == want
+
+
+def test_parsed_readings_of_many_columns(spark):
+    """The rules stand in the plan once, however many text columns there are."""
+    from ledgerlens.operators import clean
+
+    vals = ["$1,234.5", " 7 ", "1e3", "1d", "0x1p3", "NaN", "", "-", "2020-01-02", " 03/04/2021 ", "Jan 5, 2020", "31/12/2020", "12-34", None]
+    df = spark.createDataFrame([(v,) * 3 + (1.5,) for v in vals], "a string, b string, `c c` string, n double")
+    cand = clean.parse_candidates(df, df.columns)
+    want = df.select(*[e.alias(f"x{i}") for i, e in enumerate([clean.exprs.parse_number("a"), clean.parse_date("a")])]).collect()
+    for i in range(3):
+        assert cand.select(f"_p{i}", f"_d{i}").collect() == want
+    plan = cand._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") <= 14 and "_p3" not in cand.columns
+
+
+def test_upload_reads_the_lines_once(spark):
+    from ledgerlens.plans import dirty
+
+    class T:
+        lineitem = spark.createDataFrame([(k, 1, 1, 1, 2.0, 0.1, "R", "O", None) for k in (50, 51, 100, None)], "l_orderkey long, l_partkey long, "
+                                         "l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, "
+                                         "l_linestatus string, l_shipdate timestamp")
+        part = spark.createDataFrame([(1, "A", 9.5)], "p_partkey long, p_type string, p_retailprice double")
+
+    up = dirty.upload_lines(T)
+    assert sorted(str(r["order_number"]) for r in up.collect()) == ["100", "100", "50", "50", "51", "None"]
+    assert up._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
