@@ -11,6 +11,8 @@ run on that small profile DataFrame (one row per column).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ PROFILE_SCHEMA = ("ordinal int, column_name string, data_type string, semantic_t
                   "min_value string, max_value string, mean_value double, "
                   "median_value double, std_dev_value double")
 
+# Codes of a value that crosses joins in the value's place (value_codes).
+CODES = 256
+
 
 def _distinct(c: Column, approx: bool) -> Column:
     return F.approx_count_distinct(c, 0.01) if approx else F.count_distinct(c)
@@ -205,23 +210,27 @@ def column_names(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(df.columns)), "ordinal int, column_name string")
 
 
-def column_metadata(df: DataFrame) -> DataFrame:
+def column_metadata(df: DataFrame, coded: DataFrame | None = None,
+                    own: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """P4 + P7 without the statistics: ordinal, column_name, data_type,
     semantic_type, one row per column.
 
     Only columns that a name rule does not decide are read, in one pass (the
     input may be a join): (column, value) pairs are grouped, and the groups tell
-    the distinct counts and, of text columns, the share of numbers."""
+    the distinct counts and, of text columns, the share of numbers.
+
+    ``coded``: the same rows with the columns replaced by :func:`value_codes`
+    before they were joined; then no value crosses a join, and ``df`` itself is
+    read only for columns whose few codes stand for more values in the table
+    they come from, which ``own(name)`` gives."""
     df = exprs.nan_to_null(df)
-    q = exprs.sql_ident
     open_ = [i for i, f in enumerate(df.schema.fields) if _by_name(f.name) is None]
     kinds = {i: exprs.logical_type(f.dataType) for i, f in enumerate(df.schema.fields)}
-    pairs = ", ".join(f"named_struct('k', {i}, 'v', CAST({q(df.columns[i])} AS STRING))" for i in open_)
-    texts = ", ".join(str(i) for i in open_ if kinds[i] is None) or "NULL"
-    found = {} if not open_ else {r["k"]: r for r in (  # one row per column
-        df.selectExpr(f"inline(array({pairs}))").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-          .groupBy("k").agg(F.sum("c").alias("rows"), F.count("v").alias("n"), F.expr(
-              f"sum(CASE WHEN k IN ({texts}) AND {exprs.parse_number_sql('v')} IS NOT NULL THEN c END)").alias("numbers")).collect())}
+    if coded is None:
+        found = _paired_tallies(df, open_, kinds)
+    else:
+        found, doubtful = _coded_tallies(df, open_, coded, own)
+        found.update(_paired_tallies(df, doubtful, kinds))
     rows = []
     for i, name in enumerate(df.columns):
         r = found.get(i)
@@ -233,6 +242,71 @@ def column_metadata(df: DataFrame) -> DataFrame:
                            ).select("ordinal", "column_name", "data_type", "semantic_type")
 
 
+def _paired_tallies(df: DataFrame, open_: list[int], kinds: dict[int, str | None]) -> dict:
+    """Of the columns at ``open_``: ``rows``, ``n`` distinct values, ``numbers`` of text."""
+    if not open_:
+        return {}
+    q = exprs.sql_ident
+    pairs = ", ".join(f"named_struct('k', {i}, 'v', CAST({q(df.columns[i])} AS STRING))" for i in open_)
+    texts = ", ".join(str(i) for i in open_ if kinds[i] is None) or "NULL"
+    return {r["k"]: r for r in (  # one row per column
+        df.selectExpr(f"inline(array({pairs}))").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+          .groupBy("k").agg(F.sum("c").alias("rows"), F.count("v").alias("n"), F.expr(
+              f"sum(CASE WHEN k IN ({texts}) AND {exprs.parse_number_sql('v')} IS NOT NULL THEN c END)").alias("numbers")).collect())}
+
+
+def _code_sql(name: str, dtype: T.DataType) -> str:
+    v = exprs.sql_ident(name)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        v = f"nanvl({v}, NULL)"
+    number = f"CASE WHEN {exprs.parse_number_sql(v)} IS NOT NULL THEN {CODES} ELSE 0 END" \
+        if exprs.logical_type(dtype) is None else "0"
+    return f"CASE WHEN {v} IS NOT NULL THEN CAST(pmod(xxhash64(CAST({v} AS STRING)), {CODES}) + {number} AS SMALLINT) END"
+
+
+def value_codes(table: DataFrame, names: list[str]) -> DataFrame:
+    """``table`` with each of the columns ``names`` replaced by a small code of
+    its value: one of ``CODES`` by its hash, and ``CODES`` more for a text that
+    reads as a number.  Equal values have equal codes, nulls none; columns that
+    a name rule decides are left out."""
+    open_ = {c for c in names if _by_name(c) is None}
+    return table.selectExpr(*[
+        f"{_code_sql(f.name, f.dataType)} AS {exprs.sql_ident(f.name)}" if f.name in open_ else exprs.sql_ident(f.name)
+        for f in table.schema.fields if f.name in open_ or f.name not in names])
+
+
+def _coded_tallies(df: DataFrame, open_: list[int], coded: DataFrame, own: Callable[[str], DataFrame]) -> tuple[dict, list[int]]:
+    """Tallies by the codes in ``coded``, and the columns they leave in doubt.
+
+    Different codes are different values, so more codes than any rule asks for
+    settle a column.  Fewer are counted as values only if in the column's own
+    table, too, each of them stands for one value."""
+    if not open_:
+        return {}, []
+    q = exprs.sql_ident
+    pairs = ", ".join(f"named_struct('k', {i}, 'v', {q(df.columns[i])})" for i in open_)
+    found = {i: {"rows": 0, "n": 0, "numbers": 0} for i in open_}
+    seen: dict[int, list[int]] = {i: [] for i in open_}
+    # at most 2 * CODES + 1 rows a column
+    for r in coded.selectExpr(f"inline(array({pairs}))").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).collect():
+        t = found[r["k"]]
+        t["rows"] += r["c"]
+        if r["v"] is not None:
+            t["n"] += 1
+            t["numbers"] += r["c"] if r["v"] >= CODES else 0
+            seen[r["k"]].append(r["v"])
+    branches = []
+    for i in open_:
+        if 0 < found[i]["n"] <= rules.BOOLEAN_RULE_MAX_DISTINCT:
+            name = df.columns[i]
+            values = own(name)
+            code = _code_sql(name, values.schema[0].dataType)
+            branches.append(values.where(f"{code} IN ({', '.join(map(str, seen[i]))})").selectExpr(f"CAST({q(name)} AS STRING) AS v")
+                            .distinct().selectExpr(f"{i} AS k", "count(1) AS n"))
+    held = reduce(DataFrame.unionAll, branches).collect() if branches else []  # one row per column
+    return found, [r["k"] for r in held if r["n"] > found[r["k"]]["n"]]
+
+
 def _by_name(name: str) -> str | None:
     """The semantic type a name decides whatever the column holds."""
     for sem, pattern in rules.SEMANTIC_RULES:

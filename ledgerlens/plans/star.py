@@ -22,6 +22,8 @@ Join strategy (what the plan does at scale):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import Tables
@@ -87,8 +89,21 @@ def _exprs():
     return {**_line(), **_order(), **_customer(), **_geo(), **_part(), **_supplier()}
 
 
-def sales_lines(t: Tables, columns: list[str] | None = None) -> DataFrame:
-    """Flat order-line view with only the joins ``columns`` need."""
+def own_column(t: Tables, name: str) -> DataFrame:
+    """The values of a flat column in the table it comes from, unjoined."""
+    group = "region" if name == "region" else next(g for g, names in _GROUPS.items() if name in names)
+    table = {"line": "lineitem", "order": "orders", "geo": "nation"}.get(group, group)
+    return getattr(t, table).select(_exprs()[name].alias(name))
+
+
+def sales_lines(t: Tables, columns: list[str] | None = None,
+                reading: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
+    """Flat order-line view with only the joins ``columns`` need.
+
+    ``reading(table, names)`` is applied to each table before any join: it gets
+    the join keys and the table's flat columns ``names``, and returns the keys
+    and what is to cross the joins in the columns' places (columns it leaves
+    out are left out of the view; the joins stay)."""
     cols = list(FLAT_COLUMNS if columns is None else columns)
     expr = _exprs()
     unknown = [c for c in cols if c not in expr]
@@ -101,21 +116,29 @@ def sales_lines(t: Tables, columns: list[str] | None = None) -> DataFrame:
     need_part = bool(need & set(_GROUPS["part"]))
     need_supp = bool(need & set(_GROUPS["supplier"]))
 
-    df = t.lineitem
+    def own(table: DataFrame, keys: list[str], *groups: str) -> DataFrame:
+        if reading is None:
+            return table
+        names = [c for c in cols if any(c in _GROUPS[g] for g in groups)]
+        return reading(table.select(*keys, *[expr[c].alias(c) for c in names]), names)
+
+    df = own(t.lineitem, ["l_orderkey", "l_partkey", "l_suppkey"], "line")
     if need_part:
-        df = df.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(own(t.part, ["p_partkey"], "part"), F.col("l_partkey") == F.col("p_partkey"))
     if need_supp:
-        df = df.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    orders = t.orders if need_orders else None
+        df = df.join(own(t.supplier, ["s_suppkey"], "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = own(t.orders, ["o_orderkey", "o_custkey"], "order") if need_orders else None
     if need_cust:
         cust = t.customer
         if need_geo:
             cust = (cust
                     .join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
                     .join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")))
-        orders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        orders = orders.join(own(cust, ["c_custkey"], "customer", "geo"), F.col("o_custkey") == F.col("c_custkey"))
     if need_orders:
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if reading is not None:
+        return df.select(*[c for c in cols if c in df.columns])
     return df.select(*[expr[c].alias(c) for c in cols])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .functions import exprs, rules
 from .operators import dashboard as dash
 from .plans import rollup
-from .plans.star import sales_lines, sales_lines_sql
+from .plans.star import own_column, sales_lines, sales_lines_sql
 from .session import stage
 from .sources.tables import Tables
 
@@ -224,7 +224,8 @@ def _flat_profile(spark, sf_dir):
 
 
 def _flat_metadata(spark, sf_dir):
-    return prof_ops.column_metadata(sales_lines(Tables(spark, sf_dir)))
+    t = Tables(spark, sf_dir)
+    return prof_ops.column_metadata(sales_lines(t), sales_lines(t, reading=prof_ops.value_codes), lambda c: own_column(t, c))
 
 
 @register("p1_p7_profile_orders",

@@ -157,6 +157,36 @@ def test_column_metadata_reads_its_input_once(spark):
     assert seen.value == 100
 
 
+def test_metadata_of_joined_lines_carries_codes_only(spark, monkeypatch):
+    """No value crosses a join of the metadata's input, and codes decide as the
+    values do: with nulls, repeated keys, texts of numbers and equal codes."""
+    from ledgerlens.operators import profile
+    from ledgerlens.plans.star import own_column, sales_lines
+
+    class T:
+        pass
+
+    t = T()
+    day = "timestamp'2020-01-01'"
+    t.lineitem = spark.sql(f"""SELECT id % 40 AS l_orderkey, id % 8 AS l_partkey, if(id % 9 = 0, NULL, id % 3) AS l_suppkey, 7 AS l_linenumber,
+        1D AS l_quantity, 2D AS l_extendedprice, 0D AS l_discount, 'RNA' AS l_returnflag, element_at(array('O', 'F'), CAST(id % 2 + 1 AS INT)) AS l_linestatus,
+        {day} AS l_shipdate FROM range(200)""")
+    t.orders = spark.sql(f"SELECT id AS o_orderkey, id % 6 AS o_custkey, {day} AS o_orderdate FROM range(40)")
+    t.customer = spark.sql("SELECT id % 5 AS c_custkey, if(id = 1, NULL, '$' || id) AS c_name, 0 AS c_nationkey, 'M' || id % 2 AS c_mktsegment FROM range(7)")
+    t.part = spark.sql("SELECT id AS p_partkey, 'T' || id AS p_type, 'n' || id % 2 AS p_name, if(id < 3, '1,000', 'x') AS p_brand FROM range(300)")
+    t.supplier = spark.sql("SELECT id AS s_suppkey, CAST(NULL AS STRING) AS s_name FROM range(3)")
+    t.nation = spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey")
+    t.region = spark.sql("SELECT 0 AS r_regionkey, 'R' AS r_name")
+    lines = sales_lines(t)
+    want = [tuple(r) for r in profile.column_metadata(lines).collect()]
+    assert {r[2] for r in want} == {"Integer", "Float", "Text", "DateTime"} and {"Boolean", "Text", "Number"} <= {r[3] for r in want}
+    for codes in (profile.CODES, 1):  # one code: every column is counted by its values after all
+        monkeypatch.setattr(profile, "CODES", codes)
+        coded = sales_lines(t, reading=profile.value_codes)
+        assert {f.dataType.simpleString() for f in coded.schema} == {"smallint"} and coded.count() == lines.count()
+        assert [tuple(r) for r in profile.column_metadata(lines, coded, lambda c: own_column(t, c)).collect()] == want
+
+
 def test_targets_of_a_window_share_a_sketch(spark):
     from ledgerlens.operators import quantiles
 
