@@ -38,9 +38,9 @@ def _median(c: Column, approx: bool) -> Column:
     return F.percentile_approx(c, 0.5, 10000).cast("double") if approx else F.median(c)
 
 
-def _exact_medians(df: DataFrame, numeric_texts: set[int]) -> dict[int, float | None]:
+def _exact_medians(df: DataFrame, numeric_texts: set[int], distinct: dict[int, int]) -> dict[int, float | None]:
     """Exact medians of the numeric columns and of the text columns that hold
-    numbers (by position)."""
+    numbers (by position); ``distinct``: their numbers of distinct values."""
     from .quantiles import exact_quantiles
     cols = {}
     for i, f in enumerate(df.schema.fields):
@@ -50,7 +50,7 @@ def _exact_medians(df: DataFrame, numeric_texts: set[int]) -> dict[int, float |
             cols[i] = c
         elif i in numeric_texts:
             cols[i] = F.expr(exprs.parse_number_sql(exprs.sql_ident(f.name)))
-    got = exact_quantiles(df, {str(i): e for i, e in cols.items()}, [0.5])
+    got = exact_quantiles(df, {str(i): e for i, e in cols.items()}, [0.5], distinct={str(i): distinct[i] for i in cols})
     return {int(k): v[0] for k, v in got.items()}
 
 
@@ -78,7 +78,7 @@ def profile(df: DataFrame, approx: bool = False, materialize: bool = False) -> D
     # so the passes over the rows parse no others
     found = {} if approx else value_tallies(df, {i: q(f.name) for i, f in enumerate(fields)})
     parsed = {i for i, k in enumerate(kinds) if k is None and (approx or found[i]["numbers"])}
-    meds = {} if approx else _exact_medians(df, parsed)
+    meds = {} if approx else _exact_medians(df, parsed, {i: t["n"] for i, t in found.items()})
     proj = [f"{q(f.name)} AS c{i}" for i, f in enumerate(fields)]
     proj += [f"{exprs.parse_number_sql(q(f.name))} AS p{i}"
              for i, f in enumerate(fields) if i in parsed]

@@ -14,13 +14,16 @@ each wanted rank.  A round takes two one-row aggregates for all open windows:
    progress whatever the sketch said.
 
 A window of at most ``finish`` rows is sorted by the executors' partial
-counts, and at most that many (value, count) pairs are read.  Interpolation
+counts, and at most that many (value, count) pairs are read.  A column known to
+have at most ``finish`` different values takes no rounds: its counts by value say
+every rank.  Interpolation
 is linear between the two neighbouring ranks, computed as numpy does.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,18 +42,20 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], finish: int = FINISH,
-                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+                    accuracy: int = ACCURACY, distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each column expression; null
-    and NaN take no part."""
+    and NaN take no part.  ``distinct``: how many different values some of the
+    columns have at most, if that is known."""
     names = list(columns)
     if not names:
         return {}
     base = df.select(*[F.nanvl(e.cast("double"), F.lit(None).cast("double")).alias(f"_x{i}")
                        for i, e in enumerate(columns.values())])
-    return _select(base, names, probs, finish, accuracy)
+    few = [i for i, n in enumerate(names) if (distinct or {}).get(n, finish + 1) <= finish]
+    return _select(base, names, probs, finish, accuracy, few)
 
 
-def _select(base: DataFrame, names: list[str], probs: list[float], finish: int, accuracy: int):
+def _select(base: DataFrame, names: list[str], probs: list[float], finish: int, accuracy: int, few: Sequence[int] = ()):
     D = exprs.sql_double  # plans are built as SQL text: one JVM call per expression
     r0 = base.selectExpr(*[a for i in range(len(names)) for a in (
         f"count(_x{i}) AS n{i}", f"min(_x{i}) AS lo{i}", f"max(_x{i}) AS hi{i}")]).first()
@@ -66,6 +71,16 @@ def _select(base: DataFrame, names: list[str], probs: list[float], finish: int,
             for r in (low, high):
                 targets.setdefault((i, r), {"lo": r0[f"lo{i}"], "hi": r0[f"hi{i}"], "below": 0, "size": n})
     values: dict[tuple[int, int], float] = {}
+    few = [i for i in few if any(k[0] == i for k in targets)]
+    if few:
+        # a branch scans one column; at most `finish` rows each
+        counted = reduce(DataFrame.unionAll, [
+            base.where(f"_x{i} IS NOT NULL").groupBy(f"_x{i}").agg(F.count(F.lit(1)).alias("c"))
+                .selectExpr(f"{i} AS i", f"_x{i} AS v", "c") for i in few])
+        tally: dict[int, list] = {}
+        for row in counted.collect():
+            tally.setdefault(row["i"], []).append((row["v"], row["c"]))
+        values = {k: _ranked(tally[k[0]], k[1]) for k in targets if k[0] in few}
     while True:
         for k, t in targets.items():
             if k not in values and t["lo"] == t["hi"]:
@@ -84,16 +99,20 @@ def _select(base: DataFrame, names: list[str], probs: list[float], finish: int,
         for row in pairs.collect():  # at most `finish` rows a target
             per.setdefault(row["t"], []).append((row["v"], row["c"]))
         for j, k in enumerate(rest):
-            left = k[1] - targets[k]["below"]
-            for v, c in sorted(per[j]):
-                left -= c
-                if left < 0:
-                    values[k] = v
-                    break
+            values[k] = _ranked(per[j], k[1] - targets[k]["below"])
     return {name: [_lerp(values[i, a], values[i, b], t) for a, b, t in plan[i]] or [None] * len(probs)
             for i, name in enumerate(names)}
 
 
+def _ranked(pairs: list[tuple[float, int]], rank: int) -> float:
+    """The value at a rank (from 0) of (value, count) pairs."""
+    for v, c in sorted(pairs):
+        rank -= c
+        if rank < 0:
+            return v
+    raise ValueError("rank beyond the counted rows")
+
+
 def _narrow(base, targets, values, open_, accuracy, D) -> None:
     """One round for the open targets: a sketch of every window, then counts.
 

@@ -157,6 +157,24 @@ def test_column_metadata_reads_its_input_once(spark):
     assert seen.value == 100
 
 
+def test_columns_of_few_values_take_no_sketch(spark, monkeypatch):
+    """A profile's medians of columns with few values come from their counts."""
+    import numpy as np
+    from ledgerlens.operators import quantiles
+    from ledgerlens.operators.profile import profile
+
+    narrowed = []
+    narrow = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda b, t, v, open_, *a: (narrowed.append({k[0] for k in open_}), narrow(b, t, v, open_, *a)))
+    df = spark.sql("""SELECT id AS many, CAST(id % 7 * id % 5 AS INT) AS few, if(id % 3 = 0, NULL, id % 4 - 1.5D) AS holes,
+        CAST(NULL AS DOUBLE) AS none, '$' || id % 6 AS money FROM range(3000)""")
+    got = {r["column_name"]: r["median_value"] for r in profile(df).collect()}
+    ids = range(3000)
+    assert got == {"many": 1499.5, "few": np.median([i % 7 * i % 5 for i in ids]), "none": None,
+                   "holes": np.median([i % 4 - 1.5 for i in ids if i % 3]), "money": np.median([i % 6 for i in ids])}
+    assert narrowed and set().union(*narrowed) == {0}  # a sketch of the first column alone
+
+
 def test_metadata_of_joined_lines_carries_codes_only(spark, monkeypatch):
     """No value crosses a join of the metadata's input, and codes decide as the
     values do: with nulls, repeated keys, texts of numbers and equal codes."""
