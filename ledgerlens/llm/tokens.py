@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ MARK = "\x1c"  # leads the key of a piece that is itself; other keys have one sp
 # letters, then punctuation: two tokens' worth for the pre-tokenizer
 TAILED = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]+)")
 PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# how a byte-level vocabulary writes bytes that are no visible Latin-1 characters, but for the newline
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7f, 0xa1), 0xad]) if b != 10}
 CACHE_BYTES = 96 << 20
 LEARN = 32_768     # pieces a library call; its working memory follows them
 ENTRY_BYTES = 160  # of a piece beside its characters and ids
@@ -59,8 +63,9 @@ def slices(text: str, size: int = SLICE_CHARS):
 
 @lru_cache(maxsize=1)
 def _vocabulary(path: str):
-    """The tokenizer, the byte width of each id, and patterns of texts that
-    cannot be cut, or not at every space: one a worker, of a fixed size."""
+    """The tokenizer, the same model behind a plain split at white space, the
+    byte width of each id, and patterns of texts that cannot be cut, or not at
+    every space: one a worker, of a fixed size."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would keep memory of their own
@@ -80,7 +85,9 @@ def _vocabulary(path: str):
     # the same for Arrow, with the white space that a cut at every space or newline would part
     odd = "|".join([f"[{''.join(map(_hex, WIDE_SPACE))}\\t\\x0b\\f\\r]", "[ \\n][ \\n][ \\n]", "[ \\n][ \\n]$",
                     *("".join(map(_hex, t)) for t in added)]) if cut else ""
-    return tok, width, never, odd
+    plain = Tokenizer(tok.model)
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return tok, plain, width, never, odd
 
 
 def _hex(char: str) -> str:
@@ -122,7 +129,7 @@ class ChunkEncoder:
     """``encode(texts)``: per text its ids as one numpy array."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        self.tok, self.width, self.never, self.odd = _vocabulary(path)
+        self.tok, self.plain, self.width, self.never, self.odd = _vocabulary(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.limit = cache_bytes
@@ -167,7 +174,11 @@ class ChunkEncoder:
             whole = [k for k in whole if k[:1] not in _ODD]
             odd += [k for k in parts if k[:1] == MARK]
             self._learn_each(odd)
-        self._learn_words([*whole, *(k for k in parts if k not in self.number and k[:1] != MARK)])
+        letters, other = [], []
+        for k in [*whole, *(k for k in parts if k not in self.number and k[:1] != MARK)]:
+            (letters if LETTERS.fullmatch(k) else other).append(k)
+        self._learn_letters(letters)
+        self._learn_words(other)
         self._learn_each([k for k in parts if k[:1] == MARK and k not in self.number])
         if tailed:
             pairs = np.empty(2 * len(tailed), np.int64)
@@ -182,6 +193,22 @@ class ChunkEncoder:
         if keys:
             self._add_each(keys, self._library([_text(k) for k in keys]))
 
+    def _learn_letters(self, keys: list[str]) -> None:
+        """Words of Latin letters with a space before them.  Each is one word to
+        a byte-level pre-tokenizer, which writes every byte, the space's too, as
+        a letter: the model needs no more."""
+        if not keys:
+            return
+        words = (" " + "\n ".join(keys)).encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = np.array(self.plain.encode_batch_fast([words], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.concatenate([[0], np.cumsum(self.width[ids])])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, keys)), np.int64, len(keys)) + 1)
+        hi = np.searchsorted(at, ends)
+        if hi[-1] == len(ids) and (at[hi] == ends).all():
+            self._add(keys, ids, np.diff(hi, prepend=0))
+        else:
+            self._learn_words(keys)
+
     def _learn_words(self, keys: list[str]) -> None:
         """One library call over words with a space before them, parted by
         newlines (own tokens there), cut where the tokens' bytes reach a
@@ -219,10 +246,15 @@ class ChunkEncoder:
         return keys
 
     def _numbers(self, keys: list[str]) -> np.ndarray:
-        new = list(dict.fromkeys(k for k in keys if k not in self.number))
-        for at in range(0, len(new), LEARN):
-            self._learn([k for k in new[at:at + LEARN] if k not in self.number])
-        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        out = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        unseen = np.flatnonzero(out < 0)
+        if len(unseen):
+            wanted = [keys[k] for k in unseen.tolist()]
+            new = list(dict.fromkeys(wanted))
+            for at in range(0, len(new), LEARN):
+                self._learn([k for k in new[at:at + LEARN] if k not in self.number])
+            out[unseen] = np.fromiter(map(self.number.__getitem__, wanted), np.int64, len(wanted))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Texts that can be cut at every space are split and their different

@@ -31,6 +31,21 @@ def test_chunk_encoder_equals_library():
     assert [x.tolist() for x in encoder(BYTE).encode(texts)] == library(BYTE, texts)
 
 
+def test_words_of_letters_take_no_pre_tokenizer(monkeypatch):
+    """All Latin letters, alone and in words; the general path sees none of them."""
+    from ledgerlens.llm.tokens import ChunkEncoder
+
+    letters = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
+    rnd = random.Random(3)
+    words = [*letters, *("".join(rnd.choices(letters, k=rnd.randrange(1, 12))) for _ in range(2000)), "the", "The", "x" * 500]
+    slow = []
+    learn = ChunkEncoder._learn_words
+    monkeypatch.setattr(ChunkEncoder, "_learn_words", lambda self, keys: (slow.extend(keys), learn(self, keys)))
+    texts = [" ".join(["12", *words]), " ".join(["12", *reversed(words), "a1 don't"])]
+    assert [x.tolist() for x in encoder(BYTE).encode(texts)] == library(BYTE, texts)
+    assert not [k for k in slow if k.isalpha()]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_best_fill_against_all_subsets(seed):
     rnd = random.Random(seed)
