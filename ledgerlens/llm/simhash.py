@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_rows, renamed, staged
+from .common import IN_ROWS, map_rows, renamed, staged
 from .components import components
 from .words import word_slices
 
@@ -27,6 +27,7 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 BUCKET = 512
+TASK_CLASSES = 1 << 14  # fingerprints whose keys (66 each) one task counts in memory
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                 fp = fingerprint(text, shingle)
                 yield doc, fp - (1 << 64) if fp >> 63 else fp
 
-    return map_rows(renamed(docs, doc_id=id_col, text=text_col), run, "doc_id long, fp long")
+    return map_rows(renamed(docs, doc_id=id_col, text=text_col), run, "doc_id long, fp long", IN_ROWS)
 
 
 def fingerprint_column(shingle: int = SHINGLE):
@@ -108,6 +109,12 @@ def _forest(max_bits: int):
     return forest
 
 
+def dealt(classes: DataFrame, rows: int = TASK_CLASSES) -> DataFrame:
+    """``classes`` in so many partitions that each holds about ``rows``: a scan
+    puts a file of short rows into few tasks, whatever each row becomes there."""
+    return classes.repartition(max(1, -(-classes.count() // rows)))
+
+
 def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """``u, v``: links that connect all distinct fingerprints ``fp`` at
     ``max_bits`` (1 or 2) or fewer differing bits.  Every link returned is
@@ -117,7 +124,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
     # s: 0-31 and 32-63 the halves with bit s % 32 as a wildcard, 64 and 65 the whole halves
     low = "(s < 32 OR s = 64)"
     half = f"(CASE WHEN {low} THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END)"
-    keys = classes.selectExpr("fp", "explode(sequence(0, 65)) AS s").selectExpr("fp", "s", f"{half} AS half").selectExpr(
+    keys = dealt(classes).selectExpr("fp", "explode(sequence(0, 65)) AS s").selectExpr("fp", "s", f"{half} AS half").selectExpr(
         "fp", "(CAST(s AS BIGINT) << 32) | (CASE WHEN s < 64 THEN half & ~(1L << (s % 32)) ELSE half END) AS key",
         "CASE WHEN s < 64 THEN (half >> (s % 32)) & 1L END AS bit")
     held = staged(keys.groupBy("key").agg(
@@ -176,13 +183,17 @@ def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     which it is the smallest keeps one of them, the smallest text.  Null and
     empty texts are one group; an empty table stays empty."""
     named = docs.where("doc_id IS NOT NULL")
-    found = groups(named.select("doc_id", "text"), shingle, max_bits)
+    found = staged(groups(named.select("doc_id", "text"), shingle, max_bits), "groups")
     rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr("doc_id = component_id")).alias("_first"))
-    held = named.join(rows.where("_first").select("doc_id", "_n"), "doc_id")
-    alone = held.where("_n = 1").select(*docs.columns)
+    rows = staged(rows.where("_first").select("doc_id", "_n"), "first-ids")
+    several = rows.where("_n > 1").select("doc_id")
+    alone = named.join(rows.where("_n = 1").select("doc_id"), "doc_id").select(*docs.columns)
     # an id of several rows does not say which of them are in the group: their fingerprints do
-    own = found.where("doc_id = component_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    shared = held.where("_n > 1").withColumn("_fp", fingerprint_column(shingle)("text")).join(own, ["doc_id", "_fp"])
+    own = found.where("doc_id = component_id").join(several, "doc_id", "left_semi").select(
+        "doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    # called deterministic, the function would go below the first join as a filter for nulls, and so to every text
+    print_of = fingerprint_column(shingle).asNondeterministic()
+    shared = named.join(several, "doc_id").withColumn("_fp", print_of("text")).join(own, ["doc_id", "_fp"])
     order = Window.partitionBy("doc_id", "_root").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     one = shared.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
     return alone.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
