@@ -10,8 +10,9 @@ tokenizer has a normalizer or another pre-tokenizer.
 
 Pieces are numbered; their ids lie in one array, and a group of texts is put
 together from it by numpy.  Texts without longer runs of white space are cut
-at every space and newline by Arrow.  The cache belongs to its task and is emptied when
-it holds ``CACHE_BYTES``.
+at every space and newline by Arrow, which also finds their different words and
+parts words from the punctuation after them.  The cache belongs to its task and
+is emptied when it holds ``CACHE_BYTES``.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ MARK = "\x1c"  # leads the key of a piece that is itself; other keys have one sp
 TAILED = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]+)")
 PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+LETTER = "".join(filter(LETTERS.fullmatch, map(chr, range(256))))
 # how a byte-level vocabulary writes bytes that are no visible Latin-1 characters, but for the newline
-BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7f, 0xa1), 0xad]) if b != 10}
+BYTE_LETTERS = np.arange(256, dtype="<u2")
+BYTE_LETTERS[[*range(0x21), *range(0x7f, 0xa1), 0xad]] = np.arange(256, 324)
+BYTE_LETTERS[10] = 10
 CACHE_BYTES = 96 << 20
 LEARN = 32_768     # pieces a library call; its working memory follows them
 ENTRY_BYTES = 160  # of a piece beside its characters and ids
@@ -94,6 +98,10 @@ def _hex(char: str) -> str:
     return f"\\x{{{ord(char):x}}}"
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _key(chunk: str) -> str:
     if chunk.isspace() or chunk[0] not in "\t\n\v\f\r ":
         return MARK + chunk
@@ -199,10 +207,12 @@ class ChunkEncoder:
         a letter: the model needs no more."""
         if not keys:
             return
-        words = (" " + "\n ".join(keys)).encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = np.array(self.plain.encode_batch_fast([words], add_special_tokens=False)[0].ids, self.dtype)
+        raw = np.frombuffer((" " + "\n ".join(keys)).encode(), np.uint8)
+        ids = np.array(self.plain.encode_batch_fast([BYTE_LETTERS[raw].tobytes().decode("utf-16-le")],
+                                                    add_special_tokens=False)[0].ids, self.dtype)
         at = np.concatenate([[0], np.cumsum(self.width[ids])])
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, keys)), np.int64, len(keys)) + 1)
+        newlines = np.flatnonzero(raw == 10)
+        ends = np.append(newlines - np.arange(len(newlines)), len(raw) - len(newlines))
         hi = np.searchsorted(at, ends)
         if hi[-1] == len(ids) and (at[hi] == ends).all():
             self._add(keys, ids, np.diff(hi, prepend=0))
@@ -256,6 +266,38 @@ class ChunkEncoder:
             out[unseen] = np.fromiter(map(self.number.__getitem__, wanted), np.int64, len(wanted))
         return out
 
+    def _words(self, keys: list[str]) -> np.ndarray:
+        """Numbers of different words of Latin letters with a space before them."""
+        out = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        unseen = np.flatnonzero(out < 0)
+        new, first = [keys[k] for k in unseen.tolist()], self.start.n
+        for at in range(0, len(new), LEARN):
+            self._learn_letters(new[at:at + LEARN])
+        out[unseen] = first + np.arange(len(new))
+        return out
+
+    def _different(self, keys: pa.Array) -> tuple[np.ndarray, tuple[int, ...]]:
+        """Numbers of a group's different pieces, and how far those reach that
+        stay.  Words with punctuation after them are put together from both,
+        for this group only."""
+        out = np.empty(len(keys), np.int64)
+        word, tailed = (pc.match_substring_regex(keys, f"^(?:{p.pattern})$").to_numpy(zero_copy_only=False)
+                        for p in (LETTERS, TAILED))
+        both = keys.filter(pa.array(tailed))
+        heads = pc.utf8_rtrim(both, characters="".join(PUNCTUATION))
+        tails = pc.utf8_ltrim(both, characters=LETTER).dictionary_encode()
+        words = pa.concat_arrays([keys.filter(pa.array(word)), heads]).dictionary_encode()
+        other = np.flatnonzero(~(word | tailed))
+        out[other] = self._numbers(_strings(keys.take(pa.array(other))))
+        tail = self._numbers([MARK + t for t in _strings(tails.dictionary)])[tails.indices.to_numpy()]
+        number = self._words(_strings(words.dictionary))[words.indices.to_numpy()]
+        out[word], head = np.split(number, [len(number) - len(both)])
+        stay = self.ids.n, self.start.n, self.count.n, self.bytes
+        ids, counts = self._gather(np.column_stack([head, tail]).reshape(-1))
+        out[tailed] = self.start.n + np.arange(len(both))
+        self._add((), ids, counts.reshape(-1, 2).sum(axis=1))
+        return out, stay
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Texts that can be cut at every space are split and their different
         pieces found by Arrow; Python sees each different piece once."""
@@ -267,19 +309,23 @@ class ChunkEncoder:
         out: list = [None] * len(texts)
         for k in np.flatnonzero(odd).tolist():
             out[k] = self._numbers(self._pieces(texts[k]))
-        plain = np.flatnonzero(~odd)
+        plain, stay = np.flatnonzero(~odd), None
         if len(plain):
             cut = pc.split_pattern(pc.replace_substring(whole.take(pa.array(plain)), "\n", " \n"), " ")
             coded = cut.flatten().dictionary_encode()
-            numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
             begins = np.cumsum([0, *pc.list_value_length(cut).to_numpy().tolist()])
             # a text's first piece has no space before it
             first = coded.dictionary.take(coded.indices.take(pa.array(begins[:-1]))).to_pylist()
-            numbers[begins[:-1]] = self._numbers([MARK + f for f in first])
+            first = self._numbers([MARK + f for f in first])
+            numbers, stay = self._different(coded.dictionary)
+            numbers = numbers[coded.indices.to_numpy()]
+            numbers[begins[:-1]] = first
             for k, a, b in zip(plain.tolist(), begins.tolist(), begins[1:].tolist()):
                 out[k] = numbers[a:b]
         pieces = np.fromiter(map(len, out), np.int64, len(out))
         ids, counts = self._gather(np.concatenate(out) if out else np.zeros(0, np.int64))
+        if stay:
+            self.ids.n, self.start.n, self.count.n, self.bytes = stay
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(pieces)]
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
