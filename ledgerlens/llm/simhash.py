@@ -185,9 +185,10 @@ def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     named = docs.where("doc_id IS NOT NULL")
     found = staged(groups(named.select("doc_id", "text"), shingle, max_bits), "groups")
     rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr("doc_id = component_id")).alias("_first"))
-    rows = staged(rows.where("_first").select("doc_id", "_n"), "first-ids")
-    several = rows.where("_n > 1").select("doc_id")
-    alone = named.join(rows.where("_n = 1").select("doc_id"), "doc_id").select(*docs.columns)
+    # texts meet the ids that go or repeat, by far the fewer, not those that stay
+    other = staged(rows.where("NOT _first OR _n > 1"), "other-ids")
+    several = other.where("_first").select("doc_id")
+    alone = named.join(other.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     # an id of several rows does not say which of them are in the group: their fingerprints do
     own = found.where("doc_id = component_id").join(several, "doc_id", "left_semi").select(
         "doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()

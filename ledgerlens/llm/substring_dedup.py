@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import IN_ROWS, map_rows, staged
+from .common import IN_ROWS, clustered, map_rows, staged
 from .quality import _word_hashes
 from .words import word_slices
 
@@ -221,8 +221,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     null id lose nothing and make nothing a repeat; rows of equal id never
     make each other repeats, repeated rows get equal results."""
     cols = [c for c in docs.columns if c != "dedup"]
-    own = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(cols)], docs[id_col].alias("doc_id"),
-                      docs[text_col].alias("text")).withColumn("key", F.xxhash64("text"))
+    inner = [{id_col: "doc_id", text_col: "text"}.get(c, f"c{i}") for i, c in enumerate(cols)]
+    rest = [docs[c].alias(a) for c, a in ((id_col, "doc_id"), (text_col, "text")) if a not in inner]
+    # texts travel once: both joins are by id and key
+    own = clustered(docs.select(*[docs[c].alias(a) for c, a in zip(cols, inner)], *rest).withColumn("key", F.xxhash64("text")),
+                    "texts", "doc_id", "key")
     found = cuts(own.select("doc_id", "text", "key"), window, gram, bucket_runs)
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
@@ -232,4 +235,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         return pd.DataFrame([kept_words(t, r) for t, r in zip(texts, ranges)], columns=["n_words", "n_removed", "kept"])
 
     joined = own.join(found, ["doc_id", "key"], "left").withColumn("dedup", apply("text", "cuts"))
-    return joined.select(*[f"c{i}" for i in range(len(cols))], "dedup").toDF(*cols, "dedup")
+    return joined.select(*inner, "dedup").toDF(*cols, "dedup")
