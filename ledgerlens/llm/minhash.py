@@ -223,25 +223,32 @@ def fine_limit(percent: int, sigmas: float = 4.5) -> int:
 def _residual(members: DataFrame, distance: int, percent: int, block: int, nearest: int | None) -> DataFrame:
     """``u, v`` of different components under one key that may be similar.
 
-    ``members``: ``key, slot, id, root, n, slack, sign, fine, main`` (in the component
-    of the key's smallest).  Members are dealt into blocks of ``block``; every
-    block meets every other, but blocks of the main component do not meet each
-    other.  Two sets share at most what neither's slack takes away.  A pair is
-    returned under the first key it shares, with ``nearest`` only if it is
-    among so many nearest of either set there."""
-    held = members.groupBy("key").agg(F.count_if("main").alias("mains"), F.count_if(~F.col("main")).alias("others"))
-    dealt = members.join(held, "key").selectExpr(
-        "*", f"mains + others <= {block} AS small", f"CAST(ceil(others / {block}) AS INT) AS a", f"CAST(ceil(mains / {block}) AS INT) AS b").selectExpr(
-        "*", "CASE WHEN small THEN 0 WHEN main THEN a + CAST(pmod(xxhash64(id), b) AS INT) ELSE CAST(pmod(xxhash64(id), a) AS INT) END AS own")
-    meets = ("CASE WHEN small THEN array(0) WHEN main THEN sequence(0, a - 1) ELSE sequence(0, a + b - 1) END")
-    rows = dealt.selectExpr("key", "slot", "id", "root", "n", "slack", "sign", "fine", "own", f"explode({meets}) AS met").selectExpr(
-        "key", "least(own, met) AS i", "greatest(own, met) AS j", "slot", "id", "root", "n", "slack", "sign", "fine", "own")
+    ``members``: ``key, slot, id, root, n, slack, sign, fine``.  Those of a key
+    are dealt into blocks of ``block``.  With ``nearest`` a block meets only
+    itself, in every key dealt otherwise, and a pair is returned if it is among
+    so many nearest of either set there.  Without, every block meets every
+    other, but blocks of the key's largest component do not meet each other, and
+    a pair is returned under the first key it shares.  Two sets share at most
+    what neither's slack takes away."""
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
+    keys = sizes.groupBy("key").agg(F.sum("held").alias("total"), F.max(F.struct("held", "root")).alias("most")).where("total > most.held")
+    held = members.join(keys, "key").selectExpr("*", f"total <= {block} AS small")
+    if nearest is not None:
+        dealt = held.selectExpr("*", f"CAST(pmod(xxhash64(id, key), CAST(ceil(total / {block}) AS INT)) AS INT) AS own", "own AS met")
+    else:
+        dealt = held.selectExpr(
+            "*", "root = most.root AS main", f"CAST(ceil((total - most.held) / {block}) AS INT) AS a",
+            f"CAST(ceil(most.held / {block}) AS INT) AS b").selectExpr(
+            "*", "CASE WHEN small THEN 0 WHEN main THEN a + CAST(pmod(xxhash64(id), b) AS INT) ELSE CAST(pmod(xxhash64(id), a) AS INT) END AS own").withColumn(
+            "met", F.expr("explode(CASE WHEN small THEN array(0) WHEN main THEN sequence(0, a - 1) ELSE sequence(0, a + b - 1) END)"))
+    rows = dealt.selectExpr("key", "least(own, met) AS i", "greatest(own, met) AS j", "slot", "id", "root", "n", "slack", "sign", "fine", "own",
+                            f"{'NOT small' if nearest is not None else 'FALSE'} AS part")
     limit = fine_limit(percent)
 
     def run(batches):
         group, own = None, []
         for cols in batches:
-            for key, i, j, *row in zip(*(cols[c] for c in ("key", "i", "j", "own", "slot", "id", "root", "n", "slack", "sign", "fine"))):
+            for key, i, j, *row in zip(*(cols[c] for c in ("key", "i", "j", "own", "slot", "id", "root", "n", "slack", "sign", "fine", "part"))):
                 if (key, i, j) != group:
                     yield from meet(group, own)
                     group, own = (key, i, j), []
@@ -253,6 +260,7 @@ def _residual(members: DataFrame, distance: int, percent: int, block: int, neare
             return
         place, slot, ids, roots, sizes, slacks = (np.array([r[k] for r in own]) for k in range(6))
         signs = np.frombuffer(b"".join(r[6] for r in own), "<u2").reshape(len(own), SYMBOLS)
+        part = own[0][8]  # of a key whose blocks do not meet: a pair may be together under a later key only
         fine = np.frombuffer(b"".join(r[7] for r in own), np.uint8).reshape(len(own), FINE)
         left, right = np.flatnonzero(place == group[1]), np.flatnonzero(place == group[2])
         for at in range(0, len(left), 32):
@@ -266,7 +274,8 @@ def _residual(members: DataFrame, distance: int, percent: int, block: int, neare
             wrong = signs[one[x]] != signs[right[y]]
             far = wrong.sum(axis=1)
             near = np.flatnonzero(far <= distance)
-            near = near[first_shared(wrong[near]) == slot[0]] if len(near) else near
+            if not part and len(near):
+                near = near[first_shared(wrong[near]) == slot[0]]
             if len(near):
                 far = (fine[one[x[near]]] != fine[right[y[near]]]).sum(axis=1)
                 near, far = near[far <= limit], far[far <= limit]
@@ -276,7 +285,8 @@ def _residual(members: DataFrame, distance: int, percent: int, block: int, neare
                 yield min(u, v), max(u, v)
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_rows(dealt, run, "u long, v long")  # each pair at its first key and one block only
+    found = map_rows(dealt, run, "u long, v long")
+    return found if nearest is None else found.distinct()  # without, each pair at its first key and one block only
 
 
 def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
@@ -325,14 +335,13 @@ def roots(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle:
     sets = _full_sets(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))), classes, docs, shingle, "full-sets")
     found = staged(components(_confirmed(near, sets, percent)).select(F.col("node").alias("id"), "root"), "roots")
     kept = None
-    # first each set's nearest, which joins most of a group; then all that is still apart
+    # first each set's nearest of one block a key, which joins most of a group in so many rows as it has; then all that is still apart
     for nearest in (NEAREST, None):
-        rooted = members.join(found, "id", "left").select("key", "slot", "hub", "id", F.coalesce("root", "id").alias("root"))
+        rooted = members.join(found, "id", "left").select("key", "slot", "id", F.coalesce("root", "id").alias("root"))
         # keys of two members have been decided by their star; others are looked at again while they hold several components
-        split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"),
-                                          F.min(F.expr("CASE WHEN id = hub THEN root END")).alias("main")).where("n > 2 AND least < most")
-        rest = staged(rooted.join(split.select("key", "main"), "key").select(
-            "key", "slot", "id", "root", (F.col("root") == F.col("main")).alias("main")), "residual")
+        split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where(
+            "n > 2 AND least < most")
+        rest = staged(rooted.join(split.select("key"), "key"), "residual")
         if kept is None:
             apart = staged(rest.select("id", "root").distinct(), "residual-ids")
             if not apart.limit(1).count():
