@@ -7,13 +7,16 @@ dataset plus a cleaning report.  The plan, per pass:
    row position (map-side partial aggregation collapses a hot duplicate);
    each text value is parsed once (number, date) next to its text and the
    result is written to the shared folder, so the passes below scan parsed
-   columns and an executor loss does not replay the shuffle.
+   columns and an executor loss does not replay the shuffle.  A large upload
+   is written first and de-duplicated in rounds by a hash of the row: the
+   shuffle files of one round are all that stands on the disks.
 2. inference: one aggregate of per-column conditional counts (one row).
 3. fill values: medians in one aggregate; modes from each column's
    ``groupBy(value).count()`` reduced with ``min_by`` -- bounded
    memory whatever the number of distinct texts.
 4. typed projection; dates forward/backward filled in row order by a
-   two-level scan (per range partition, then carries across partitions).
+   two-level scan (per range partition, then carries across partitions) to
+   which rows without a gap lend their dates only.
 5. quartiles of the imputed numeric columns, then one outlier count pass.
 The driver only sees the one-row aggregates (a few values per column).
 """
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs, rules
-from ..session import stage
+from ..session import passing_stage, shuffles_released, stage_parts
 from .profile import one_row
 from .quantiles import exact_quantiles
 
@@ -118,16 +121,47 @@ def dedupe(df: DataFrame, order_by=None) -> DataFrame:
     the row's own columns -- else the scan position) and ``_copies`` (rows
     folded into this one).
     """
-    cols = df.columns
-    keys = [_q(c) for c in cols]
+    return _fold_copies(df if order_by else _positioned(df), df.columns, order_by)
+
+
+def _positioned(df: DataFrame) -> DataFrame:
+    return df.withColumn("_ord", F.monotonically_increasing_id())
+
+
+def _order_key(order_by) -> Column:
+    return F.struct(*[exprs.col(c) for c in order_by])
+
+
+def _fold_copies(df: DataFrame, cols: list[str], order_by=None) -> DataFrame:
+    per_row = df.groupBy(*[_q(c) for c in cols])
+    copies = F.count(F.lit(1)).alias("_copies")
     if order_by:
         # the key is a function of the row's columns, so every copy has the
         # same key: compute it after the grouping (fixed-width hash buffers)
-        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
-                  .withColumn("_ord", F.struct(*[exprs.col(c) for c in order_by])))
-    return (df.withColumn("_ord", F.monotonically_increasing_id())
-              .groupBy(*keys)
-              .agg(F.min("_ord").alias("_ord"), F.count(F.lit(1)).alias("_copies")))
+        return per_row.agg(copies).withColumn("_ord", _order_key(order_by))
+    return per_row.agg(F.min("_ord").alias("_ord"), copies)
+
+
+# De-duplication shuffles whole rows, far more bytes than they take written: so
+# many bytes of the written upload are shuffled at a time, in so many rounds at most.
+ROUND_BYTES = 16 << 20
+ROUNDS = 8
+
+
+def distinct_candidates(df: DataFrame, order_by=None) -> DataFrame:
+    """``parse_candidates`` of the de-duplicated rows, staged.
+
+    The rows are written once as they come, which ends the lineage (and shuffles)
+    that made them.  All copies of a row have one hash and so meet in one round."""
+    cols = df.columns
+    with passing_stage(df if order_by else _positioned(df), "clean-upload") as (raw, size):
+        rounds = max(1, min(ROUNDS, -(-size // ROUND_BYTES)))
+        own = F.pmod(F.xxhash64(*[_q(c) for c in cols]), F.lit(rounds))
+        folded = [_fold_copies(raw.where(own == r) if rounds > 1 else raw, cols, order_by) for r in range(rounds)]
+        if order_by:  # read from the row's columns again, cheaper than written
+            folded = [f.drop("_ord") for f in folded]
+        rows, _ = stage_parts([parse_candidates(f, cols) for f in folded], "clean-candidates")
+    return rows.withColumn("_ord", _order_key(order_by)) if order_by else rows
 
 
 def parse_candidates(dd: DataFrame, cols: list[str]) -> DataFrame:
@@ -187,9 +221,12 @@ def infer_types(cand: DataFrame, cols: list[str]) -> dict:
         else:
             kinds[c] = "Text"
     n = found[0]["n"]
-    # numeric columns with values to fill in
+    # columns with values to fill in: numbers
     gaps = {c for i, c in enumerate(cols) if kinds[c] in ("Integer", "Float")
             and (row[f"nn{i}"] if exprs.logical_type(schema[c]) is not None else row[f"p{i}"]) < n}
+    # and dates
+    gaps |= {c for i, c in enumerate(cols) if kinds[c] == "DateTime"
+             and (row[f"nn{i}"] if exprs.logical_type(schema[c]) is not None else row[f"dt{i}"]) < n}
     return {"kinds": kinds, "n": n, "gaps": gaps}
 
 
@@ -221,9 +258,10 @@ def modes(df: DataFrame, columns: dict[str, Column]) -> dict:
     counts = reduce(DataFrame.unionAll, [
         df.select(e.cast("string").alias("v")).where(F.col("v").isNotNull()).groupBy("v")
           .agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(i).alias("k"), "v", "cnt") for i, e in enumerate(columns.values())])
-    best = counts.groupBy("k").agg(
-        F.min_by("v", F.struct((-F.col("cnt")).alias("c"), F.col("v").alias("v"))).alias("mode"))
-    return {names[r["k"]]: r["mode"] for r in best.collect()}  # one row per column
+    with shuffles_released(df.sparkSession):  # of many different texts they are large
+        best = counts.groupBy("k").agg(
+            F.min_by("v", F.struct((-F.col("cnt")).alias("c"), F.col("v").alias("v"))).alias("mode"))
+        return {names[r["k"]]: r["mode"] for r in best.collect()}  # one row per column
 
 
 def fill_dates(df: DataFrame, cols: list[str], order_col: str = "_ord",
@@ -231,42 +269,77 @@ def fill_dates(df: DataFrame, cols: list[str], order_col: str = "_ord",
     """Forward fill, then back fill, then ``fallback`` -- in row order.
 
     Two-level scan instead of one global window: rows are range
-    partitioned on the order key; within each range a window takes the
-    last (first) non-null value; one carry row per range (bounded by the
-    partition count, so it is broadcast) supplies the value from earlier
-    (later) ranges.
+    partitioned on the order key; within each range the last non-null value
+    is carried along; one row per range (bounded by the partition count, so
+    it is broadcast) supplies the value from earlier ranges.  Only rows
+    before the very first value are filled from behind, all with that value.
+
+    Rows without a gap stay where they are: they send their position and
+    dates along, nothing else.
     """
     if not cols:
         return df
     fallback = F.current_timestamp() if fallback is None else fallback
-    # written once with its range number, so the rows and the carries below
-    # speak of the same ranges (a second range exchange would sample its own)
-    ranged = stage(df.repartitionByRange(F.col(order_col)).withColumn("_rng", F.spark_partition_id()), "date-ranges")
-    # both directions use growing frames (O(n) per range): the backward
-    # fill is a forward fill over the reversed order
-    w_f = Window.partitionBy("_rng").orderBy(F.col(order_col).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_b = Window.partitionBy("_rng").orderBy(F.col(order_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for c in cols:
-        ranged = (ranged.withColumn(f"_lf_{c}", F.last(_q(c), ignorenulls=True).over(w_f))
-                        .withColumn(f"_lb_{c}", F.last(_q(c), ignorenulls=True).over(w_b)))
-    carry_aggs = []
-    for c in cols:
-        key = F.when(_q(c).isNotNull(), F.col(order_col))
-        carry_aggs += [F.max_by(_q(c), key).alias(f"_end_{c}"), F.min_by(_q(c), key).alias(f"_beg_{c}")]
-    per_range = ranged.groupBy("_rng").agg(*carry_aggs)
-    w_prev = Window.orderBy(F.col("_rng").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    w_next = Window.orderBy(F.col("_rng").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = []
-    for c in cols:
-        carry_cols += [F.last(f"_end_{c}", ignorenulls=True).over(w_prev).alias(f"_cf_{c}"),
-                       F.last(f"_beg_{c}", ignorenulls=True).over(w_next).alias(f"_cb_{c}")]
+    rest = [c for c in df.columns if c not in cols]
+    gap = reduce(Column.__or__, [_q(c).isNull() for c in cols])
+    dates = [f"_d{j}" for j in range(len(cols))]
+    # a struct's fields one by one: same order, but sorted by their bytes
+    key = df.schema[order_col].dataType
+    key = [_q(order_col).getField(f) for f in key.names] if isinstance(key, T.StructType) else [_q(order_col)]
+    by = [f"_o{i}" for i in range(len(key))]
+    sent = df.select(*[k.alias(o) for k, o in zip(key, by)], *[_q(c).alias(d) for c, d in zip(cols, dates)],
+                     F.when(gap, F.struct(*[_q(c).alias(f"_r{i}") for i, c in enumerate(rest)])).alias("_row"))
+    ordered = sent.repartitionByRange(*by).sortWithinPartitions(*by).drop(*by)
+    kinds = {f.name: f.dataType for f in ordered.schema.fields}
+    schema = T.StructType([T.StructField("_rng", T.IntegerType()), *[T.StructField(d, kinds[d]) for d in dates],
+                           *[T.StructField(f"_b{d}", kinds[d]) for d in dates], T.StructField("_row", kinds["_row"])])
+    # written once: the rows to fill and, without a ``_row``, the ends of each range
+    ranged, _ = stage_parts([ordered.mapInArrow(_carry_forward(len(cols)), schema)], "date-gaps")
+    before = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # one row per range partition: a size bound that does not grow with rows
-    carries = per_range.select("_rng", *carry_cols)
-    out = ranged.join(F.broadcast(carries), "_rng", "left")
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(_q(c), F.col(f"_lf_{c}"), F.col(f"_cf_{c}"),
-                                           F.col(f"_lb_{c}"), F.col(f"_cb_{c}"), fallback))
-    return out.select(*df.columns)
+    carries = ranged.where("_row IS NULL").select(
+        "_rng", *[F.last(d, ignorenulls=True).over(before).alias(f"_c{d}") for d in dates],
+        *[F.first(f"_b{d}", ignorenulls=True).over(whole).alias(f"_f{d}") for d in dates])
+    held = ranged.where("_row IS NOT NULL").drop(*[f"_b{d}" for d in dates]).join(F.broadcast(carries), "_rng", "left")
+    value = {c: F.coalesce(d, f"_c{d}", f"_f{d}", fallback) for c, d in zip(cols, dates)}
+    value |= {c: F.col(f"_row._r{i}") for i, c in enumerate(rest)}
+    return df.where(~gap).unionByName(held.select(*[value[c].alias(c) for c in df.columns]))
+
+
+def _carry_forward(n: int):
+    """For ``mapInArrow`` over a range's rows in order, ``n`` dates and ``_row``:
+    the rows that have one, with the last date up to each, and at the end one
+    row without: the range's last and first dates."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+        last, first, types, names = [None] * n, [None] * n, None, None
+        for batch in batches:
+            types = [pa.int32(), *2 * batch.schema.types[:n], batch.schema.types[n]]
+            names = ["_rng", *batch.schema.names[:n], *[f"_b{d}" for d in batch.schema.names[:n]], "_row"]
+            size, filled = batch.num_rows, []
+            for j in range(n if size else 0):
+                own = batch.column(j)
+                if first[j] is None and own.null_count < size:
+                    first[j] = own.drop_null()[0]
+                own = pc.fill_null_forward(own)
+                filled.append(own if last[j] is None else pc.fill_null(own, last[j]))
+                if filled[j][size - 1].is_valid:
+                    last[j] = filled[j][size - 1]
+            row = batch.column(n)
+            if row.null_count < size:
+                columns = [pa.repeat(pa.scalar(at, types[0]), size), *filled, *[pa.nulls(size, t) for t in types[1:n + 1]], row]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(row.is_valid())
+        if names:
+            ends = [pa.scalar(at, types[0]), *last, *first, None]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, t) if v is None else pa.repeat(v, 1) for v, t in zip(ends, types)], names)
+
+    return run
 
 
 class Cleaned:
@@ -285,14 +358,14 @@ class Cleaned:
         self.schema = {f.name: f.dataType for f in df.schema.fields}
         self.approx, self.now, self.spark = approx, now, df.sparkSession
         self.checkpoint = checkpoint
+        self.upload, self.order_by = df, order_by
         self.distinct = dedupe(df, order_by)
 
     @cached_property
     def rows(self) -> DataFrame:
         """De-duplicated rows with every parsed reading, written once to the
         shared folder: the lineage cut that the passes below all scan."""
-        dd = parse_candidates(self.distinct, self.cols)
-        return stage(dd, "clean-candidates") if self.checkpoint else dd
+        return distinct_candidates(self.upload, self.order_by) if self.checkpoint else parse_candidates(self.distinct, self.cols)
 
     @cached_property
     def info(self) -> dict:
@@ -350,7 +423,7 @@ class Cleaned:
     @cached_property
     def data(self) -> DataFrame:
         typed = self.rows.select(*[self._typed(c).alias(c) for c in self.cols], "_ord")
-        typed = fill_dates(typed, self._of_kind("DateTime"), "_ord", self.now)
+        typed = fill_dates(typed, [c for c in self._of_kind("DateTime") if c in self.info["gaps"]], "_ord", self.now)
         # C14: derived net amount
         if "net_amount" not in self.cols and "quantity" in self.cols and "unit_price" in self.cols:
             typed = typed.withColumn("net_amount", F.col("quantity") * F.col("unit_price"))

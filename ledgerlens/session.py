@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -94,10 +96,50 @@ def stage(df, name: str = "stage"):
     than replaying shuffles.  Columns are stored under positional names so
     any upload header (spaces, dots, brackets) is a valid parquet name.
     """
-    import uuid
-
     spark = df.sparkSession
     path = shared_dir(spark, f"stage/{name}-{uuid.uuid4().hex}")
     names = df.columns
     df.toDF(*[f"_c{i}" for i in range(len(names))]).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).toDF(*names)
+
+
+# Shuffle files of a query go when it ends, not when the driver happens to
+# collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark):
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
+def stage_parts(parts, name: str = "stage"):
+    """``stage`` for large results: frames of the same columns are written one
+    after another, so only one's shuffle files stand on the disks at a time, and
+    more tightly.  Gives the frame that reads them and their folder."""
+    path = None
+    for part in parts:
+        if path is None:
+            spark, names = part.sparkSession, part.columns
+            path = shared_dir(spark, f"stage/{name}-{uuid.uuid4().hex}")
+        with shuffles_released(spark):
+            part.toDF(*[f"_c{i}" for i in range(len(names))]).write.option("compression", "zstd").mode("append").parquet(path)
+    return spark.read.parquet(path).toDF(*names), path
+
+
+@contextmanager
+def passing_stage(df, name: str = "stage"):
+    """A staged frame and the bytes it takes, for the block only: the files go at its end."""
+    spark = df.sparkSession
+    staged, path = stage_parts([df], name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield staged, fs.getContentSummary(at).getLength()
+    finally:
+        fs.delete(at, True)

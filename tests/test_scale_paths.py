@@ -262,3 +262,83 @@ def test_upload_reads_the_lines_once(spark):
     up = dirty.upload_lines(T)
     assert sorted(str(r["order_number"]) for r in up.collect()) == ["100", "100", "50", "50", "51", "None"]
     assert up._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def _staged(spark, prefix):
+    """Rows in each stage folder of a name."""
+    import glob
+
+    import pyarrow.dataset as ds
+    from ledgerlens.session import shared_dir
+
+    return {d: ds.dataset(d, format="parquet").count_rows()
+            for d in glob.glob(shared_dir(spark, "stage").removeprefix("file:") + f"/{prefix}-*")}
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if f.endswith(".data")}
+
+
+def test_date_fill_moves_gaps_only(spark):
+    """Rows that have their dates send the dates along, nothing else is written or shuffled."""
+    n = 20_000
+    df = spark.range(n).selectExpr(
+        "struct(id % 3 AS a, id AS b) AS pos", "id", "CASE WHEN id % 50 != 0 THEN timestamp_seconds(id * 60) END AS d1",
+        "CASE WHEN id % 3 != 1 OR id % 100 > 2 THEN timestamp(date_add(DATE'2020-01-01', CAST(id % 900 AS INT))) END AS e",
+        "CAST(NULL AS timestamp) AS f", "CAST(id AS decimal(20, 3)) AS m", "repeat('w', 300) AS t").repartition(7)
+    before = _staged(spark, "date")
+    out = C.fill_dates(df, ["d1", "e"], "pos")
+    new = [v for k, v in _staged(spark, "date").items() if k not in before]
+    gaps = df.where("d1 IS NULL OR e IS NULL").count()
+    assert gaps < n / 20 and sum(new) <= gaps + 7 * 8
+    got = out.orderBy("pos").toPandas()
+    want = df.orderBy("pos").toPandas()
+    assert list(got.columns) == df.columns and len(got) == n
+    for c in ("d1", "e"):
+        want[c] = want[c].ffill().bfill()
+    assert got["d1"][0] == want["d1"][0] and want["d1"].notna().all()
+    pd.testing.assert_frame_equal(got.drop(columns="f"), want.drop(columns="f"))
+    none = C.fill_dates(df.limit(100), ["f"], "pos", F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    assert [tuple(r) for r in none.groupBy(F.col("f").cast("string")).count().collect()] == [("2024-05-06 07:08:09", 100)]
+
+
+def test_cleaning_leaves_little_on_the_disks(spark, monkeypatch):
+    """A large upload is de-duplicated in rounds; shuffle files and the written upload go as soon as they are used."""
+    import hashlib
+    import os
+    import time
+
+    text = ["".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(4)) for k in range(3000)]
+    rows = [(str(k), None if k % 17 == 3 else f"2020-01-{k % 28 + 1:02d}", text[k] if k % 5 else None, f"${k},000.5")
+            for k in range(3000)]
+    rows += rows[::50] * 3 + [(None, None, None, None)] * 5
+    df = spark.createDataFrame(rows, "k string, d string, t string, p string").repartition(6)
+    spark.sparkContext._jvm.System.gc()
+    monkeypatch.setattr(C, "ROUND_BYTES", 4096, raising=False)
+    before, staged = _shuffle_files(spark), _staged(spark, "clean")
+    res = C.clean(df, order_by=[F.col("k").cast("long")])
+    data = res.data
+    left = _shuffle_files(spark) - before
+    new = {k: v for k, v in _staged(spark, "clean").items() if k not in staged}
+    assert list(new.values()) == [3001] and "clean-candidates" in list(new)[0]
+    # the written upload is gone, and so are the rows dealt by hash and by range
+    size = lambda: sum(os.path.getsize(f) for f in left if os.path.exists(f))
+    for _ in range(50):  # executors remove them soon after
+        if size() >= 100_000:
+            time.sleep(0.2)
+    assert size() < 100_000
+    got = sorted((r["k"], str(r["d"])[:10], r["t"], r["p"]) for r in data.collect())
+    last, want, common = None, [], min(t for _, _, t, _ in rows if t)
+    dates = {k: d for k, d, _, _ in rows if k}
+    for k in range(3000):
+        last = dates[str(k)] or last
+        want.append((float(k), last, text[k] if k % 5 else common, k * 1000 + 0.5))
+    # the row of nulls comes first: its date is the first one, its numbers are the medians
+    want.append((1499.5, "2020-01-01", common, 1499500.5))
+    assert got == sorted(want)
+    r = res.report.first()
+    assert (r["total_records"], r["processed_records"]) == (len(rows), 3001)
+    # by position, as a CSV upload is: the copies' first place counts
+    plain = C.clean(df.where("k IS NOT NULL")).data
+    assert plain.count() == 3000 and plain.where("d IS NULL").isEmpty()
